@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import (add_hours, case_ladder, dbl, hours_between,
+from ..functions.scalars import (add_hours, rnd, case_ladder, dbl, hours_between,
                                  safe_div, sigmoid, trunc_ts)
 
 # Fixed values of the derivation rules.
@@ -78,3 +78,187 @@ def work_orders_from_events(outages: DataFrame, schedule: DataFrame) -> DataFram
         dbl(500).alias("parts_cost_usd"),
         F.lit("completed").alias("status"))
     return from_outages.unionByName(from_schedule)
+
+
+# ------------------------------------------------------------------ d01-d15
+def alarm_flag(telemetry: DataFrame) -> DataFrame:
+    """d01: ``temperature > 70 OR vibration > 4`` per reading."""
+    return telemetry.select(
+        "telemetry_id", "asset_id", "timestamp",
+        ((F.col("temperature") > ALARM_TEMPERATURE) | (F.col("vibration") > ALARM_VIBRATION))
+        .alias("alarm_flag"))
+
+
+def assets_per_site(tables) -> DataFrame:
+    """d02: assets per site (at least 1) and the capacity slice per asset."""
+    n = tables["assets"].groupBy("site_id").agg(F.count(F.lit(1)).alias("n"))
+    s = tables["sites"].select("site_id", "capacity_mw")
+    j = s.join(F.broadcast(n), "site_id", "left")  # one row per site
+    n_assets = F.greatest(F.lit(1).cast("long"), F.coalesce(F.col("n"), F.lit(0).cast("long")))
+    return j.select("site_id", n_assets.alias("n_assets"),
+                    (F.col("capacity_mw") / n_assets).alias("asset_capacity_mw"))
+
+
+def outage_duration_loss(tables) -> DataFrame:
+    """d03: lost MWh = duration h x capacity slice x 0.35 (forced) / 0.30 (planned)."""
+    o = tables["outages"].select("outage_id", "site_id", "outage_start_ts", "outage_end_ts",
+                                 "forced_outage_flag")
+    cap = assets_per_site(tables).select("site_id", "asset_capacity_mw")
+    dur = hours_between("outage_start_ts", "outage_end_ts")
+    factor = F.when(F.col("forced_outage_flag"), dbl(FORCED_LOSS_FACTOR)) \
+              .otherwise(dbl(PLANNED_LOSS_FACTOR))
+    return (o.join(F.broadcast(cap), "site_id")
+             .select("outage_id", dur.alias("duration_hours"),
+                     (dur * F.col("asset_capacity_mw") * factor).alias("derived_lost_mwh")))
+
+
+def loss_per_day(tables) -> DataFrame:
+    """d04: each outage's loss spread evenly over its start..end days
+    (inclusive), summed per asset-day."""
+    o = tables["outages"]
+    days = F.sequence(F.to_date("outage_start_ts"), F.to_date("outage_end_ts"))
+    x = o.select("asset_id", "lost_generation_mwh", days.alias("_days"))
+    x = x.select("asset_id", F.explode("_days").alias("date"),
+                 (F.col("lost_generation_mwh") / F.size("_days")).alias("_part"))
+    return x.groupBy("asset_id", "date").agg(F.sum("_part").alias("lost_mwh"))
+
+
+def loss_per_hour(tables, year_start, hours_in_year: int) -> DataFrame:
+    """d05: each outage's loss spread over its whole hours [start, end)
+    clipped to the year, empty spans dropped, summed per site-hour."""
+    o = tables["outages"]
+    y0 = F.lit(year_start).cast("timestamp_ntz")
+    ylast = add_hours(y0, hours_in_year - 1)
+    h0 = F.greatest(trunc_ts("HOUR", "outage_start_ts"), y0)
+    h1 = F.least(trunc_ts("HOUR", "outage_end_ts"), ylast)
+    x = o.select("site_id", "lost_generation_mwh", h0.alias("_h0"), h1.alias("_h1")) \
+         .filter(F.col("_h1") > F.col("_h0"))
+    n = hours_between("_h0", "_h1")
+    x = x.select("site_id",
+                 F.explode(F.sequence("_h0", add_hours("_h1", -1),
+                                      F.expr("INTERVAL 1 HOUR"))).alias("hour"),
+                 (F.col("lost_generation_mwh") / n).alias("_part"))
+    return x.groupBy("site_id", "hour").agg(F.sum("_part").alias("lost_mwh"))
+
+
+def cost_per_day(tables) -> DataFrame:
+    """d06: work-order parts cost per asset and created day."""
+    w = tables["work_orders"]
+    return (w.groupBy("asset_id", F.to_date("created_ts").alias("date"))
+             .agg(F.sum("parts_cost_usd").alias("parts_cost_usd")))
+
+
+def region_day_price(tables) -> DataFrame:
+    """d10: mean of the hourly prices per region-day."""
+    mp = tables["market_prices"]
+    return (mp.groupBy("region_id", F.to_date("timestamp").alias("date"))
+              .agg(F.avg("real_time_price_mwh").alias("avg_price")))
+
+
+def asset_pnl(tables, start_date, end_date, curtail_share: float = 0.075,
+              default_efficiency: float = 0.92) -> DataFrame:
+    """d07 + d08: per asset-day generation, revenue, opex, maintenance, margin.
+
+    gen = capacity slice x 24 x 0.30 x efficiency (asset's mean telemetry
+    efficiency, else the default), net = max(0, gen - d04 loss), revenue =
+    net x region-day price (d10), opex = capacity slice x 8, maintenance =
+    d06 cost, margin = 100 (rev - opex - maint) / rev or -100 when revenue
+    <= 0; curtailment = share x gen only on days priced under 30.
+
+    The asset x day spine is generated per asset (``explode(sequence)``),
+    not by a cross join.
+    """
+    a = tables["assets"].select("asset_id", "site_id")
+    sites = tables["sites"].select("site_id", "region_id")
+    cap = assets_per_site(tables).select("site_id", "asset_capacity_mw")
+    eff = (tables["telemetry"].groupBy("asset_id")
+           .agg((F.avg("efficiency_pct") / 100).alias("eff")))
+    spine = (a.join(F.broadcast(sites), "site_id").join(F.broadcast(cap), "site_id")
+              .select("asset_id", "region_id", "asset_capacity_mw",
+                      F.explode(F.sequence(F.lit(start_date).cast("date"),
+                                           F.lit(end_date).cast("date"))).alias("date")))
+    j = (spine.join(eff, "asset_id", "left")
+              .join(loss_per_day(tables), ["asset_id", "date"], "left")
+              .join(region_day_price(tables), ["region_id", "date"], "left")
+              .join(cost_per_day(tables), ["asset_id", "date"], "left"))
+    capc = F.col("asset_capacity_mw")
+    gen = capc * 24 * dbl(BASE_CAPACITY_FACTOR) * F.coalesce("eff", dbl(default_efficiency))
+    net = F.greatest(dbl(0), gen - F.coalesce("lost_mwh", dbl(0)))
+    rev = rnd(net * F.col("avg_price"), 2)
+    opex = capc * 8
+    maint = rnd(F.coalesce("parts_cost_usd", dbl(0)), 2)
+    margin = F.when(rev > 0, rnd((rev - opex - maint) / rev * 100, 2)).otherwise(dbl(-100))
+    curtailed = F.when(F.col("avg_price") < CURTAILMENT_PRICE_CEILING,
+                       gen * dbl(curtail_share)).otherwise(dbl(0))
+    return j.select("asset_id", "date", gen.alias("gen_mwh"), net.alias("net_gen_mwh"),
+                    rev.alias("revenue_usd"), opex.alias("opex_usd"),
+                    maint.alias("maintenance_cost_usd"), margin.alias("profit_margin_pct"),
+                    curtailed.alias("curtailed_mwh"))
+
+
+def capacity_factor_by_hour(gen_type: F.Column, ts: F.Column, y0: F.Column) -> F.Column:
+    """Hourly capacity factor profile per generation type (d09)."""
+    hour = F.hour(ts)
+    h_idx = ((F.unix_timestamp(ts) - F.unix_timestamp(y0)) / 3600).cast("long")
+    pi = F.lit(3.141592653589793)
+    solar = F.greatest(dbl(0), F.sin(pi * (hour - 6) / 12)) * dbl(0.85)
+    wind = clip_col(dbl(0.35) + dbl(0.15) * F.sin(2 * pi * h_idx / (24 * 7)), 0.0, 1.0)
+    battery = clip_col(dbl(0.4) + dbl(0.3) * F.sin(2 * pi * hour / 24 * 2), 0.0, 1.0)
+    return (F.when(gen_type == "solar", solar).when(gen_type == "wind", wind)
+             .otherwise(battery))
+
+
+def clip_col(x, lo, hi):
+    return F.greatest(F.least(x, dbl(hi)), dbl(lo))
+
+
+def power_sales(tables, year_start, hours_in_year: int) -> DataFrame:
+    """d09: site x hour sales: net = max(0, capacity x cf - d05 loss),
+    revenue = net x region price of that hour (0 when unpriced)."""
+    s = tables["sites"].select("site_id", "region_id", "generation_type", "capacity_mw")
+    y0 = F.lit(year_start).cast("timestamp_ntz")
+    spine = s.select("*", F.explode(F.sequence(y0, add_hours(y0, hours_in_year - 1),
+                                               F.expr("INTERVAL 1 HOUR"))).alias("timestamp"))
+    loss = loss_per_hour(tables, year_start, hours_in_year).withColumnRenamed("hour", "timestamp")
+    price = tables["market_prices"].select("region_id", "timestamp", "real_time_price_mwh")
+    j = (spine.join(loss, ["site_id", "timestamp"], "left")
+              .join(price, ["region_id", "timestamp"], "left"))
+    gen = F.col("capacity_mw") * capacity_factor_by_hour(F.col("generation_type"),
+                                                         F.col("timestamp"), y0)
+    net = F.greatest(dbl(0), gen - F.coalesce("lost_mwh", dbl(0)))
+    p = F.coalesce("real_time_price_mwh", dbl(0))
+    return j.select("site_id", "timestamp", rnd(net, 3).alias("energy_sold_mwh"),
+                    rnd(p, 2).alias("market_price"),
+                    rnd(net * p, 2).alias("total_revenue"))
+
+
+def overdue_flag(schedule: DataFrame, year_end) -> DataFrame:
+    """d12: not completed and planned before the year end."""
+    return schedule.select(
+        "schedule_id", "asset_id", "planned_date",
+        ((~F.col("completed_flag")) & (F.col("planned_date") < F.lit(year_end).cast("date")))
+        .alias("overdue_flag"))
+
+
+def daily_spine(tables) -> DataFrame:
+    """d13: dense per-asset daily calendar between each asset's first and
+    last telemetry day, with the readings count (0 on gap days)."""
+    t = tables["telemetry"].select("asset_id", F.to_date("timestamp").alias("date"))
+    daily = t.groupBy("asset_id", "date").agg(F.count(F.lit(1)).alias("readings"))
+    bounds = daily.groupBy("asset_id").agg(F.min("date").alias("d0"), F.max("date").alias("d1"))
+    spine = bounds.select("asset_id", F.explode(F.sequence("d0", "d1")).alias("date"))
+    return (spine.join(daily, ["asset_id", "date"], "left")
+                 .select("asset_id", "date",
+                         F.coalesce("readings", F.lit(0).cast("long")).alias("readings")))
+
+
+def anomaly_probability(anomalies: DataFrame) -> DataFrame:
+    """d14: failure probability = sigmoid((severity - 5) x 0.5)."""
+    return anomalies.select("anomaly_id", sigmoid((F.col("severity_score") - 5) * dbl(0.5))
+                            .alias("predicted_failure_probability"))
+
+
+def lost_time_flag(incidents: DataFrame) -> DataFrame:
+    """d15: lost-time incident = severity recordable or serious."""
+    return incidents.select("incident_id", F.col("severity").isin(*LOST_TIME_SEVERITIES)
+                            .alias("lost_time_flag"))
