@@ -208,6 +208,12 @@ SQL_FROM = {
 
 def metric_sql(view, dims, measures, where=None, order_by=None, limit=None):
     """Oracle text of ``views()[view].query(...)``."""
+    body, ctes = metric_parts(view, dims, measures, where, order_by, limit)
+    return with_bindings(body, ctes)
+
+
+def metric_parts(view, dims, measures, where=None, order_by=None, limit=None):
+    """(statement, extra CTEs) of a metric query in plain SQL."""
     dsql, msql = SQL_DIMS[view], SQL_MEASURES[view]
     meas = [(m, m) if isinstance(m, str) else tuple(m) for m in measures]
     sel = [f"{dsql[d]} AS {d}" for d in dims] + [f"{msql[m]} AS {a}" for m, a in meas]
@@ -228,7 +234,7 @@ def metric_sql(view, dims, measures, where=None, order_by=None, limit=None):
         sql += " ORDER BY " + ", ".join(keys)
     if limit is not None:
         sql += f" LIMIT {limit}"
-    return with_bindings(sql, ctes)
+    return sql, list(ctes)
 
 
 def _spark_where(where):

@@ -1 +1,108 @@
-"""Registered queries."""
+"""Registered quality queries (v01-v04) and sink round trips (s04, s05)."""
+
+from __future__ import annotations
+
+from ..operators import quality as Q
+from ..operators import rollups as R
+from ..session import scratch_path
+from ..sources import sinks
+from ..sources.bindings import LOGICAL_TABLES, load
+from . import q_metrics as M
+from .oracle_sql import with_bindings
+from .q_rollups import ADS_CTES
+from .registry import register
+
+_FK_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS child, '{ck}' AS \"column\", '{p}' AS parent, COUNT(*) AS orphans "
+    f"FROM {c} ch LEFT JOIN {p} pa ON ch.{ck} = pa.{pk} WHERE pa.{pk} IS NULL AND ch.{ck} IS NOT NULL"
+    for c, ck, p, pk in Q.FK_CHECKS)
+
+
+@register("v01_fk_orphans", with_bindings(_FK_SQL))
+def v01(spark, d):
+    return Q.fk_orphans(load(spark, d))
+
+
+@register("v02_row_counts", with_bindings(" UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, COUNT(*) AS n_rows FROM {t}" for t in LOGICAL_TABLES)))
+def v02(spark, d):
+    return Q.row_counts(load(spark, d))
+
+
+# v03: the first row of each view's all-measures validation query.
+_STATUS_QUERIES = [
+    ("grid_operations_metrics", "x01_grid_by_asset_type", M.GO_MEASURES),
+    ("financial_performance_metrics", "x05_fin_by_region", M.FIN_MEASURES),
+    ("maintenance_workforce_metrics", "x09_maint_by_type", M.MW_MEASURES),
+    ("executive_summary_metrics", "x14_exec_by_region", M.EX_MEASURES),
+]
+
+
+def _v03_sql():
+    spec = {n: (v, d, m, o, lim) for n, v, d, m, o, lim in M.VALIDATION}
+    ctes, seen, parts = [], set(), []
+    for i, (view, qname, measures) in enumerate(_STATUS_QUERIES):
+        v, dims, ms, order, _ = spec[qname]
+        body, extra = M.metric_parts(v, dims, ms, order_by=order, limit=1)
+        for n, q in extra:
+            if n not in seen:
+                seen.add(n)
+                ctes.append((n, q))
+        ctes.append((f"first_{i}", body))
+        ctes.append((f"vals_{i}", " UNION ALL ".join(
+            f"SELECT '{m}' AS measure, CAST({m} AS DOUBLE) AS value FROM first_{i}"
+            for m in measures)))
+        names = " UNION ALL ".join(f"SELECT '{m}' AS measure" for m in measures)
+        parts.append(
+            f"SELECT '{view}' AS view, n.measure, v.value, CASE WHEN v.measure IS NULL THEN 'EMPTY' "
+            f"WHEN v.value IS NULL THEN 'NULL' WHEN v.value = 0 THEN 'ZERO' ELSE 'OK' END AS status "
+            f"FROM ({names}) n LEFT JOIN vals_{i} v ON n.measure = v.measure")
+    return " UNION ALL ".join(parts), ctes
+
+
+def _status(spark, d):
+    t = load(spark, d)
+    spec = {n: (v, dd, m, o, lim) for n, v, dd, m, o, lim in M.VALIDATION}
+    first = {}
+    for view, qname, measures in _STATUS_QUERIES:
+        v, dims, ms, order, _ = spec[qname]
+        first[view] = (M.views()[v].query(t, dims, ms, order_by=order, limit=1), measures)
+    return Q.measure_status(first)
+
+
+_V03_BODY, _V03_CTES = _v03_sql()
+
+
+@register("v03_measure_status", with_bindings(_V03_BODY, _V03_CTES))
+def v03(spark, d):
+    return _status(spark, d)
+
+
+@register("v04_status_summary", with_bindings(f"""
+SELECT view, COUNT(*) FILTER (WHERE status = 'OK') AS ok,
+       COUNT(*) FILTER (WHERE status IN ('NULL','ZERO','EMPTY')) AS warn,
+       COUNT(*) FILTER (WHERE status = 'ERROR') AS error, COUNT(*) AS measures
+FROM ({_V03_BODY}) GROUP BY view""", _V03_CTES))
+def v04(spark, d):
+    return Q.status_summary(_status(spark, d))
+
+
+@register("s04_ctas_asset_daily", with_bindings("SELECT * FROM asset_daily_summary", ADS_CTES))
+def s04(spark, d):
+    """Materialise the asset-day rollup (partitioned by date) and scan it back."""
+    import uuid
+    path = scratch_path(spark, f"asset_daily_summary-{uuid.uuid4().hex[:8]}")
+    return sinks.create_table_as(spark, R.asset_daily_summary(load(spark, d)), path,
+                                 partition_by=["date"])
+
+
+@register("s05_temp_view_sql", with_bindings("""
+SELECT outage_reason, COUNT(*) AS n_outages, ROUND(SUM(lost_generation_mwh), 0) AS total_lost_mwh
+FROM outages WHERE forced_outage_flag GROUP BY outage_reason"""))
+def s05(spark, d):
+    """The same kind of report through temp views and ``spark.sql``."""
+    sinks.register_views(load(spark, d), ["outages"])
+    return spark.sql("""
+        SELECT outage_reason, COUNT(*) AS n_outages,
+               ROUND(SUM(lost_generation_mwh) * (1 + 1e-10D), 0) AS total_lost_mwh
+        FROM outages WHERE forced_outage_flag GROUP BY outage_reason""")
