@@ -1 +1,168 @@
-"""Registered queries."""
+"""Registered corpus jobs over the supplied documents, pages, embeddings
+and the operations tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import corpus as C
+from ..operators import windows as W
+from ..sources.bindings import load
+from .oracle_sql import with_bindings
+from .registry import register
+
+# Binding of the supplied manufacturers to the two OEM band sets.
+BOUND_BAND_SET = (("OEM-0", "siemens_gamesa"), ("OEM-1", "vestas"),
+                  ("OEM-2", "siemens_gamesa"), ("OEM-3", "vestas"))
+TOPK = 5
+
+
+@register("c03_section_chunks", """
+WITH ln AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
+s AS (
+  SELECT *, starts_with(line, '## ') AS h,
+         SUM(CASE WHEN starts_with(line, '## ') THEN 1 ELSE 0 END)
+           OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section_no
+  FROM ln)
+SELECT doc_id, CAST(section_no AS BIGINT) AS section_no, MAX(CASE WHEN h THEN substr(line, 4) END) AS heading,
+       COUNT(*) AS n_lines, string_agg(line, chr(10) ORDER BY line_no) AS body
+FROM s GROUP BY doc_id, section_no""")
+def c03(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    return C.section_chunks(docs).withColumn("section_no", F.col("section_no").cast("long"))
+
+
+_LINKS = """SELECT DISTINCT page_id, target FROM (
+  SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages)
+WHERE target <> '' AND target <> url
+  AND (CASE WHEN regexp_matches(target, '^[A-Za-z]+://') THEN regexp_extract(target, '^[A-Za-z]+://[^/]+(/[^?#]*)?', 1)
+            ELSE regexp_replace(target, '[?#].*$', '') END) <> regexp_extract(url, '^[A-Za-z]+://[^/]+(/[^?#]*)?', 1)"""
+
+
+@register("c04_reference_edges", _LINKS)
+def c04(spark, d):
+    return C.page_links(spark.read.parquet(f"{d}/pages.parquet"))
+
+
+@register("c05_reference_rule", f"""
+WITH links AS ({_LINKS}),
+lk AS (SELECT l.page_id, CASE WHEN regexp_matches(target, '^[A-Za-z]+://')
+                  THEN regexp_extract(target, '^[A-Za-z]+://[^/]+(/[^?#]*)?', 1)
+                  ELSE regexp_replace(target, '[?#].*$', '') END AS tpath FROM links l),
+known AS (SELECT DISTINCT regexp_extract(url, '^[A-Za-z]+://[^/]+(/[^?#]*)?', 1) AS tpath FROM pages),
+per AS (SELECT lk.page_id, COUNT(*) AS n_refs, COUNT(*) FILTER (WHERE k.tpath IS NULL) AS n_dangling
+        FROM lk LEFT JOIN known k ON lk.tpath = k.tpath GROUP BY lk.page_id)
+SELECT p.page_id, COALESCE(per.n_refs, 0) AS n_refs, COALESCE(per.n_dangling, 0) AS n_dangling,
+       COALESCE(per.n_refs, 0) < 2 AS below_min_refs
+FROM pages p LEFT JOIN per ON p.page_id = per.page_id""")
+def c05(spark, d):
+    return C.link_rule(spark.read.parquet(f"{d}/pages.parquet"))
+
+
+_PHRASES = " UNION ALL ".join(f"SELECT '{p}' AS phrase" for p in C.BANNED_PHRASES)
+
+
+@register("c07_banned_phrases", f"""
+SELECT doc_id, phrase, occurrences FROM (
+  SELECT d.doc_id, p.phrase,
+         CAST((octet_length(encode(lower(d.text))) - octet_length(encode(replace(lower(d.text), p.phrase, ''))))
+              / octet_length(encode(p.phrase)) AS BIGINT) AS occurrences
+  FROM documents d, ({_PHRASES}) p) WHERE occurrences > 0""")
+def c07(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    return C.banned_phrases(docs)
+
+
+def _band_rows():
+    return " UNION ALL ".join(
+        f"SELECT '{s}' AS band_set, '{lv}' AS level, CAST({lo} AS DOUBLE) AS lo, "
+        f"{'CAST(NULL AS DOUBLE)' if hi is None else f'CAST({hi} AS DOUBLE)'} AS hi, '{act}' AS action"
+        for s, lv, lo, hi, act in C.VIBRATION_BANDS)
+
+
+_BANDMAP = " ".join(f"WHEN '{m}' THEN '{b}'" for m, b in BOUND_BAND_SET)
+
+
+@register("c12_threshold_bands", with_bindings(f"""
+SELECT r.telemetry_id, r.asset_id, r.timestamp, r.running_mean, r.band_set, b.level, b.action
+FROM (SELECT w.telemetry_id, w.asset_id, w.timestamp, w.running_mean,
+             CASE a.manufacturer {_BANDMAP} END AS band_set
+      FROM (SELECT telemetry_id, asset_id, timestamp, AVG(vibration) OVER w AS running_mean
+            FROM (SELECT *, floor(epoch(timestamp)) AS ep FROM telemetry)
+            WINDOW w AS (PARTITION BY asset_id ORDER BY ep RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)) w
+      JOIN assets a ON w.asset_id = a.asset_id) r
+LEFT JOIN ({_band_rows()}) b
+  ON r.band_set = b.band_set AND r.running_mean >= b.lo AND (b.hi IS NULL OR r.running_mean < b.hi)"""))
+def c12(spark, d):
+    t = load(spark, d)
+    rm = W.running_mean(t).select("telemetry_id", "asset_id", "timestamp", "running_mean")
+    m = F.col("manufacturer")
+    band_set = None
+    for k, v in BOUND_BAND_SET:
+        band_set = F.when(m == k, v) if band_set is None else band_set.when(m == k, v)
+    a = t.assets.select("asset_id", band_set.alias("band_set"))
+    return C.threshold_bands(rm.join(a, "asset_id"), C.bands_frame(spark))
+
+
+def _rate_sql():
+    rows = " UNION ALL ".join(
+        f"SELECT '{k}' AS vendor_kind, CAST({r} AS DOUBLE) AS hourly_rate, CAST({mh} AS DOUBLE) AS min_hours, "
+        f"CAST({we} AS DOUBLE) AS weekend_mult, CAST({on} AS DOUBLE) AS overnight_mult, "
+        f"CAST({mk} AS DOUBLE) AS parts_markup, CAST({mob} AS DOUBLE) AS mobilization"
+        for k, r, mh, we, on, mk, mob in C.RATE_CARDS)
+    return f"""SELECT work_order_id, vendor_kind, ROUND(labor, 2) AS labor_cost_usd,
+  ROUND(parts, 2) AS parts_billed_usd, ROUND(labor + parts + mobilization, 2) AS billed_usd
+FROM (SELECT w.work_order_id, c.vendor_kind, c.mobilization,
+        GREATEST(w.labor_hours, c.min_hours) * c.hourly_rate *
+          CASE WHEN dayofweek(w.created_ts) IN (0, 6) THEN c.weekend_mult
+               WHEN hour(w.created_ts) >= 22 OR hour(w.created_ts) < 6 THEN c.overnight_mult
+               ELSE CAST(1 AS DOUBLE) END AS labor,
+        w.parts_cost_usd * (1 + c.parts_markup) AS parts
+      FROM work_orders w JOIN ({rows}) c
+        ON c.vendor_kind = CASE WHEN w.work_order_type = 'emergency' THEN 'emergency' ELSE 'scheduled' END)"""
+
+
+@register("c13_rate_card_cost", with_bindings(_rate_sql()))
+def c13(spark, d):
+    return C.rate_card_cost(load(spark, d).work_orders, C.rate_cards_frame(spark))
+
+
+@register("c14_approval_tier", with_bindings(f"""
+SELECT work_order_id, billed_usd,
+       CASE WHEN billed_usd > 250000 THEN 'VP, Asset Management'
+            WHEN billed_usd > 75000 THEN 'Regional Director of Operations'
+            ELSE 'Regional Maintenance Planner' END AS approver
+FROM ({_rate_sql()})"""))
+def c14(spark, d):
+    cost = C.rate_card_cost(load(spark, d).work_orders, C.rate_cards_frame(spark))
+    return cost.select("work_order_id", "billed_usd", C.approval_tier("billed_usd").alias("approver"))
+
+
+@register("c16_deferred_to_failure", with_bindings("""
+SELECT o.outage_id, o.asset_id, o.outage_start_ts,
+       (SELECT COUNT(*) FROM maintenance_schedule m WHERE m.asset_id = o.asset_id AND m.overdue_flag
+          AND CAST(m.planned_date AS TIMESTAMP) <= o.outage_start_ts
+          AND floor(epoch(CAST(m.planned_date AS TIMESTAMP))) >= floor(epoch(o.outage_start_ts)) - 7776000)
+         AS deferred_items
+FROM outages o WHERE o.forced_outage_flag"""))
+def c16(spark, d):
+    return C.deferred_before_failure(load(spark, d))
+
+
+@register("c17_topk_retrieval", f"""
+WITH e AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x,
+                  generate_subscripts(embedding, 1) AS i FROM embeddings),
+c AS (SELECT label AS q, i, AVG(x) AS cx FROM e GROUP BY label, i),
+dots AS (SELECT e.vec_id, c.q, SUM(e.x * c.cx) AS dot FROM e JOIN c ON e.i = c.i GROUP BY e.vec_id, c.q),
+en AS (SELECT vec_id, sqrt(SUM(x * x)) AS n FROM e GROUP BY vec_id),
+cn AS (SELECT q, sqrt(SUM(cx * cx)) AS n FROM c GROUP BY q),
+s AS (SELECT d.q AS query, d.vec_id, d.dot / (en.n * cn.n) AS score
+      FROM dots d JOIN en ON d.vec_id = en.vec_id JOIN cn ON d.q = cn.q)
+SELECT query, rank, vec_id, ROUND(score, 6) AS score FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= {TOPK}""")
+def c17(spark, d):
+    emb = spark.read.parquet(f"{d}/embeddings.parquet")
+    return C.topk_by_cosine(emb, C.centroid_queries(emb), TOPK)

@@ -1 +1,26 @@
-"""Registered queries."""
+"""Registered trace jobs over the supplied conversations."""
+
+from __future__ import annotations
+
+from ..operators import trace as K
+from .oracle_sql import nudge_rounding  # noqa: F401  (kept for symmetry)
+from .registry import register
+
+
+@register("k08_cache_key", """
+SELECT conv_id, turn, sha256(to_json(list_concat(
+         COALESCE(prior, []), [regexp_replace(text, '^\\s+|\\s+$', '', 'g')]))) AS cache_key
+FROM (SELECT conv_id, turn, role, text,
+        list(CASE WHEN role = 'user' THEN text END) FILTER (WHERE role = 'user')
+          OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior
+      FROM conversations)
+WHERE role = 'user'""")
+def k08(spark, d):
+    return K.cache_keys(spark.read.parquet(f"{d}/conversations.parquet"))
+
+
+@register("k09_history_filter", """
+SELECT conv_id, turn, role, text FROM conversations
+WHERE role IN ('user', 'assistant') AND text IS NOT NULL AND text <> ''""")
+def k09(spark, d):
+    return K.history_filter(spark.read.parquet(f"{d}/conversations.parquet"))
