@@ -57,13 +57,17 @@ class Tables:
         self.spark = spark
         self.sf_dir = sf_dir
         self._frames = dict(frames or {})
+        self._raw: dict[str, DataFrame] = {}
 
     @classmethod
     def from_frames(cls, spark: SparkSession, frames: dict[str, DataFrame]) -> "Tables":
         return cls(spark, None, frames)
 
     def raw(self, name: str) -> DataFrame:
-        return read_raw(self.spark, self.sf_dir, name)
+        # one scan definition per supplied table (listing + footer read once)
+        if name not in self._raw:
+            self._raw[name] = read_raw(self.spark, self.sf_dir, name)
+        return self._raw[name]
 
     def __getitem__(self, name: str) -> DataFrame:
         if name in self._frames:
@@ -264,5 +268,17 @@ class Tables:
         return work_orders_from_events(self.outages, self.maintenance_schedule)
 
 
+_LOADED: dict[tuple[int, str], Tables] = {}
+
+
 def load(spark: SparkSession, sf_dir: str) -> Tables:
-    return Tables(spark, sf_dir)
+    """Bound tables of one data directory, memoised per session.
+
+    The frames are lazy plans, so reusing them across queries only saves
+    file listing, footer reads and analysis on the driver.
+    """
+    key = (id(spark._jsparkSession), sf_dir)
+    t = _LOADED.get(key)
+    if t is None or t.spark is not spark:
+        t = _LOADED[key] = Tables(spark, sf_dir)
+    return t
