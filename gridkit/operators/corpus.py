@@ -58,6 +58,11 @@ def header_fields(docs: DataFrame) -> DataFrame:
     """c01: ``(doc_id, field, value)`` from ``| Field | Value |`` table rows and
     ``**Field:** value`` lines."""
     ln = lines(docs)
+    # only the preamble (before the first "## " heading) carries header fields
+    w = (Window.partitionBy("doc_id").orderBy("line_no")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ln = ln.withColumn("_sec", F.sum(F.col("line").startswith("## ").cast("int")).over(w)) \
+           .filter(F.col("_sec") == 0)
     table = ln.select("doc_id", "line_no",
                       F.regexp_extract("line", r"^\|\s*\**([^|*]+?)\**\s*\|\s*(.*?)\s*\|\s*$", 1)
                       .alias("field"),
@@ -106,6 +111,23 @@ def doc_references(docs: DataFrame, pattern: str = DOC_ID_PATTERN) -> DataFrame:
     return refs.filter(F.col("target") != F.col("doc_id")).distinct()
 
 
+def doc_reference_rule(docs: DataFrame, min_refs: int = MIN_REFERENCES) -> DataFrame:
+    """c05 (markdown form): per document, distinct references, references to
+    documents absent from the corpus (dangling), and the minimum-refs flag."""
+    refs = doc_references(docs)
+    known = docs.select(F.col("doc_id").alias("target")).withColumn("_known", F.lit(True))
+    per = refs.join(known, "target", "left").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_refs"),
+        F.count_if(F.col("_known").isNull()).alias("n_dangling"),
+        F.array_sort(F.collect_list(F.when(F.col("_known").isNull(), F.col("target"))))
+        .alias("dangling"))
+    z = F.lit(0).cast("long")
+    out = docs.select("doc_id").join(per, "doc_id", "left").select(
+        "doc_id", F.coalesce("n_refs", z).alias("n_refs"),
+        F.coalesce("n_dangling", z).alias("n_dangling"), "dangling")
+    return out.withColumn("below_min_refs", F.col("n_refs") < min_refs)
+
+
 def _url_path(c):
     return F.regexp_extract(c, r"^[A-Za-z]+://[^/]+(/[^?#]*)?", 1)
 

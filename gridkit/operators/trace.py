@@ -92,13 +92,16 @@ def _stripped(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, HANDOFF_PATTERN, ""))
 
 
-def final_answer(items: DataFrame) -> DataFrame:
-    """k04: last non-empty assistant text per response, default '(no response)'."""
+def final_answer(items: DataFrame, responses: DataFrame | None = None) -> DataFrame:
+    """k04: last non-empty assistant text per response, default '(no response)'.
+
+    Pass ``responses`` so that responses without any output item are kept.
+    """
     m = match_results(items)
     s = _stripped(F.col("text"))
     cand = m.filter((F.col("type") == "message") & ~F.col("is_tool_result") & (s != ""))
     last = cand.groupBy("response_id").agg(F.max_by(s, F.col("pos")).alias("answer"))
-    ids = items.select("response_id").distinct()
+    ids = (responses if responses is not None else items).select("response_id").distinct()
     return ids.join(last, "response_id", "left").select(
         "response_id", F.coalesce("answer", F.lit(NO_RESPONSE)).alias("answer"))
 
