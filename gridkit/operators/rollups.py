@@ -260,3 +260,45 @@ def region_daily_summary(tables, asset_daily: DataFrame | None = None,
     return out.select("region_id", "region_name", "generation_type", "date", *names,
                       sic.alias("safety_incident_count"),
                       lti.alias("lost_time_incident_count"))
+
+
+# ------------------------------------------------------------ materialisation
+_MATERIALISED: dict[tuple, str] = {}
+
+
+def materialised(tables, name: str, build) -> DataFrame:
+    """The rollup ``name`` as a written table, built once per data binding.
+
+    Metric views read the rollup tables (as a warehouse would after its
+    nightly CTAS) instead of recomputing them from the raw facts in every
+    query.  The table lives under the shared ``spark.checkpoint.dir``; the
+    write also cuts the lineage, so a lost executor re-reads files instead
+    of re-running the rollup.  Literal-row bindings (no data directory) are
+    computed directly.
+    """
+    import uuid
+
+    from ..session import scratch_path
+
+    spark = tables.spark
+    sf_dir = getattr(tables, "sf_dir", None)
+    if sf_dir is None:
+        return build(tables)
+    key = (id(spark._jsparkSession), sf_dir, name)
+    path = _MATERIALISED.get(key)
+    if path is None:
+        path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:10]}")
+        build(tables).write.mode("overwrite").parquet(path)
+        _MATERIALISED[key] = path
+    return spark.read.parquet(path)
+
+
+def asset_daily_table(tables) -> DataFrame:
+    """r08 as a materialised table (source of the asset-grain metric views)."""
+    return materialised(tables, "asset_daily_summary", asset_daily_summary)
+
+
+def region_daily_table(tables) -> DataFrame:
+    """r09 as a materialised table, built from the materialised r08."""
+    return materialised(tables, "region_daily_summary",
+                        lambda t: region_daily_summary(t, asset_daily_table(t)))

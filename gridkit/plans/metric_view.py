@@ -166,7 +166,7 @@ class MetricView:
         proj = base.select("*", *[F.expr(d.expr).alias(d.name) for d in dim_fields + where_dims])
         if where:
             proj = proj.filter(F.expr(where))
-        aggs = [F.expr(m.expr).alias(alias) for m, alias in meas_fields]
+        aggs = [F.expr(m.expr).alias(alias, metadata=_meta(m)) for m, alias in meas_fields]
         if dims:
             out = proj.groupBy(*[F.col(d) for d in dims]).agg(*aggs)
         else:
@@ -182,6 +182,22 @@ class MetricView:
                 out = out.limit(limit)
         return out
 
+    def resolve(self, term: str) -> str:
+        """m08: field name for an analyst term (name, display name or synonym,
+        case-insensitive).  Raises on unknown or ambiguous terms."""
+        t = term.strip().lower()
+        hits = {f.name for _, f in self.fields()
+                if t == f.name.lower() or t == f.display_name.lower()
+                or t in (x.lower() for x in f.synonyms)}
+        exact = {h for h in hits if h.lower() == t}
+        if exact:
+            return exact.pop()
+        if not hits:
+            raise KeyError(f"{self.name}: no field for term {term!r}")
+        if len(hits) > 1:
+            raise ValueError(f"{self.name}: term {term!r} is ambiguous: {sorted(hits)}")
+        return hits.pop()
+
     def describe(self, spark) -> DataFrame:
         """m10: one row per field with display name, synonyms and format."""
         rows = [(self.name, kind, f.name, f.display_name, list(f.synonyms), f.format, f.expr)
@@ -191,6 +207,14 @@ class MetricView:
                   "synonyms array<string>, format string, expr string")
 
 
+def _meta(f: Field) -> dict:
+    """m09: display name and format travel with the output column."""
+    m = {"display_name": f.display_name}
+    if f.format:
+        m["format"] = f.format
+    return m
+
+
 def _order_col(item: str) -> Column:
     parts = item.strip().split()
     name = parts[0]

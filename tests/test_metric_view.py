@@ -46,3 +46,20 @@ def test_field_metadata(spark):
     fin = {r.field: r for r in views["financial_performance_metrics"].describe(spark).collect()}
     assert fin["total_revenue_usd"].format == "currency:USD"
     assert fin["profit_margin_pct"].format is None
+
+
+def test_synonyms_and_formats(spark):
+    import pytest as _pt
+    views = all_views()
+    g = views["grid_operations_metrics"]
+    assert g.resolve("MTBF") == "mtbf_hours"
+    assert g.resolve("Capacity Factor (%)") == "capacity_factor_pct"
+    with _pt.raises(ValueError):
+        views["maintenance_workforce_metrics"].resolve("labor hours")   # two measures
+    with _pt.raises(KeyError):
+        g.resolve("no such thing")
+    fin = views["financial_performance_metrics"].query(
+        load(spark, SF001), ["region_name"], ["total_revenue_usd", "profit_margin_pct"])
+    md = {f.name: f.metadata for f in fin.schema.fields}
+    assert md["total_revenue_usd"]["format"] == "currency:USD"
+    assert "format" not in md["profit_margin_pct"]
