@@ -301,12 +301,15 @@ def deferred_before_failure(tables, days: int = DEFERRAL_LOOKBACK_DAYS) -> DataF
     the union of both event kinds; no pairs are materialised."""
     ms = tables["maintenance_schedule"].filter(F.col("overdue_flag")).select(
         "asset_id", F.col("planned_date").cast("timestamp_ntz").alias("ts"),
-        F.lit(None).cast("long").alias("outage_id"))
+        F.lit(None).cast("long").alias("outage_id"),
+        F.concat(F.lit("m"), F.col("schedule_id").cast("string")).alias("_uid"))
     fo = tables["outages"].filter(F.col("forced_outage_flag")).select(
-        "asset_id", F.col("outage_start_ts").alias("ts"), "outage_id")
+        "asset_id", F.col("outage_start_ts").alias("ts"), "outage_id",
+        F.concat(F.lit("o"), F.col("outage_id").cast("string")).alias("_uid"))
     u = ms.unionByName(fo)
     c = trailing(u, "asset_id", "ts", days * DAY,
-                 {"deferred_items": F.count_if(F.col("outage_id").isNull())})
+                 {"deferred_items": ("count", F.when(F.col("outage_id").isNull(), F.lit(1)))},
+                 "_uid")
     return c.filter(F.col("outage_id").isNotNull()).select(
         "outage_id", "asset_id", F.col("ts").alias("outage_start_ts"), "deferred_items")
 

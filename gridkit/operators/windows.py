@@ -1,12 +1,19 @@
 """Rolling-window rules (w02-w07) stated in the operating documents.
 
-Trailing-window aggregates use *time-bucketed partitions with a halo*:
-rows are bucketed by ``floor(epoch / lookback)`` and every row is also
-copied, flagged as halo, into the next bucket.  A window over
-``[t - lookback, t]`` only ever needs rows of the current and the previous
-bucket, so partitioning by ``(entity, bucket)`` is exact while splitting a
-hot entity's history over many tasks (at most 2x the rows are sorted).
-Halo rows are dropped after the window.
+Trailing-window aggregates (``trailing``) are computed exactly without ever
+putting one entity's whole history into one task.  Time is cut into buckets
+of ``lookback / 24``; the window ``[t - lookback, t]`` of a row in bucket
+``b`` is
+
+* the part of bucket ``b`` up to ``t``        (running aggregate per (key, b)),
+* the full buckets ``b-23 .. b-1``            (per-bucket summaries, windowed per key),
+* the part of bucket ``b-24`` from ``t - lookback`` (a probe row placed in that
+  bucket; suffix aggregate per (key, b-24)).
+
+Every window therefore runs per ``(entity, bucket)`` or over the per-bucket
+summaries (at most one row per entity-bucket), rows are at most doubled
+(the probes), and no pairs are produced.  Works for count / sum / min / max
+(and avg as sum / count).
 """
 
 from __future__ import annotations
@@ -14,9 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import add_hours, dbl, hours_between, sum_if
+from ..functions.scalars import dbl, hours_between, sum_if
 
 DAY = 86400
+BUCKETS_PER_WINDOW = 24
 # Fixed values of the rules.
 FIRST_FIX_DAYS = 90
 ESCALATION_COUNT = 3
@@ -28,23 +36,82 @@ SUSTAINED_THRESHOLD = 3.5          # mm/s RMS (other documents: 4.5 / 6.0 / 10.0
 RUNNING_MEAN_HOURS = 24
 WEEKLY_HOURS_LIMIT = 60
 
+_COMBINE = {"count": "sum", "sum": "sum", "min": "min", "max": "max"}
+
+
+def _agg(kind: str, c: Column) -> Column:
+    return {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}[kind](c)
+
+
+def _merge(kind: str, cols: list[Column]) -> Column:
+    if kind in ("count", "sum"):
+        zero = F.lit(0) if kind == "count" else None
+        parts = [F.coalesce(c, zero) if zero is not None else c for c in cols]
+        if kind == "sum":       # NULL only when every part is NULL
+            total = F.coalesce(*cols).isNull()
+            s = parts[0]
+            for c in parts[1:]:
+                s = F.coalesce(s, F.lit(0)) + F.coalesce(c, F.lit(0))
+            return F.when(~total, s)
+        s = parts[0]
+        for c in parts[1:]:
+            s = s + c
+        return s
+    return (F.least if kind == "min" else F.greatest)(*cols)
+
 
 def trailing(df: DataFrame, key: str, ts: str, lookback_s: int,
-             aggs: dict[str, Column]) -> DataFrame:
-    """Add ``aggs`` computed over ``[ts - lookback_s, ts]`` per ``key``.
+             aggs: dict[str, tuple[str, Column | str]], id_col: str) -> DataFrame:
+    """Add ``aggs`` over the window ``[ts - lookback_s, ts]`` per ``key``.
 
-    Each value in ``aggs`` is an aggregate Column (e.g. ``F.count(...)``);
-    it is evaluated over a range frame on epoch seconds.
+    ``aggs`` maps output name -> (kind, value) with kind in count / sum /
+    min / max; ``value`` is a column (name) evaluated per row (for count,
+    rows with a NULL value are not counted).  ``id_col`` must be unique per
+    row.  Times are whole epoch seconds.
     """
+    k = BUCKETS_PER_WINDOW
+    if lookback_s % k:
+        raise ValueError("lookback must be a multiple of the bucket count")
+    bsz = lookback_s // k
+    vals = {n: (kind, F.col(v) if isinstance(v, str) else v) for n, (kind, v) in aggs.items()}
     ep = F.unix_timestamp(F.col(ts))
-    b = F.floor(ep / lookback_s)
-    own = df.withColumn("_ep", ep).withColumn("_b", b).withColumn("_halo", F.lit(False))
-    halo = own.withColumn("_b", F.col("_b") + 1).withColumn("_halo", F.lit(True))
-    both = own.unionByName(halo)
-    w = (Window.partitionBy(key, "_b").orderBy("_ep")
-         .rangeBetween(-lookback_s, Window.currentRow))
-    out = both.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
-    return out.filter(~F.col("_halo")).drop("_ep", "_b", "_halo")
+    base = df.withColumn("_e", ep).withColumn("_b", F.floor(F.col("_e") / bsz))
+    ev = base.select(key, id_col, "_e", "_b", *[c.alias(f"_v_{n}") for n, (_, c) in vals.items()])
+
+    # (1) end part: bucket of t, up to t (RANGE includes equal times)
+    w_end = (Window.partitionBy(key, "_b").orderBy("_e")
+             .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    end = ev.select(key, id_col, "_b",
+                    *[_agg(kind, F.col(f"_v_{n}")).over(w_end).alias(f"_end_{n}")
+                      for n, (kind, _) in vals.items()])
+
+    # (2) middle: full buckets b-k+1 .. b-1 from per-bucket summaries
+    summ = ev.groupBy(key, "_b").agg(*[_agg(kind, F.col(f"_v_{n}")).alias(f"_s_{n}")
+                                       for n, (kind, _) in vals.items()])
+    w_mid = Window.partitionBy(key).orderBy("_b").rangeBetween(-(k - 1), -1)
+    mid = summ.select(key, "_b", *[_agg(_COMBINE[kind], F.col(f"_s_{n}")).over(w_mid)
+                                   .alias(f"_mid_{n}") for n, (kind, _) in vals.items()])
+
+    # (3) start part: bucket b-k from t - lookback on, via probe rows
+    probes = ev.select(key, F.col(id_col).alias("_pid"), (F.col("_e") - lookback_s).alias("_e"),
+                       (F.col("_b") - k).alias("_b"),
+                       *[F.lit(None).cast(ev.schema[f"_v_{n}"].dataType).alias(f"_v_{n}")
+                         for n in vals])
+    evs = ev.select(key, F.lit(None).cast(ev.schema[id_col].dataType).alias("_pid"),
+                    "_e", "_b", *[f"_v_{n}" for n in vals])
+    u = evs.unionByName(probes)
+    w_start = (Window.partitionBy(key, "_b").orderBy("_e", F.col("_pid").isNull())
+               .rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    start = (u.select("_pid", *[_agg(kind, F.col(f"_v_{n}")).over(w_start).alias(f"_st_{n}")
+                                for n, (kind, _) in vals.items()])
+              .filter(F.col("_pid").isNotNull()))
+
+    j = (end.join(mid, [key, "_b"], "left")
+            .join(start, F.col(id_col) == F.col("_pid"), "left"))
+    res = j.select(F.col(id_col).alias("_rid"),
+                   *[_merge(kind, [F.col(f"_end_{n}"), F.col(f"_mid_{n}"), F.col(f"_st_{n}")])
+                     .alias(n) for n, (kind, _) in vals.items()])
+    return df.join(res, F.col(id_col) == F.col("_rid")).drop("_rid")
 
 
 def bucketed_window_join(points: DataFrame, events: DataFrame, key: str,
@@ -91,8 +158,9 @@ def third_outage_escalation(tables, n: int = ESCALATION_COUNT,
     fo = (tables["outages"].filter(F.col("forced_outage_flag"))
           .select("asset_id", "outage_id", "outage_start_ts"))
     c = trailing(fo, "asset_id", "outage_start_ts", lookback_days * DAY,
-                 {"n_trailing": F.count(F.lit(1)),
-                  "window_first_ts": F.min("outage_start_ts")})
+                 {"n_trailing": ("count", F.lit(1)),
+                  "_first_e": ("min", F.unix_timestamp("outage_start_ts"))}, "outage_id")
+    c = c.withColumn("window_first_ts", F.timestamp_seconds("_first_e").cast("timestamp_ntz"))
     esc = c.filter(F.col("n_trailing") >= n)
     first = esc.groupBy("asset_id").agg(
         F.min(F.struct("outage_start_ts", "outage_id", "window_first_ts")).alias("e"))
@@ -111,7 +179,7 @@ def trailing_deployments(tables, lookback_days: int = ESCALATION_LOOKBACK_DAYS,
     em = (tables["work_orders"].filter(F.col("work_order_type") == "emergency")
           .select("work_order_id", "asset_id", "created_ts"))
     c = trailing(em, "asset_id", "created_ts", lookback_days * DAY,
-                 {"trailing_12m_count": F.count(F.lit(1))})
+                 {"trailing_12m_count": ("count", F.lit(1))}, "work_order_id")
     return c.select("work_order_id", "asset_id", "created_ts", "trailing_12m_count",
                     (F.col("trailing_12m_count") >= n).alias("at_or_over_limit"))
 
@@ -126,8 +194,10 @@ def sustained_exceedance(tables, column: str = "vibration",
     window is covered)."""
     t = tables["telemetry"].select("telemetry_id", "asset_id", "timestamp", column)
     c = trailing(t, "asset_id", "timestamp", hours * 3600,
-                 {"window_min": F.min(column), "window_first_ts": F.min("timestamp")})
-    covered = hours_between("window_first_ts", "timestamp") >= dbl(hours - coverage_gap_hours)
+                 {"window_min": ("min", column),
+                  "_first_e": ("min", F.unix_timestamp("timestamp"))}, "telemetry_id")
+    covered = ((F.unix_timestamp("timestamp") - F.col("_first_e")) / dbl(3600)
+               >= dbl(hours - coverage_gap_hours))
     return c.select("telemetry_id", "asset_id", "timestamp", "window_min",
                     ((F.col("window_min") >= threshold) & covered).alias("sustained"))
 
@@ -136,8 +206,10 @@ def running_mean(tables, column: str = "vibration", hours: int = RUNNING_MEAN_HO
     """w06: trailing ``hours`` running mean of a telemetry column."""
     t = tables["telemetry"].select("telemetry_id", "asset_id", "timestamp", column)
     c = trailing(t, "asset_id", "timestamp", hours * 3600,
-                 {"running_mean": F.avg(column), "n_readings": F.count(F.lit(1))})
-    return c.select("telemetry_id", "asset_id", "timestamp", column, "running_mean",
+                 {"_sum": ("sum", column), "_n": ("count", column),
+                  "n_readings": ("count", F.lit(1))}, "telemetry_id")
+    return c.select("telemetry_id", "asset_id", "timestamp", column,
+                    (F.col("_sum") / F.when(F.col("_n") > 0, F.col("_n"))).alias("running_mean"),
                     "n_readings")
 
 
