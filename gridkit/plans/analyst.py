@@ -252,7 +252,7 @@ def vendor_reliability(tables) -> DataFrame:
                 F.sum("lost_generation_mwh").alias("_sum"),
                 F.avg("lost_generation_mwh").alias("_avg")))
     j = (base.join(out, ["manufacturer", "asset_type"], "left")
-             .join(F.broadcast(wo), "manufacturer", "left"))
+             .join(wo, "manufacturer", "left"))
     return j.select("manufacturer", "asset_type", "asset_count",
                     F.coalesce("_n", F.lit(0).cast("long")).alias("forced_outages"),
                     rnd("_sum", 0).alias("total_lost_mwh"),

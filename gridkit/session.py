@@ -62,10 +62,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and intermediate tables.
 
     The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (local tests) a fresh private folder is created and registered.
+    and the master is local (tests) a fresh private folder is created and
+    registered -- on a cluster an unset folder is an error, never a
+    machine-local temp directory.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         d = tempfile.mkdtemp(prefix="gridkit-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
         spark.sparkContext.setCheckpointDir(d)
