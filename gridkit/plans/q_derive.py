@@ -84,7 +84,7 @@ def d06(spark, d):
     return D.cost_per_day(load(spark, d))
 
 
-_RDP = """SELECT region_id, CAST(timestamp AS DATE) AS date, AVG(real_time_price_mwh) AS avg_price
+_RDP = """SELECT region_id, CAST(timestamp AS DATE) AS date, ROUND(AVG(real_time_price_mwh), 9) AS avg_price
   FROM market_prices GROUP BY region_id, CAST(timestamp AS DATE)"""
 
 
