@@ -89,5 +89,23 @@ def rnd(x, scale: int = 0) -> Column:
     return F.round(col(x) * dbl(1 + ROUND_NUDGE), scale)
 
 
+def asset_tag(asset_type, asset_id) -> Column:
+    """f14: ``TYP-00042`` -- first three letters of the type, upper case, and
+    the zero-padded id."""
+    return F.format_string("%s-%05d", F.upper(F.substring(col(asset_type), 1, 3)),
+                           col(asset_id).cast("long"))
+
+
+def site_label(region_name, generation_type, seq) -> Column:
+    """f14: ``REGION-TYPE-001`` site label."""
+    return F.format_string("%s-%s-%03d", col(region_name), F.upper(col(generation_type)),
+                           col(seq).cast("long"))
+
+
+def sql_quote_col(c) -> Column:
+    """f15: escape single quotes for a SQL literal (``'`` -> ``''``)."""
+    return F.replace(col(c), F.lit("'"), F.lit("''"))
+
+
 def iso_date(c) -> Column:
     return F.date_format(col(c), "yyyy-MM-dd")

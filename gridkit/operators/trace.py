@@ -41,9 +41,13 @@ def flatten_trace(responses: DataFrame, col: str = "output") -> DataFrame:
         F.from_json(F.col(col), OUTPUT_SCHEMA)).alias("pos", "item")).filter(F.col("item").isNotNull())
     parts = F.filter("item.content", lambda c: (c["type"] == "output_text") | c["text"].isNotNull())
     text = F.array_join(F.transform(parts, lambda c: F.coalesce(c["text"], F.lit(""))), "")
+    raw_args = F.coalesce(F.col("item.arguments"), F.lit("{}"))
+    # f20: arguments parsed as JSON, falling back to {"raw": <text>}
+    args = F.coalesce(F.from_json(raw_args, "map<string,string>"),
+                      F.create_map(F.lit("raw"), raw_args))
     return items.select("response_id", "pos", F.col("item.type").alias("type"),
                         F.col("item.name").alias("name"), F.col("item.call_id").alias("call_id"),
-                        F.col("item.arguments").alias("arguments"),
+                        F.col("item.arguments").alias("arguments"), args.alias("args"),
                         F.coalesce(text, F.lit("")).alias("text"))
 
 

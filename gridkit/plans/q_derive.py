@@ -275,3 +275,19 @@ FROM longest l JOIN weeks w ON l.technician_id = w.technician_id""", [
                GROUP BY technician_id""")]))
 def w07(spark, d):
     return W.workload_streaks(load(spark, d))
+
+
+@register("f14_derived_tags", with_bindings("""
+SELECT a.asset_id, printf('%s-%05d', upper(substr(a.asset_type, 1, 3)), a.asset_id) AS derived_tag,
+       printf('%s-%s-%03d', r.region_name, upper(s.generation_type), s.site_id) AS site_label
+FROM assets a JOIN sites s ON a.site_id = s.site_id JOIN regions r ON s.region_id = r.region_id"""))
+def f14(spark, d):
+    """Zero-padded asset tags and site labels derived from the dimensions."""
+    from pyspark.sql import functions as F
+
+    from ..functions.scalars import asset_tag, site_label
+    t = load(spark, d)
+    s = t.sites.join(F.broadcast(t.regions), "region_id")
+    return (t.assets.join(F.broadcast(s), "site_id")
+            .select("asset_id", asset_tag("asset_type", "asset_id").alias("derived_tag"),
+                    site_label("region_name", "generation_type", "site_id").alias("site_label")))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from ..operators import trace as K
-from .oracle_sql import nudge_rounding  # noqa: F401  (kept for symmetry)
 from .registry import register
 
 
