@@ -374,3 +374,11 @@ def safety_by_region(tables) -> DataFrame:
     return (j.groupBy("region_name", "severity")
              .agg(F.count(F.lit(1)).alias("incident_count"),
                   sum_if(F.col("lost_time_flag")).alias("lost_time_incidents")))
+
+
+def top_critical_assets(tables, k: int = 100,
+                        types=("wind_turbine", "inverter", "battery_unit")) -> DataFrame:
+    """t05: the k most critical assets among the given types (ties by id)."""
+    a = tables["assets"].filter(F.col("asset_type").isin(*types))
+    return (a.orderBy(F.desc("criticality_score"), "asset_id").limit(k)
+             .select("asset_id", "asset_type", "criticality_score"))

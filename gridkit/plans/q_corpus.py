@@ -32,7 +32,7 @@ SELECT doc_id, CAST(section_no AS BIGINT) AS section_no, MAX(CASE WHEN h THEN su
 FROM s GROUP BY doc_id, section_no""")
 def c03(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
-    return C.section_chunks(docs).withColumn("section_no", F.col("section_no").cast("long"))
+    return C.section_chunks(docs)
 
 
 _LINKS = """SELECT DISTINCT page_id, target FROM (

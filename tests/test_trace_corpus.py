@@ -116,3 +116,13 @@ def test_bands_and_rate_cards(spark):
     c = {r.work_order_id: r.billed_usd for r in C.rate_card_cost(wo, C.rate_cards_frame(spark)).collect()}
     assert c[1] == round(2 * 420 * 1.5 + 1000 * 1.35 + 35000, 2)
     assert c[2] == round(10 * 185 + 100 * 1.08, 2)
+
+
+def test_doc_vs_table_recon(spark):
+    docs = spark.createDataFrame(
+        [("OIR-1", "WIN-10130 lost 20,494 MWh in March. TRF-00011 lost 12.5 MWh.")],
+        "doc_id string, text string")
+    per_asset = spark.createDataFrame([("WIN-10130", 20494.0), ("TRF-00011", 10.0)],
+                                      "asset_tag string, total_lost_mwh double")
+    r = {x.asset_tag: x.difference for x in C.doc_vs_table(docs, per_asset).collect()}
+    assert r == {"WIN-10130": 0.0, "TRF-00011": 2.5}
