@@ -68,50 +68,56 @@ def trailing(df: DataFrame, key: str, ts: str, lookback_s: int,
     min / max; ``value`` is a column (name) evaluated per row (for count,
     rows with a NULL value are not counted).  ``id_col`` must be unique per
     row.  Times are whole epoch seconds.
+
+    Plan: events and their probes are unioned and shuffled once by
+    ``(key, bucket)``; one window operator (one sort) yields both the
+    running aggregate of each event (bucket part up to ``t``) and the
+    suffix aggregate at each probe (oldest bucket from ``t - lookback``).
+    The per-bucket summaries are tiny; the probe results return to their
+    events by id.
     """
     k = BUCKETS_PER_WINDOW
     if lookback_s % k:
         raise ValueError("lookback must be a multiple of the bucket count")
     bsz = lookback_s // k
     vals = {n: (kind, F.col(v) if isinstance(v, str) else v) for n, (kind, v) in aggs.items()}
-    ep = F.unix_timestamp(F.col(ts))
-    base = df.withColumn("_e", ep).withColumn("_b", F.floor(F.col("_e") / bsz))
-    ev = base.select(key, id_col, "_e", "_b", *[c.alias(f"_v_{n}") for n, (_, c) in vals.items()])
-
-    # (1) end part: bucket of t, up to t (RANGE includes equal times)
-    w_end = (Window.partitionBy(key, "_b").orderBy("_e")
-             .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    end = ev.select(key, id_col, "_b",
-                    *[_agg(kind, F.col(f"_v_{n}")).over(w_end).alias(f"_end_{n}")
+    vcols = [f"_v_{n}" for n in vals]
+    cols = df.columns
+    ev = df.select("*", F.unix_timestamp(F.col(ts)).alias("_e"),
+                   *[c.alias(f"_v_{n}") for n, (_, c) in vals.items()])
+    ev = ev.withColumn("_b", F.floor(F.col("_e") / bsz)).withColumn("_probe", F.lit(False))
+    probes = ev.select(
+        *[(F.col(c) if c in (key, id_col) else F.lit(None).cast(ev.schema[c].dataType)).alias(c)
+          for c in cols],
+        (F.col("_e") - lookback_s).alias("_e"),
+        *[F.lit(None).cast(ev.schema[v].dataType).alias(v) for v in vcols],
+        (F.col("_b") - k).alias("_b"), F.lit(True).alias("_probe"))
+    u = ev.unionByName(probes)
+    # probes sort before events of the same second: an event's running frame
+    # includes all events up to its own time (ties included) and a probe's
+    # suffix frame includes every event at or after the probe time
+    order = Window.partitionBy(key, "_b").orderBy("_e", F.col("_probe").desc())
+    w_run = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    w_suf = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    both = u.select("*", *[_agg(kind, F.col(f"_v_{n}")).over(w_run).alias(f"_end_{n}")
+                           for n, (kind, _) in vals.items()],
+                    *[_agg(kind, F.col(f"_v_{n}")).over(w_suf).alias(f"_st_{n}")
                       for n, (kind, _) in vals.items()])
+    events = both.filter(~F.col("_probe")).drop(*[f"_st_{n}" for n in vals])
+    starts = both.filter(F.col("_probe")).select(
+        F.col(id_col).alias("_pid"), *[f"_st_{n}" for n in vals])
 
-    # (2) middle: full buckets b-k+1 .. b-1 from per-bucket summaries
     summ = ev.groupBy(key, "_b").agg(*[_agg(kind, F.col(f"_v_{n}")).alias(f"_s_{n}")
                                        for n, (kind, _) in vals.items()])
     w_mid = Window.partitionBy(key).orderBy("_b").rangeBetween(-(k - 1), -1)
     mid = summ.select(key, "_b", *[_agg(_COMBINE[kind], F.col(f"_s_{n}")).over(w_mid)
                                    .alias(f"_mid_{n}") for n, (kind, _) in vals.items()])
 
-    # (3) start part: bucket b-k from t - lookback on, via probe rows
-    probes = ev.select(key, F.col(id_col).alias("_pid"), (F.col("_e") - lookback_s).alias("_e"),
-                       (F.col("_b") - k).alias("_b"),
-                       *[F.lit(None).cast(ev.schema[f"_v_{n}"].dataType).alias(f"_v_{n}")
-                         for n in vals])
-    evs = ev.select(key, F.lit(None).cast(ev.schema[id_col].dataType).alias("_pid"),
-                    "_e", "_b", *[f"_v_{n}" for n in vals])
-    u = evs.unionByName(probes)
-    w_start = (Window.partitionBy(key, "_b").orderBy("_e", F.col("_pid").isNull())
-               .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    start = (u.select("_pid", *[_agg(kind, F.col(f"_v_{n}")).over(w_start).alias(f"_st_{n}")
-                                for n, (kind, _) in vals.items()])
-              .filter(F.col("_pid").isNotNull()))
-
-    j = (end.join(mid, [key, "_b"], "left")
-            .join(start, F.col(id_col) == F.col("_pid"), "left"))
-    res = j.select(F.col(id_col).alias("_rid"),
-                   *[_merge(kind, [F.col(f"_end_{n}"), F.col(f"_mid_{n}"), F.col(f"_st_{n}")])
-                     .alias(n) for n, (kind, _) in vals.items()])
-    return df.join(res, F.col(id_col) == F.col("_rid")).drop("_rid")
+    j = (events.join(mid, [key, "_b"], "left")
+               .join(starts, F.col(id_col) == F.col("_pid"), "left"))
+    return j.select(*cols, *[_merge(kind, [F.col(f"_end_{n}"), F.col(f"_mid_{n}"),
+                                           F.col(f"_st_{n}")]).alias(n)
+                             for n, (kind, _) in vals.items()])
 
 
 def bucketed_window_join(points: DataFrame, events: DataFrame, key: str,
