@@ -373,7 +373,8 @@ def topk_by_cosine(emb: DataFrame, queries: list[tuple[object, list[float]]], k:
     x = x.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k)
     w2 = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return x.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k) \
-            .select("query", "rank", "vec_id", rnd("score", 6).alias("score"))
+            .select("query", F.col("rank").cast("long").alias("rank"), "vec_id",
+                    rnd("score", 6).alias("score"))
 
 
 def centroid_queries(emb: DataFrame) -> list[tuple[object, list[float]]]:

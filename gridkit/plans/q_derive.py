@@ -215,7 +215,8 @@ def w02(spark, d):
 @register("w03_third_outage_escalation", with_bindings("""
 SELECT asset_id, outage_id AS escalation_outage_id, outage_start_ts AS escalation_ts,
        CAST(CAST(outage_start_ts AS DATE) + INTERVAL 30 DAY AS DATE) AS due_date,
-       date_diff('day', CAST(window_first_ts AS DATE), CAST(outage_start_ts AS DATE)) AS days_to_escalation
+       CAST(date_diff('day', CAST(window_first_ts AS DATE), CAST(outage_start_ts AS DATE)) AS INTEGER)
+         AS days_to_escalation
 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY asset_id ORDER BY outage_start_ts, outage_id) AS rk
       FROM (SELECT asset_id, outage_id, outage_start_ts,
               COUNT(*) OVER w AS n_trailing, MIN(outage_start_ts) OVER w AS window_first_ts
