@@ -263,7 +263,7 @@ def region_daily_summary(tables, asset_daily: DataFrame | None = None,
 
 
 # ------------------------------------------------------------ materialisation
-_MATERIALISED: dict[tuple, str] = {}
+_MATERIALISED: dict[tuple, tuple] = {}
 
 
 def materialised(tables, name: str, build) -> DataFrame:
@@ -285,12 +285,12 @@ def materialised(tables, name: str, build) -> DataFrame:
     if sf_dir is None:
         return build(tables)
     key = (id(spark._jsparkSession), sf_dir, name)
-    path = _MATERIALISED.get(key)
-    if path is None:
+    hit = _MATERIALISED.get(key)
+    if hit is None or hit[0] is not spark:
         path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:10]}")
         build(tables).write.mode("overwrite").parquet(path)
-        _MATERIALISED[key] = path
-    return spark.read.parquet(path)
+        hit = _MATERIALISED[key] = (spark, path)
+    return spark.read.parquet(hit[1])
 
 
 def asset_daily_table(tables) -> DataFrame:

@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import add_hours, sum_if
+from ..functions.scalars import sum_if
 from ..session import scratch_path
 
 EVENTS = "events.parquet"
@@ -97,9 +97,8 @@ def run_available_now(spark: SparkSession, df: DataFrame, name: str,
     """Drain the source into a parquet sink and return a batch scan of it.
 
     ``append`` writes rows as they become final; ``update`` writes every
-    micro-batch's changed rows tagged with the batch id, and the scan keeps
-    the newest version of each key (``key_cols`` = all non-metric columns
-    of the streaming aggregate, i.e. its grouping columns).
+    micro-batch's changed rows into its own ``_batch=<id>`` folder, and
+    ``latest_versions`` keeps the newest version of each grouping key.
     """
     out, ckpt = _paths(spark, name)
     if mode == "append":
@@ -110,7 +109,9 @@ def run_available_now(spark: SparkSession, df: DataFrame, name: str,
         return spark.read.schema(df.schema).parquet(out)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)
+        # one directory per micro-batch, overwritten: a re-executed batch
+        # (after a failure) replaces its own output instead of duplicating it
+        batch.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
 
     q = (df.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
          .outputMode("update").trigger(availableNow=True).start())
