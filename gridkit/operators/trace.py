@@ -8,7 +8,6 @@ conversation / key; per-row work is built-in expressions.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -162,37 +161,76 @@ def history_filter(conversations: DataFrame) -> DataFrame:
                         .select("conv_id", "turn", "role", "text")
 
 
-def _hits_pdf(pdf: pd.DataFrame, ttl: float) -> pd.DataFrame:
-    ts = pdf["ts"].to_numpy()
-    order = ts.argsort(kind="stable")
-    hit = [False] * len(ts)
-    stored = None
-    for i in order:
-        if stored is not None and ts[i] - stored <= ttl:
-            hit[i] = True
-        else:
-            stored = ts[i]
-    return pdf.assign(hit=hit)
+def _next_after(ev: DataFrame, ttl_s: int) -> DataFrame:
+    """``(event_id, nxt)``: the first event of the same key later than
+    ``t + ttl_s`` (NULL when none).
 
+    Time is cut into chunks of ``ttl_s``; ``t + ttl_s`` always falls in the
+    next chunk.  The answer is either in that chunk (a probe row placed
+    there, suffix minimum per (key, chunk)) or the first event of a later
+    chunk (per-chunk first events, suffix minimum per key over chunk
+    summaries -- at most one row per key and chunk).
+    """
+    e = ev.withColumn("_c", F.floor(F.col("t") / ttl_s))
+    first = F.struct("t", "event_id")
+    # (a) inside the next chunk
+    evr = e.select("key", "_c", "t", "event_id", F.lit(False).alias("_probe"))
+    prb = e.select("key", (F.col("_c") + 1).alias("_c"), (F.col("t") + ttl_s).alias("t"),
+                   "event_id", F.lit(True).alias("_probe"))
+    w = (Window.partitionBy("key", "_c").orderBy("t", "_probe")
+         .rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    a = (evr.unionByName(prb)
+         .select("event_id", "key", "_c", "_probe",
+                 F.min(F.when(~F.col("_probe"), first)).over(w).alias("_a"))
+         .filter(F.col("_probe")))
+    # (b) first event of any later chunk
+    summ = e.groupBy("key", "_c").agg(F.min(first).alias("_f")) \
+            .withColumn("_probe", F.lit(False))
+    pc = a.select("key", "_c").distinct().withColumn("_f", F.lit(None).cast(summ.schema["_f"].dataType)) \
+          .withColumn("_probe", F.lit(True))
+    w2 = (Window.partitionBy("key").orderBy("_c", "_probe")
+          .rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    b = (summ.unionByName(pc)
+         .select("key", "_c", "_probe", F.min(F.when(~F.col("_probe"), F.col("_f"))).over(w2)
+                 .alias("_b"))
+         .filter(F.col("_probe")).drop("_probe"))
+    j = a.join(b, ["key", "_c"], "left")
+    return j.select("event_id", F.coalesce("_a", "_b")["event_id"].alias("nxt"))
 
-def cache_hits(events: DataFrame, ttl_s: int = CACHE_TTL_SECONDS) -> DataFrame:
-    """k10: an event is a hit when its key was stored at most ``ttl_s`` earlier;
-    misses (re)store the key, hits do not refresh it.
 
-    The rule is sequential per key, but a gap longer than the TTL always
-    starts a fresh store, so each key's events are first split into
-    gap-separated clusters (a lag window) and the sequential pass runs per
-    (key, cluster) in ``applyInPandas``.
+def cache_hits(events: DataFrame, ttl_s: int = CACHE_TTL_SECONDS) -> DataFrame:
+    """k10: an event is a hit when its key was stored at most ``ttl_s``
+    earlier; a miss stores the key, hits do not refresh the stored time.
+
+    The stores of a key are exactly the path ``first, nxt(first),
+    nxt(nxt(first)), ...`` where ``nxt(e)`` is the first event later than
+    ``e + ttl_s``.  The path is found by pointer doubling: jump tables
+    ``J_k = nxt^(2^k)`` (one self-join per level, until no pointer is
+    left), then the path is expanded from each key's first event level by
+    level.  Every step is a join on event ids; no key's events are ever
+    gathered into one task.  Each level is checkpointed into the shared
+    checkpoint folder to cut the lineage.  ``events``: (key, ts, event_id)
+    with unique ``event_id``.
     """
-    e = events.select("key", F.unix_timestamp("ts").cast("double").alias("ts"), "event_id")
-    w = Window.partitionBy("key").orderBy("ts", "event_id")
-    gap = (F.col("ts") - F.lag("ts").over(w)) > ttl_s
-    c = e.withColumn("_cl", F.sum(F.when(gap, 1).otherwise(0)).over(
-        w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = c.groupBy("key", "_cl").applyInPandas(
-        lambda pdf: _hits_pdf(pdf, ttl_s),
-        "key string, ts double, event_id long, _cl long, hit boolean")
-    return out.select("key", "event_id", "hit")
+    from ..session import checkpoint_dir
+    checkpoint_dir(events.sparkSession)
+    ev = events.select("key", F.unix_timestamp("ts").alias("t"), "event_id")
+    jumps = [_next_after(ev, ttl_s).checkpoint()]
+    while jumps[-1].filter(F.col("nxt").isNotNull()).limit(1).count() > 0:
+        jk = jumps[-1]
+        a, b = jk.alias("a"), jk.alias("b")
+        nxt2 = (a.join(b, F.col("a.nxt") == F.col("b.event_id"), "left")
+                 .select(F.col("a.event_id").alias("event_id"), F.col("b.nxt").alias("nxt")))
+        jumps.append(nxt2.checkpoint())
+    roots = ev.groupBy("key").agg(F.min(F.struct("t", "event_id")).alias("_r")) \
+              .select(F.col("_r.event_id").alias("event_id"))
+    stores = roots
+    for jk in reversed(jumps):
+        step = stores.join(jk, "event_id").select(F.col("nxt").alias("event_id")) \
+                     .filter(F.col("event_id").isNotNull())
+        stores = stores.unionByName(step).checkpoint()
+    flagged = ev.join(stores.withColumn("_store", F.lit(True)), "event_id", "left")
+    return flagged.select("key", "event_id", F.col("_store").isNull().alias("hit"))
 
 
 def hit_rate(hits: DataFrame) -> DataFrame:

@@ -126,3 +126,30 @@ def test_doc_vs_table_recon(spark):
                                       "asset_tag string, total_lost_mwh double")
     r = {x.asset_tag: x.difference for x in C.doc_vs_table(docs, per_asset).collect()}
     assert r == {"WIN-10130": 0.0, "TRF-00011": 2.5}
+
+
+def test_cache_hits_match_sequential_rule(spark):
+    import datetime as dt
+    import random
+    rnd = random.Random(3)
+    t0 = dt.datetime(2024, 1, 1)
+    rows, eid = [], 0
+    for key, n, span in (("hot", 300, 40 * 3600), ("k1", 20, 10 * 3600), ("k2", 3, 7200)):
+        for _ in range(n):
+            eid += 1
+            sec = rnd.randrange(0, span)
+            if rnd.random() < 0.05 and rows and rows[-1][0] == key:
+                sec = int((rows[-1][1] - t0).total_seconds())          # equal timestamps
+            rows.append((key, t0 + dt.timedelta(seconds=sec), eid))
+    ev = spark.createDataFrame(rows, "key string, ts timestamp_ntz, event_id long")
+    got = {r.event_id: r.hit for r in K.cache_hits(ev, 3600).collect()}
+    want = {}
+    for key in {r[0] for r in rows}:
+        stored = None
+        for _, ts, i in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2])):
+            t = ts.timestamp()
+            if stored is not None and t - stored <= 3600:
+                want[i] = True
+            else:
+                want[i], stored = False, t
+    assert got == want
