@@ -25,12 +25,13 @@ ALARM_VIBRATION = 4.0
 LOST_TIME_SEVERITIES = ("recordable", "serious")
 
 
-def classify_work_order(forced: F.Column, duration_hours: F.Column):
-    """d11: (type, priority) for an outage-driven work order."""
-    wtype = case_ladder([(~forced, "preventive"),
-                         (duration_hours > EMERGENCY_MIN_HOURS, "emergency")], "reactive")
-    prio = case_ladder([(~forced, "P3"),
-                        (duration_hours > EMERGENCY_MIN_HOURS, "P1")], "P2")
+def classify_work_order(forced: F.Column, start: F.Column, end: F.Column):
+    """d11: (type, priority) of an outage-driven work order: planned ->
+    preventive/P3, forced and longer than 24 h -> emergency/P1, other
+    forced -> reactive/P2."""
+    long_outage = end > add_hours(start, EMERGENCY_MIN_HOURS)
+    wtype = case_ladder([(~forced, "preventive"), (long_outage, "emergency")], "reactive")
+    prio = case_ladder([(~forced, "P3"), (long_outage, "P1")], "P2")
     return wtype, prio
 
 
@@ -45,9 +46,7 @@ def work_orders_from_events(outages: DataFrame, schedule: DataFrame) -> DataFram
     """
     o = outages
     forced = F.col("forced_outage_flag")
-    long_outage = F.col("outage_end_ts") > add_hours("outage_start_ts", 24)
-    wtype = case_ladder([(~forced, "preventive"), (long_outage, "emergency")], "reactive")
-    prio = case_ladder([(~forced, "P3"), (long_outage, "P1")], "P2")
+    wtype, prio = classify_work_order(forced, F.col("outage_start_ts"), F.col("outage_end_ts"))
     m20 = F.col("outage_id") % 20
     from_outages = o.select(
         (F.col("outage_id") * 2).alias("work_order_id"),

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 # Fixed values of the trace rules.
 HANDOFF_PATTERN = r"(?i)<name>([^<]+)</name>"
 RAG_HINTS = ("knowledge", "rag", "doc", "retriev", "vector")
-GENIE_PREFIX = "genie-"
+SPACE_TOOL_PREFIX = "genie-"    # tool-name prefix of metric-space tools
 NO_RESPONSE = "(no response)"
 CACHE_TTL_SECONDS = 3600
 
@@ -51,7 +51,8 @@ def flatten_trace(responses: DataFrame, col: str = "output") -> DataFrame:
 
 
 def tool_kind(name) -> Column:
-    """k02: 'genie' for ``genie-*`` tools, 'rag' for retrieval-like names, else 'tool'."""
+    """k02: 'space' for metric-space tools (name prefix), 'rag' for
+    retrieval-like names, else 'tool'."""
     n = F.col(name) if isinstance(name, str) else name
     low = F.lower(n)
     rag = None
@@ -59,15 +60,15 @@ def tool_kind(name) -> Column:
         c = low.contains(h)
         rag = c if rag is None else (rag | c)
     return (F.when(n.isNull() | (n == ""), "tool")
-             .when(n.startswith(GENIE_PREFIX), "genie")
+             .when(n.startswith(SPACE_TOOL_PREFIX), "space")
              .when(rag, "rag").otherwise("tool"))
 
 
 def tool_id(name) -> Column:
-    """Source id of a tool: the space id after ``genie-``, else the name."""
+    """Source id of a tool: the space id after the prefix, else the name."""
     n = F.col(name) if isinstance(name, str) else name
     return (F.when(n.isNull() | (n == ""), F.lit(None).cast("string"))
-             .when(n.startswith(GENIE_PREFIX), F.substring(n, len(GENIE_PREFIX) + 1, 1 << 30))
+             .when(n.startswith(SPACE_TOOL_PREFIX), F.substring(n, len(SPACE_TOOL_PREFIX) + 1, 1 << 30))
              .otherwise(n))
 
 
@@ -120,11 +121,12 @@ def sources(items: DataFrame) -> DataFrame:
 
 
 def handoffs(items: DataFrame) -> DataFrame:
-    """k06: agent hand-off names from non-result messages, ``genie-*`` dropped."""
+    """k06: agent hand-off names from non-result messages; hand-offs to
+    metric-space tools are dropped (they are already tool calls)."""
     m = match_results(items).filter((F.col("type") == "message") & ~F.col("is_tool_result"))
     agent = F.regexp_extract("text", HANDOFF_PATTERN, 1)
     return (m.select("response_id", "pos", agent.alias("agent"))
-             .filter((F.col("agent") != "") & ~F.col("agent").startswith(GENIE_PREFIX)))
+             .filter((F.col("agent") != "") & ~F.col("agent").startswith(SPACE_TOOL_PREFIX)))
 
 
 def text_deltas(deltas: DataFrame) -> DataFrame:

@@ -7,12 +7,14 @@ from gridkit.operators import corpus as C
 from gridkit.operators import trace as K
 
 RESP = [
-    {"type": "function_call", "name": "genie-abc", "call_id": "c1", "arguments": "{\"q\": 1}"},
+    {"type": "function_call", "name": K.SPACE_TOOL_PREFIX + "abc", "call_id": "c1",
+     "arguments": "{\"q\": 1}"},
     {"type": "function_call", "name": "knowledge-assistant", "call_id": "c2", "arguments": "{}"},
     {"type": "message", "call_id": "c1", "content": [{"type": "output_text", "text": "late c1"}]},
     {"type": "message", "call_id": "c2", "content": [{"type": "output_text", "text": "docs"}]},
     {"type": "message", "content": [{"type": "output_text", "text": "<name>supervisor-agent</name>"}]},
-    {"type": "message", "content": [{"type": "output_text", "text": "<NAME>genie-xyz</NAME>"}]},
+    {"type": "message", "content": [{"type": "output_text",
+                                     "text": "<NAME>" + K.SPACE_TOOL_PREFIX + "xyz</NAME>"}]},
     {"type": "message", "content": [{"type": "output_text", "text": ""}]},
     {"type": "message", "content": [{"type": "output_text", "text": "Final answer."}]},
 ]
@@ -32,7 +34,7 @@ def test_trace_parsing(spark):
     ans = {r.response_id: r.answer for r in K.final_answer(items, resp).collect()}
     assert ans == {"r1": "Final answer.", "r2": "(no response)", "r3": "(no response)"}
     src = [(r.kind, r.source_id) for r in K.sources(items).orderBy("rank").collect()]
-    assert src == [("genie", "abc"), ("rag", "knowledge-assistant")]
+    assert src == [("space", "abc"), ("rag", "knowledge-assistant")]
     assert [r.agent for r in K.handoffs(items).collect()] == ["supervisor-agent"]
 
 
