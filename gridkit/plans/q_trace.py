@@ -23,3 +23,27 @@ SELECT conv_id, turn, role, text FROM conversations
 WHERE role IN ('user', 'assistant') AND text IS NOT NULL AND text <> ''""")
 def k09(spark, d):
     return K.history_filter(spark.read.parquet(f"{d}/conversations.parquet"))
+
+
+@register("k10_cache_hits", """
+WITH RECURSIVE ev AS (
+  SELECT CAST(user_id AS VARCHAR) || '|' || event_type AS key, event_id,
+         CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events),
+firsts AS (
+  SELECT key, arg_min(event_id, t * 1000000000 + event_id) AS event_id,
+         MIN(t) AS t FROM ev GROUP BY key),
+stores(key, event_id, t) AS (
+  SELECT key, event_id, t FROM firsts
+  UNION ALL
+  SELECT s.key, n.event_id, n.t FROM stores s,
+    LATERAL (SELECT e.event_id, e.t FROM ev e WHERE e.key = s.key AND e.t > s.t + 3600
+             ORDER BY e.t, e.event_id LIMIT 1) n)
+SELECT ev.key, ev.event_id, s.event_id IS NULL AS hit
+FROM ev LEFT JOIN stores s ON ev.event_id = s.event_id""")
+def k10(spark, d):
+    """Repeat of a (user, event type) key within an hour of its last store."""
+    from pyspark.sql import functions as F
+    ev = spark.read.parquet(f"{d}/events.parquet").select(
+        F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("key"),
+        "ts", "event_id")
+    return K.cache_hits(ev, K.CACHE_TTL_SECONDS)
