@@ -284,7 +284,7 @@ def materialised(tables, name: str, build) -> DataFrame:
     sf_dir = getattr(tables, "sf_dir", None)
     if sf_dir is None:
         return build(tables)
-    key = (id(spark._jsparkSession), sf_dir, name)
+    key = (id(getattr(spark, "_jsparkSession", spark)), sf_dir, name)
     hit = _MATERIALISED.get(key)
     if hit is None or hit[0] is not spark:
         path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:10]}")

@@ -277,7 +277,7 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
     The frames are lazy plans, so reusing them across queries only saves
     file listing, footer reads and analysis on the driver.
     """
-    key = (id(spark._jsparkSession), sf_dir)
+    key = (id(getattr(spark, "_jsparkSession", spark)), sf_dir)
     t = _LOADED.get(key)
     if t is None or t.spark is not spark:
         t = _LOADED[key] = Tables(spark, sf_dir)
