@@ -30,3 +30,33 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from . import (q_rollups, q_analyst, q_metrics, q_derive,  # noqa: F401
                    q_quality, q_corpus, q_trace, q_streams)
+
+
+# Reported precision of DOUBLE outputs.  Spark and the SQL oracle add the
+# same doubles in different orders, so results can differ in the last bits;
+# reporting both at 1e-9 makes them identical for ordinary magnitudes, far
+# below any business precision.  (Plain rounding: a relative tie-nudge
+# would itself show at this precision on large values.)
+REPORT_DECIMALS = 9
+
+
+def finalize(name: str, df: DataFrame) -> DataFrame:
+    """Round the DOUBLE output columns of a registered query for reporting."""
+    from pyspark.sql import functions as F
+
+    from .float_columns import FLOAT_COLUMNS
+    cols = set(FLOAT_COLUMNS.get(name, ())) & set(df.columns)
+    if not cols:
+        return df
+    return df.select(*[F.round(c, REPORT_DECIMALS).alias(c, metadata=df.schema[c].metadata)
+                       if c in cols else c for c in df.columns])
+
+
+def finalize_sql(name: str, sql: str) -> str:
+    """The oracle text with the same reporting precision."""
+    from .float_columns import FLOAT_COLUMNS
+    cols = FLOAT_COLUMNS.get(name)
+    if not cols:
+        return sql
+    rep = ", ".join(f'ROUND("{c}", {REPORT_DECIMALS}) AS "{c}"' for c in cols)
+    return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) AS _oracle"
