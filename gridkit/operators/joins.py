@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import add_hours, trunc_ts
+from ..functions.scalars import trunc_ts
 
 
 def asset_dims(tables, cols: Sequence[str]) -> DataFrame:
@@ -61,19 +61,30 @@ def hourly_interval_join(intervals: DataFrame, points: DataFrame, key: str,
                     & (F.col(point_ts) < F.col(end))).drop("_h")
 
 
-def window_after_join(points: DataFrame, events: DataFrame, key: str,
-                      point_ts: str, event_ts: str, hours: int) -> DataFrame:
-    """Rows of ``points`` x ``events`` with equal ``key`` and
-    ``point_ts <= event_ts <= point_ts + hours``.
+def time_window_join(points: DataFrame, events: DataFrame, key: str, point_ts: str,
+                     event_ts: str, after_s: int, bucket_s: int = 86400,
+                     include_start: bool = True) -> DataFrame:
+    """Pairs with equal ``key`` and ``event_ts`` in ``[point_ts, point_ts +
+    after_s]`` (``(point_ts, ...]`` when ``include_start`` is False).
 
-    Points are exploded into the (at most ``hours/24 + 2``) days their
-    window covers and joined on ``(key, day)`` to the event's day; each
-    matching pair meets in exactly one bucket.
+    Points are replicated into the ``bucket_s``-wide time buckets their
+    window touches (at most ``after_s / bucket_s + 2`` copies), events go to
+    their own bucket, and the join runs on ``(key, bucket)`` with the exact
+    residual; each matching pair meets in exactly one bucket.
     """
-    p = points.withColumn(
-        "_d", F.explode(F.sequence(F.to_date(point_ts),
-                                   F.to_date(add_hours(point_ts, hours)))))
-    e = events.withColumn("_d", F.to_date(event_ts))
-    j = p.join(e, [key, "_d"])
-    return j.filter(F.col(event_ts).between(F.col(point_ts),
-                                            add_hours(point_ts, hours))).drop("_d")
+    pe = F.unix_timestamp(F.col(point_ts))
+    ee = F.unix_timestamp(F.col(event_ts))
+    p = points.withColumn("_b", F.explode(F.sequence(F.floor(pe / bucket_s),
+                                                      F.floor((pe + after_s) / bucket_s))))
+    e = events.withColumn("_b", F.floor(ee / bucket_s))
+    j = p.join(e, [key, "_b"]).drop("_b")
+    # exact residual on the timestamps themselves (buckets only route)
+    et, pt = F.col(event_ts), F.col(point_ts)
+    lower = (et >= pt) if include_start else (et > pt)
+    return j.filter(lower & (et <= F.timestamp_add("SECOND", F.lit(after_s), pt)))
+
+
+def window_after_join(points: DataFrame, events: DataFrame, key: str,
+                      point_ts: str, event_ts: str, hours: int) -> DataFrame:
+    """Pairs with ``point_ts <= event_ts <= point_ts + hours`` (day buckets)."""
+    return time_window_join(points, events, key, point_ts, event_ts, hours * 3600)

@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import dbl, hours_between, sum_if
+from ..functions.scalars import dbl, sum_if
+from .joins import time_window_join
 
 DAY = 86400
 BUCKETS_PER_WINDOW = 24
@@ -120,24 +121,6 @@ def trailing(df: DataFrame, key: str, ts: str, lookback_s: int,
                              for n, (kind, _) in vals.items()])
 
 
-def bucketed_window_join(points: DataFrame, events: DataFrame, key: str,
-                         point_ts: str, event_ts: str, after_s: int,
-                         bucket_s: int) -> DataFrame:
-    """Pairs with equal ``key`` and ``point_ts < event_ts <= point_ts + after_s``.
-
-    Points are replicated into the ``bucket_s``-wide buckets their window
-    touches (``after_s / bucket_s + 1`` copies at most), events into their
-    own bucket; the join runs on ``(key, bucket)``.
-    """
-    pe = F.unix_timestamp(F.col(point_ts))
-    p = points.withColumn("_b", F.explode(F.sequence(F.floor(pe / bucket_s),
-                                                      F.floor((pe + after_s) / bucket_s))))
-    e = events.withColumn("_b", F.floor(F.unix_timestamp(F.col(event_ts)) / bucket_s))
-    j = p.join(e, [key, "_b"]).drop("_b")
-    ee = F.unix_timestamp(F.col(event_ts))
-    return j.filter((ee > pe) & (ee <= pe + after_s))
-
-
 def first_time_fix(tables, days: int = FIRST_FIX_DAYS) -> DataFrame:
     """w02: share of emergency repairs not followed by a forced outage on the
     same asset within ``days`` after the work order was created."""
@@ -145,8 +128,9 @@ def first_time_fix(tables, days: int = FIRST_FIX_DAYS) -> DataFrame:
           .select("work_order_id", "asset_id", "created_ts"))
     fo = (tables["outages"].filter(F.col("forced_outage_flag"))
           .select("asset_id", "outage_start_ts"))
-    hit = bucketed_window_join(em, fo, "asset_id", "created_ts", "outage_start_ts",
-                               days * DAY, 7 * DAY).select("work_order_id").distinct()
+    hit = time_window_join(em, fo, "asset_id", "created_ts", "outage_start_ts",
+                           days * DAY, 7 * DAY, include_start=False) \
+        .select("work_order_id").distinct()
     flagged = em.join(hit.withColumn("_refail", F.lit(True)), "work_order_id", "left")
     return flagged.agg(
         F.count(F.lit(1)).alias("emergency_repairs"),

@@ -93,14 +93,15 @@ def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
 
 
 def run_available_now(spark: SparkSession, df: DataFrame, name: str,
-                      mode: str = "append") -> DataFrame:
+                      mode: str = "append", paths: tuple[str, str] | None = None) -> DataFrame:
     """Drain the source into a parquet sink and return a batch scan of it.
 
     ``append`` writes rows as they become final; ``update`` writes every
     micro-batch's changed rows into its own ``_batch=<id>`` folder, and
     ``latest_versions`` keeps the newest version of each grouping key.
+    ``paths`` = (sink, checkpoint) resumes an earlier run exactly-once.
     """
-    out, ckpt = _paths(spark, name)
+    out, ckpt = paths or _paths(spark, name)
     if mode == "append":
         q = (df.writeStream.format("parquet").option("path", out)
              .option("checkpointLocation", ckpt).outputMode("append")
