@@ -182,6 +182,46 @@ class MetricView:
                 out = out.limit(limit)
         return out
 
+    # ------------------------------------------------------ materialisation
+    _ADDITIVE = re.compile(r"^\s*(SUM|COUNT|MIN|MAX)\((?!\s*DISTINCT)[^()]*(\([^()]*\))?[^()]*\)\s*$",
+                           re.IGNORECASE)
+    _REAGG = {"SUM": F.sum, "COUNT": F.sum, "MIN": F.min, "MAX": F.max}
+
+    def additive(self, measure: str) -> str | None:
+        """The outer aggregate of an additive measure (SUM/COUNT/MIN/MAX of a
+        row expression), else None (ratios, DISTINCT, averages)."""
+        m = self._ADDITIVE.match(self.measure(measure).expr)
+        return m.group(1).upper() if m else None
+
+    def materialize(self, tables, dims: Sequence[str], measures: Sequence[str],
+                    path: str, partition_by: Sequence[str] | None = None) -> DataFrame:
+        """Write the view aggregated to ``dims`` and return a scan of it.
+
+        Only additive measures are accepted: a coarser query can then be
+        answered from this table by re-aggregating (SUM of SUM / COUNT, MIN
+        of MIN, MAX of MAX).  Non-additive measures raise.
+        """
+        bad = [m for m in measures if self.additive(m) is None]
+        if bad:
+            raise ValueError(f"{self.name}: not additive, cannot materialise: {bad}")
+        df = self.query(tables, dims, measures)
+        w = df.write.mode("overwrite")
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.parquet(path)
+        return df.sparkSession.read.parquet(path)
+
+    def query_materialized(self, table: DataFrame, dims: Sequence[str],
+                           measures: Sequence[str]) -> DataFrame:
+        """Answer ``dims`` x ``measures`` from a table written by
+        ``materialize`` (``dims`` must be a subset of its dimensions)."""
+        missing = [d for d in dims if d not in table.columns]
+        if missing:
+            raise KeyError(f"{self.name}: dimensions not materialised: {missing}")
+        aggs = [self._REAGG[self.additive(m)](m).alias(m, metadata=_meta(self.measure(m)))
+                for m in measures]
+        return table.groupBy(*dims).agg(*aggs) if dims else table.agg(*aggs)
+
     def resolve(self, term: str) -> str:
         """m08: field name for an analyst term (name, display name or synonym,
         case-insensitive).  Raises on unknown or ambiguous terms."""
