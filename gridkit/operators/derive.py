@@ -14,6 +14,18 @@ from pyspark.sql import functions as F
 from ..functions.scalars import (add_hours, rnd, case_ladder, dbl, hours_between,
                                  safe_div, sigmoid, trunc_ts)
 
+def _memo(fn):
+    """Cache a derivation per bound Tables object."""
+    import functools
+
+    @functools.wraps(fn)
+    def run(tables, *args, **kw):
+        if args or kw or not hasattr(tables, "memo"):
+            return fn(tables, *args, **kw)
+        return tables.memo((fn.__name__,), lambda: fn(tables))
+    return run
+
+
 # Fixed values of the derivation rules.
 FORCED_LOSS_FACTOR = 0.35
 PLANNED_LOSS_FACTOR = 0.30
@@ -88,6 +100,7 @@ def alarm_flag(telemetry: DataFrame) -> DataFrame:
         .alias("alarm_flag"))
 
 
+@_memo
 def assets_per_site(tables) -> DataFrame:
     """d02: assets per site (at least 1) and the capacity slice per asset."""
     n = tables["assets"].groupBy("site_id").agg(F.count(F.lit(1)).alias("n"))
@@ -111,6 +124,7 @@ def outage_duration_loss(tables) -> DataFrame:
                      (dur * F.col("asset_capacity_mw") * factor).alias("derived_lost_mwh")))
 
 
+@_memo
 def loss_per_day(tables) -> DataFrame:
     """d04: each outage's loss spread evenly over its start..end days
     (inclusive), summed per asset-day."""
@@ -140,6 +154,7 @@ def loss_per_hour(tables, year_start, hours_in_year: int) -> DataFrame:
     return x.groupBy("site_id", "hour").agg(F.sum("_part").alias("lost_mwh"))
 
 
+@_memo
 def cost_per_day(tables) -> DataFrame:
     """d06: work-order parts cost per asset and created day."""
     w = tables["work_orders"]
@@ -147,6 +162,7 @@ def cost_per_day(tables) -> DataFrame:
              .agg(F.sum("parts_cost_usd").alias("parts_cost_usd")))
 
 
+@_memo
 def region_day_price(tables) -> DataFrame:
     """d10: mean of the hourly prices per region-day."""
     mp = tables["market_prices"]

@@ -28,6 +28,19 @@ def _t(tables, name):
     return tables[name]
 
 
+def _memo(fn):
+    """Cache a rollup per bound Tables object (same plan for every caller)."""
+    import functools
+
+    @functools.wraps(fn)
+    def run(tables, *args, **kw):
+        if args or kw or not hasattr(tables, "memo"):
+            return fn(tables, *args, **kw)
+        return tables.memo((fn.__name__,), lambda: fn(tables))
+    return run
+
+
+@_memo
 def asset_capacity(tables) -> DataFrame:
     """r01: ``capacity_mw / count(assets at site)`` and generation flag."""
     assets = _t(tables, "assets").select("asset_id", "site_id", "asset_type")
@@ -43,6 +56,7 @@ def asset_capacity(tables) -> DataFrame:
                           .alias("is_generation_asset")))
 
 
+@_memo
 def telemetry_daily(tables) -> DataFrame:
     """r02: telemetry per asset-day."""
     t = _t(tables, "telemetry")
@@ -58,6 +72,7 @@ def telemetry_daily(tables) -> DataFrame:
                   F.lit(True).alias("has_telemetry")))
 
 
+@_memo
 def anomalies_daily(tables) -> DataFrame:
     """r03: anomaly count and worst severity per asset-day."""
     a = _t(tables, "sensor_anomalies")
@@ -66,6 +81,7 @@ def anomalies_daily(tables) -> DataFrame:
                   F.max("severity_score").alias("max_severity_score")))
 
 
+@_memo
 def outages_daily(tables) -> DataFrame:
     """r04: outages booked on their start day."""
     o = _t(tables, "outages")
@@ -78,6 +94,7 @@ def outages_daily(tables) -> DataFrame:
                   F.sum("lost_generation_mwh").alias("total_lost_mwh")))
 
 
+@_memo
 def work_orders_daily(tables) -> DataFrame:
     """r05: work orders per asset and created day."""
     w = _t(tables, "work_orders")
@@ -92,6 +109,7 @@ def work_orders_daily(tables) -> DataFrame:
                   F.sum("parts_cost_usd").alias("total_parts_cost")))
 
 
+@_memo
 def maintenance_daily(tables) -> DataFrame:
     """r06: scheduled and overdue maintenance per asset and planned day."""
     m = _t(tables, "maintenance_schedule")
@@ -100,6 +118,7 @@ def maintenance_daily(tables) -> DataFrame:
                   F.count(F.lit(1)).alias("scheduled_count")))
 
 
+@_memo
 def safety_daily_region(tables) -> DataFrame:
     """r07: safety incidents per region-day."""
     si = _t(tables, "safety_incidents")
@@ -125,6 +144,7 @@ ASSET_DAILY_COLUMNS = [
 ]
 
 
+@_memo
 def financial_spine(tables) -> DataFrame:
     """Asset-day financials with the margin column.
 
@@ -141,6 +161,7 @@ def financial_spine(tables) -> DataFrame:
                          F.when(rev > 0, dbl(100) * net / rev).otherwise(dbl(-100)))
 
 
+@_memo
 def asset_daily_summary(tables) -> DataFrame:
     """r08: the 35-column asset-day summary."""
     af = financial_spine(tables).select(

@@ -58,6 +58,13 @@ class Tables:
         self.sf_dir = sf_dir
         self._frames = dict(frames or {})
         self._raw: dict[str, DataFrame] = {}
+        self._memo: dict[tuple, DataFrame] = {}
+
+    def memo(self, key: tuple, build) -> DataFrame:
+        """A derived frame built once per binding (plans are immutable)."""
+        if key not in self._memo:
+            self._memo[key] = build()
+        return self._memo[key]
 
     @classmethod
     def from_frames(cls, spark: SparkSession, frames: dict[str, DataFrame]) -> "Tables":
