@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import (add_hours, rnd, case_ladder, dbl, hours_between,
-                                 safe_div, sigmoid, trunc_ts)
+                                 sigmoid, trunc_ts)
 
 def _memo(fn):
     """Cache a derivation per bound Tables object."""

@@ -104,8 +104,6 @@ class MetricView:
 
         for j in self.joins:
             walk(j, "")
-        # a nested path written from the top (asset.site.region...) also
-        # counts when the child appears under its parent's struct
         return need
 
     def _build_join(self, tables, j: Join, path: str, need: set[str]) -> DataFrame:
