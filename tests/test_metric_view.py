@@ -86,3 +86,20 @@ def test_materialize_additive_measures(spark):
         assert coarse[k].outage_count == r.outage_count
         assert abs(coarse[k].total_downtime_hours - r.total_downtime_hours) < 1e-6
         assert coarse[k].max_temperature == r.max_temperature
+
+
+def test_readme_usage_example(spark):
+    from gridkit.operators import rollups
+    from gridkit.sources.bindings import Tables
+    bound = load(spark, SF001)
+    t = Tables.from_frames(spark, bound.as_dict())
+    assert rollups.asset_daily_summary(t).count() > 0
+    grid = all_views()["grid_operations_metrics"]
+    out = grid.query(t, ["region_name", "month"],
+                     ["outage_count", "mtbf_hours", "capacity_factor_pct"],
+                     where="asset_health_status = 'Critical'",
+                     order_by=["outage_count DESC"], limit=20)
+    assert out.columns == ["region_name", "month", "outage_count", "mtbf_hours",
+                           "capacity_factor_pct"]
+    out.collect()
+    assert grid.resolve("MTBF") == "mtbf_hours"
