@@ -93,7 +93,8 @@ def match_results(items: DataFrame) -> DataFrame:
 
 
 def _stripped(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, HANDOFF_PATTERN, ""))
+    """Message text without hand-off tags, surrounding whitespace removed."""
+    return strip_ws(F.regexp_replace(text, HANDOFF_PATTERN, ""))
 
 
 def final_answer(items: DataFrame, responses: DataFrame | None = None) -> DataFrame:
@@ -156,6 +157,14 @@ def cache_keys(conversations: DataFrame) -> DataFrame:
     return x.filter(F.col("role") == "user").select("conv_id", "turn", key.alias("cache_key"))
 
 
+def conversation_items(conversations: DataFrame) -> DataFrame:
+    """Chat history as trace items: assistant turns are output messages."""
+    return conversations.filter(F.col("role") == "assistant").select(
+        F.col("conv_id").alias("response_id"), F.col("turn").alias("pos"),
+        F.lit("message").alias("type"), F.lit(None).cast("string").alias("name"),
+        F.lit(None).cast("string").alias("call_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def history_filter(conversations: DataFrame) -> DataFrame:
     """k09: keep user / assistant turns that have content."""
     return conversations.filter(F.col("role").isin("user", "assistant")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import trace as K
 from .registry import register
 
@@ -47,3 +49,20 @@ def k10(spark, d):
         F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("key"),
         "ts", "event_id")
     return K.cache_hits(ev, K.CACHE_TTL_SECONDS)
+
+
+@register("k04_final_answer", """
+SELECT c.conv_id AS response_id, COALESCE(a.answer, '(no response)') AS answer
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN (
+  SELECT conv_id, arg_max(s, turn) AS answer FROM (
+    SELECT conv_id, turn,
+           regexp_replace(regexp_replace(COALESCE(text, ''), '(?i)<name>([^<]+)</name>', '', 'g'),
+                          '^\\s+|\\s+$', '', 'g') AS s
+    FROM conversations WHERE role = 'assistant')
+  WHERE s <> '' GROUP BY conv_id) a ON c.conv_id = a.conv_id""")
+def k04(spark, d):
+    """Final answer of each conversation (last non-empty assistant text)."""
+    conv = spark.read.parquet(f"{d}/conversations.parquet")
+    ids = conv.select(F.col("conv_id").alias("response_id")).distinct()
+    return K.final_answer(K.conversation_items(conv), ids)
