@@ -347,34 +347,61 @@ def label_centroids(emb: DataFrame) -> DataFrame:
 MAX_QUERIES = 256
 
 
-def topk_by_cosine(emb: DataFrame, queries: list[tuple[object, list[float]]], k: int = 5,
-                   salt_buckets: int = 64) -> DataFrame:
+def _partition_topk(batches, qids, qmat, k):
+    """Running top-k per query over one partition's Arrow batches."""
+    import numpy as np
+    import pandas as pd
+    best_s = np.full((len(qids), 0), -np.inf)
+    best_i = np.zeros((len(qids), 0), dtype=np.int64)
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        m = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
+        norms = np.linalg.norm(m, axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sc = (qmat @ m.T) / norms                   # queries x rows, qmat rows unit-length
+        sc = np.where(np.isfinite(sc), sc, -np.inf)
+        ids = np.broadcast_to(pdf["vec_id"].to_numpy(np.int64), sc.shape)
+        cand_s = np.concatenate([best_s, sc], axis=1)
+        cand_i = np.concatenate([best_i, ids], axis=1)
+        # order by score desc, then id asc; keep k
+        order = np.lexsort((cand_i, -cand_s), axis=1)[:, :k]
+        best_s = np.take_along_axis(cand_s, order, axis=1)
+        best_i = np.take_along_axis(cand_i, order, axis=1)
+    rows = [(q, int(best_i[a, j]), float(best_s[a, j]))
+            for a, q in enumerate(qids) for j in range(best_s.shape[1])
+            if np.isfinite(best_s[a, j])]
+    yield pd.DataFrame(rows, columns=["query", "vec_id", "score"])
+
+
+def topk_by_cosine(emb: DataFrame, queries: list[tuple[object, list[float]]], k: int = 5) -> DataFrame:
     """c17: the k vectors most cosine-similar to each query vector.
 
-    Queries are a bounded list (checked) placed into the expression as
-    literal arrays, so every vector is scored in place (no join).  Top-k is
-    two-level: per (query, hash bucket of the vector id), then per query
-    over at most ``k x buckets`` survivors, so no task ranks a whole query.
+    The query matrix is a bounded list (checked), broadcast to the tasks;
+    each partition scores its vectors with one matrix product (Arrow
+    batches into numpy) and keeps a running top-k per query, so a task
+    emits at most ``queries x k`` rows.  The global top-k then ranks at most
+    ``partitions x queries x k`` survivors.  Ties break on the vector id.
     """
+    import numpy as np
     if len(queries) > MAX_QUERIES:
         raise ValueError(f"{len(queries)} queries exceed the broadcast bound {MAX_QUERIES}")
-    e = F.col("embedding").cast("array<double>")
-    norm = F.sqrt(F.aggregate(F.transform(e, lambda v: v * v), dbl(0), lambda a, b: a + b))
-    scored = []
-    for qid, vec in queries:
-        qn = sum(v * v for v in vec) ** 0.5
-        qarr = F.array(*[F.lit(float(v)) for v in vec])
-        dot = F.aggregate(F.zip_with(e, qarr, lambda a, b: a * b), dbl(0), lambda a, b: a + b)
-        scored.append(F.struct(F.lit(qid).alias("query"), (dot / (norm * F.lit(qn))).alias("score")))
-    x = emb.select("vec_id", F.explode(F.array(*scored)).alias("s")) \
-           .select("vec_id", "s.query", "s.score")
-    x = x.withColumn("_b", F.pmod(F.xxhash64("vec_id"), F.lit(salt_buckets)))
-    w1 = Window.partitionBy("query", "_b").orderBy(F.desc("score"), "vec_id")
-    x = x.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k)
-    w2 = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    return x.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k) \
-            .select("query", F.col("rank").cast("long").alias("rank"), "vec_id",
-                    rnd("score", 6).alias("score"))
+    qids = [q for q, _ in queries]
+    qmat = np.array([v for _, v in queries], dtype=np.float64)
+    qmat = qmat / np.linalg.norm(qmat, axis=1, keepdims=True)
+    bc = emb.sparkSession.sparkContext.broadcast((qids, qmat))
+    qtype = "long" if all(isinstance(q, int) for q in qids) else "string"
+
+    def score(batches):
+        ids, mat = bc.value
+        return _partition_topk(batches, ids, mat, k)
+
+    part = emb.select("vec_id", "embedding").mapInPandas(
+        score, f"query {qtype}, vec_id long, score double")
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    return (part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+                .select("query", F.col("rank").cast("long").alias("rank"), "vec_id",
+                        rnd("score", 6).alias("score")))
 
 
 def centroid_queries(emb: DataFrame) -> list[tuple[object, list[float]]]:
