@@ -374,7 +374,8 @@ def _partition_topk(batches, qids, qmat, k):
     yield pd.DataFrame(rows, columns=["query", "vec_id", "score"])
 
 
-def topk_by_cosine(emb: DataFrame, queries: list[tuple[object, list[float]]], k: int = 5) -> DataFrame:
+def topk_by_cosine(emb: DataFrame, queries: list[tuple[object, list[float]]], k: int = 5,
+                   query_type: str | None = None) -> DataFrame:
     """c17: the k vectors most cosine-similar to each query vector.
 
     The query matrix is a bounded list (checked), broadcast to the tasks;
@@ -390,7 +391,7 @@ def topk_by_cosine(emb: DataFrame, queries: list[tuple[object, list[float]]], k:
     qmat = np.array([v for _, v in queries], dtype=np.float64)
     qmat = qmat / np.linalg.norm(qmat, axis=1, keepdims=True)
     bc = emb.sparkSession.sparkContext.broadcast((qids, qmat))
-    qtype = "long" if all(isinstance(q, int) for q in qids) else "string"
+    qtype = query_type or ("long" if all(isinstance(q, int) for q in qids) else "string")
 
     def score(batches):
         ids, mat = bc.value

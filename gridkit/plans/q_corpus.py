@@ -169,4 +169,5 @@ SELECT query, rank, vec_id, ROUND(score, 6) AS score FROM (
 WHERE rank <= {TOPK}""")
 def c17(spark, d):
     emb = spark.read.parquet(f"{d}/embeddings.parquet")
-    return C.topk_by_cosine(emb, C.centroid_queries(emb), TOPK)
+    return C.topk_by_cosine(emb, C.centroid_queries(emb), TOPK,
+                            query_type=emb.schema["label"].dataType.simpleString())
