@@ -28,6 +28,8 @@ def views():
 
 
 # ---------------------------------------------------------------- oracle
+# The same metric definitions in DuckDB dialect (paths
+# flattened to the joined table aliases).
 _TIME = {
     "date": "source.date",
     "month": "CAST(date_trunc('month', source.date) AS TIMESTAMP)",
