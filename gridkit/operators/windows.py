@@ -224,3 +224,57 @@ def workload_streaks(tables, weekly_limit: float = WEEKLY_HOURS_LIMIT) -> DataFr
                  .agg(sum_if(F.col("week_hours") > weekly_limit).alias("weeks_over_limit"),
                       F.max("week_hours").alias("max_week_hours")))
     return longest.join(weeks, "technician_id")
+
+
+def cumulative_sum(df: DataFrame, key: str, epoch_col: str, order: list, value: str,
+                   out: str, chunk_s: int = DAY) -> DataFrame:
+    """Running sum of ``value`` per ``key`` in the total order ``order``
+    (which starts with ``epoch_col``), inclusive of the row itself.
+
+    Chunked prefix sum: running sum inside each (key, time chunk) plus the
+    sum of all earlier chunks from per-chunk summaries (windowed per key,
+    at most one row per key and chunk) -- no task sees a key's whole
+    history.
+    """
+    c = F.floor(F.col(epoch_col) / chunk_s)
+    x = df.withColumn("_c", c)
+    w_in = (Window.partitionBy(key, "_c").orderBy(*order)
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    x = x.withColumn("_run", F.sum(value).over(w_in))
+    summ = x.groupBy(key, "_c").agg(F.sum(value).alias("_s"))
+    w_prev = Window.partitionBy(key).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    prev = summ.select(key, "_c", F.coalesce(F.sum("_s").over(w_prev), F.lit(0)).alias("_prev"))
+    return (x.join(prev, [key, "_c"]).withColumn(out, F.col("_prev") + F.col("_run"))
+             .drop("_c", "_run", "_prev"))
+
+
+def merged_outages(tables) -> DataFrame:
+    """Q5 variant: overlapping (or touching) outages of an asset merged into
+    one interval, with the outages and lost MWh they cover.
+
+    Sweep: +1 at each start, -1 at each end (starts before ends at equal
+    times, so touching intervals merge).  An island starts where the
+    running count before a +1 is 0; the island number of every event is
+    the running count of island starts.  Both running sums are chunked
+    prefix sums, so a hot asset is never one task.
+    """
+    o = tables["outages"].select("asset_id", "outage_id", "outage_start_ts", "outage_end_ts",
+                                 "lost_generation_mwh")
+    starts = o.select("asset_id", "outage_id", F.col("outage_start_ts").alias("ts"),
+                      F.lit(0).alias("_ord"), F.lit(1).alias("_d"), "lost_generation_mwh")
+    ends = o.select("asset_id", "outage_id", F.col("outage_end_ts").alias("ts"),
+                    F.lit(1).alias("_ord"), F.lit(-1).alias("_d"),
+                    F.lit(None).cast("double").alias("lost_generation_mwh"))
+    ev = starts.unionByName(ends).withColumn("_e", F.unix_micros(F.col("ts").cast("timestamp")))
+    order = ["_e", "_ord", "outage_id"]
+    ev = cumulative_sum(ev, "asset_id", "_e", order, "_d", "_open", chunk_s=DAY * 1_000_000)
+    ev = ev.withColumn("_start", ((F.col("_d") == 1) & (F.col("_open") == 1)).cast("int"))
+    ev = cumulative_sum(ev, "asset_id", "_e", order, "_start", "_island", chunk_s=DAY * 1_000_000)
+    g = ev.groupBy("asset_id", "_island").agg(
+        F.min(F.when(F.col("_d") == 1, F.col("ts"))).alias("merged_start"),
+        F.max(F.when(F.col("_d") == -1, F.col("ts"))).alias("merged_end"),
+        F.count_if(F.col("_d") == 1).alias("outages"),
+        F.sum("lost_generation_mwh").alias("lost_mwh"))
+    return g.select("asset_id", "merged_start", "merged_end", "outages", "lost_mwh",
+                    ((F.unix_timestamp("merged_end") - F.unix_timestamp("merged_start")) / dbl(3600))
+                    .alias("downtime_hours"))

@@ -67,6 +67,7 @@ FLOAT_COLUMNS = {'c12_threshold_bands': ['running_mean'],
                          'voltage_stddev'],
  'r03_anomalies_daily': ['max_severity_score'],
  'r04_outages_daily': ['total_downtime_hours', 'total_lost_mwh'],
+ 'r04m_merged_outages': ['lost_mwh', 'downtime_hours'],
  'r05_work_orders_daily': ['total_labor_hours', 'total_parts_cost'],
  'r08_asset_daily_summary': ['asset_capacity_mw',
                              'theoretical_max_daily_mwh',

@@ -292,3 +292,19 @@ def f14(spark, d):
     return (t.assets.join(F.broadcast(s), "site_id")
             .select("asset_id", asset_tag("asset_type", "asset_id").alias("derived_tag"),
                     site_label("region_name", "generation_type", "site_id").alias("site_label")))
+
+
+@register("r04m_merged_outages", with_bindings("""
+SELECT asset_id, min(outage_start_ts) AS merged_start, max(outage_end_ts) AS merged_end,
+       count(*) AS outages, sum(lost_generation_mwh) AS lost_mwh,
+       (floor(epoch(max(outage_end_ts))) - floor(epoch(min(outage_start_ts)))) / 3600.0 AS downtime_hours
+FROM (SELECT *, sum(IF(prev_end IS NULL OR outage_start_ts > prev_end, 1, 0))
+                  OVER (PARTITION BY asset_id ORDER BY outage_start_ts, outage_id
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island
+      FROM (SELECT *, max(outage_end_ts) OVER (PARTITION BY asset_id ORDER BY outage_start_ts, outage_id
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_end
+            FROM outages))
+GROUP BY asset_id, island"""))
+def r04m(spark, d):
+    """Overlapping outages of an asset merged into single intervals."""
+    return W.merged_outages(load(spark, d))

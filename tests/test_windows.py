@@ -30,3 +30,23 @@ def test_trailing_matches_brute_force(spark):
                if k2 == key and ts - dt.timedelta(seconds=lookback) <= ts2 <= ts]
         n, s, mn, mx = got[rid_]
         assert n == len(win) and abs(s - sum(win)) < 1e-6 and mn == min(win) and mx == max(win)
+
+
+def test_merged_outages_overlap_touch_disjoint(spark):
+    from fixtures import ASSETS, REGION, SITES, tables
+    from gridkit.operators.windows import merged_outages
+    T = dt.datetime
+    outs = [
+        (1, 10, 1, T(2024, 1, 1, 0), T(2024, 1, 1, 5), "w", True, 1.0),
+        (2, 10, 1, T(2024, 1, 1, 3), T(2024, 1, 1, 8), "w", True, 2.0),    # overlaps 1
+        (3, 10, 1, T(2024, 1, 1, 8), T(2024, 1, 1, 9), "w", True, 4.0),    # touches 2
+        (4, 10, 1, T(2024, 1, 3, 0), T(2024, 1, 3, 1), "w", True, 8.0),    # disjoint
+        (5, 20, 2, T(2024, 1, 1, 0), T(2024, 1, 1, 2), "w", True, 1.0),
+        (6, 20, 2, T(2024, 1, 1, 0), T(2024, 1, 1, 1), "w", True, 1.0),    # same start
+    ]
+    t = tables(spark, regions=REGION, sites=SITES, assets=ASSETS, outages=outs)
+    got = sorted((r.asset_id, r.merged_start, r.merged_end, r.outages, r.lost_mwh)
+                 for r in merged_outages(t).collect())
+    assert got == [(10, T(2024, 1, 1, 0), T(2024, 1, 1, 9), 3, 7.0),
+                   (10, T(2024, 1, 3, 0), T(2024, 1, 3, 1), 1, 8.0),
+                   (20, T(2024, 1, 1, 0), T(2024, 1, 1, 2), 2, 2.0)]
