@@ -114,8 +114,17 @@ def run_available_now(spark: SparkSession, df: DataFrame, name: str,
         # (after a failure) replaces its own output instead of duplicating it
         batch.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
 
-    q = (df.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
-         .outputMode("update").trigger(availableNow=True).start())
+    # Update mode emits every change as it happens; the trailing no-data
+    # batch of a drain-and-stop run would only evict state, so it is skipped
+    # (the setting is captured when the query starts).
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        q = (df.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
+             .outputMode("update").trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(key, before)
     q.awaitTermination()
     return spark.read.schema(df.schema.add("_batch", "long")).parquet(out)
 
