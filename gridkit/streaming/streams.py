@@ -11,7 +11,6 @@ runs, used by tests and the registered queries).
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,10 +22,13 @@ from ..session import scratch_path
 EVENTS = "events.parquet"
 
 
-def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
-    """Streaming read of the events table (schema taken from the files)."""
-    schema = spark.read.parquet(os.path.join(sf_dir, EVENTS)).schema
-    s = (spark.readStream.schema(schema).option("pathGlobFilter", EVENTS)
+def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1,
+                 pattern: str = EVENTS, schema=None) -> DataFrame:
+    """Streaming read of the events files in ``sf_dir`` matching ``pattern``
+    (schema taken from the first matching file unless given)."""
+    if schema is None:
+        schema = spark.read.option("pathGlobFilter", pattern).parquet(sf_dir).schema
+    s = (spark.readStream.schema(schema).option("pathGlobFilter", pattern)
          .option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir))
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -114,17 +116,11 @@ def run_available_now(spark: SparkSession, df: DataFrame, name: str,
         # (after a failure) replaces its own output instead of duplicating it
         batch.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
 
-    # Update mode emits every change as it happens; the trailing no-data
-    # batch of a drain-and-stop run would only evict state, so it is skipped
-    # (the setting is captured when the query starts).
-    key = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(key, "true")
-    spark.conf.set(key, "false")
-    try:
-        q = (df.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
-             .outputMode("update").trigger(availableNow=True).start())
-    finally:
-        spark.conf.set(key, before)
+    # The trailing no-data micro-batch is kept: it is the batch that records
+    # the advanced watermark in the offset log, so that a restarted query
+    # still drops rows that arrive behind it.
+    q = (df.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
+         .outputMode("update").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(df.schema.add("_batch", "long")).parquet(out)
 

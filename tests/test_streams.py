@@ -17,3 +17,41 @@ def test_restart_from_checkpoint_is_exactly_once(spark):
     again = S.run_available_now(spark, S.alarm_stream(S.event_stream(spark, SF001)),
                                 "alarm", paths=paths).count()
     assert again == first
+
+
+def test_late_rows_behind_the_watermark_are_dropped(spark):
+    import datetime as dt
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    src = tempfile.mkdtemp(prefix="gridkit-src-")
+    sink = tempfile.mkdtemp(prefix="gridkit-sink-")
+    paths = (os.path.join(sink, "data"), os.path.join(sink, "_checkpoint"))
+
+    def write(name, rows):
+        t = pa.table({"event_id": [r[0] for r in rows],
+                      "ts": pa.array([r[1] for r in rows], pa.timestamp("us")),
+                      "user_id": [1] * len(rows), "event_type": ["view"] * len(rows),
+                      "value": [10.0] * len(rows), "props": [""] * len(rows)})
+        pq.write_table(t, os.path.join(src, name))
+
+    d = dt.datetime
+    write("p1.parquet", [(1, d(2024, 1, 1, 5)), (2, d(2024, 1, 5, 5))])
+    schema = spark.read.parquet(os.path.join(src, "p1.parquet")).schema
+
+    def run():
+        s = S.event_stream(spark, src, pattern="*.parquet", schema=schema)
+        up = S.run_available_now(spark, S.daily_rollup_stream(s), "late", mode="update",
+                                 paths=paths)
+        latest = S.latest_versions(up, ["window", "asset_id"])
+        return {r.day: r.readings for r in latest.select(
+            F.to_date("window.start").alias("day"), "readings").collect()}
+
+    first = run()
+    assert first == {dt.date(2024, 1, 1): 1, dt.date(2024, 1, 5): 1}
+    # day 1 is far behind the 1-day watermark (max event time day 5): dropped
+    write("p2.parquet", [(3, d(2024, 1, 1, 6)), (4, d(2024, 1, 6, 1))])
+    second = run()
+    assert second == {dt.date(2024, 1, 1): 1, dt.date(2024, 1, 5): 1, dt.date(2024, 1, 6): 1}
