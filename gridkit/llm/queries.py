@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_runs, shard_tree
+from . import line_runs, lsh_forest, shard_tree
 
 QUERIES = {
     "op2_shard_tree": shard_tree.query,
     "op6_line_runs": line_runs.query,
+    "op10_lsh_forest": lsh_forest.query,
 }
 
 ORACLE = {
