@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_runs, lsh_forest, shard_tree
+from . import exact_dedup, line_runs, lsh_forest, shard_tree
 
 QUERIES = {
+    "op1_fuse_snapshots": exact_dedup.query,
     "op2_shard_tree": shard_tree.query,
     "op6_line_runs": line_runs.query,
     "op10_lsh_forest": lsh_forest.query,
 }
 
 ORACLE = {
+    "op1_fuse_snapshots": exact_dedup.ORACLE,
     "op6_line_runs": line_runs.ORACLE,
 }
