@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from . import (exact_dedup, line_runs, lsh_forest, pairwise_quality, qgram_decontam,
-               shard_tree)
+               retrieval_packing, shard_tree)
 
 QUERIES = {
     "op1_fuse_snapshots": exact_dedup.query,
     "op2_shard_tree": shard_tree.query,
     "op3_pairwise_quality": pairwise_quality.query,
+    "op5_retrieval_packing": retrieval_packing.query,
     "op6_line_runs": line_runs.query,
     "op9_qgram_bands": qgram_decontam.query,
     "op10_lsh_forest": lsh_forest.query,
