@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from . import (exact_dedup, line_runs, lsh_forest, pairwise_quality, qgram_decontam,
-               retrieval_packing, shard_tree)
+               retrieval_packing, revisits, secret_lexer, shard_tree, token_rollups)
 
 QUERIES = {
     "op1_fuse_snapshots": exact_dedup.query,
     "op2_shard_tree": shard_tree.query,
     "op3_pairwise_quality": pairwise_quality.query,
+    "op4_token_rollups": token_rollups.query,
     "op5_retrieval_packing": retrieval_packing.query,
     "op6_line_runs": line_runs.query,
+    "op7_secret_lexer": secret_lexer.query,
+    "op8_revisits": revisits.query,
     "op9_qgram_bands": qgram_decontam.query,
     "op10_lsh_forest": lsh_forest.query,
 }
@@ -18,4 +21,5 @@ QUERIES = {
 ORACLE = {
     "op1_fuse_snapshots": exact_dedup.ORACLE,
     "op6_line_runs": line_runs.ORACLE,
+    "op8_revisits": revisits.ORACLE,
 }
