@@ -8,14 +8,18 @@ the next ``STEP`` values of its order, as deep as it stays large.  Candidates
 are a member and the first member of each region that it lies in, at every
 depth, so their number is linear in the members, whatever the size of a group.
 
-Candidates are confirmed on full sets.  What a region's first member settles:
-members that it links are one component.  Members in another component stay in
-the region and meet the next first member among them, round by round, until
-each pair in a region is linked through others, or compared, or ruled out by
-the triangle inequality of the Jaccard distance (a member within ``d`` of the
-first one cannot be within 1 - t of one that is farther than d + 1 - t).  So
-no pair that shares a region at the first depth is lost: the trees find a pair of
-similarity s with probability 1 - (1 - s**STEP)**TREES, 0.9999 at s = 0.75.
+Candidates are confirmed on full sets.  A region is settled when its members
+outside the first one's component are alone or too far from it for a link to any
+member near it (by the triangle inequality of the Jaccard distance).  All texts
+of unsettled regions then go through an exact prefix-filter join: with shingles
+ordered by rarity among them, two texts of n_x >= n_y shingles and similarity t
+share one of the first n_x - ceil(t n_x) + 1 of x and the first
+n_y - ceil(2t / (1 + t) n_y) + 1 of y.  Texts of one component are never paired:
+at each shingle, its largest component meets the others only.
+
+So no pair that shares a region at the first depth is lost, whatever the size of
+the region: the trees find a pair of similarity s with probability
+1 - (1 - s**STEP)**TREES, 0.9999 at s = 0.75.
 
 Edge cases: texts without words have an empty set, no links and themselves as
 component; a text of fewer than five words is one shingle; rows that repeat a
@@ -29,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import U, Powers, Words, flat, mix, pieces, shingles
@@ -148,13 +152,17 @@ def first_candidates(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return base.select("region", "doc", "first"), union_all(pairs)
 
 
-def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Sizes of intersection and union on full sets, for distinct pairs (a < b)."""
-    wanted = (pairs.select(F.col("a").alias("doc_id"))
-              .unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, members): the full shingle sets of the wanted documents, stored."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = stored(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return stored(texts.join(wanted.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
                   .select("doc_id", "text").mapInArrow(_sets, "doc_id long, members binary"), "sets")
+
+
+def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Sizes of intersection and union on full sets, for distinct pairs (a < b)."""
+    sets = sets_of(docs, pairs.select(F.col("a").alias("doc_id"))
+                   .unionByName(pairs.select(F.col("b").alias("doc_id"))))
     one = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
     found = stored(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
@@ -163,48 +171,86 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return found
 
 
+def unsettled(regions: DataFrame, done: DataFrame, comp: DataFrame) -> DataFrame:
+    """(doc, component) of the texts in regions that the first comparison leaves open."""
+    own = comp.select(F.col("node").alias("doc"), "component")
+    lead = comp.select(F.col("node").alias("first"), F.col("component").alias("lead"))
+    far = done.select("a", "b", (1 - F.col("shared") / F.col("joint")).alias("far"))
+    far = far.select(F.col("a").alias("first"), F.col("b").alias("doc"), "far")  # the first is the least
+    placed = (regions.join(own, "doc", "left").join(lead, "first", "left").join(far, ["first", "doc"], "left")
+              .withColumn("component", F.coalesce("component", "doc"))
+              .withColumn("lead", F.coalesce("lead", "first")))
+    away = F.col("component") != F.col("lead")
+    reach = 2 * (1 - THRESHOLD / 100) + 1e-9
+    state = placed.groupBy("region").agg(
+        F.min(F.when(away, F.col("component"))).alias("low"), F.max(F.when(away, F.col("component"))).alias("high"),
+        F.count_if(away & (F.col("far") <= reach)).alias("mid"),
+        F.count_if(~away & (F.col("doc") != F.col("first"))).alias("near"))
+    opened = state.where("low < high or (mid > 0 and near > 0)").select("region")
+    return placed.join(opened, "region", "left_semi").select("doc", "component").distinct()
+
+
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            s = np.frombuffer(batch.column(2)[i].as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(s), batch.column(0)[i].as_py()), pa.int64()),
+                 pa.array(np.full(len(s), batch.column(1)[i].as_py()), pa.int64()),
+                 pa.array(np.full(len(s), len(s)), pa.int64()), pa.array(s, pa.int64())],
+                names=["doc", "component", "size", "shingle"])
+
+
+def prefix_candidates(docs: DataFrame, opened: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts in different components that can reach the threshold."""
+    sets = sets_of(docs, opened.select(F.col("doc").alias("doc_id")))
+    rows = stored(sets.join(opened.withColumnRenamed("doc", "doc_id"), "doc_id")
+                  .select("doc_id", "component", "members")
+                  .mapInArrow(_explode, "doc long, component long, size long, shingle long"), "members")
+    df = stored(rows.groupBy("shingle").agg(F.count("*").alias("df")), "df")
+    total = df.agg(F.sum("df")).first()[0] or 0
+    rank = F.row_number().over(Window.partitionBy("doc").orderBy("df", "shingle"))
+    t = THRESHOLD
+    ordered = join_counted(rows, df, ["shingle"], "df", total).withColumn("rank", rank)
+    probe = F.col("size") - F.ceil(F.col("size") * t / 100) + 1
+    least = F.col("size") - F.ceil(F.col("size") * (2 * t) / (100 + t)) + 1
+    parts = stored(ordered.where((F.col("df") > 1) & (F.col("rank") <= probe))
+                   .withColumn("indexed", F.col("rank") <= least).drop("rank", "df"), "prefixes")
+    held = parts.groupBy("shingle", "component").agg(F.count("*").alias("n"))
+    tops = (held.groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("top"),
+                                        F.count("*").alias("kinds")).where("kinds > 1").drop("kinds"))
+    parts = stored(parts.join(tops, "shingle"), "prefixes")
+    minor = F.col("component") != F.col("top")
+    x = lambda df: df.select("shingle", F.col("doc").alias("x"), F.col("component").alias("cx"),
+                             F.col("size").alias("nx"))
+    y = lambda df: df.where("indexed").select("shingle", F.col("doc").alias("y"),
+                                              F.col("component").alias("cy"), F.col("size").alias("ny"))
+    fits = "cx <> cy and nx >= ny and ny * 100 >= nx * " + str(t)
+    found = (x(parts).join(y(parts.where(minor)), "shingle").where(fits)
+             .unionByName(x(parts.where(minor)).join(y(parts.where(~minor)), "shingle").where(fits)))
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def link(docs: DataFrame, signs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, component) of all representatives that have a link."""
-    members = members_of(signs, classes)
-    regions, pairs = first_candidates(members)
+    regions, pairs = first_candidates(members_of(signs, classes))
     ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     todo = stored(pairs.select(*ordered).distinct(), "pairs")
-    done = None
-    while True:
-        found = confirm(docs, todo)
-        discard(todo)
-        done = found if done is None else stored(done.unionByName(found), "compared")
-        links = done.where(F.col("shared") * 100 >= F.col("joint") * THRESHOLD)
-        comp = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "near-comp")
-        own = comp.select(F.col("node").alias("doc"), "component")
-        lead = comp.select(F.col("node").alias("first"), F.col("component").alias("lead"))
-        placed = (regions.join(own, "doc", "left").join(lead, "first", "left")
-                  .withColumn("component", F.coalesce("component", "doc"))
-                  .withColumn("lead", F.coalesce("lead", "first")))
-        away = placed.where(F.col("component") != F.col("lead"))
-        # members outside the first one's component: among themselves ...
-        again = away.groupBy("region").agg(F.min(F.struct("component", "doc")).alias("m"),
-                                           F.max("component").alias("most"))
-        again = again.where(F.col("m.component") != F.col("most")).select("region", F.col("m.doc").alias("nxt"))
-        rest = stored(away.select("region", "doc", "first").join(again, "region")
-                      .select("region", "doc", F.col("nxt").alias("first")), "regions")
-        more = rest.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b"))
-        # ... and against those of the first one's component that are near enough
-        apart = done.select("a", "b", (1 - F.col("shared") / F.col("joint")).alias("far"))
-        apart = apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
-        apart = apart.select(F.col("a").alias("first"), F.col("b").alias("doc"), "far")
-        reach = 1 - THRESHOLD / 100 + 1e-9
-        outer = (away.join(apart.where(F.col("far") <= 2 * reach), ["first", "doc"])
-                 .select("region", F.col("doc").alias("b"), F.col("far").alias("far_b")))
-        inner = (placed.where((F.col("component") == F.col("lead")) & (F.col("doc") != F.col("first")))
-                 .join(apart, ["first", "doc"], "left")
-                 .select("region", F.col("doc").alias("a"), F.coalesce("far", F.lit(1.0)).alias("far_a")))
-        across = outer.join(inner, "region").where(F.col("far_b") - F.col("far_a") <= reach).select("a", "b")
-        todo = stored(more.unionByName(across).select(*ordered).distinct()
-                      .join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        regions = rest
-        if todo.isEmpty():
-            return comp
+    done = confirm(docs, todo)
+    links = _linked(done)
+    comp = stored(components(links), "near-comp")
+    opened = stored(unsettled(regions, done, comp), "unsettled")
+    if opened.isEmpty():
+        return comp
+    more = stored(prefix_candidates(docs, opened).join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    if more.isEmpty():
+        return comp
+    return stored(components(links.unionByName(_linked(confirm(docs, more)))), "near-comp")
+
+
+def _linked(compared: DataFrame) -> DataFrame:
+    near = compared.where(F.col("shared") * 100 >= F.col("joint") * THRESHOLD)
+    return near.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
