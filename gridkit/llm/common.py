@@ -77,3 +77,15 @@ def join_counted(left: DataFrame, right: DataFrame, keys: list[str], n: str,
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+#: so many ids are broadcast at most (a few MB); more meet in a shuffled join
+ID_BOUND = 1 << 18
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``ids`` (a null matches a null).
+    The ids are counted first: only a bounded list is broadcast."""
+    ids = stored(ids.select(F.col("doc_id").cast("long").alias("__id")).distinct(), "dropped")
+    small = F.broadcast(ids) if ids.count() <= ID_BOUND else ids
+    return docs.join(small, same(F.col("doc_id"), F.col("__id")), "left_anti")

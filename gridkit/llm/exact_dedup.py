@@ -27,13 +27,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE_CLASS, join_counted, same, stored, table, union_all
+from .common import ID_BOUND, WHITE_CLASS, join_counted, same, stored, table, union_all
 from .fuse import Filter, build
 
 #: distinct texts per bucket, and so per filter
 KEYS_PER_BUCKET = 1 << 14
-#: so many ids are broadcast at most; more are joined by a shuffle
-ID_BOUND = 500_000
 
 
 def normalised(text: Column) -> Column:

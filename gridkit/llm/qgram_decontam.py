@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import _LOWER, _WHITE, U, flat, mix, pieces
-from .common import stored, table, union_all
+from .common import table, union_all, without
 
 Q, RATE = 9, 0.075
 #: bytes of benchmark text in one block
@@ -243,8 +243,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item."""
-    found = stored(contaminated(docs, benchmark).select("doc_id").distinct(), "leaks")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    return without(docs, contaminated(docs, benchmark).select("doc_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
