@@ -1,6 +1,8 @@
 """Retrieval packing over a sharded BM25 inverted index.
 
-1. Every text is encoded once; its ids (and the closing id) are stored.
+1. Every text is encoded once; its ids (and the closing id) are stored.  Windows
+   that a long document fills alone are cut from it at once, without a shuffle;
+   only its rest of less than a window goes on.
 2. Document frequencies of all ids are summed over all documents; the
    vocabulary bounds their number.
 3. Documents are dealt by range of a lexical key (the least hashes of their
@@ -13,6 +15,9 @@
    next window's seed.  With no neighbour left, the next unused document
    follows.  So only the last window of a shard is padded.
 
+So a row of a shard is always less than a window, and shards hold alike many
+tokens, however long single texts are.
+
 Edge cases: null and empty texts are the closing id alone; rows that repeat a
 doc_id are packed each; a null doc_id is kept as null; an empty table gives an
 empty result.
@@ -43,6 +48,8 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 def _encode(files: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(files)
+        # a fixed random order of the ids, by rank
+        rank = np.argsort(np.argsort(mix(np.arange(1 << 16, dtype=U) + U(0x632BE59BD9B4E019)))).astype(np.uint16)
         for batch in batches:
             offsets, data = flat(batch.column(1))
             for low in range(0, batch.num_rows, 1000):
@@ -51,11 +58,11 @@ def _encode(files: dict):
                 for i in range(low, high):
                     ids = encoder.ids(data[offsets[i]: offsets[i + 1]].tobytes())
                     row = np.append(ids, CLOSING).astype(np.uint16)
-                    h = np.sort(mix(np.unique(row).astype(U) + U(0x632BE59BD9B4E019)))[:3]
-                    key = 0
-                    for x in [*h.tolist(), 0, 0][:3]:
-                        key = key << 16 | x >> 48
-                    keys.append(key << 15 & 0x7FFFFFFFFFFFFFFF)
+                    left, key = rank[row], 0
+                    for _ in range(3):  # the three least ranks name the neighbourhood
+                        least = int(left.min()) if len(left) else 0
+                        key, left = key << 16 | least, left[left > least]
+                    keys.append(key << 15)
                     sizes.append(len(row))
                     out.append(row.tobytes())
                 yield pa.RecordBatch.from_arrays(
@@ -154,32 +161,52 @@ def fill(sizes: list[int], neighbours, window: int = WINDOW) -> Iterator[tuple[i
 
 def _pack(idf: np.ndarray, mean: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, docs, shard = [], [], 0
+        names, docs, before, shard = [], [], [], 0
         for batch in batches:
             names += batch.column("doc_id").to_pylist()
             docs += [np.frombuffer(x.as_buffer(), np.uint16) for x in batch.column("ids")]
+            before += batch.column("start").to_pylist()
             if batch.num_rows:
                 shard = batch.column("shard")[0].as_py()
         if not docs:
             return
         index, out = Index(docs, idf, mean), []
-
-        def rows(out: list) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
-                                              names=[x.split()[0] for x in PIECES.split(", ")])
-
         for d, start, length, number, offset in fill([len(x) for x in docs], index.neighbours):
             ids = docs[d][start: start + length].astype("<u4").tobytes()
-            out.append((names[d], start, length, ids, len(docs[d]), (shard << 32) + number, offset))
+            out.append((names[d], before[d] + start, length, ids, before[d] + len(docs[d]),
+                        (shard << 32) + number, offset))
             if len(out) == 4000:
-                yield rows(out)
+                yield _pieces(out)
                 out = []
         if out:
-            yield rows(out)
+            yield _pieces(out)
     return run
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows that a document fills alone."""
+    number = 0
+    for batch in batches:
+        out = []
+        for name, ids, n, part in zip(*(batch.column(c) for c in ("doc_id", "ids", "n", "part"))):
+            ids = np.frombuffer(ids.as_buffer(), np.uint16)
+            for start in range(0, len(ids) - WINDOW + 1, WINDOW):
+                out.append((name.as_py(), start, WINDOW, ids[start: start + WINDOW].astype("<u4").tobytes(),
+                            n.as_py(), (1 << 61) + (part.as_py() << 32) + number, 0))
+                number += 1
+                if len(out) == 1000:
+                    yield _pieces(out)
+                    out = []
+        if out:
+            yield _pieces(out)
+
+
+def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+                                      names=[x.split()[0] for x in PIECES.split(", ")])
+
+
 def pack(docs: DataFrame, files: dict | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Pieces of all documents with their ids (little-endian 32 bit)."""
     encoded = encode(docs, files)
@@ -191,12 +218,19 @@ def pack(docs: DataFrame, files: dict | None = None, shard_tokens: int = SHARD_T
     n = whole["rows"]
     idf = np.log1p((n - df + 0.5) / (df + 0.5))
     mean = (whole["tokens"] or 1) / max(n, 1)
-    shards = max(1, -(-(whole["tokens"] or 1) // shard_tokens))
+    start = F.col("n") - F.col("n") % WINDOW
+    alone = (encoded.where(F.col("n") >= WINDOW)
+             .select("doc_id", "ids", "n", F.spark_partition_id().cast("long").alias("part"))
+             .mapInArrow(_whole, PIECES))
+    rests = encoded.where(F.col("n") % WINDOW > 0)
+    tokens = rests.agg(F.sum(F.col("n") % WINDOW)).first()[0] or 1
+    shards = max(1, -(-tokens // shard_tokens))
     # the low bits tell copies of a text apart, so that they spread over shards
     low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 15))
-    dealt = (encoded.withColumn("key", F.col("key") + low).repartitionByRange(shards, "key")
-             .withColumn("shard", F.spark_partition_id().cast("long")))
-    return dealt.select("doc_id", "ids", "shard").mapInArrow(_pack(idf, mean), PIECES)
+    tail = F.expr(f"substring(ids, cast(n - n % {WINDOW} as int) * 2 + 1, {2 * WINDOW})")
+    dealt = (rests.select("doc_id", start.alias("start"), tail.alias("ids"), (F.col("key") + low).alias("key"))
+             .repartitionByRange(shards, "key").withColumn("shard", F.spark_partition_id().cast("long")))
+    return dealt.select("doc_id", "start", "ids", "shard").mapInArrow(_pack(idf, mean), PIECES).unionByName(alone)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
