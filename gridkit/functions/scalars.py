@@ -77,16 +77,25 @@ def case_value(x, mapping: Iterable[tuple[object, object]], default) -> Column:
     return case_ladder([(c == F.lit(k), v) for k, v in mapping], default)
 
 
-# Relative nudge applied before rounding: sums of the same doubles taken in a
-# different order differ in the last bits, which can flip an exact .5 tie;
-# nudging by 1e-10 (far below any reported precision) rounds such ties away
-# from zero in every engine.
-ROUND_NUDGE = 1e-10
+# Reports sum and round in decimals: a decimal sum does not depend on the order
+# of its terms, and a decimal tie is a tie in every engine, at any magnitude.
+EXACT = "decimal(28,9)"
+REPORT = "decimal(38,9)"
+
+
+def exact_sum(x) -> Column:
+    """``SUM`` of DOUBLE values taken at nine decimals (DECIMAL result)."""
+    return F.sum(col(x).cast(EXACT))
+
+
+def exact_avg(x) -> Column:
+    """``AVG`` from the exact sum (DOUBLE result)."""
+    return exact_sum(x).cast("double") / F.count(col(x))
 
 
 def rnd(x, scale: int = 0) -> Column:
-    """``ROUND(x, scale)`` half away from zero, stable under summation order."""
-    return F.round(col(x) * dbl(1 + ROUND_NUDGE), scale)
+    """``ROUND(x, scale)`` half away from zero on the decimal value of ``x``."""
+    return F.round(col(x).cast(REPORT), scale).cast("double")
 
 
 def asset_tag(asset_type, asset_id) -> Column:

@@ -8,11 +8,13 @@ document's own rows, cross-document work is shuffled by key.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dbl, rnd
-from .windows import DAY, trailing
+from .windows import cumulative_sum
 
 # ------------------------------------------------------------------ fixed values
 BANNED_PHRASES = ("delve into", "leverage", "in conclusion", "this analysis shows",
@@ -44,7 +46,8 @@ OVERNIGHT_FROM_HOUR = 22
 OVERNIGHT_TO_HOUR = 6
 APPROVAL_TIERS = ((250000, "VP, Asset Management"), (75000, "Regional Director of Operations"))
 DEFAULT_APPROVER = "Regional Maintenance Planner"
-DEFERRAL_LOOKBACK_DAYS = 90
+# time per chunk of the running count of deferrals (c16)
+DEFERRAL_CHUNK_DAYS = 30
 
 
 # ------------------------------------------------------------------ parsing
@@ -226,10 +229,10 @@ def invoice_lines(docs: DataFrame) -> DataFrame:
     cells = F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|")
     x = ln.select("doc_id", "line_no", cells.alias("_c"))
     amount_txt = F.regexp_extract(F.element_at("_c", -1), r"\$\s*([0-9][0-9,]*(?:\.[0-9]+)?)", 1)
+    x = x.withColumn("_amount", F.regexp_replace(amount_txt, ",", ""))
     item = F.trim(F.regexp_replace(F.element_at("_c", 1), r"\*", ""))
     return x.select("doc_id", "line_no", item.alias("item"),
-                    F.try_to_number(F.regexp_replace(amount_txt, ",", ""), F.lit("9999999999.99"))
-                    .cast("double").alias("amount"),
+                    F.expr("try_cast(_amount AS DOUBLE)").alias("amount"),
                     F.lower(item).contains("total").alias("is_total"))
 
 
@@ -318,21 +321,20 @@ def approval_tier(amount) -> F.Column:
     return out.otherwise(DEFAULT_APPROVER)
 
 
-def deferred_before_failure(tables, days: int = DEFERRAL_LOOKBACK_DAYS) -> DataFrame:
-    """c16: overdue (deferred) maintenance items on the same asset in the
-    ``days`` before each forced outage.  A time-bucketed trailing count over
-    the union of both event kinds; no pairs are materialised."""
+def deferred_before_failure(tables) -> DataFrame:
+    """c16: overdue (deferred) maintenance items planned on the same asset at
+    any time up to each forced outage: a running count over both event kinds
+    (chunked prefix sums; no pairs are materialised)."""
     ms = tables["maintenance_schedule"].filter(F.col("overdue_flag")).select(
         "asset_id", F.col("planned_date").cast("timestamp_ntz").alias("ts"),
-        F.lit(None).cast("long").alias("outage_id"),
-        F.concat(F.lit("m"), F.col("schedule_id").cast("string")).alias("_uid"))
+        F.lit(None).cast("long").alias("outage_id"), F.col("schedule_id").alias("_uid"), F.lit(1).alias("_d"))
     fo = tables["outages"].filter(F.col("forced_outage_flag")).select(
         "asset_id", F.col("outage_start_ts").alias("ts"), "outage_id",
-        F.concat(F.lit("o"), F.col("outage_id").cast("string")).alias("_uid"))
-    u = ms.unionByName(fo)
-    c = trailing(u, "asset_id", "ts", days * DAY,
-                 {"deferred_items": ("count", F.when(F.col("outage_id").isNull(), F.lit(1)))},
-                 "_uid")
+        F.col("outage_id").alias("_uid"), F.lit(0).alias("_d"))
+    u = ms.unionByName(fo).withColumn("_e", F.unix_micros(F.col("ts").cast("timestamp")))
+    # an item planned for the very time of an outage comes before it
+    c = cumulative_sum(u, "asset_id", "_e", ["_e", F.desc("_d"), "_uid"], "_d", "deferred_items",
+                       chunk_s=DEFERRAL_CHUNK_DAYS * 86400 * 1_000_000)
     return c.filter(F.col("outage_id").isNotNull()).select(
         "outage_id", "asset_id", F.col("ts").alias("outage_start_ts"), "deferred_items")
 
@@ -344,7 +346,8 @@ def label_centroids(emb: DataFrame) -> DataFrame:
     return x.groupBy("label", "pos").agg(F.avg("x").alias("value"))
 
 
-MAX_QUERIES = 256
+# query vectors per block (one broadcast matrix, one pass over the vectors each)
+QUERY_BLOCK = 256
 
 
 def _partition_topk(batches, qids, qmat, k):
@@ -378,20 +381,27 @@ def topk_by_cosine(emb: DataFrame, queries: list[tuple[object, list[float]]], k:
                    query_type: str | None = None) -> DataFrame:
     """c17: the k vectors most cosine-similar to each query vector.
 
-    The query matrix is a bounded list (checked), broadcast to the tasks;
-    each partition scores its vectors with one matrix product (Arrow
-    batches into numpy) and keeps a running top-k per query, so a task
-    emits at most ``queries x k`` rows.  The global top-k then ranks at most
+    Queries go in blocks of ``QUERY_BLOCK``: each block's matrix is broadcast,
+    each partition scores its vectors with one matrix product (Arrow batches
+    into numpy) and keeps a running top-k per query, so a task emits at most
+    ``block x k`` rows.  The global top-k then ranks at most
     ``partitions x queries x k`` survivors.  Ties break on the vector id.
     """
+    qtype = query_type or ("long" if all(isinstance(q, int) for q, _ in queries) else "string")
+    if not queries:
+        return emb.sparkSession.createDataFrame(
+            [], f"query {qtype}, rank long, vec_id long, score double")
+    blocks = [queries[i:i + QUERY_BLOCK] for i in range(0, len(queries), QUERY_BLOCK)]
+    return reduce(DataFrame.unionByName, [_topk_block(emb, b, k, qtype) for b in blocks])
+
+
+def _topk_block(emb: DataFrame, queries: list[tuple[object, list[float]]], k: int,
+                qtype: str) -> DataFrame:
     import numpy as np
-    if len(queries) > MAX_QUERIES:
-        raise ValueError(f"{len(queries)} queries exceed the broadcast bound {MAX_QUERIES}")
     qids = [q for q, _ in queries]
     qmat = np.array([v for _, v in queries], dtype=np.float64)
     qmat = qmat / np.linalg.norm(qmat, axis=1, keepdims=True)
     bc = emb.sparkSession.sparkContext.broadcast((qids, qmat))
-    qtype = query_type or ("long" if all(isinstance(q, int) for q in qids) else "string")
 
     def score(batches):
         ids, mat = bc.value
@@ -406,11 +416,8 @@ def topk_by_cosine(emb: DataFrame, queries: list[tuple[object, list[float]]], k:
 
 
 def centroid_queries(emb: DataFrame) -> list[tuple[object, list[float]]]:
-    """Label centroids as a bounded query list (one small aggregate to the
-    driver, refused above ``MAX_QUERIES``)."""
-    c = label_centroids(emb)
-    rows = (c.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "value")))
-                                   .alias("v")).limit(MAX_QUERIES + 1).collect())
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} labels: query list not bounded")
-    return [(r["label"], [p["value"] for p in r["v"]]) for r in rows]
+    """Label centroids as a query list: the stated query set of c17, one vector
+    per label, read block by block."""
+    c = (label_centroids(emb).groupBy("label")
+         .agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("v")))
+    return [(r["label"], [p["value"] for p in r["v"]]) for r in c.toLocalIterator()]

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import (add_hours, rnd, case_ladder, dbl, hours_between,
+from ..functions.scalars import (add_hours, case_ladder, dbl, exact_avg, hours_between, rnd,
                                  sigmoid, trunc_ts)
 
 def _memo(fn):
@@ -168,7 +168,7 @@ def region_day_price(tables) -> DataFrame:
     mp = tables["market_prices"]
     # prices are reported to 1e-9: both engines then agree bit for bit
     return (mp.groupBy("region_id", F.to_date("timestamp").alias("date"))
-              .agg(rnd(F.avg("real_time_price_mwh"), 9).alias("avg_price")))
+              .agg(rnd(exact_avg("real_time_price_mwh"), 9).alias("avg_price")))
 
 
 def asset_pnl(tables, start_date, end_date, curtail_share: float = 0.075,

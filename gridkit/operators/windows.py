@@ -1,19 +1,13 @@
 """Rolling-window rules (w02-w07) stated in the operating documents.
 
-Trailing-window aggregates (``trailing``) are computed exactly without ever
-putting one entity's whole history into one task.  Time is cut into buckets
-of ``lookback / 24``; the window ``[t - lookback, t]`` of a row in bucket
-``b`` is
-
-* the part of bucket ``b`` up to ``t``        (running aggregate per (key, b)),
-* the full buckets ``b-23 .. b-1``            (per-bucket summaries, windowed per key),
-* the part of bucket ``b-24`` from ``t - lookback`` (a probe row placed in that
-  bucket; suffix aggregate per (key, b-24)).
-
-Every window therefore runs per ``(entity, bucket)`` or over the per-bucket
-summaries (at most one row per entity-bucket), rows are at most doubled
-(the probes), and no pairs are produced.  Works for count / sum / min / max
-(and avg as sum / count).
+Trailing-window aggregates (``trailing``) cut time into chunks of one lookback.
+The window ``[t - lookback, t]`` of a row is the part of its own chunk up to
+``t`` and the part of the chunk before from ``t - lookback`` on.  So each row
+is copied into the next chunk, at the time it leaves the window; in a chunk, a
+running aggregate forwards over the own rows and one backwards over the copies
+meet at every row.  One exchange by (entity, chunk), linear work per chunk, no
+pairs and no join back; a chunk sorts and spills like any other partition.
+Works for count / sum / min / max (and avg as sum / count).
 """
 
 from __future__ import annotations
@@ -22,10 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dbl, sum_if
-from .joins import time_window_join
 
 DAY = 86400
-BUCKETS_PER_WINDOW = 24
 # Fixed values of the rules.
 FIRST_FIX_DAYS = 90
 ESCALATION_COUNT = 3
@@ -37,9 +29,6 @@ SUSTAINED_THRESHOLD = 3.5          # mm/s RMS (other documents: 4.5 / 6.0 / 10.0
 RUNNING_MEAN_HOURS = 24
 WEEKLY_HOURS_LIMIT = 60
 
-_COMBINE = {"count": "sum", "sum": "sum", "min": "min", "max": "max"}
-
-
 def _agg(kind: str, c: Column) -> Column:
     return {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}[kind](c)
 
@@ -61,82 +50,56 @@ def _merge(kind: str, cols: list[Column]) -> Column:
     return (F.least if kind == "min" else F.greatest)(*cols)
 
 
-def trailing(df: DataFrame, key: str, ts: str, lookback_s: int,
-             aggs: dict[str, tuple[str, Column | str]], id_col: str) -> DataFrame:
-    """Add ``aggs`` over the window ``[ts - lookback_s, ts]`` per ``key``.
+def trailing_on(df: DataFrame, key: str, at: Column, lookback: int,
+                aggs: dict[str, tuple[str, Column | str]]) -> DataFrame:
+    """Add ``aggs`` over the rows of ``key`` with ``at`` in ``[at - lookback, at]``.
 
     ``aggs`` maps output name -> (kind, value) with kind in count / sum /
     min / max; ``value`` is a column (name) evaluated per row (for count,
-    rows with a NULL value are not counted).  ``id_col`` must be unique per
-    row.  Times are whole epoch seconds.
-
-    Plan: events and their probes are unioned and shuffled once by
-    ``(key, bucket)``; one window operator (one sort) yields both the
-    running aggregate of each event (bucket part up to ``t``) and the
-    suffix aggregate at each probe (oldest bucket from ``t - lookback``).
-    The per-bucket summaries are tiny; the probe results return to their
-    events by id.
+    rows with a NULL value are not counted).  ``at`` is a whole number.
     """
-    k = BUCKETS_PER_WINDOW
-    if lookback_s % k:
-        raise ValueError("lookback must be a multiple of the bucket count")
-    bsz = lookback_s // k
     vals = {n: (kind, F.col(v) if isinstance(v, str) else v) for n, (kind, v) in aggs.items()}
-    vcols = [f"_v_{n}" for n in vals]
-    cols = df.columns
-    ev = df.select("*", F.unix_timestamp(F.col(ts)).alias("_e"),
-                   *[c.alias(f"_v_{n}") for n, (_, c) in vals.items()])
-    ev = ev.withColumn("_b", F.floor(F.col("_e") / bsz)).withColumn("_probe", F.lit(False))
-    probes = ev.select(
-        *[(F.col(c) if c in (key, id_col) else F.lit(None).cast(ev.schema[c].dataType)).alias(c)
-          for c in cols],
-        (F.col("_e") - lookback_s).alias("_e"),
-        *[F.lit(None).cast(ev.schema[v].dataType).alias(v) for v in vcols],
-        (F.col("_b") - k).alias("_b"), F.lit(True).alias("_probe"))
-    u = ev.unionByName(probes)
-    # probes sort before events of the same second: an event's running frame
-    # includes all events up to its own time (ties included) and a probe's
-    # suffix frame includes every event at or after the probe time
-    order = Window.partitionBy(key, "_b").orderBy("_e", F.col("_probe").desc())
-    w_run = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    w_suf = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    both = u.select("*", *[_agg(kind, F.col(f"_v_{n}")).over(w_run).alias(f"_end_{n}")
-                           for n, (kind, _) in vals.items()],
-                    *[_agg(kind, F.col(f"_v_{n}")).over(w_suf).alias(f"_st_{n}")
-                      for n, (kind, _) in vals.items()])
-    events = both.filter(~F.col("_probe")).drop(*[f"_st_{n}" for n in vals])
-    starts = both.filter(F.col("_probe")).select(
-        F.col(id_col).alias("_pid"), *[f"_st_{n}" for n in vals])
-
-    summ = ev.groupBy(key, "_b").agg(*[_agg(kind, F.col(f"_v_{n}")).alias(f"_s_{n}")
-                                       for n, (kind, _) in vals.items()])
-    w_mid = Window.partitionBy(key).orderBy("_b").rangeBetween(-(k - 1), -1)
-    mid = summ.select(key, "_b", *[_agg(_COMBINE[kind], F.col(f"_s_{n}")).over(w_mid)
-                                   .alias(f"_mid_{n}") for n, (kind, _) in vals.items()])
-
-    j = (events.join(mid, [key, "_b"], "left")
-               .join(starts, F.col(id_col) == F.col("_pid"), "left"))
-    return j.select(*cols, *[_merge(kind, [F.col(f"_end_{n}"), F.col(f"_mid_{n}"),
-                                           F.col(f"_st_{n}")]).alias(n)
-                             for n, (kind, _) in vals.items()])
+    x = df.select("*", at.alias("_e"), *[c.alias(f"_v_{n}") for n, (_, c) in vals.items()])
+    x = x.withColumn("_copy", F.explode(F.array(F.lit(False), F.lit(True))))
+    copy = F.col("_copy")
+    x = (x.withColumn("_chunk", F.floor(F.col("_e") / lookback) + copy.cast("int"))
+          .withColumn("_t", F.col("_e") + copy.cast("int") * F.lit(lookback)))
+    part = Window.partitionBy(key, "_chunk")
+    span = (Window.unboundedPreceding, Window.currentRow)
+    up = part.orderBy("_t").rangeBetween(*span)
+    down = part.orderBy(F.desc("_t")).rangeBetween(*span)
+    out = x.select(*df.columns, "_copy", *[
+        _merge(kind, [_agg(kind, F.when(~copy, F.col(f"_v_{n}"))).over(up),
+                      _agg(kind, F.when(copy, F.col(f"_v_{n}"))).over(down)]).alias(n)
+        for n, (kind, _) in vals.items()])
+    return out.filter(~copy).drop("_copy")
+
+
+def trailing(df: DataFrame, key: str, ts: str, lookback_s: int,
+             aggs: dict[str, tuple[str, Column | str]]) -> DataFrame:
+    """``trailing_on`` in whole epoch seconds of the timestamp ``ts``."""
+    return trailing_on(df, key, F.unix_timestamp(F.col(ts)), lookback_s, aggs)
+
+
+def micros(ts) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
 def first_time_fix(tables, days: int = FIRST_FIX_DAYS) -> DataFrame:
     """w02: share of emergency repairs not followed by a forced outage on the
-    same asset within ``days`` after the work order was created."""
+    same asset within ``days`` after the work order was created: backwards in
+    time, the latest outage of the window is after the repair."""
     em = (tables["work_orders"].filter(F.col("work_order_type") == "emergency")
-          .select("work_order_id", "asset_id", "created_ts"))
+          .select("asset_id", micros("created_ts").alias("_at"), F.lit(True).alias("_repair")))
     fo = (tables["outages"].filter(F.col("forced_outage_flag"))
-          .select("asset_id", "outage_start_ts"))
-    hit = time_window_join(em, fo, "asset_id", "created_ts", "outage_start_ts",
-                           days * DAY, 7 * DAY, include_start=False) \
-        .select("work_order_id").distinct()
-    flagged = em.join(hit.withColumn("_refail", F.lit(True)), "work_order_id", "left")
-    return flagged.agg(
+          .select("asset_id", micros("outage_start_ts").alias("_at"), F.lit(False).alias("_repair")))
+    seen = trailing_on(em.unionByName(fo), "asset_id", -F.col("_at"), days * DAY * 1_000_000,
+                       {"_last": ("max", F.when(~F.col("_repair"), F.col("_at")))})
+    fixed = F.coalesce(F.col("_last") <= F.col("_at"), F.lit(True))
+    return seen.filter("_repair").agg(
         F.count(F.lit(1)).alias("emergency_repairs"),
-        sum_if(F.col("_refail").isNull()).alias("fixed_first_time"),
-        (dbl(100) * sum_if(F.col("_refail").isNull()) / F.count(F.lit(1)))
-        .alias("first_time_fix_pct"))
+        sum_if(fixed).alias("fixed_first_time"),
+        (dbl(100) * sum_if(fixed) / F.count(F.lit(1))).alias("first_time_fix_pct"))
 
 
 def third_outage_escalation(tables, n: int = ESCALATION_COUNT,
@@ -149,7 +112,7 @@ def third_outage_escalation(tables, n: int = ESCALATION_COUNT,
           .select("asset_id", "outage_id", "outage_start_ts"))
     c = trailing(fo, "asset_id", "outage_start_ts", lookback_days * DAY,
                  {"n_trailing": ("count", F.lit(1)),
-                  "_first_e": ("min", F.unix_timestamp("outage_start_ts"))}, "outage_id")
+                  "_first_e": ("min", F.unix_timestamp("outage_start_ts"))})
     c = c.withColumn("window_first_ts", F.timestamp_seconds("_first_e").cast("timestamp_ntz"))
     esc = c.filter(F.col("n_trailing") >= n)
     first = esc.groupBy("asset_id").agg(
@@ -169,7 +132,7 @@ def trailing_deployments(tables, lookback_days: int = ESCALATION_LOOKBACK_DAYS,
     em = (tables["work_orders"].filter(F.col("work_order_type") == "emergency")
           .select("work_order_id", "asset_id", "created_ts"))
     c = trailing(em, "asset_id", "created_ts", lookback_days * DAY,
-                 {"trailing_12m_count": ("count", F.lit(1))}, "work_order_id")
+                 {"trailing_12m_count": ("count", F.lit(1))})
     return c.select("work_order_id", "asset_id", "created_ts", "trailing_12m_count",
                     (F.col("trailing_12m_count") >= n).alias("at_or_over_limit"))
 
@@ -185,7 +148,7 @@ def sustained_exceedance(tables, column: str = "vibration",
     t = tables["telemetry"].select("telemetry_id", "asset_id", "timestamp", column)
     c = trailing(t, "asset_id", "timestamp", hours * 3600,
                  {"window_min": ("min", column),
-                  "_first_e": ("min", F.unix_timestamp("timestamp"))}, "telemetry_id")
+                  "_first_e": ("min", F.unix_timestamp("timestamp"))})
     covered = ((F.unix_timestamp("timestamp") - F.col("_first_e")) / dbl(3600)
                >= dbl(hours - coverage_gap_hours))
     return c.select("telemetry_id", "asset_id", "timestamp", "window_min",
@@ -197,7 +160,7 @@ def running_mean(tables, column: str = "vibration", hours: int = RUNNING_MEAN_HO
     t = tables["telemetry"].select("telemetry_id", "asset_id", "timestamp", column)
     c = trailing(t, "asset_id", "timestamp", hours * 3600,
                  {"_sum": ("sum", column), "_n": ("count", column),
-                  "n_readings": ("count", F.lit(1))}, "telemetry_id")
+                  "n_readings": ("count", F.lit(1))})
     return c.select("telemetry_id", "asset_id", "timestamp", column,
                     (F.col("_sum") / F.when(F.col("_n") > 0, F.col("_n"))).alias("running_mean"),
                     "n_readings")

@@ -18,10 +18,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import (case_ladder, rnd, count_if, dbl, epoch_seconds,
-                                 hours_between, safe_div, sum_if, trunc_ts)
+from ..functions.scalars import (case_ladder, count_if, dbl, epoch_seconds, exact_avg, exact_sum,
+                                 hours_between, rnd, safe_div, sum_if, trunc_ts)
 from ..operators.joins import asset_dims, hourly_interval_join, window_after_join
 from ..operators.rollups import financial_spine
+from ..operators.windows import micros, trailing_on
 
 # Region filters of the original reports, and report constants.
 PRICE_REPORT_REGIONS = ("CAISO", "ERCOT", "NYISO")
@@ -42,7 +43,7 @@ def asset_mix(tables) -> DataFrame:
     """q01: assets by type with average criticality."""
     return (tables["assets"].groupBy("asset_type")
             .agg(F.count(F.lit(1)).alias("n"),
-                 rnd(F.avg("criticality_score"), 2).alias("avg_crit")))
+                 rnd(exact_avg("criticality_score"), 2).alias("avg_crit")))
 
 
 def site_mix(tables) -> DataFrame:
@@ -50,7 +51,7 @@ def site_mix(tables) -> DataFrame:
     s = tables["sites"].join(F.broadcast(tables["regions"]), "region_id")
     return (s.groupBy("region_name", "generation_type")
              .agg(F.count(F.lit(1)).alias("n_sites"),
-                  rnd(F.sum("capacity_mw"), 0).alias("total_mw")))
+                  rnd(exact_sum("capacity_mw"), 0).alias("total_mw")))
 
 
 def price_by_month(tables, regions: Sequence[str] = PRICE_REPORT_REGIONS) -> DataFrame:
@@ -58,7 +59,7 @@ def price_by_month(tables, regions: Sequence[str] = PRICE_REPORT_REGIONS) -> Dat
     r = tables["regions"].filter(F.col("region_name").isin(*regions))
     mp = tables["market_prices"].join(F.broadcast(r), "region_id")
     return (mp.groupBy("region_name", F.month("timestamp").alias("month"))
-              .agg(rnd(F.avg("real_time_price_mwh"), 2).alias("avg_price")))
+              .agg(rnd(exact_avg("real_time_price_mwh"), 2).alias("avg_price")))
 
 
 def price_by_hour(tables, region: str = HOURLY_PRICE_REGION) -> DataFrame:
@@ -66,7 +67,7 @@ def price_by_hour(tables, region: str = HOURLY_PRICE_REGION) -> DataFrame:
     r = tables["regions"].filter(F.col("region_name") == region)
     mp = tables["market_prices"].join(F.broadcast(r), "region_id")
     return (mp.groupBy(F.hour("timestamp").alias("hour"))
-              .agg(rnd(F.avg("real_time_price_mwh"), 2).alias("avg_price")))
+              .agg(rnd(exact_avg("real_time_price_mwh"), 2).alias("avg_price")))
 
 
 def anomaly_outage_buckets(tables) -> DataFrame:
@@ -85,23 +86,23 @@ def anomaly_outage_buckets(tables) -> DataFrame:
                           (a <= 15, "6-15")], "16+")
     return (per_asset.groupBy(bucket.alias("anomaly_bucket"))
             .agg(F.count(F.lit(1)).alias("n_assets"),
-                 rnd(F.avg("outages"), 2).alias("avg_forced_outages")))
+                 rnd(exact_avg("outages"), 2).alias("avg_forced_outages")))
 
 
 def loss_by_reason(tables) -> DataFrame:
     """q06: outage count and lost generation by reason."""
     return (tables["outages"].groupBy("outage_reason")
             .agg(F.count(F.lit(1)).alias("n_outages"),
-                 rnd(F.avg("lost_generation_mwh"), 1).alias("avg_lost_mwh"),
-                 rnd(F.sum("lost_generation_mwh"), 0).alias("total_lost_mwh")))
+                 rnd(exact_avg("lost_generation_mwh"), 1).alias("avg_lost_mwh"),
+                 rnd(exact_sum("lost_generation_mwh"), 0).alias("total_lost_mwh")))
 
 
 def wo_linkage(tables) -> DataFrame:
     """q07: work-order type stats and share linked to an outage."""
     return (tables["work_orders"].groupBy("work_order_type")
             .agg(F.count(F.lit(1)).alias("n"),
-                 rnd(F.avg("labor_hours"), 1).alias("avg_labor"),
-                 rnd(F.avg("parts_cost_usd"), 0).alias("avg_parts_cost"),
+                 rnd(exact_avg("labor_hours"), 1).alias("avg_labor"),
+                 rnd(exact_avg("parts_cost_usd"), 0).alias("avg_parts_cost"),
                  rnd(dbl(100) * sum_if(F.col("outage_id").isNotNull())
                          / F.count(F.lit(1)), 1).alias("pct_with_outage_link")))
 
@@ -116,16 +117,16 @@ def outage_price_impact(tables) -> DataFrame:
                                         "real_time_price_mwh")
     j = hourly_interval_join(oh, mp, "region_id", "outage_start_ts", "outage_end_ts", "mp_ts")
     pao = (j.groupBy("outage_id", "lost_generation_mwh")
-             .agg(F.avg("real_time_price_mwh").alias("avg_price_during")))
+             .agg(exact_avg("real_time_price_mwh").alias("avg_price_during")))
     p = F.col("avg_price_during")
     bucket = case_ladder([(p < 35, "low (<$35)"), (p < 50, "mid ($35-50)"),
                           (p < 65, "high ($50-65)")], "peak ($65+)")
     loss = F.col("lost_generation_mwh") * p
     return (pao.groupBy(bucket.alias("price_bucket"))
                .agg(F.count(F.lit(1)).alias("n_outages"),
-                    rnd(F.avg("lost_generation_mwh"), 1).alias("avg_lost_mwh"),
-                    rnd(F.avg(loss), 0).alias("avg_revenue_loss_usd"),
-                    rnd(F.sum(loss), 0).alias("total_revenue_loss_usd")))
+                    rnd(exact_avg("lost_generation_mwh"), 1).alias("avg_lost_mwh"),
+                    rnd(exact_avg(loss), 0).alias("avg_revenue_loss_usd"),
+                    rnd(exact_sum(loss), 0).alias("total_revenue_loss_usd")))
 
 
 def age_vs_financials(tables, as_of: _dt.date) -> DataFrame:
@@ -137,21 +138,31 @@ def age_vs_financials(tables, as_of: _dt.date) -> DataFrame:
     bucket = case_ladder([(age < 5, "<5y"), (age < 10, "5-10y"), (age < 15, "10-15y")], "15y+")
     return (a.join(f, "asset_id").groupBy(bucket.alias("age_bucket"))
              .agg(F.countDistinct("asset_id").alias("n_assets"),
-                  rnd(F.avg("profit_margin_pct"), 1).alias("avg_margin"),
-                  rnd(F.avg("revenue_usd"), 0).alias("avg_daily_rev"),
-                  rnd(F.avg("maintenance_cost_usd"), 0).alias("avg_daily_maint")))
+                  rnd(exact_avg("profit_margin_pct"), 1).alias("avg_margin"),
+                  rnd(exact_avg("revenue_usd"), 0).alias("avg_daily_rev"),
+                  rnd(exact_avg("maintenance_cost_usd"), 0).alias("avg_daily_maint")))
 
 
 def causal_chain(tables, window_hours: int = CAUSAL_WINDOW_HOURS, k: int = 15) -> DataFrame:
     """q10: anomaly -> forced outage within the window -> work order, top k."""
     an = tables["sensor_anomalies"].select(
         "anomaly_id", "asset_id", F.col("timestamp").alias("anom_ts"), "severity_score")
-    fo = _forced(tables).select("outage_id", "asset_id", "outage_start_ts")
-    ato = window_after_join(an, fo, "asset_id", "anom_ts", "outage_start_ts", window_hours)
-    ato = ato.withColumn("lag_hours", ((epoch_seconds("outage_start_ts")
-                                        - epoch_seconds("anom_ts")) / 3600).cast("int"))
     wo = tables["work_orders"].filter(F.col("outage_id").isNotNull()).select(
         "outage_id", "work_order_id", "work_order_type", "created_ts")
+    fo = (_forced(tables).select("outage_id", "asset_id", "outage_start_ts")
+          .join(wo.select("outage_id"), "outage_id", "left_semi"))
+    # the k first anomalies that any such outage follows hold the k first rows:
+    # only these are paired
+    both = an.select("asset_id", micros("anom_ts").alias("_at"), "anomaly_id", "severity_score").unionByName(
+        fo.select("asset_id", micros("outage_start_ts").alias("_at")), allowMissingColumns=True)
+    hit = trailing_on(both, "asset_id", -F.col("_at"), window_hours * 3_600_000_000,
+                      {"_next": ("min", F.when(F.col("anomaly_id").isNull(), F.col("_at")))})
+    first = (hit.filter(F.col("anomaly_id").isNotNull() & F.col("_next").isNotNull())
+             .orderBy(F.desc("severity_score"), "anomaly_id").limit(k).select("anomaly_id"))
+    top = an.join(F.broadcast(first), "anomaly_id")   # k rows
+    ato = window_after_join(top, fo, "asset_id", "anom_ts", "outage_start_ts", window_hours)
+    ato = ato.withColumn("lag_hours", ((epoch_seconds("outage_start_ts")
+                                        - epoch_seconds("anom_ts")) / 3600).cast("int"))
     j = ato.join(wo, "outage_id")   # left join + "type IS NOT NULL" == inner join
     j = j.withColumn("wo_lag_hours", ((epoch_seconds("created_ts")
                                        - epoch_seconds("outage_start_ts")) / 3600).cast("int"))
@@ -170,7 +181,7 @@ def overdue_vs_outages(tables) -> DataFrame:
                           (n <= 3, "2-3 overdue")], "4+ overdue")
     return (j.groupBy(bucket.alias("overdue_bucket"))
              .agg(F.count(F.lit(1)).alias("n_assets"),
-                  rnd(F.avg(F.coalesce("forced_outages", F.lit(0).cast("long"))), 2)
+                  rnd(exact_avg(F.coalesce("forced_outages", F.lit(0).cast("long"))), 2)
                   .alias("avg_forced_outages")))
 
 
@@ -196,8 +207,8 @@ def problem_assets(tables, k: int = 25) -> DataFrame:
     """n01: forced-outage assets by lost MWh with reactive work-order count."""
     per_asset = (_forced(tables).groupBy("asset_id")
                  .agg(F.countDistinct("outage_id").alias("forced_outages"),
-                      F.sum("lost_generation_mwh").alias("_lost"),
-                      F.sum(F.col("lost_generation_mwh") * EST_PRICE_PER_MWH).alias("_loss")))
+                      exact_sum("lost_generation_mwh").alias("_lost"),
+                      exact_sum(F.col("lost_generation_mwh") * EST_PRICE_PER_MWH).alias("_loss")))
     wc = (tables["work_orders"].filter(F.col("work_order_type").isin(*REACTIVE_TYPES))
           .groupBy("asset_id").agg(F.count(F.lit(1)).alias("_wos")))
     j = per_asset.join(asset_dims(tables, _ASSET_DIMS), "asset_id").join(wc, "asset_id", "left")
@@ -229,7 +240,7 @@ def monthly_outages(tables) -> DataFrame:
     j = _forced(tables).join(asset_dims(tables, ["region_name"]), "asset_id")
     return (j.groupBy(trunc_ts("MONTH", "outage_start_ts").alias("month"), "region_name")
              .agg(F.countDistinct("outage_id").alias("forced_outages"),
-                  rnd(F.sum("lost_generation_mwh"), 0).alias("total_lost_mwh")))
+                  rnd(exact_sum("lost_generation_mwh"), 0).alias("total_lost_mwh")))
 
 
 def vendor_reliability(tables) -> DataFrame:
@@ -243,14 +254,14 @@ def vendor_reliability(tables) -> DataFrame:
           .select("asset_id", "parts_cost_usd").join(a, "asset_id")
           .groupBy("manufacturer")
           .agg(F.count(F.lit(1)).alias("emergency_reactive_wo"),
-               rnd(F.sum("parts_cost_usd"), 0).alias("emergency_parts_cost_usd")))
+               rnd(exact_sum("parts_cost_usd"), 0).alias("emergency_parts_cost_usd")))
     base = a.groupBy("manufacturer", "asset_type").agg(
         F.countDistinct("asset_id").alias("asset_count"))
     out = (_forced(tables).select("outage_id", "asset_id", "lost_generation_mwh")
            .join(a, "asset_id").groupBy("manufacturer", "asset_type")
            .agg(F.countDistinct("outage_id").alias("_n"),
-                F.sum("lost_generation_mwh").alias("_sum"),
-                F.avg("lost_generation_mwh").alias("_avg")))
+                exact_sum("lost_generation_mwh").alias("_sum"),
+                exact_avg("lost_generation_mwh").alias("_avg")))
     j = (base.join(out, ["manufacturer", "asset_type"], "left")
              .join(wo, "manufacturer", "left"))
     return j.select("manufacturer", "asset_type", "asset_count",
@@ -285,18 +296,17 @@ def region_pnl(tables) -> DataFrame:
     """n07: revenue, costs, profit and margin by region."""
     f = financial_spine(tables)
     per_asset = f.groupBy("asset_id").agg(
-        F.sum("revenue_usd").alias("rev"), F.sum("opex_usd").alias("opex"),
-        F.sum("maintenance_cost_usd").alias("maint"),
-        F.sum(F.col("revenue_usd") - F.col("opex_usd") - F.col("maintenance_cost_usd"))
+        exact_sum("revenue_usd").alias("rev"), exact_sum("opex_usd").alias("opex"),
+        exact_sum("maintenance_cost_usd").alias("maint"),
+        exact_sum(F.col("revenue_usd") - F.col("opex_usd") - F.col("maintenance_cost_usd"))
         .alias("net"))
     j = per_asset.join(asset_dims(tables, ["region_name"]), "asset_id")
-    return (j.groupBy("region_name")
-             .agg(rnd(F.sum("rev"), 0).alias("revenue"),
-                  rnd(F.sum("opex"), 0).alias("opex"),
-                  rnd(F.sum("maint"), 0).alias("maint_cost"),
-                  rnd(F.sum("net"), 0).alias("net_profit"),
-                  rnd(safe_div(dbl(100) * F.sum("net"), F.sum("rev")), 1)
-                  .alias("margin_pct")))
+    g = j.groupBy("region_name").agg(*[F.sum(c).alias(c) for c in ("rev", "opex", "maint", "net")])
+    return g.select(
+        "region_name", rnd("rev", 0).alias("revenue"), rnd("opex", 0).alias("opex"),
+        rnd("maint", 0).alias("maint_cost"), rnd("net", 0).alias("net_profit"),
+        rnd(safe_div(dbl(100) * F.col("net").cast("double"), F.col("rev").cast("double")), 1)
+        .alias("margin_pct"))
 
 
 def repeat_offenders(tables, min_outages: int = 3, k: int = 20) -> DataFrame:
@@ -305,7 +315,7 @@ def repeat_offenders(tables, min_outages: int = 3, k: int = 20) -> DataFrame:
                  .agg(F.countDistinct("outage_id").alias("forced_outages"),
                       F.min(F.to_date("outage_start_ts")).alias("first_outage"),
                       F.max(F.to_date("outage_start_ts")).alias("last_outage"),
-                      rnd(F.sum("lost_generation_mwh"), 0).alias("total_lost_mwh"))
+                      rnd(exact_sum("lost_generation_mwh"), 0).alias("total_lost_mwh"))
                  .filter(F.col("forced_outages") >= min_outages))
     dims = asset_dims(tables, ["asset_tag", "asset_type", "manufacturer", "site_name",
                                "region_name"])
@@ -321,15 +331,15 @@ def loss_root_causes(tables) -> DataFrame:
     """g06: outage reasons by lost generation."""
     return (tables["outages"].groupBy("outage_reason")
             .agg(F.count(F.lit(1)).alias("n_outages"),
-                 rnd(F.sum("lost_generation_mwh"), 0).alias("total_lost_mwh"),
-                 rnd(F.avg("lost_generation_mwh"), 1).alias("avg_lost_mwh")))
+                 rnd(exact_sum("lost_generation_mwh"), 0).alias("total_lost_mwh"),
+                 rnd(exact_avg("lost_generation_mwh"), 1).alias("avg_lost_mwh")))
 
 
 def price_volatility(tables) -> DataFrame:
     """g10: region x hour-of-day average and standard deviation of price."""
     mp = tables["market_prices"].join(F.broadcast(tables["regions"]), "region_id")
     return (mp.groupBy("region_name", F.hour("timestamp").alias("hour_of_day"))
-              .agg(rnd(F.avg("real_time_price_mwh"), 2).alias("avg_price"),
+              .agg(rnd(exact_avg("real_time_price_mwh"), 2).alias("avg_price"),
                    rnd(F.stddev("real_time_price_mwh"), 2).alias("price_volatility")))
 
 

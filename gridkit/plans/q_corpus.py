@@ -147,8 +147,7 @@ def c14(spark, d):
 @register("c16_deferred_to_failure", with_bindings("""
 SELECT o.outage_id, o.asset_id, o.outage_start_ts,
        (SELECT COUNT(*) FROM maintenance_schedule m WHERE m.asset_id = o.asset_id AND m.overdue_flag
-          AND CAST(m.planned_date AS TIMESTAMP) <= o.outage_start_ts
-          AND floor(epoch(CAST(m.planned_date AS TIMESTAMP))) >= floor(epoch(o.outage_start_ts)) - 7776000)
+          AND CAST(m.planned_date AS TIMESTAMP) <= o.outage_start_ts)
          AS deferred_items
 FROM outages o WHERE o.forced_outage_flag"""))
 def c16(spark, d):

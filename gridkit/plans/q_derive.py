@@ -10,12 +10,11 @@ from ..sources.bindings import load
 from .oracle_sql import with_bindings
 from .registry import register
 
-# Calendar of the supplied data (events cover January 2024).
-DATA_START = dt.date(2024, 1, 1)
-DATA_END = dt.date(2024, 1, 31)
+# The rules clip to a calendar year: the one of the supplied events.
 YEAR_START = dt.datetime(2024, 1, 1)
-HOURS_IN_JANUARY = 31 * 24
 YEAR_END = dt.date(2024, 12, 31)
+FIRST_DAY = YEAR_START.date()
+HOURS_IN_YEAR = ((YEAR_END - FIRST_DAY).days + 1) * 24
 
 _CAP = """SELECT s.site_id, GREATEST(1, COALESCE(n.n, 0)) AS n_assets,
   s.capacity_mw / GREATEST(1, COALESCE(n.n, 0)) AS asset_capacity_mw
@@ -70,9 +69,9 @@ def _lph(y0, hours):
 
 
 @register("d05_loss_per_hour", with_bindings(
-    "SELECT * FROM lph", [("lph", _lph(YEAR_START, HOURS_IN_JANUARY))]))
+    "SELECT * FROM lph", [("lph", _lph(YEAR_START, HOURS_IN_YEAR))]))
 def d05(spark, d):
-    return D.loss_per_hour(load(spark, d), YEAR_START, HOURS_IN_JANUARY)
+    return D.loss_per_hour(load(spark, d), YEAR_START, HOURS_IN_YEAR)
 
 
 _CPD = """SELECT asset_id, CAST(created_ts AS DATE) AS date, SUM(parts_cost_usd) AS parts_cost_usd
@@ -84,7 +83,7 @@ def d06(spark, d):
     return D.cost_per_day(load(spark, d))
 
 
-_RDP = """SELECT region_id, CAST(timestamp AS DATE) AS date, ROUND(AVG(real_time_price_mwh), 9) AS avg_price
+_RDP = """SELECT region_id, CAST(timestamp AS DATE) AS date, ROUND(eavg(real_time_price_mwh), 9) AS avg_price
   FROM market_prices GROUP BY region_id, CAST(timestamp AS DATE)"""
 
 
@@ -110,10 +109,10 @@ FROM (
     LEFT JOIN cpd c ON sp.asset_id = c.asset_id AND sp.date = c.date))""", [
     ("cap", _CAP), ("lpd", _LPD), ("rdp", _RDP), ("cpd", _CPD),
     ("spine", f"""SELECT a.asset_id, s.region_id, c.asset_capacity_mw AS cap,
-        CAST(unnest(generate_series(DATE '{DATA_START}', DATE '{DATA_END}', INTERVAL 1 DAY)) AS DATE) AS date
+        CAST(unnest(generate_series(DATE '{FIRST_DAY}', DATE '{YEAR_END}', INTERVAL 1 DAY)) AS DATE) AS date
         FROM assets a JOIN sites s ON a.site_id = s.site_id JOIN cap c ON a.site_id = c.site_id""")]))
 def d07(spark, d):
-    return D.asset_pnl(load(spark, d), DATA_START, DATA_END)
+    return D.asset_pnl(load(spark, d), FIRST_DAY, YEAR_END)
 
 
 @register("d08_curtailment", with_bindings(f"""
@@ -126,10 +125,10 @@ LEFT JOIN (SELECT asset_id, AVG(efficiency_pct) / 100 AS eff FROM telemetry GROU
 LEFT JOIN rdp p ON sp.region_id = p.region_id AND sp.date = p.date""", [
     ("cap", _CAP), ("rdp", _RDP),
     ("spine", f"""SELECT a.asset_id, s.region_id, c.asset_capacity_mw AS cap,
-        CAST(unnest(generate_series(DATE '{DATA_START}', DATE '{DATA_END}', INTERVAL 1 DAY)) AS DATE) AS date
+        CAST(unnest(generate_series(DATE '{FIRST_DAY}', DATE '{YEAR_END}', INTERVAL 1 DAY)) AS DATE) AS date
         FROM assets a JOIN sites s ON a.site_id = s.site_id JOIN cap c ON a.site_id = c.site_id""")]))
 def d08(spark, d):
-    return D.asset_pnl(load(spark, d), DATA_START, DATA_END).select(
+    return D.asset_pnl(load(spark, d), FIRST_DAY, YEAR_END).select(
         "asset_id", "date", "curtailed_mwh")
 
 
@@ -148,12 +147,12 @@ FROM (SELECT sp.site_id, sp.timestamp,
       FROM spine sp
       LEFT JOIN lph l ON sp.site_id = l.site_id AND sp.timestamp = l.hour
       LEFT JOIN market_prices mp ON sp.region_id = mp.region_id AND sp.timestamp = mp.timestamp)""", [
-    ("lph", _lph(YEAR_START, HOURS_IN_JANUARY)),
+    ("lph", _lph(YEAR_START, HOURS_IN_YEAR)),
     ("spine", f"""SELECT site_id, region_id, generation_type, capacity_mw,
-        unnest(generate_series(TIMESTAMP '{YEAR_START}', TIMESTAMP '{YEAR_START}' + to_hours({HOURS_IN_JANUARY - 1}),
+        unnest(generate_series(TIMESTAMP '{YEAR_START}', TIMESTAMP '{YEAR_START}' + to_hours({HOURS_IN_YEAR - 1}),
                                INTERVAL 1 HOUR)) AS timestamp FROM sites""")]))
 def d09(spark, d):
-    return D.power_sales(load(spark, d), YEAR_START, HOURS_IN_JANUARY)
+    return D.power_sales(load(spark, d), YEAR_START, HOURS_IN_YEAR)
 
 
 @register("d10_region_day_price", with_bindings("SELECT * FROM rdp", [("rdp", _RDP)]))

@@ -97,12 +97,12 @@ def s04(spark, d):
 
 
 @register("s05_temp_view_sql", with_bindings("""
-SELECT outage_reason, COUNT(*) AS n_outages, ROUND(SUM(lost_generation_mwh), 0) AS total_lost_mwh
+SELECT outage_reason, COUNT(*) AS n_outages, ROUND(esum(lost_generation_mwh), 0) AS total_lost_mwh
 FROM outages WHERE forced_outage_flag GROUP BY outage_reason"""))
 def s05(spark, d):
     """The same kind of report through temp views and ``spark.sql``."""
     sinks.register_views(load(spark, d), ["outages"])
     return spark.sql("""
         SELECT outage_reason, COUNT(*) AS n_outages,
-               ROUND(SUM(lost_generation_mwh) * (1 + 1e-10D), 0) AS total_lost_mwh
+               CAST(ROUND(SUM(CAST(lost_generation_mwh AS DECIMAL(28, 9))), 0) AS DOUBLE) AS total_lost_mwh
         FROM outages WHERE forced_outage_flag GROUP BY outage_reason""")

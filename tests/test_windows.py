@@ -23,8 +23,7 @@ def test_trailing_matches_brute_force(spark):
     lookback = 3 * 86400
     got = {r.id: (r.n, r.s, r.mn, r.mx) for r in trailing(
         df, "k", "ts", lookback,
-        {"n": ("count", F.lit(1)), "s": ("sum", "v"), "mn": ("min", "v"), "mx": ("max", "v")},
-        "id").collect()}
+        {"n": ("count", F.lit(1)), "s": ("sum", "v"), "mn": ("min", "v"), "mx": ("max", "v")}).collect()}
     for rid_, key, ts, _ in rows:
         win = [v for (_, k2, ts2, v) in rows
                if k2 == key and ts - dt.timedelta(seconds=lookback) <= ts2 <= ts]
