@@ -8,38 +8,42 @@ conversation / key; per-row work is built-in expressions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# Fixed values of the trace rules.
+from .windows import trailing_on
+
+# Fixed values of the trace rules (labels, prefix, hints, texts, seconds).
 HANDOFF_PATTERN = r"(?i)<name>([^<]+)</name>"
 RAG_HINTS = ("knowledge", "rag", "doc", "retriev", "vector")
 SPACE_TOOL_PREFIX = "genie-"    # tool-name prefix of metric-space tools
+SPACE_TOOL_KIND = "genie"
 NO_RESPONSE = "(no response)"
 CACHE_TTL_SECONDS = 3600
 
-OUTPUT_SCHEMA = T.ArrayType(T.StructType([
-    T.StructField("type", T.StringType()),
-    T.StructField("name", T.StringType()),
-    T.StructField("call_id", T.StringType()),
-    T.StructField("arguments", T.StringType()),
-    T.StructField("content", T.ArrayType(T.StructType([
-        T.StructField("type", T.StringType()),
-        T.StructField("text", T.StringType())]))),
-]))
+OUTPUT_SCHEMA = ("array<struct<type:string, name:string, call_id:string, arguments:string, "
+                 "content:variant>>")
+
+
+def content_text(content: Column) -> Column:
+    """Plain text of an item's content: a list gives its parts that are
+    ``output_text`` or carry a ``text``, any other value is the text itself."""
+    field = lambda c, name: F.try_variant_get(c, f"$.{name}", "string")
+    parts = F.filter(F.try_variant_get(content, "$", "array<variant>"),
+                     lambda c: (field(c, "type") == "output_text") | field(c, "text").isNotNull())
+    listed = F.array_join(F.transform(parts, lambda c: F.coalesce(field(c, "text"), F.lit(""))), "")
+    plain = F.try_variant_get(content, "$", "string")
+    return F.coalesce(F.when(F.schema_of_variant(content).startswith("ARRAY"), listed)
+                       .otherwise(plain), F.lit(""))
 
 
 def flatten_trace(responses: DataFrame, col: str = "output") -> DataFrame:
     """k01: one row per output item with its position and plain text.
-
-    Text = concatenation of content parts that are ``output_text`` or carry
-    a ``text``.  Unparseable JSON yields no items (PERMISSIVE parse -> NULL).
-    """
+    Unparseable JSON yields no items (PERMISSIVE parse -> NULL)."""
     items = responses.select("response_id", F.posexplode_outer(
         F.from_json(F.col(col), OUTPUT_SCHEMA)).alias("pos", "item")).filter(F.col("item").isNotNull())
-    parts = F.filter("item.content", lambda c: (c["type"] == "output_text") | c["text"].isNotNull())
-    text = F.array_join(F.transform(parts, lambda c: F.coalesce(c["text"], F.lit(""))), "")
     raw_args = F.coalesce(F.col("item.arguments"), F.lit("{}"))
     # f20: arguments parsed as JSON, falling back to {"raw": <text>}
     args = F.coalesce(F.from_json(raw_args, "map<string,string>"),
@@ -47,12 +51,12 @@ def flatten_trace(responses: DataFrame, col: str = "output") -> DataFrame:
     return items.select("response_id", "pos", F.col("item.type").alias("type"),
                         F.col("item.name").alias("name"), F.col("item.call_id").alias("call_id"),
                         F.col("item.arguments").alias("arguments"), args.alias("args"),
-                        F.coalesce(text, F.lit("")).alias("text"))
+                        content_text(F.col("item.content")).alias("text"))
 
 
 def tool_kind(name) -> Column:
-    """k02: 'space' for metric-space tools (name prefix), 'rag' for
-    retrieval-like names, else 'tool'."""
+    """k02: metric-space tools by name prefix, 'rag' for retrieval-like
+    names, else 'tool'."""
     n = F.col(name) if isinstance(name, str) else name
     low = F.lower(n)
     rag = None
@@ -60,7 +64,7 @@ def tool_kind(name) -> Column:
         c = low.contains(h)
         rag = c if rag is None else (rag | c)
     return (F.when(n.isNull() | (n == ""), "tool")
-             .when(n.startswith(SPACE_TOOL_PREFIX), "space")
+             .when(n.startswith(SPACE_TOOL_PREFIX), SPACE_TOOL_KIND)
              .when(rag, "rag").otherwise("tool"))
 
 
@@ -76,20 +80,20 @@ def match_results(items: DataFrame) -> DataFrame:
     """k03: mark messages that are the result of the latest pending call.
 
     A function call becomes the pending call; the first later message with
-    the same call_id (before another call replaces it) is its result.
+    the same call_id (before another call replaces it) is its result; a call
+    and a message that both lack a call_id belong together.
     """
     w = Window.partitionBy("response_id").orderBy("pos")
     prev = w.rowsBetween(Window.unboundedPreceding, -1)
     is_call = F.col("type") == "function_call"
-    x = items.withColumn("_pend_id", F.last(F.when(is_call, F.col("call_id")), True).over(prev)) \
-             .withColumn("_pend_pos", F.last(F.when(is_call, F.col("pos")), True).over(prev))
-    cand = (F.col("type") == "message") & F.col("call_id").isNotNull() \
-        & (F.col("call_id") == F.col("_pend_id"))
+    call = F.when(is_call, F.struct("pos", "call_id"))
+    x = items.withColumn("_pend", F.last(call, True).over(prev))
+    cand = ((F.col("type") == "message") & F.col("_pend").isNotNull()
+            & F.col("call_id").eqNullSafe(F.col("_pend.call_id")))
     first = F.min(F.when(cand, F.col("pos"))).over(
-        Window.partitionBy("response_id", "_pend_pos"))
+        Window.partitionBy("response_id", F.col("_pend.pos")))
     return x.withColumn("is_tool_result", F.coalesce(cand & (F.col("pos") == first),
-                                                     F.lit(False))) \
-            .drop("_pend_id", "_pend_pos")
+                                                     F.lit(False))).drop("_pend")
 
 
 def _stripped(text: Column) -> Column:
@@ -145,16 +149,44 @@ def strip_ws(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def _keys_of_turns(batches):
+    """Rows sorted by conversation and turn: a running hash of each conversation's
+    user turns; a turn's key closes a copy of it."""
+    import hashlib
+    import json
+
+    import pyarrow as pa
+    here, state, lead = object(), None, b""
+    for batch in batches:
+        out = []
+        for conv, turn, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "text"))):
+            if conv != here:
+                here, state, lead = conv, hashlib.sha256(b"["), b""
+            message = state.copy()
+            message.update(lead + json.dumps(text.strip()).encode() + b"]")
+            state.update(lead + json.dumps(text).encode())
+            lead = b", "
+            out.append((conv, turn, message.hexdigest()))
+        conv, turn, key = zip(*out) if out else ([], [], [])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(conv, batch.schema.field("conv_id").type), pa.array(turn, batch.schema.field("turn").type),
+             pa.array(key, pa.string())], names=["conv_id", "turn", "cache_key"])
+
+
 def cache_keys(conversations: DataFrame) -> DataFrame:
-    """k08: cache key of every user turn = SHA-256 of the JSON array of the
-    earlier user turns followed by this (whitespace-stripped) message;
-    assistant turns are excluded from the key."""
-    w = (Window.partitionBy("conv_id").orderBy("turn")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    prior = F.collect_list(F.when(F.col("role") == "user", F.col("text"))).over(w)
-    x = conversations.select("conv_id", "turn", "role", "text", prior.alias("_prior"))
-    key = F.sha2(F.to_json(F.concat(F.col("_prior"), F.array(strip_ws(F.col("text"))))), 256)
-    return x.filter(F.col("role") == "user").select("conv_id", "turn", key.alias("cache_key"))
+    """k08: cache key of every user turn = SHA-256 of the JSON text of the list
+    of the earlier user turns followed by this (whitespace-stripped) message;
+    assistant turns are excluded from the key, a missing text counts as "".
+
+    The hash of a conversation runs on from turn to turn, so the work is linear
+    in its text and no list of turns is gathered; a conversation is one sorted
+    stretch of a partition.
+    """
+    users = conversations.filter(F.col("role") == "user").select(
+        "conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    schema = users.select("conv_id", "turn", F.lit("").alias("cache_key")).schema
+    return (users.repartition("conv_id").sortWithinPartitions("conv_id", "turn")
+            .mapInArrow(_keys_of_turns, schema))
 
 
 def conversation_items(conversations: DataFrame) -> DataFrame:
@@ -165,6 +197,52 @@ def conversation_items(conversations: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("call_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+ITEMS_PER_RESPONSE = 50
+
+
+def conversation_responses(conversations: DataFrame) -> DataFrame:
+    """Chat history in the shape of agent responses ``(response_id, output)``:
+    stretches of ``ITEMS_PER_RESPONSE`` turns; user turns are tool calls, other
+    turns messages.  The turn number decides on names, missing and foreign call
+    ids, hand-off tags, and whether content is a list of parts or plain text."""
+    n = F.col("turn") % 8
+    text = F.coalesce("text", F.lit(""))
+    call = F.struct(
+        F.lit("function_call").alias("type"),
+        F.when(n < 2, "genie-sales").when(n < 4, "Vector-Search").when(n < 6, "calculator").alias("name"),
+        F.when(n != 4, F.concat(F.lit("c"), F.col("turn").cast("string"))).alias("call_id"),
+        F.when(n == 2, text).otherwise(F.to_json(F.struct(text.alias("q")))).alias("arguments"))
+    said = F.concat(F.when(n == 3, "<name>agent-a</name>").when(n == 7, "<NAME>genie-x</NAME>")
+                    .otherwise(""), text)
+    call_id = F.when(n.isin(1, 3), F.concat(F.lit("c"), (F.col("turn") - F.when(n == 1, 1).otherwise(0))
+                                            .cast("string")))
+    head = [F.lit("message").alias("type"), call_id.alias("call_id")]
+    part = F.struct(F.lit("output_text").alias("type"), said.alias("text"))
+    note = F.struct(F.lit("note").alias("type"), F.lit(None).cast("string").alias("text"))
+    listed = F.to_json(F.struct(*head, F.array(part, note).alias("content")))
+    plain = F.to_json(F.struct(*head, said.alias("content")))
+    item = F.when(F.col("role") == "user", F.to_json(call)).when(F.col("conv_id") % 2 == 0, listed).otherwise(plain)
+    rows = conversations.select(
+        F.concat_ws("-", F.col("conv_id").cast("string"),
+                    F.floor(F.col("turn") / ITEMS_PER_RESPONSE).cast("string")).alias("response_id"),
+        "turn", item.alias("item"))
+    # at most ITEMS_PER_RESPONSE items each
+    listed = F.array_sort(F.collect_list(F.struct("turn", "item")))
+    return rows.groupBy("response_id").agg(
+        F.concat(F.lit("["), F.array_join(F.transform(listed, lambda x: x["item"]), ","), F.lit("]"))
+        .alias("output"))
+
+
+def answer_deltas(conversations: DataFrame) -> DataFrame:
+    """Answers as streamed text deltas ``(item_id, seq, delta)``, a word each."""
+    words = F.split(F.coalesce("text", F.lit("")), " ", -1)
+    x = conversations.filter(F.col("role") == "assistant").select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("item_id"),
+        F.posexplode(words).alias("seq", "word"))
+    return x.select("item_id", "seq", F.concat(F.when(F.col("seq") > 0, " ").otherwise(""), F.col("word"))
+                    .alias("delta"))
+
+
 def history_filter(conversations: DataFrame) -> DataFrame:
     """k09: keep user / assistant turns that have content."""
     return conversations.filter(F.col("role").isin("user", "assistant")
@@ -172,52 +250,33 @@ def history_filter(conversations: DataFrame) -> DataFrame:
                         .select("conv_id", "turn", "role", "text")
 
 
-def _next_after(ev: DataFrame, ttl_s: int) -> DataFrame:
-    """``(event_id, nxt)``: the first event of the same key later than
-    ``t + ttl_s`` (NULL when none).
-
-    Time is cut into chunks of ``ttl_s``; ``t + ttl_s`` always falls in the
-    next chunk.  The answer is either in that chunk (a probe row placed
-    there, suffix minimum per (key, chunk)) or the first event of a later
-    chunk (per-chunk first events, suffix minimum per key over chunk
-    summaries -- at most one row per key and chunk).
-    """
-    e = ev.withColumn("_c", F.floor(F.col("t") / ttl_s))
-    first = F.struct("t", "event_id")
-    # (a) inside the next chunk
-    evr = e.select("key", "_c", "t", "event_id", F.lit(False).alias("_probe"))
-    prb = e.select("key", (F.col("_c") + 1).alias("_c"), (F.col("t") + ttl_s).alias("t"),
-                   "event_id", F.lit(True).alias("_probe"))
-    w = (Window.partitionBy("key", "_c").orderBy("t", "_probe")
-         .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    a = (evr.unionByName(prb)
-         .select("event_id", "key", "_c", "_probe",
-                 F.min(F.when(~F.col("_probe"), first)).over(w).alias("_a"))
-         .filter(F.col("_probe")))
-    # (b) first event of any later chunk
-    summ = e.groupBy("key", "_c").agg(F.min(first).alias("_f")) \
-            .withColumn("_probe", F.lit(False))
-    pc = a.select("key", "_c").distinct().withColumn("_f", F.lit(None).cast(summ.schema["_f"].dataType)) \
-          .withColumn("_probe", F.lit(True))
-    w2 = (Window.partitionBy("key").orderBy("_c", "_probe")
-          .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    b = (summ.unionByName(pc)
-         .select("key", "_c", "_probe", F.min(F.when(~F.col("_probe"), F.col("_f"))).over(w2)
-                 .alias("_b"))
-         .filter(F.col("_probe")).drop("_probe"))
-    j = a.join(b, ["key", "_c"], "left")
-    return j.select("event_id", F.coalesce("_a", "_b")["event_id"].alias("nxt"))
+def _steps(ev: DataFrame, ttl_s: int) -> DataFrame:
+    """``(key, event_id, t, root, nxt)``: whether the event opens a session (no
+    earlier event of its key within the TTL), and the first event of the same
+    session later than ``t + ttl_s``.  Inside a session neighbours are at most
+    the TTL apart, so that event lies within two TTLs: both are trailing
+    windows, one exchange each, and a hot key is cut into chunks of time."""
+    own = F.struct("t", "event_id")
+    flagged = trailing_on(ev, "key", F.col("t"), ttl_s, {"_first": ("min", own)})
+    flagged = flagged.select("key", "event_id", "t", (F.col("_first") == own).alias("root"))
+    rows = flagged.withColumn("_at", -F.col("t")).withColumn("_probe", F.lit(False))
+    probes = flagged.withColumn("_at", -F.col("t") - (ttl_s + 1)).withColumn("_probe", F.lit(True))
+    seen = trailing_on(rows.unionByName(probes), "key", F.col("_at"), max(1, ttl_s - 1),
+                       {"_nxt": ("min", F.when(~F.col("_probe"), F.struct("t", "event_id", "root")))})
+    return seen.filter("_probe").select("key", "event_id", "t", "root",
+                                        F.when(~F.col("_nxt.root"), F.col("_nxt.event_id")).alias("nxt"))
 
 
 def cache_hits(events: DataFrame, ttl_s: int = CACHE_TTL_SECONDS) -> DataFrame:
     """k10: an event is a hit when its key was stored at most ``ttl_s``
     earlier; a miss stores the key, hits do not refresh the stored time.
 
-    The stores of a key are exactly the path ``first, nxt(first),
-    nxt(nxt(first)), ...`` where ``nxt(e)`` is the first event later than
-    ``e + ttl_s``.  The path is found by pointer doubling: jump tables
-    ``J_k = nxt^(2^k)`` (one self-join per level, until no pointer is
-    left), then the path is expanded from each key's first event level by
+    An event more than the TTL after its predecessor is always a store: it
+    opens a session.  Inside a session the stores are the path ``first,
+    nxt(first), ...`` with ``nxt(e)`` = first event later than ``e + ttl_s``;
+    only sessions longer than the TTL have a second one.  The path is found by
+    pointer doubling on the events that have a successor (one inner self-join
+    per level, until no pointer is left) and expanded from the roots level by
     level.  Every step is a join on event ids; no key's events are ever
     gathered into one task.  Each level is checkpointed into the shared
     checkpoint folder to cut the lineage.  ``events``: (key, ts, event_id)
@@ -226,22 +285,27 @@ def cache_hits(events: DataFrame, ttl_s: int = CACHE_TTL_SECONDS) -> DataFrame:
     from ..session import checkpoint_dir
     checkpoint_dir(events.sparkSession)
     ev = events.select("key", F.unix_timestamp("ts").alias("t"), "event_id")
-    jumps = [_next_after(ev, ttl_s).checkpoint()]
-    while jumps[-1].filter(F.col("nxt").isNotNull()).limit(1).count() > 0:
-        jk = jumps[-1]
-        a, b = jk.alias("a"), jk.alias("b")
-        nxt2 = (a.join(b, F.col("a.nxt") == F.col("b.event_id"), "left")
-                 .select(F.col("a.event_id").alias("event_id"), F.col("b.nxt").alias("nxt")))
-        jumps.append(nxt2.checkpoint())
-    roots = ev.groupBy("key").agg(F.min(F.struct("t", "event_id")).alias("_r")) \
-              .select(F.col("_r.event_id").alias("event_id"))
-    stores = roots
-    for jk in reversed(jumps):
-        step = stores.join(jk, "event_id").select(F.col("nxt").alias("event_id")) \
-                     .filter(F.col("event_id").isNotNull())
-        stores = stores.unionByName(step).checkpoint()
-    flagged = ev.join(stores.withColumn("_store", F.lit(True)), "event_id", "left")
-    return flagged.select("key", "event_id", F.col("_store").isNull().alias("hit"))
+    steps = _steps(ev, ttl_s).checkpoint()
+    level = steps.filter(F.col("nxt").isNotNull()).select("event_id", "nxt")
+    jumps = []
+    while not level.isEmpty():
+        jumps.append(level)
+        a, b = level.alias("a"), level.alias("b")
+        level = (a.join(b, F.col("a.nxt") == F.col("b.event_id"))
+                  .select(F.col("a.event_id").alias("event_id"), F.col("b.nxt").alias("nxt")).checkpoint())
+    roots = steps.filter("root").select("event_id")
+    path = roots.join(jumps[0].select("event_id"), "event_id", "left_semi") if jumps else roots.limit(0)
+    more = []
+    for jump in reversed(jumps):
+        step = path.join(jump, "event_id").select(F.col("nxt").alias("event_id")).checkpoint()
+        more.append(step)
+        path = path.unionByName(step)
+    if not more:
+        return steps.select("key", "event_id", (~F.col("root")).alias("hit"))
+    stores = reduce(DataFrame.unionByName, more).withColumn("_store", F.lit(True))
+    flagged = steps.join(stores, "event_id", "left")
+    return flagged.select("key", "event_id",
+                          (~F.col("root") & F.col("_store").isNull()).alias("hit"))
 
 
 def hit_rate(hits: DataFrame) -> DataFrame:

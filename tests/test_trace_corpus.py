@@ -34,7 +34,7 @@ def test_trace_parsing(spark):
     ans = {r.response_id: r.answer for r in K.final_answer(items, resp).collect()}
     assert ans == {"r1": "Final answer.", "r2": "(no response)", "r3": "(no response)"}
     src = [(r.kind, r.source_id) for r in K.sources(items).orderBy("rank").collect()]
-    assert src == [("space", "abc"), ("rag", "knowledge-assistant")]
+    assert src == [("genie", "abc"), ("rag", "knowledge-assistant")]
     assert [r.agent for r in K.handoffs(items).collect()] == ["supervisor-agent"]
 
 
@@ -58,10 +58,55 @@ def test_cache_key_excludes_assistant_turns(spark):
          (2, 0, "user", "again")], "conv_id long, turn long, role string, text string")
     k = {(r.conv_id, r.turn): r.cache_key for r in K.cache_keys(conv).collect()}
     import hashlib
-    assert k[(1, 2)] == hashlib.sha256(b'["hi","again"]').hexdigest()
+    assert k[(1, 2)] == hashlib.sha256(b'["hi", "again"]').hexdigest()
     assert k[(2, 0)] != k[(1, 2)]
 
 
+def test_cache_key_is_the_hash_of_the_json_text(spark):
+    import hashlib
+    texts = ["été", None, "日本 🎉\t\"q\"", " \u00a0x\n", "a/b\\c"]
+    conv = spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)],
+                                 "conv_id long, turn long, role string, text string")
+    got = {r.turn: r.cache_key for r in K.cache_keys(conv).collect()}
+    for i in range(len(texts)):
+        said = [t or "" for t in texts[:i + 1]]
+        blob = json.dumps([*said[:-1], said[-1].strip()])
+        assert got[i] == hashlib.sha256(blob.encode()).hexdigest()
+
+
+def test_content_forms_and_missing_call_ids(spark):
+    out = [{"type": "function_call", "name": "a", "arguments": "not json"},
+           {"type": "message", "content": "plain [text]"},
+           {"type": "message", "content": "second"},
+           {"type": "message", "content": [{"type": "x", "text": "p"}, "loose", {"type": "output_text"}]},
+           {"type": "message", "content": None}]
+    items = K.flatten_trace(spark.createDataFrame([("r", json.dumps(out))], "response_id string, output string"))
+    rows = {r.pos: r for r in K.match_results(items).collect()}
+    assert [rows[i].text for i in range(5)] == ["", "plain [text]", "second", "p", ""]
+    assert rows[0].args == {"raw": "not json"}
+    assert [rows[i].is_tool_result for i in range(5)] == [False, True, False, False, False]
+
+
+def test_cache_hits_in_long_sessions_match_the_rule(spark):
+    import datetime as dt
+    import random
+    rnd = random.Random(4)
+    rows, n = [], 0
+    for key, span, many in (("hot", 40_000, 600), ("thin", 400_000, 40), ("tie", 5000, 30)):
+        for _ in range(many):
+            n += 1
+            at = rnd.randrange(0, span) // (500 if key == "tie" else 1) * (500 if key == "tie" else 1)
+            rows.append((key, T(2024, 1, 1) + dt.timedelta(seconds=at), n))
+    got = {r.event_id: r.hit for r in K.cache_hits(
+        spark.createDataFrame(rows, "key string, ts timestamp_ntz, event_id long")).collect()}
+    stored = {}
+    for key, ts, i in sorted(rows, key=lambda r: (r[1], r[2])):
+        hit = key in stored and (ts - stored[key]).total_seconds() <= 3600
+        if not hit:
+            stored[key] = ts
+        assert got[i] == hit
+
+
 DOC = """# Outage Investigation Report
 | Field | Value |
 |---|---|
