@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.bindings import LOGICAL_TABLES
@@ -34,10 +34,10 @@ def fk_orphans(tables, checks=FK_CHECKS) -> DataFrame:
     """v01: child rows whose non-NULL key has no parent, per FK.
 
     Checks against the same parent key are answered together: the child
-    keys of those checks are unioned (tagged with the check) and probed
-    with one left-anti join against the parent (the parent side is only
-    probed, never multiplied), then counted per check.  Checks without
-    orphans report 0.
+    keys of those checks are unioned (tagged with the check) and counted per
+    (check, key) before anything is shuffled, so a hot key is one row; the
+    counts are probed with one left-anti join against the parent and summed
+    per check.  Checks without orphans report 0.
     """
     from collections import defaultdict
 
@@ -51,8 +51,9 @@ def fk_orphans(tables, checks=FK_CHECKS) -> DataFrame:
             tables[child].select(F.lit(i).alias("check"), F.col(ck).cast("long").alias("_k"))
             .filter(F.col("_k").isNotNull()) for i, child, ck in items])
         p = tables[parent].select(F.col(pk).cast("long").alias("_k"))
-        counts.append(keys.join(p, "_k", "left_anti").groupBy("check")
-                      .agg(F.count(F.lit(1)).alias("orphans")))
+        held = keys.groupBy("check", "_k").agg(F.count(F.lit(1)).alias("_n"))
+        counts.append(held.join(p, "_k", "left_anti").groupBy("check")
+                      .agg(F.sum("_n").alias("orphans")))
     found = reduce(DataFrame.unionByName, counts)
     meta = spark.createDataFrame([(i, c, ck, p) for i, (c, ck, p, _) in enumerate(checks)],
                                  "check int, child string, column string, parent string")
@@ -72,10 +73,21 @@ def measure_status(first_rows: dict[str, tuple[DataFrame, list[str]]]) -> DataFr
     """v03: status per measure from the first row of a grouped metric query.
 
     ``first_rows`` maps view name -> (query result, measure names).  NULL ->
-    'NULL', 0 -> 'ZERO', no row -> 'EMPTY', else 'OK'.
+    'NULL', 0 -> 'ZERO', no row -> 'EMPTY', else 'OK'.  In place of a result
+    there can be a function that builds it: a view whose query cannot be built
+    or analysed reports every measure as 'ERROR' and the others go on.
     """
     parts = []
     for view, (df, measures) in first_rows.items():
+        if callable(df):
+            try:
+                df = df()
+                df.schema
+            except Exception:  # reported, one row per measure
+                spark = SparkSession.active()
+                parts.append(spark.createDataFrame([(view, m, None, "ERROR") for m in measures],
+                                                   "view string, measure string, value double, status string"))
+                continue
         one = df.limit(1)
         stack = "stack({}, {}) AS (measure, value)".format(
             len(measures), ", ".join(f"'{m}', CAST(`{m}` AS DOUBLE)" for m in measures))

@@ -169,12 +169,14 @@ def asset_daily_summary(tables) -> DataFrame:
         "curtailed_mwh", "profit_margin_pct")
     cap = asset_capacity(tables).select("asset_id", "asset_capacity_mw", "is_generation_asset")
     key = ["asset_id", "date"]
-    j = (af.join(cap, "asset_id")
-           .join(telemetry_daily(tables), key, "left")
+    # the spine and the five rollups share one partitioning by (asset, day); the
+    # per-asset capacity joins last, on its own key
+    j = (af.join(telemetry_daily(tables), key, "left")
            .join(anomalies_daily(tables), key, "left")
            .join(outages_daily(tables), key, "left")
            .join(work_orders_daily(tables), key, "left")
-           .join(maintenance_daily(tables), key, "left"))
+           .join(maintenance_daily(tables), key, "left")
+           .join(cap, "asset_id"))
     z = F.lit(0).cast("long")
     z0 = dbl(0)
     return j.select(
@@ -207,32 +209,31 @@ def asset_daily_summary(tables) -> DataFrame:
         F.coalesce(F.col("scheduled_count"), z).alias("scheduled_count"))
 
 
-REGION_SUMS = [
-    ("revenue_usd", "total_revenue_usd"),
-    ("opex_usd", "total_opex_usd"),
-    ("finance_maintenance_cost_usd", "total_maintenance_cost_usd"),
-    ("curtailed_mwh", "total_curtailed_mwh"),
-    ("net_profit_usd", "net_profit_usd"),
-]
-REGION_SUMS_2 = [
-    ("total_power_mwh", "total_power_mwh"),
-    ("theoretical_max_daily_mwh", "total_theoretical_max_mwh"),
-]
-REGION_SUMS_3 = [
-    ("anomaly_count", "total_anomaly_count"),
-    ("outage_count", "total_outage_count"),
-    ("forced_outage_count", "total_forced_outage_count"),
-    ("total_downtime_hours", "total_downtime_hours"),
-    ("total_lost_mwh", "total_lost_mwh"),
-    ("work_order_count", "total_work_order_count"),
-    ("emergency_wo_count", "total_emergency_wo_count"),
-    ("reactive_wo_count", "total_reactive_wo_count"),
-    ("preventive_wo_count", "total_preventive_wo_count"),
-    ("inspection_wo_count", "total_inspection_wo_count"),
-    ("total_labor_hours", "total_labor_hours"),
-    ("wo_total_parts_cost", "total_parts_cost"),
-    ("overdue_maintenance_count", "total_overdue_maintenance_count"),
-    ("alarm_count", "total_alarm_count"),
+# Region-day aggregates in output order: (column, aggregate, name).
+REGION_AGGREGATES = [
+    ("revenue_usd", F.sum, "total_revenue_usd"),
+    ("opex_usd", F.sum, "total_opex_usd"),
+    ("finance_maintenance_cost_usd", F.sum, "total_maintenance_cost_usd"),
+    ("curtailed_mwh", F.sum, "total_curtailed_mwh"),
+    ("net_profit_usd", F.sum, "net_profit_usd"),
+    ("profit_margin_pct", F.avg, "avg_profit_margin_pct"),
+    ("total_power_mwh", F.sum, "total_power_mwh"),
+    ("theoretical_max_daily_mwh", F.sum, "total_theoretical_max_mwh"),
+    ("avg_efficiency_pct", F.avg, "avg_efficiency_pct"),
+    ("anomaly_count", F.sum, "total_anomaly_count"),
+    ("outage_count", F.sum, "total_outage_count"),
+    ("forced_outage_count", F.sum, "total_forced_outage_count"),
+    ("total_downtime_hours", F.sum, "total_downtime_hours"),
+    ("total_lost_mwh", F.sum, "total_lost_mwh"),
+    ("work_order_count", F.sum, "total_work_order_count"),
+    ("emergency_wo_count", F.sum, "total_emergency_wo_count"),
+    ("reactive_wo_count", F.sum, "total_reactive_wo_count"),
+    ("preventive_wo_count", F.sum, "total_preventive_wo_count"),
+    ("inspection_wo_count", F.sum, "total_inspection_wo_count"),
+    ("total_labor_hours", F.sum, "total_labor_hours"),
+    ("wo_total_parts_cost", F.sum, "total_parts_cost"),
+    ("overdue_maintenance_count", F.sum, "total_overdue_maintenance_count"),
+    ("alarm_count", F.sum, "total_alarm_count"),
 ]
 
 
@@ -257,12 +258,8 @@ def region_daily_summary(tables, asset_daily: DataFrame | None = None,
     dims = a.join(F.broadcast(s), "site_id").join(F.broadcast(r), "region_id") \
             .select("asset_id", "region_id", "region_name", "generation_type")
     base = ads.join(dims, "asset_id")
-    aggs = ([F.sum(c).alias(n) for c, n in REGION_SUMS]
-            + [F.avg("profit_margin_pct").alias("avg_profit_margin_pct")]
-            + [F.sum(c).alias(n) for c, n in REGION_SUMS_2]
-            + [F.avg("avg_efficiency_pct").alias("avg_efficiency_pct")]
-            + [F.sum(c).alias(n) for c, n in REGION_SUMS_3])
-    g = base.groupBy("region_id", "region_name", "generation_type", "date").agg(*aggs)
+    g = base.groupBy("region_id", "region_name", "generation_type", "date").agg(
+        *[fn(c).alias(n) for c, fn, n in REGION_AGGREGATES])
     sd = safety_daily_region(tables)
     out = g.join(sd, ["region_id", "date"], "left")
     z = F.lit(0).cast("long")
@@ -275,9 +272,7 @@ def region_daily_summary(tables, asset_daily: DataFrame | None = None,
     else:
         sic = F.coalesce(F.col("safety_incident_count"), z)
         lti = F.coalesce(F.col("lost_time_incident_count"), z)
-    names = ([n for _, n in REGION_SUMS] + ["avg_profit_margin_pct"]
-             + [n for _, n in REGION_SUMS_2] + ["avg_efficiency_pct"]
-             + [n for _, n in REGION_SUMS_3])
+    names = [n for _, _, n in REGION_AGGREGATES]
     return out.select("region_id", "region_name", "generation_type", "date", *names,
                       sic.alias("safety_incident_count"),
                       lti.alias("lost_time_incident_count"))
@@ -288,7 +283,8 @@ _MATERIALISED: dict[tuple, tuple] = {}
 
 
 def materialised(tables, name: str, build) -> DataFrame:
-    """The rollup ``name`` as a written table, built once per data binding.
+    """The rollup ``name`` as a written table, built once per state of the source
+    files (``bindings.load`` binds anew when they change).
 
     Metric views read the rollup tables (as a warehouse would after its
     nightly CTAS) instead of recomputing them from the raw facts in every
@@ -305,7 +301,7 @@ def materialised(tables, name: str, build) -> DataFrame:
     sf_dir = getattr(tables, "sf_dir", None)
     if sf_dir is None:
         return build(tables)
-    key = (id(getattr(spark, "_jsparkSession", spark)), sf_dir, name)
+    key = (id(getattr(spark, "_jsparkSession", spark)), sf_dir, name, tables.state)
     hit = _MATERIALISED.get(key)
     if hit is None or hit[0] is not spark:
         path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:10]}")

@@ -43,7 +43,8 @@ def asset_mix(tables) -> DataFrame:
     """q01: assets by type with average criticality."""
     return (tables["assets"].groupBy("asset_type")
             .agg(F.count(F.lit(1)).alias("n"),
-                 rnd(exact_avg("criticality_score"), 2).alias("avg_crit")))
+                 rnd(exact_avg("criticality_score"), 2).alias("avg_crit"))
+            .orderBy(F.desc("n"), "asset_type"))
 
 
 def site_mix(tables) -> DataFrame:
@@ -51,7 +52,8 @@ def site_mix(tables) -> DataFrame:
     s = tables["sites"].join(F.broadcast(tables["regions"]), "region_id")
     return (s.groupBy("region_name", "generation_type")
              .agg(F.count(F.lit(1)).alias("n_sites"),
-                  rnd(exact_sum("capacity_mw"), 0).alias("total_mw")))
+                  rnd(exact_sum("capacity_mw"), 0).alias("total_mw"))
+            .orderBy("region_name", "generation_type"))
 
 
 def price_by_month(tables, regions: Sequence[str] = PRICE_REPORT_REGIONS) -> DataFrame:
@@ -59,7 +61,8 @@ def price_by_month(tables, regions: Sequence[str] = PRICE_REPORT_REGIONS) -> Dat
     r = tables["regions"].filter(F.col("region_name").isin(*regions))
     mp = tables["market_prices"].join(F.broadcast(r), "region_id")
     return (mp.groupBy("region_name", F.month("timestamp").alias("month"))
-              .agg(rnd(exact_avg("real_time_price_mwh"), 2).alias("avg_price")))
+              .agg(rnd(exact_avg("real_time_price_mwh"), 2).alias("avg_price"))
+            .orderBy("region_name", "month"))
 
 
 def price_by_hour(tables, region: str = HOURLY_PRICE_REGION) -> DataFrame:
@@ -67,7 +70,8 @@ def price_by_hour(tables, region: str = HOURLY_PRICE_REGION) -> DataFrame:
     r = tables["regions"].filter(F.col("region_name") == region)
     mp = tables["market_prices"].join(F.broadcast(r), "region_id")
     return (mp.groupBy(F.hour("timestamp").alias("hour"))
-              .agg(rnd(exact_avg("real_time_price_mwh"), 2).alias("avg_price")))
+              .agg(rnd(exact_avg("real_time_price_mwh"), 2).alias("avg_price"))
+            .orderBy("hour"))
 
 
 def anomaly_outage_buckets(tables) -> DataFrame:
@@ -86,7 +90,8 @@ def anomaly_outage_buckets(tables) -> DataFrame:
                           (a <= 15, "6-15")], "16+")
     return (per_asset.groupBy(bucket.alias("anomaly_bucket"))
             .agg(F.count(F.lit(1)).alias("n_assets"),
-                 rnd(exact_avg("outages"), 2).alias("avg_forced_outages")))
+                 rnd(exact_avg("outages"), 2).alias("avg_forced_outages"))
+            .orderBy("anomaly_bucket"))
 
 
 def loss_by_reason(tables) -> DataFrame:
@@ -94,7 +99,8 @@ def loss_by_reason(tables) -> DataFrame:
     return (tables["outages"].groupBy("outage_reason")
             .agg(F.count(F.lit(1)).alias("n_outages"),
                  rnd(exact_avg("lost_generation_mwh"), 1).alias("avg_lost_mwh"),
-                 rnd(exact_sum("lost_generation_mwh"), 0).alias("total_lost_mwh")))
+                 rnd(exact_sum("lost_generation_mwh"), 0).alias("total_lost_mwh"))
+            .orderBy(F.desc("total_lost_mwh"), "outage_reason"))
 
 
 def wo_linkage(tables) -> DataFrame:
@@ -104,7 +110,8 @@ def wo_linkage(tables) -> DataFrame:
                  rnd(exact_avg("labor_hours"), 1).alias("avg_labor"),
                  rnd(exact_avg("parts_cost_usd"), 0).alias("avg_parts_cost"),
                  rnd(dbl(100) * sum_if(F.col("outage_id").isNotNull())
-                         / F.count(F.lit(1)), 1).alias("pct_with_outage_link")))
+                         / F.count(F.lit(1)), 1).alias("pct_with_outage_link"))
+            .orderBy(F.desc("n"), "work_order_type"))
 
 
 def outage_price_impact(tables) -> DataFrame:
@@ -126,7 +133,8 @@ def outage_price_impact(tables) -> DataFrame:
                .agg(F.count(F.lit(1)).alias("n_outages"),
                     rnd(exact_avg("lost_generation_mwh"), 1).alias("avg_lost_mwh"),
                     rnd(exact_avg(loss), 0).alias("avg_revenue_loss_usd"),
-                    rnd(exact_sum(loss), 0).alias("total_revenue_loss_usd")))
+                    rnd(exact_sum(loss), 0).alias("total_revenue_loss_usd"))
+            .orderBy(F.desc("total_revenue_loss_usd"), "price_bucket"))
 
 
 def age_vs_financials(tables, as_of: _dt.date) -> DataFrame:
@@ -140,7 +148,8 @@ def age_vs_financials(tables, as_of: _dt.date) -> DataFrame:
              .agg(F.countDistinct("asset_id").alias("n_assets"),
                   rnd(exact_avg("profit_margin_pct"), 1).alias("avg_margin"),
                   rnd(exact_avg("revenue_usd"), 0).alias("avg_daily_rev"),
-                  rnd(exact_avg("maintenance_cost_usd"), 0).alias("avg_daily_maint")))
+                  rnd(exact_avg("maintenance_cost_usd"), 0).alias("avg_daily_maint"))
+            .orderBy("age_bucket"))
 
 
 def causal_chain(tables, window_hours: int = CAUSAL_WINDOW_HOURS, k: int = 15) -> DataFrame:
@@ -182,7 +191,8 @@ def overdue_vs_outages(tables) -> DataFrame:
     return (j.groupBy(bucket.alias("overdue_bucket"))
              .agg(F.count(F.lit(1)).alias("n_assets"),
                   rnd(exact_avg(F.coalesce("forced_outages", F.lit(0).cast("long"))), 2)
-                  .alias("avg_forced_outages")))
+                  .alias("avg_forced_outages"))
+            .orderBy("overdue_bucket"))
 
 
 def outage_context(tables, min_mwh: float = BIG_OUTAGE_MWH, k: int = 10) -> DataFrame:
@@ -240,7 +250,8 @@ def monthly_outages(tables) -> DataFrame:
     j = _forced(tables).join(asset_dims(tables, ["region_name"]), "asset_id")
     return (j.groupBy(trunc_ts("MONTH", "outage_start_ts").alias("month"), "region_name")
              .agg(F.countDistinct("outage_id").alias("forced_outages"),
-                  rnd(exact_sum("lost_generation_mwh"), 0).alias("total_lost_mwh")))
+                  rnd(exact_sum("lost_generation_mwh"), 0).alias("total_lost_mwh"))
+            .orderBy("month", F.desc("total_lost_mwh"), "region_name"))
 
 
 def vendor_reliability(tables) -> DataFrame:
@@ -268,7 +279,8 @@ def vendor_reliability(tables) -> DataFrame:
                     F.coalesce("_n", F.lit(0).cast("long")).alias("forced_outages"),
                     rnd("_sum", 0).alias("total_lost_mwh"),
                     rnd("_avg", 1).alias("avg_lost_per_outage"),
-                    "emergency_reactive_wo", "emergency_parts_cost_usd")
+                    "emergency_reactive_wo", "emergency_parts_cost_usd") \
+            .orderBy(F.desc_nulls_last("total_lost_mwh"), "manufacturer", "asset_type")
 
 
 def worst_outages(tables, k: int = 30) -> DataFrame:
@@ -306,7 +318,7 @@ def region_pnl(tables) -> DataFrame:
         "region_name", rnd("rev", 0).alias("revenue"), rnd("opex", 0).alias("opex"),
         rnd("maint", 0).alias("maint_cost"), rnd("net", 0).alias("net_profit"),
         rnd(safe_div(dbl(100) * F.col("net").cast("double"), F.col("rev").cast("double")), 1)
-        .alias("margin_pct"))
+        .alias("margin_pct")).orderBy("net_profit", "region_name")
 
 
 def repeat_offenders(tables, min_outages: int = 3, k: int = 20) -> DataFrame:

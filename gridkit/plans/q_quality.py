@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+from pyspark.sql import functions as F
+
 from ..operators import quality as Q
 from ..operators import rollups as R
 from ..session import scratch_path
@@ -66,7 +70,7 @@ def _status(spark, d):
     first = {}
     for view, qname, measures in _STATUS_QUERIES:
         v, dims, ms, order, _ = spec[qname]
-        first[view] = (M.views()[v].query(t, dims, ms, order_by=order, limit=1), measures)
+        first[view] = (partial(M.views()[v].query, t, dims, ms, order_by=order, limit=1), measures)
     return Q.measure_status(first)
 
 
@@ -106,3 +110,63 @@ def s05(spark, d):
         SELECT outage_reason, COUNT(*) AS n_outages,
                CAST(ROUND(SUM(CAST(lost_generation_mwh AS DECIMAL(28, 9))), 0) AS DOUBLE) AS total_lost_mwh
         FROM outages WHERE forced_outage_flag GROUP BY outage_reason""")
+
+
+def _scratch(spark, name):
+    import uuid
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:8]}")
+
+
+@register("s02_overwrite_table", with_bindings("SELECT outage_id, asset_id, lost_generation_mwh FROM outages"))
+def s02(spark, d):
+    """Overwrite a table with another schema and scan it back."""
+    t, path = load(spark, d), _scratch(spark, "s02")
+    sinks.write_table(t.sites, path)
+    sinks.write_table(t.outages.select("outage_id", "asset_id", "lost_generation_mwh"), path)
+    return spark.read.parquet(path)
+
+
+@register("s03_append_table", with_bindings("""
+SELECT asset_id, outage_start_ts AS ts, 'outage' AS kind FROM outages
+UNION ALL SELECT asset_id, created_ts, 'work order' FROM work_orders"""))
+def s03(spark, d):
+    """Append two sources to one table and scan it back."""
+    t, path = load(spark, d), _scratch(spark, "s03")
+    for df, ts, kind in ((t.outages, "outage_start_ts", "outage"), (t.work_orders, "created_ts", "work order")):
+        sinks.write_table(df.select("asset_id", F.col(ts).alias("ts"), F.lit(kind).alias("kind")), path, "append")
+    return spark.read.parquet(path)
+
+
+# Comments of the s06 round trip; the quote tests the escaping.
+SITE_COMMENT = "Sites and what each can generate"
+SITE_COLUMNS = {"site_id": "the site's number", "capacity_mw": "nameplate capacity in MW"}
+
+
+@register("s06_catalog_comments", with_bindings("""
+SELECT c.col_name, c.comment, (SELECT count(*) FROM sites) AS n_rows
+FROM (VALUES ('sites_commented', 'Sites and what each can generate'), ('site_id', 'the site''s number'),
+             ('capacity_mw', 'nameplate capacity in MW')) AS c(col_name, comment)"""))
+def s06(spark, d):
+    """A catalog table of the sites with comments, read back from the catalog."""
+    import uuid
+    table = f"sites_commented_{uuid.uuid4().hex[:8]}"
+    load(spark, d).sites.write.option("path", _scratch(spark, "s06")).saveAsTable(table)
+    said = sinks.comment_table(spark, table, SITE_COMMENT, SITE_COLUMNS)
+    n = spark.table(table).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("_all", F.lit(1))
+    name = F.when(F.col("col_name") == table, "sites_commented").otherwise(F.col("col_name"))
+    return (said.select(name.alias("col_name"), "comment", F.lit(1).alias("_all"))
+            .join(F.broadcast(n), "_all").drop("_all"))
+
+
+@register("s07_json_extract", with_bindings("""
+SELECT outage_id, strftime(outage_start_ts, '%Y-%m-%dT%H:%M:%S') AS outage_start_ts,
+       strftime(CAST(outage_start_ts AS DATE), '%Y-%m-%d') AS outage_date, forced_outage_flag, outage_reason
+FROM outages"""))
+def s07(spark, d):
+    """Outages as JSON lines with ISO dates, read back as text fields."""
+    path = _scratch(spark, "s07")
+    sinks.write_json_extract(load(spark, d).outages.select(
+        "outage_id", "outage_start_ts", F.to_date("outage_start_ts").alias("outage_date"),
+        "forced_outage_flag", "outage_reason"), path)
+    return spark.read.schema("outage_id long, outage_start_ts string, outage_date string, "
+                             "forced_outage_flag boolean, outage_reason string").json(path)

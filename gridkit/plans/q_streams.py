@@ -45,6 +45,13 @@ def st03(spark, d):
 
 
 @register("st04_ttl_dedupe_stream", """
-SELECT DISTINCT user_id, event_type FROM events""")
+WITH RECURSIVE ev AS (SELECT DISTINCT user_id, event_type, ts FROM events),
+stored(user_id, event_type, ts) AS (
+  SELECT user_id, event_type, min(ts) FROM ev GROUP BY user_id, event_type
+  UNION ALL
+  SELECT s.user_id, s.event_type, n.ts FROM stored s,
+    LATERAL (SELECT min(e.ts) AS ts FROM ev e WHERE e.user_id = s.user_id AND e.event_type = s.event_type
+               AND e.ts > s.ts + INTERVAL 1 HOUR) n WHERE n.ts IS NOT NULL)
+SELECT * FROM stored""")
 def st04(spark, d):
     return S.run_available_now(spark, S.ttl_dedupe_stream(S.event_stream(spark, d)), "dedupe")

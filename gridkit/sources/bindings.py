@@ -276,16 +276,33 @@ class Tables:
 
 
 _LOADED: dict[tuple[int, str], Tables] = {}
+#: tables of the data directory that the logical tables are bound to
+SOURCES = ("region", "nation", "customer", "supplier", "events")
+
+
+def source_state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Length, number of files and time of each source table (file or folder),
+    so that tables derived from them are rebuilt after new data."""
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    out = []
+    for name in SOURCES:
+        p = path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        fs = p.getFileSystem(conf)
+        held = fs.getContentSummary(p)
+        out.append((held.getLength(), held.getFileCount(), fs.getFileStatus(p).getModificationTime()))
+    return tuple(out)
 
 
 def load(spark: SparkSession, sf_dir: str) -> Tables:
     """Bound tables of one data directory, memoised per session.
 
     The frames are lazy plans, so reusing them across queries only saves
-    file listing, footer reads and analysis on the driver.
+    file listing, footer reads and analysis on the driver; a changed source
+    is bound anew.
     """
     key = (id(getattr(spark, "_jsparkSession", spark)), sf_dir)
-    t = _LOADED.get(key)
-    if t is None or t.spark is not spark:
+    t, state = _LOADED.get(key), source_state(spark, sf_dir)
+    if t is None or t.spark is not spark or t.state != state:
         t = _LOADED[key] = Tables(spark, sf_dir)
+        t.state = state
     return t

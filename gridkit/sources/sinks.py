@@ -30,8 +30,12 @@ def create_table_as(spark: SparkSession, df: DataFrame, path: str,
 
     Writing cuts the lineage: downstream plans start at the parquet scan
     (with partition pruning on ``partition_by``), and a lost executor only
-    re-reads files instead of recomputing the whole upstream job.
+    re-reads files instead of recomputing the whole upstream job.  Rows are
+    clustered by ``partition_by`` first, so a day is a few files and not one
+    from every task; the rebalance splits days that are larger than a task.
     """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     write_table(df, path, "overwrite", partition_by)
     return spark.read.parquet(path)
 
@@ -62,6 +66,18 @@ def comment_table_sql(table: str, comment: str, columns: dict[str, str]) -> list
     return out
 
 
+def comment_table(spark: SparkSession, table: str, comment: str, columns: dict[str, str]) -> DataFrame:
+    """s06: comment a catalog table and its columns, and read the comments back
+    as ``(col_name, comment)`` (the table's own under its name)."""
+    for ddl in comment_table_sql(table, comment, columns):
+        spark.sql(ddl)
+    said = spark.sql(f"DESCRIBE TABLE EXTENDED {table}")
+    own = said.filter(F.col("col_name") == "Comment").select(F.lit(table).alias("col_name"),
+                                                             F.col("data_type").alias("comment"))
+    cols = said.filter(F.col("col_name").isin(*columns) & F.col("comment").isNotNull())
+    return own.unionByName(cols.select("col_name", "comment"))
+
+
 def write_json_extract(df: DataFrame, path: str) -> None:
     """s07: result set -> JSON lines with ISO dates and timestamps."""
     (df.write.mode("overwrite")

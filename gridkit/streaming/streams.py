@@ -22,15 +22,30 @@ from ..session import scratch_path
 EVENTS = "events.parquet"
 
 
-def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1,
-                 pattern: str = EVENTS, schema=None) -> DataFrame:
-    """Streaming read of the events files in ``sf_dir`` matching ``pattern``
-    (schema taken from the first matching file unless given)."""
+def _is_file(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile()
+
+
+def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None,
+                 name: str = EVENTS, schema=None) -> DataFrame:
+    """Streaming read of the table ``name`` in ``sf_dir``: one file, a folder of
+    part files, or a glob (schema taken from the files unless given).
+
+    Without ``files_per_trigger`` a drain takes all files that are there in one
+    micro-batch.  The watermark moves between micro-batches only, so the drain
+    is complete whatever order the files are in; with a limit, rows behind the
+    watermark of earlier files are late and dropped.
+    """
+    folder, path = sf_dir.rstrip("/"), f"{sf_dir.rstrip('/')}/{name}"
     if schema is None:
-        schema = spark.read.option("pathGlobFilter", pattern).parquet(sf_dir).schema
-    s = (spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-         .option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir))
-    return s.withColumn("ts", F.col("ts").cast("timestamp"))
+        schema = spark.read.parquet(path).schema
+    s = spark.readStream.schema(schema)
+    if "*" in name or _is_file(spark, path):  # a file source takes folders
+        s, path = s.option("pathGlobFilter", name), folder
+    if files_per_trigger:
+        s = s.option("maxFilesPerTrigger", files_per_trigger)
+    return s.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def alarm_stream(events: DataFrame, temp_limit: float = 70.0, vib_limit: float = 4.0) -> DataFrame:
@@ -80,13 +95,47 @@ def anomaly_outage_join_stream(events_a: DataFrame, events_o: DataFrame, custome
                     .cast("int").alias("lag_hours"))
 
 
+TTL_SECONDS = 3600
+
+
+def _stores(ttl_us: int):
+    """State per key: the time of the last stored event."""
+
+    def run(key, frames, state):
+        import numpy as np
+        import pandas as pd
+        times = [f["ts"].to_numpy(dtype="datetime64[us]").astype("int64") for f in frames]
+        times = np.unique(np.concatenate(times))
+        last = state.get[0] if state.exists else None
+        kept, at = [], 0
+        while True:  # from one stored event to the first one past its lifetime
+            if last is not None:
+                at = int(np.searchsorted(times, last + ttl_us, side="right"))
+            if at >= len(times):
+                break
+            last = int(times[at])
+            kept.append(last)
+        if kept:
+            state.update((last,))
+        yield pd.DataFrame({**{f"k{i}": [k] * len(kept) for i, k in enumerate(key)},
+                            "ts": np.array(kept, "int64").astype("datetime64[us]")})
+    return run
+
+
 def ttl_dedupe_stream(events: DataFrame, keys=("user_id", "event_type"),
-                      ttl: str = "1 hour") -> DataFrame:
-    """st04: repeats of a key inside the TTL after its first occurrence are
-    dropped (state per key expires with the watermark)."""
-    return (events.withWatermark("ts", ttl)
-            .dropDuplicatesWithinWatermark(list(keys))
-            .select(*keys))
+                      ttl_seconds: int = TTL_SECONDS) -> DataFrame:
+    """st04: an event is stored unless its key was stored at most the TTL before;
+    repeats inside the TTL are dropped and do not refresh the stored time.
+
+    The state of a key is one time; a micro-batch hands a key's times over as
+    Arrow chunks (8 bytes a row, no other columns).
+    """
+    rows = events.select(*keys, F.col("ts").cast("timestamp_ntz").alias("ts"))
+    kinds = [rows.schema[k].dataType.simpleString() for k in keys]
+    schema = ", ".join([f"k{i} {t}" for i, t in enumerate(kinds)] + ["ts timestamp_ntz"])
+    out = rows.groupBy(*keys).applyInPandasWithState(
+        _stores(ttl_seconds * 1_000_000), schema, "last long", "append", "NoTimeout")
+    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "ts")
 
 
 def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
