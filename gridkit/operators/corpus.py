@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import dbl, rnd
+from ..functions.scalars import dbl, exact_avg, rnd
 from .windows import cumulative_sum
 
 # ------------------------------------------------------------------ fixed values
@@ -21,8 +21,14 @@ BANNED_PHRASES = ("delve into", "leverage", "in conclusion", "this analysis show
                   "highlights the importance of", "robust", "synergize", "ensure that")
 DOC_TYPE_PATTERN = r"^([A-Z]+)-"
 DOC_ID_PATTERN = r"\b([A-Z]{2,5}-(?:[A-Z]+-)*\d{4}-\d{3}|VTM-[A-Z0-9-]+[A-Z0-9])\b"
-ENTITY_PATTERN = r"\b((?:WIN|OUT|WO)-\d{4,}(?:-\d+)?)\b"
-THRESHOLD_PATTERN = r"(\d+(?:\.\d+)?)\s*mm/s"
+# outages, work orders, and asset tags of any three-letter type
+ENTITY_PATTERN = r"\b(OUT-\d{4}-\d+|WO-\d{4,}(?:-\d+)?|[A-Z]{3}-\d{5,})\b(?!-)"
+SITE_PATTERN = r"\b([A-Z][A-Za-z]*(?:-[A-Z][A-Za-z]*)*-(?:WIND|SOLAR|BATTERY)-\d{3,})\b"
+VENDOR_PATTERN = (r"\b((?:[A-Z][A-Za-z&]+ ){1,4}"
+                  r"(?:Inc\.|A/S|SE\b|Energy|Partners|Solutions|Maintenance|Power Grids))")
+# a standard or manual, the word limit or threshold, and a value with its unit
+CLAIM_PATTERN = (r"\b(MS-\d{4}-\d{2}|ISO \d+(?:-\d+)*|IEC \d+(?:-\d+)*|OEM(?: Manual)?(?: Rev\. \d+(?:\.\d+)*)?)"
+                 r"\b[^.;|\n]*?\b(?:limit|threshold)\b[^0-9;|\n]*(\d+(?:\.\d+)?)\s*(mm/s|°C|ppm|kV|months?|%)")
 HREF_PATTERN = r'href="([^"]*)"'
 MIN_REFERENCES = 2
 # Vibration bands (running-mean broadband RMS, mm/s) per OEM manual.
@@ -57,29 +63,34 @@ def lines(docs: DataFrame, text: str = "text") -> DataFrame:
                        .alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
+_BOLD = r"^\*\*([^*:]+):\*\*\s*(.*)$"
+_FIELD_TABLE = r"(?m)^\|\s*\**Field\**\s*\|\s*\**Value\**\s*\|[ \t]*\n((?:\|.*(?:\n|\z))*)"
+_FIELD_ROW = r"^\|\s*\**([^|*]+?)\**\s*\|\s*(.*?)\s*\|\s*$"
+
+
 def header_fields(docs: DataFrame) -> DataFrame:
-    """c01: ``(doc_id, field, value)`` from ``| Field | Value |`` table rows and
-    ``**Field:** value`` lines."""
-    ln = lines(docs)
-    # only the preamble (before the first "## " heading) carries header fields
-    w = (Window.partitionBy("doc_id").orderBy("line_no")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ln = ln.withColumn("_sec", F.sum(F.col("line").startswith("## ").cast("int")).over(w)) \
-           .filter(F.col("_sec") == 0)
-    table = ln.select("doc_id", "line_no",
-                      F.regexp_extract("line", r"^\|\s*\**([^|*]+?)\**\s*\|\s*(.*?)\s*\|\s*$", 1)
-                      .alias("field"),
-                      F.regexp_extract("line", r"^\|\s*\**([^|*]+?)\**\s*\|\s*(.*?)\s*\|\s*$", 2)
-                      .alias("value"))
-    table = table.filter((F.col("field") != "") & ~F.col("field").rlike(r"^-+$")
-                         & ~F.col("value").rlike(r"^-+$")
-                         & ~F.lower("field").isin("field", "level"))
-    bold = ln.select("doc_id", "line_no",
-                     F.regexp_extract("line", r"^\*\*([^*:]+):\*\*\s*(.*)$", 1).alias("field"),
-                     F.regexp_extract("line", r"^\*\*([^*:]+):\*\*\s*(.*)$", 2).alias("value"))
-    bold = bold.filter(F.col("field") != "")
-    return table.unionByName(bold).select("doc_id", "line_no", F.trim("field").alias("field"),
-                                          F.trim("value").alias("value"))
+    """c01: ``(doc_id, field, value)`` from the rows of every ``| Field | Value |``
+    table (leading header or trailing control table) and the ``**Field:** value``
+    lines of the head, which ends at the first ``## `` line after a field.
+
+    A per-row projection over the text's lines: no shuffle, no window.
+    """
+    rows = F.flatten(F.transform(F.regexp_extract_all("text", F.lit(_FIELD_TABLE), 1),
+                                 lambda t: F.split(t, "\n")))
+    rows = F.filter(rows, lambda x: x.rlike(_FIELD_ROW) & ~x.rlike(r"^\|[\s:|-]+$"))
+    head = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    x = docs.select("doc_id", rows.alias("_rows"), head.alias("_head"))
+    field = F.filter("_head", lambda l: l["x"].rlike(_BOLD) | l["x"].rlike(r"^\|\s*\**Field\**\s*\|"))
+    x = x.withColumn("_first", F.array_min(F.transform(field, lambda l: l["i"])))
+    ends = F.filter("_head", lambda l: l["x"].startswith("## ") & (l["i"] > F.col("_first")))
+    x = x.withColumn("_end", F.array_min(F.transform(ends, lambda l: l["i"])))
+    bold = F.transform(F.filter("_head", lambda l: l["x"].rlike(_BOLD) & (F.col("_end").isNull()
+                                                                         | (l["i"] < F.col("_end")))),
+                       lambda l: l["x"])
+    pair = lambda pattern: lambda l: F.struct(
+        F.trim(F.regexp_extract(l, pattern, 1)).alias("field"), F.trim(F.regexp_extract(l, pattern, 2)).alias("value"))
+    fields = F.concat(F.transform("_rows", pair(_FIELD_ROW)), F.transform(bold, pair(_BOLD)))
+    return x.select("doc_id", F.explode(fields).alias("f")).select("doc_id", "f.field", "f.value")
 
 
 def doc_types(docs: DataFrame) -> DataFrame:
@@ -216,6 +227,18 @@ def doc_vs_table(docs: DataFrame, per_asset: DataFrame, tag_col: str = "asset_ta
     return j.withColumn("difference", F.col("stated") - F.col("from_tables"))
 
 
+def named_things(docs: DataFrame) -> DataFrame:
+    """c08: distinct ``(doc_id, kind, name)`` of the sites, regions (the part of a
+    site name before its type) and vendors that the text names."""
+    sites = F.regexp_extract_all("text", F.lit(SITE_PATTERN), 1)
+    regions = F.transform(sites, lambda n: F.regexp_replace(n, r"-(WIND|SOLAR|BATTERY)-\d+$", ""))
+    vendors = F.regexp_extract_all("text", F.lit(VENDOR_PATTERN), 1)
+    all_of = lambda kind, names: F.transform(names, lambda n: F.struct(
+        F.lit(kind).alias("kind"), n.alias("name")))
+    both = F.concat(all_of("site", sites), all_of("region", regions), all_of("vendor", vendors))
+    return docs.select("doc_id", F.explode(F.array_distinct(both)).alias("n")).select("doc_id", "n.kind", "n.name")
+
+
 def glossary_check(mentions: DataFrame, glossary: DataFrame, col: str = "name") -> DataFrame:
     """c08: mentioned names that the glossary does not define."""
     return mentions.join(glossary.select(F.col(col).alias("_g")),
@@ -248,24 +271,27 @@ def vendor_cost_ratio(costs: DataFrame) -> DataFrame:
     """c10: average emergency cost / average comparable (scheduled) cost per
     group; input ``(group, kind, amount)``."""
     g = costs.groupBy("group").agg(
-        F.avg(F.when(F.col("kind") == "emergency", F.col("amount"))).alias("avg_emergency"),
-        F.avg(F.when(F.col("kind") != "emergency", F.col("amount"))).alias("avg_comparable"))
+        exact_avg(F.when(F.col("kind") == "emergency", F.col("amount"))).alias("avg_emergency"),
+        exact_avg(F.when(F.col("kind") != "emergency", F.col("amount"))).alias("avg_comparable"))
     return g.withColumn("ratio", F.col("avg_emergency") / F.when(F.col("avg_comparable") != 0,
                                                                 F.col("avg_comparable")))
 
 
-def threshold_claims(docs: DataFrame, pattern: str = THRESHOLD_PATTERN) -> DataFrame:
-    """c11: numeric thresholds stated per document and the set of distinct
-    values across documents (a conflict when more than one)."""
-    v = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), 1))
-                    .alias("v")).select("doc_id", F.col("v").cast("double").alias("threshold"))
-    return v.distinct()
+def threshold_claims(docs: DataFrame, pattern: str = CLAIM_PATTERN) -> DataFrame:
+    """c11: distinct ``(doc_id, standard, threshold, unit)`` stated per document."""
+    said = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), 0)).alias("_s"))
+    part = lambda i: F.regexp_extract("_s", pattern, i)
+    return said.select("doc_id", part(1).alias("standard"), part(2).cast("double").alias("threshold"),
+                       part(3).alias("unit")).distinct()
 
 
 def threshold_conflicts(claims: DataFrame) -> DataFrame:
-    return claims.agg(F.count_distinct("threshold").alias("distinct_values"),
-                      F.array_sort(F.collect_set("threshold")).alias("values")) \
-                 .withColumn("conflict", F.col("distinct_values") > 1)
+    """c11: per standard and unit the values stated, a conflict when several; the
+    values are distinct pairs first, so a list is as long as the disagreement."""
+    values = claims.select("standard", "unit", "threshold").distinct()
+    return values.groupBy("standard", "unit").agg(
+        F.count(F.lit(1)).alias("distinct_values"), F.min("threshold").alias("lowest"),
+        F.max("threshold").alias("highest")).withColumn("conflict", F.col("distinct_values") > 1)
 
 
 def bands_frame(spark: SparkSession) -> DataFrame:

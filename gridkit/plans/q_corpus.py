@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import rnd
+from ..functions.scalars import asset_tag, exact_sum, rnd
 from ..operators import corpus as C
 from ..operators import windows as W
 from ..sources.bindings import load
@@ -170,3 +170,161 @@ def c17(spark, d):
     emb = spark.read.parquet(f"{d}/embeddings.parquet")
     return C.topk_by_cosine(emb, C.centroid_queries(emb), TOPK,
                             query_type=emb.schema["label"].dataType.simpleString())
+
+
+# ---------------------------------------------- documents made of table rows
+# Each document is written from the columns of one row, parsed back by the
+# corpus job, and the oracle states the result on the columns.
+def _s(c):
+    return F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
+
+
+def _text(*parts):
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def _tag():
+    return asset_tag("asset_type", "asset_id")
+
+
+def _site_name():
+    """The site's label with letters only before its type."""
+    return F.format_string("%s-%s-%03d", F.replace("region_name", F.lit(" "), F.lit("-")),
+                           F.upper("generation_type"), F.col("site_id").cast("long"))
+
+
+_TAG_SQL = "printf('%s-%05d', upper(substr(a.asset_type, 1, 3)), a.asset_id)"
+_SITE_SQL = "printf('%s-%s-%03d', replace(r.region_name, ' ', '-'), upper(s.generation_type), s.site_id)"
+
+
+@register("c01_header_fields", with_bindings("""
+SELECT 'OIR-' || outage_id AS doc_id, f.field, f.value
+FROM outages, LATERAL (VALUES ('Document ID', 'OIR-' || outage_id), ('Asset', '' || asset_id),
+                              ('Reason', outage_reason), ('Control', '' || site_id)) AS f(field, value)"""))
+def c01(spark, d):
+    o = load(spark, d).outages
+    n = F.col("outage_id")
+    table = _text("| Field | Value |\n|---|---|\n| Document ID | OIR-", _s(n), " |\n| **Asset** | ", _s("asset_id"), " |\n")
+    bold = _text("**Reason:** ", F.col("outage_reason"), "\n")
+    # every other document opens with a heading, as manuals do
+    text = _text(F.when(n % 2 == 0, "# Report\n").otherwise("# Manual\n## Section 6.4\n\n"),
+                 F.when(n % 3 == 0, _text(table, bold)).otherwise(_text(bold, "\n", table)),
+                 "\n## 1. Findings\n**Note:** not a header\n| Item | Amount |\n|---|---|\n| crew | $5 |\n",
+                 "## Document Control\n\n| Field | Value |\n|:---|---|\n| Control | ", _s("site_id"), " |")
+    return C.header_fields(o.select(_text("OIR-", _s(n)).alias("doc_id"), text.alias("text")))
+
+
+@register("c02_doc_types", with_bindings("""
+SELECT CASE work_order_type WHEN 'emergency' THEN 'EMR' WHEN 'reactive' THEN 'CAR' ELSE 'FMS' END AS doc_type,
+       count(*) AS n_docs FROM work_orders GROUP BY 1"""))
+def c02(spark, d):
+    t = F.col("work_order_type")
+    kind = F.when(t == "emergency", "EMR-").when(t == "reactive", "CAR-").otherwise("FMS-")
+    return C.doc_types(load(spark, d).work_orders.select(_text(kind, "2024-", _s("work_order_id")).alias("doc_id")))
+
+
+@register("c06_entity_mentions", with_bindings(f"""
+SELECT o.outage_id AS doc_id, m.tag, m.asset_id
+FROM outages o JOIN assets a ON a.asset_id = o.asset_id,
+LATERAL (VALUES ({_TAG_SQL}, a.asset_id), ('OUT-2024-' || o.outage_id, NULL)) AS m(tag, asset_id)"""))
+def c06(spark, d):
+    t = load(spark, d)
+    tagged = t.assets.select("asset_id", _tag().alias("asset_tag"))
+    docs = t.outages.select("outage_id", "asset_id").join(tagged, "asset_id").select(
+        F.col("outage_id").alias("doc_id"),
+        _text("See CAR-2024-118: ", F.col("asset_tag"), " (", F.col("asset_tag"), ") tripped in OUT-2024-",
+              _s("outage_id"), ".").alias("text"))
+    return C.entity_mentions(docs, tagged).select("doc_id", "tag", "asset_id")
+
+
+@register("c08_glossary_check", with_bindings(f"""
+SELECT o.outage_id AS doc_id, m.kind, m.name
+FROM outages o JOIN sites s ON s.site_id = o.site_id JOIN regions r ON r.region_id = s.region_id,
+LATERAL (VALUES ('site', {_SITE_SQL}, s.site_id % 2 = 1),
+                ('region', replace(r.region_name, ' ', '-'), true),
+                ('vendor', CASE o.outage_id % 2 WHEN 0 THEN 'Nordlicht Wind SE' ELSE 'Alpha Grid Partners' END,
+                 o.outage_id % 2 = 0)) AS m(kind, name, known)
+WHERE NOT m.known"""))
+def c08(spark, d):
+    """Names that the glossary lacks: every other site, and one of two vendors."""
+    t = load(spark, d)
+    named = t.sites.join(t.regions, "region_id").select(
+        "site_id", _site_name().alias("site"), F.replace("region_name", F.lit(" "), F.lit("-")).alias("region"))
+    docs = t.outages.select("outage_id", "site_id").join(named, "site_id").select(
+        F.col("outage_id").alias("doc_id"),
+        _text("Crew of ", F.when(F.col("outage_id") % 2 == 0, "Nordlicht Wind SE").otherwise("Alpha Grid Partners"),
+              " at ", F.col("site"), ", again ", F.col("site"), ".").alias("text"))
+    one = spark.createDataFrame([("Nordlicht Wind SE",)], "name string")
+    glossary = (named.filter("site_id % 2 = 1").select(F.col("site").alias("name"))
+                .unionByName(named.select(F.col("region").alias("name")).distinct()).unionByName(one))
+    return C.glossary_check(C.named_things(docs), glossary)
+
+
+@register("c09_invoice_check", with_bindings("""
+SELECT work_order_id AS doc_id, round(labor + parts, 2) AS line_sum, round(labor + parts + off, 2) AS stated_total,
+       round(off, 2) AS difference
+FROM (SELECT work_order_id, round(labor_hours * 420, 2) AS labor, round(parts_cost_usd, 2) AS parts,
+             (work_order_id % 3) * 10000000000 AS off FROM work_orders)"""))
+def c09(spark, d):
+    """Invoices of the work orders; some totals are off, by more than any field width."""
+    w = load(spark, d).work_orders.select(
+        F.col("work_order_id").alias("doc_id"), rnd(F.col("labor_hours") * 420, 2).alias("labor"),
+        rnd("parts_cost_usd", 2).alias("parts"))
+    off = (F.col("doc_id") % 3) * F.lit(10_000_000_000)
+    usd = lambda c: _text("$", F.format_number(c, 2))
+    text = _text("## Invoice\n| Item | Qty | Amount |\n|---|---|---|\n| Labor | 1 | ", usd(F.col("labor")),
+                 " |\n| Parts | 2 | ", usd(F.col("parts")), " |\n| **Total** | | **",
+                 usd(rnd(F.col("labor") + F.col("parts") + off, 2)), "** |")
+    check = C.invoice_check(C.invoice_lines(w.select("doc_id", text.alias("text"))))
+    return check.select("doc_id", *[rnd(c, 2).alias(c) for c in ("line_sum", "stated_total", "difference")])
+
+
+@register("c10_vendor_cost_ratio", with_bindings(f"""
+SELECT asset_type AS "group", round(e, 6) AS avg_emergency, round(c, 6) AS avg_comparable, round(e / c, 6) AS ratio
+FROM (SELECT a.asset_type, eavg(CASE WHEN b.vendor_kind = 'emergency' THEN b.billed_usd END) AS e,
+             eavg(CASE WHEN b.vendor_kind <> 'emergency' THEN b.billed_usd END) AS c
+      FROM ({_rate_sql()}) b JOIN work_orders w ON w.work_order_id = b.work_order_id
+      JOIN assets a ON a.asset_id = w.asset_id GROUP BY a.asset_type)"""))
+def c10(spark, d):
+    t = load(spark, d)
+    cost = C.rate_card_cost(t.work_orders, C.rate_cards_frame(spark))
+    owner = t.work_orders.select("work_order_id", "asset_id").join(
+        t.assets.select("asset_id", "asset_type"), "asset_id")
+    costs = cost.join(owner, "work_order_id").select(
+        F.col("asset_type").alias("group"), F.col("vendor_kind").alias("kind"), F.col("billed_usd").alias("amount"))
+    return C.vendor_cost_ratio(costs).select(
+        "group", *[rnd(c, 6).alias(c) for c in ("avg_emergency", "avg_comparable", "ratio")])
+
+
+@register("c11_threshold_conflicts", with_bindings("""
+SELECT standard, unit, count(DISTINCT v) AS distinct_values, min(v) AS lowest, max(v) AS highest,
+       count(DISTINCT v) > 1 AS conflict
+FROM (SELECT printf('MS-2025-%02d', m.standard) AS standard, 'mm/s' AS unit, m.v
+      FROM outages, LATERAL (VALUES (outage_id % 4, 3.5::DOUBLE + CASE WHEN outage_id % 4 < 2 THEN 0 ELSE outage_id % 3 END))
+           AS m(standard, v)
+      UNION ALL SELECT 'OEM Manual Rev. 4.2', '°C', 70 + outage_id % 2 FROM outages) GROUP BY 1, 2"""))
+def c11(spark, d):
+    n = F.col("outage_id")
+    value = F.when(n % 4 < 2, F.lit(3.5)).otherwise(F.lit(3.5) + n % 3)
+    text = _text("Vibration RMS was 9.9 mm/s (", F.format_string("MS-2025-%02d", n % 4), " limit ",
+                 value.cast("double").cast("string"), " mm/s); the OEM Manual Rev. 4.2 sets the alert threshold at ",
+                 _s(70 + n % 2), " °C.")
+    docs = load(spark, d).outages.select(n.alias("doc_id"), text.alias("text"))
+    return C.threshold_conflicts(C.threshold_claims(docs))
+
+
+@register("c15_doc_vs_table", with_bindings(f"""
+SELECT a.asset_id AS doc_id, {_TAG_SQL} AS asset_tag, round(x.lost, 1) + a.asset_id % 2 AS stated,
+       round(x.lost, 1) AS from_tables, (a.asset_id % 2)::DOUBLE AS difference
+FROM (SELECT asset_id, esum(lost_generation_mwh) AS lost FROM outages GROUP BY asset_id) x
+JOIN assets a ON a.asset_id = x.asset_id"""))
+def c15(spark, d):
+    """Reports that state each asset's lost MWh, every other one off by 1."""
+    t = load(spark, d)
+    per = t.outages.groupBy("asset_id").agg(rnd(exact_sum("lost_generation_mwh"), 1).alias("total_lost_mwh"))
+    per = per.join(t.assets.select("asset_id", _tag().alias("asset_tag")), "asset_id")
+    stated = F.format_number(F.col("total_lost_mwh") + F.col("asset_id") % 2, 1)
+    docs = per.select(F.col("asset_id").alias("doc_id"),
+                      _text("Asset ", F.col("asset_tag"), " lost ", stated, " MWh.").alias("text"))
+    out = C.doc_vs_table(docs, per)
+    return out.select("doc_id", "asset_tag", *[rnd(c, 1).alias(c) for c in ("stated", "from_tables", "difference")])

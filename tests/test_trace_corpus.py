@@ -142,13 +142,46 @@ def test_corpus_parsing(spark):
     assert tags == {"WIN-10130", "OUT-2025-0042"}
     inv = C.invoice_check(C.invoice_lines(docs)).first()
     assert inv.line_sum == 51240.0 and inv.stated_total == 51240.0 and inv.difference == 0.0
-    th = {r.threshold for r in C.threshold_claims(docs).collect()}
-    assert th == {3.8, 3.5}
-    assert C.threshold_conflicts(C.threshold_claims(docs)).first().conflict is True
     bp = [(r.doc_id, r.phrase, r.occurrences) for r in C.banned_phrases(docs).collect()]
     assert bp == [("CAR-2025-004", "leverage", 1)]
 
 
+MANUAL = """# Substation Manual
+## Section 6.4
+
+**Document Reference:** VTM-X-1
+**Revision:** 3.0
+
+## 6.4.1 Cycles
+**Note:** body
+MS-2025-03 sets the vibration limit at 6.5 mm/s, SUB-10641 and TRA-10561 and INV-10360 differ.
+## Document Control
+
+| Field | Value |
+|---|---|
+| Document Number | X-3.0 |
+| Approved By | Director |"""
+
+
+def test_manual_layout_tags_and_conflicts(spark):
+    docs = spark.createDataFrame([
+        ("VTM-X-1", MANUAL),
+        ("OIR-2025-010", "Standard MS-2025-03 sets the threshold at 8.0 mm/s; OEM Manual Rev. 4.2 threshold 10.0 mm/s."),
+        ("OIR-2025-011", "Oil at 60 ppm (ISO 4406 limit 60 ppm). Repair by Apex Emergency Grid Solutions at NW-Pool-WIND-024."),
+    ], "doc_id string, text string")
+    got = {(r.field, r.value) for r in C.header_fields(docs).collect()}
+    assert got == {("Document Reference", "VTM-X-1"), ("Revision", "3.0"), ("Document Number", "X-3.0"),
+                   ("Approved By", "Director")}
+    assert {r.tag for r in C.entity_mentions(docs).collect()} == {"SUB-10641", "TRA-10561", "INV-10360"}
+    claims = {tuple(r) for r in C.threshold_claims(docs).collect()}
+    assert claims == {("VTM-X-1", "MS-2025-03", 6.5, "mm/s"), ("OIR-2025-010", "MS-2025-03", 8.0, "mm/s"),
+                      ("OIR-2025-010", "OEM Manual Rev. 4.2", 10.0, "mm/s"), ("OIR-2025-011", "ISO 4406", 60.0, "ppm")}
+    assert {r.standard: r.conflict for r in C.threshold_conflicts(C.threshold_claims(docs)).collect()} == {
+        "MS-2025-03": True, "OEM Manual Rev. 4.2": False, "ISO 4406": False}
+    names = {(r.kind, r.name) for r in C.named_things(docs).collect()}
+    assert names == {("site", "NW-Pool-WIND-024"), ("region", "NW-Pool"), ("vendor", "Apex Emergency Grid Solutions")}
+
+
 def test_bands_and_rate_cards(spark):
     readings = spark.createDataFrame([(1, "siemens_gamesa", 3.49), (2, "siemens_gamesa", 3.5),
                                       (3, "vestas", 7.5)],
