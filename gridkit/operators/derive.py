@@ -32,6 +32,12 @@ PLANNED_LOSS_FACTOR = 0.30
 EMERGENCY_MIN_HOURS = 24
 BASE_CAPACITY_FACTOR = 0.30
 CURTAILMENT_PRICE_CEILING = 30.0
+CURTAILED_SHARE = 0.075
+DEFAULT_EFFICIENCY = 0.92
+OPEX_PER_MW_DAY = 8
+SOLAR_PEAK, SOLAR_SUNRISE, SOLAR_DAYLIGHT_HOURS = 0.85, 6, 12
+WIND_MEAN, WIND_SWING, WIND_PERIOD_HOURS = 0.35, 0.15, 24 * 7
+BATTERY_MEAN, BATTERY_SWING = 0.4, 0.3
 ALARM_TEMPERATURE = 70.0
 ALARM_VIBRATION = 4.0
 LOST_TIME_SEVERITIES = ("recordable", "serious")
@@ -171,8 +177,8 @@ def region_day_price(tables) -> DataFrame:
               .agg(rnd(exact_avg("real_time_price_mwh"), 9).alias("avg_price")))
 
 
-def asset_pnl(tables, start_date, end_date, curtail_share: float = 0.075,
-              default_efficiency: float = 0.92) -> DataFrame:
+def asset_pnl(tables, start_date, end_date, curtail_share: float = CURTAILED_SHARE,
+              default_efficiency: float = DEFAULT_EFFICIENCY) -> DataFrame:
     """d07 + d08: per asset-day generation, revenue, opex, maintenance, margin.
 
     gen = capacity slice x 24 x 0.30 x efficiency (asset's mean telemetry
@@ -201,7 +207,7 @@ def asset_pnl(tables, start_date, end_date, curtail_share: float = 0.075,
     gen = capc * 24 * dbl(BASE_CAPACITY_FACTOR) * F.coalesce("eff", dbl(default_efficiency))
     net = F.greatest(dbl(0), gen - F.coalesce("lost_mwh", dbl(0)))
     rev = rnd(net * F.col("avg_price"), 2)
-    opex = capc * 8
+    opex = capc * OPEX_PER_MW_DAY
     maint = rnd(F.coalesce("parts_cost_usd", dbl(0)), 2)
     margin = F.when(rev > 0, rnd((rev - opex - maint) / rev * 100, 2)).otherwise(dbl(-100))
     curtailed = F.when(F.col("avg_price") < CURTAILMENT_PRICE_CEILING,
@@ -217,9 +223,9 @@ def capacity_factor_by_hour(gen_type: F.Column, ts: F.Column, y0: F.Column) -> F
     hour = F.hour(ts)
     h_idx = ((F.unix_timestamp(ts) - F.unix_timestamp(y0)) / 3600).cast("long")
     pi = F.lit(3.141592653589793)
-    solar = F.greatest(dbl(0), F.sin(pi * (hour - 6) / 12)) * dbl(0.85)
-    wind = clip_col(dbl(0.35) + dbl(0.15) * F.sin(2 * pi * h_idx / (24 * 7)), 0.0, 1.0)
-    battery = clip_col(dbl(0.4) + dbl(0.3) * F.sin(2 * pi * hour / 24 * 2), 0.0, 1.0)
+    solar = F.greatest(dbl(0), F.sin(pi * (hour - SOLAR_SUNRISE) / SOLAR_DAYLIGHT_HOURS)) * dbl(SOLAR_PEAK)
+    wind = clip_col(dbl(WIND_MEAN) + dbl(WIND_SWING) * F.sin(2 * pi * h_idx / WIND_PERIOD_HOURS), 0.0, 1.0)
+    battery = clip_col(dbl(BATTERY_MEAN) + dbl(BATTERY_SWING) * F.sin(2 * pi * hour / 24 * 2), 0.0, 1.0)
     return (F.when(gen_type == "solar", solar).when(gen_type == "wind", wind)
              .otherwise(battery))
 

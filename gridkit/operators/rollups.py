@@ -129,21 +129,6 @@ def safety_daily_region(tables) -> DataFrame:
                    sum_if(F.col("lost_time_flag")).alias("lost_time_incident_count")))
 
 
-ASSET_DAILY_COLUMNS = [
-    "asset_id", "date", "asset_capacity_mw", "is_generation_asset",
-    "theoretical_max_daily_mwh", "revenue_usd", "opex_usd",
-    "finance_maintenance_cost_usd", "curtailed_mwh", "net_profit_usd",
-    "profit_margin_pct", "avg_temperature", "max_temperature", "avg_vibration",
-    "max_vibration", "avg_efficiency_pct", "total_power_mwh", "alarm_count",
-    "voltage_stddev", "has_telemetry", "anomaly_count", "max_severity_score",
-    "outage_count", "forced_outage_count", "total_downtime_hours",
-    "total_lost_mwh", "work_order_count", "emergency_wo_count",
-    "reactive_wo_count", "preventive_wo_count", "inspection_wo_count",
-    "total_labor_hours", "wo_total_parts_cost", "overdue_maintenance_count",
-    "scheduled_count",
-]
-
-
 @_memo
 def financial_spine(tables) -> DataFrame:
     """Asset-day financials with the margin column.

@@ -1,8 +1,12 @@
 """DOUBLE output columns per registered query (generated by tools/gen_float_columns.py)."""
 
-FLOAT_COLUMNS = {'c12_threshold_bands': ['running_mean'],
+FLOAT_COLUMNS = {'c09_invoice_check': ['line_sum', 'stated_total', 'difference'],
+ 'c10_vendor_cost_ratio': ['avg_emergency', 'avg_comparable', 'ratio'],
+ 'c11_threshold_conflicts': ['lowest', 'highest'],
+ 'c12_threshold_bands': ['running_mean'],
  'c13_rate_card_cost': ['labor_cost_usd', 'parts_billed_usd', 'billed_usd'],
  'c14_approval_tier': ['billed_usd'],
+ 'c15_doc_vs_table': ['stated', 'from_tables', 'difference'],
  'c17_topk_retrieval': ['score'],
  'd02_assets_per_site': ['asset_capacity_mw'],
  'd03_outage_duration_loss': ['duration_hours', 'derived_lost_mwh'],
@@ -102,6 +106,7 @@ FLOAT_COLUMNS = {'c12_threshold_bands': ['running_mean'],
                               'total_lost_mwh',
                               'total_labor_hours',
                               'total_parts_cost'],
+ 's02_overwrite_table': ['lost_generation_mwh'],
  's04_ctas_asset_daily': ['asset_capacity_mw',
                           'theoretical_max_daily_mwh',
                           'revenue_usd',
@@ -178,4 +183,7 @@ FLOAT_COLUMNS = {'c12_threshold_bands': ['running_mean'],
                         'grid_instability_risk_score'],
  'x15_exec_by_health': ['total_revenue_usd', 'avg_efficiency_pct'],
  'x16_exec_risk_gen': ['total_revenue_usd', 'net_profit_usd'],
- 'x17_exec_quarter_gen': ['total_revenue_usd', 'total_generation_mwh']}
+ 'x17_exec_quarter_gen': ['total_revenue_usd', 'total_generation_mwh'],
+ 'y02_fin_dimensions': ['total_revenue_usd', 'curtailment_loss_mwh'],
+ 'y03_maint_dimensions': ['total_labor_hours'],
+ 'y04_exec_dimensions': ['total_revenue_usd']}

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from functools import reduce
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -137,18 +138,48 @@ class MetricView:
             base = base.join(dim, base[f"_p_{j.parent_key}"] == dim["_k"], "left").drop("_k")
         return base
 
+    def all_joins(self) -> list[tuple[str, Join]]:
+        """(path, join) of the whole tree."""
+        def walk(joins, prefix):
+            for j in joins:
+                yield f"{prefix}{j.name}", j
+                yield from walk(j.joins, f"{prefix}{j.name}.")
+        return list(walk(self.joins, ""))
+
+    def repeated_keys(self, tables, only: str | None = None) -> DataFrame:
+        """``(join, key, rows)`` of the keys that a joined table holds more than
+        once: the joins are many-to-one, such a key would multiply measures."""
+        found = [tables[j.table].groupBy(F.col(j.key).cast("string").alias("key"))
+                 .agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1 AND key IS NOT NULL")
+                 .select(F.lit(path).alias("join"), "key", "rows")
+                 for path, j in self.all_joins() if only in (None, path)]
+        if not found:
+            return tables.spark.createDataFrame([], "join string, key string, rows long")
+        return reduce(DataFrame.unionByName, found)
+
+    def check_keys(self, tables) -> None:
+        """Raise if a joined table repeats a key."""
+        bad = self.repeated_keys(tables).limit(5).collect()
+        if bad:
+            raise ValueError(f"{self.name}: joined keys repeat: "
+                             + ", ".join(f"{r['join']} {r['key']} ({r['rows']} rows)" for r in bad))
+
     def query(self, tables, dims: Sequence[str] = (),
               measures: Sequence[str | tuple[str, str]] = (),
               where: str | None = None,
               order_by: Sequence[str] | None = None,
-              limit: int | None = None) -> DataFrame:
+              limit: int | None = None, check_keys: bool = False) -> DataFrame:
         """``SELECT dims, MEASURE(m) [AS alias] ... [WHERE] GROUP BY dims``.
 
+        ``check_keys`` first verifies that no joined table repeats a key.
+
         ``where`` may reference any dimension name of the view.  ``order_by``
         items are output names with optional ``ASC``/``DESC``; with a
         ``limit`` the dimensions are appended as tie-breakers so the cut is
         deterministic.
         """
+        if check_keys:
+            self.check_keys(tables)
         dim_fields = [self.dimension(d) for d in dims]
         meas = [(m, m) if isinstance(m, str) else tuple(m) for m in measures]
         meas_fields = [(self.measure(m), alias) for m, alias in meas]

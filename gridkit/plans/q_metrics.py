@@ -246,12 +246,17 @@ def _spark_where(where):
     return where.format(**{d: d for v in SQL_DIMS.values() for d in v})
 
 
+#: (view, dimension) of every registered metric query
+QUERIED: set[tuple[str, str]] = set()
+
+
 def metric_query(name, view, dims, measures, where=None, order_by=None, limit=None):
     """Register one metric query under ``name`` with its oracle."""
     def run(spark, sf_dir):
         return views()[view].query(load(spark, sf_dir), dims, measures,
                                    _spark_where(where), order_by, limit)
     run.__name__ = name
+    QUERIED.update((view, d) for d in dims)
     register(name, metric_sql(view, dims, measures, where, order_by, limit))(run)
     return run
 
@@ -262,34 +267,11 @@ FIN = "financial_performance_metrics"
 MW = "maintenance_workforce_metrics"
 EX = "executive_summary_metrics"
 
-GO_MEASURES = [
-    "avg_temperature", "max_temperature", "avg_vibration", "avg_efficiency_pct",
-    "total_power_generated_mwh", "anomaly_count", "outage_count", "forced_outage_count",
-    "total_downtime_hours", "mttr_hours", "mtbf_hours", "capacity_factor_pct",
-    "alarm_count", "overdue_maintenance_count", "grid_instability_risk_score",
-]
-FIN_MEASURES = [
-    "total_revenue_usd", "total_opex_usd", "total_maintenance_cost_usd",
-    "net_profit_usd", "profit_margin_pct", "revenue_loss_from_outages_usd",
-    "curtailment_loss_mwh", "revenue_per_mwh", "total_lost_mwh",
-]
-MW_MEASURES = [
-    "work_order_count", "preventive_maintenance_count", "reactive_maintenance_count",
-    "inspection_count", "emergency_count", "preventive_to_reactive_ratio",
-    "avg_repair_duration_hours", "avg_labor_hours", "total_labor_hours",
-    "total_parts_cost_usd", "completed_count", "in_progress_count",
-    "assets_serviced", "technicians_active", "repeat_failure_assets",
-]
-EX_MEASURES = [
-    "total_revenue_usd", "net_profit_usd", "profit_margin_pct",
-    "maintenance_cost_usd", "total_generation_mwh", "avg_efficiency_pct",
-    "capacity_factor_pct", "outage_count", "forced_outage_count",
-    "total_downtime_hours", "total_lost_mwh", "preventive_to_reactive_ratio",
-    "safety_incident_count", "lost_time_incident_count", "total_anomaly_count",
-    "grid_instability_risk_score",
-]
+# every measure of a view, in the view's own order
+GO_MEASURES, FIN_MEASURES, MW_MEASURES, EX_MEASURES = (
+    [m.name for m in views()[v].measures] for v in (GO, FIN, MW, EX))
 
-# (name, view, dims, measures, order_by, limit): the validation suite.
+# The validation suite as (name, view, dims, measures, order_by, limit).
 VALIDATION = [
     ("x01_grid_by_asset_type", GO, ["asset_type"], GO_MEASURES, ["asset_type"], 5),
     ("x02_grid_health_risk", GO, ["asset_health_status", "operational_risk_level"],
@@ -380,3 +362,14 @@ metric_query("g18_repair_duration", MW, ["priority", "outage_reason"],
              [("work_order_count", "wo_count"), ("avg_repair_duration_hours", "avg_repair_hrs"),
               ("avg_labor_hours", "avg_labor_hrs")],
              where="{outage_reason} IS NOT NULL", order_by=["avg_repair_hrs DESC"])
+
+# ------------------------------------------------ the other dimensions
+metric_query("y01_grid_dimensions", GO, ["asset_id", "manufacturer", "date", "quarter", "year"],
+             ["anomaly_count", "outage_count", "alarm_count"])
+metric_query("y02_fin_dimensions", FIN, ["date", "month", "year", "forced_outage_flag"],
+             ["total_revenue_usd", "curtailment_loss_mwh"])
+metric_query("y03_maint_dimensions", MW,
+             ["technician_id", "asset_id", "asset_type", "site_name", "created_date", "created_month",
+              "forced_outage_flag"], ["work_order_count", "total_labor_hours"])
+metric_query("y04_exec_dimensions", EX, ["date", "month", "year", "profitability_band"],
+             ["total_revenue_usd", "outage_count", "safety_incident_count"])

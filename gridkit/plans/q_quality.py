@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import quality as Q
@@ -170,3 +171,21 @@ def s07(spark, d):
         "forced_outage_flag", "outage_reason"), path)
     return spark.read.schema("outage_id long, outage_start_ts string, outage_date string, "
                              "forced_outage_flag boolean, outage_reason string").json(path)
+
+
+_JOINED = [(v.name, path, j.table, j.key) for v in M.views().values() for path, j in v.all_joins()]
+
+
+@register("v05_join_keys", with_bindings(" UNION ALL ".join(
+    f"SELECT '{view}' AS view, '{path}' AS \"join\", count(*) AS repeated_keys FROM "
+    f"(SELECT {key} FROM {table} WHERE {key} IS NOT NULL GROUP BY 1 HAVING count(*) > 1)"
+    for view, path, table, key in _JOINED)))
+def v05(spark, d):
+    """Keys that a many-to-one join of a metric view would multiply, per join."""
+    t = load(spark, d)
+    parts = []
+    for v in M.views().values():
+        for path, _ in v.all_joins():
+            parts.append(v.repeated_keys(t, path).agg(F.count(F.lit(1)).alias("repeated_keys"))
+                         .select(F.lit(v.name).alias("view"), F.lit(path).alias("join"), "repeated_keys"))
+    return reduce(DataFrame.unionByName, parts)

@@ -7,128 +7,93 @@ from ..sources.bindings import load
 from .oracle_sql import with_bindings
 from .registry import register
 
+# The daily tables as one declaration: stage, source, day, and its columns as
+# (name, kind, expression, value on days without a row).  The oracle adds up the
+# contributions of single rows: each source row is one row of the day's group.
+MISSING, ZERO = None, "0"
+STAGES = [
+    ("_telemetry_daily", "telemetry", "timestamp", [
+        ("avg_temperature", "avg", "temperature", MISSING), ("max_temperature", "max", "temperature", MISSING),
+        ("avg_vibration", "avg", "vibration", MISSING), ("max_vibration", "max", "vibration", MISSING),
+        ("avg_efficiency_pct", "avg", "efficiency_pct", MISSING),
+        ("total_power_mwh", "day", "power_output_mw", MISSING), ("alarm_count", "rows", "alarm_flag", MISSING),
+        ("voltage_stddev", "stddev_samp", "voltage", MISSING), ("has_telemetry", "some", "true", "false")]),
+    ("_anomalies_daily", "sensor_anomalies", "timestamp", [
+        ("anomaly_count", "rows", "true", ZERO), ("max_severity_score", "max", "severity_score", MISSING)]),
+    ("_outages_daily", "outages", "outage_start_ts", [
+        ("outage_count", "ids", "outage_id", ZERO),
+        ("forced_outage_count", "ids", "CASE WHEN forced_outage_flag THEN outage_id END", ZERO),
+        ("total_downtime_hours", "hours", "floor(epoch(outage_end_ts)) - floor(epoch(outage_start_ts))", ZERO),
+        ("total_lost_mwh", "sum", "lost_generation_mwh", ZERO)]),
+    ("_work_orders_daily", "work_orders", "created_ts", [
+        ("work_order_count", "rows", "true", ZERO),
+        *[(f"{k}_wo_count", "rows", f"work_order_type = '{k}'", ZERO)
+          for k in ("emergency", "reactive", "preventive", "inspection")],
+        ("total_labor_hours", "sum", "labor_hours", ZERO), ("total_parts_cost", "sum", "parts_cost_usd", ZERO)]),
+    ("_maintenance_daily", "maintenance_schedule", "planned_date", [
+        ("overdue_maintenance_count", "rows", "overdue_flag", ZERO), ("scheduled_count", "rows", "true", ZERO)]),
+]
+KINDS = {"rows": "count_if({})::BIGINT", "ids": "count(DISTINCT {})", "some": "bool_or({})",
+         "day": "24 * avg({})", "hours": "sum({}) / 3600.0"}
+RENAMED = {"total_parts_cost": "wo_total_parts_cost"}
+
+
+def _aggregates(columns):
+    return ", ".join(f"{KINDS.get(k, k + '({})').format(e)} AS {n}" for n, k, e, _ in columns)
+
+
+def _stage_sql(source, day, columns):
+    return (f"SELECT asset_id, CAST({day} AS DATE) AS date, {_aggregates(columns)} "
+            f"FROM {source} GROUP BY asset_id, CAST({day} AS DATE)")
+
+
 _CAP_SQL = """
-SELECT asset_id, site_id,
-       capacity_mw / NULLIF(n_at_site, 0) AS asset_capacity_mw,
+SELECT asset_id, site_id, capacity_mw / nullif(count(*) OVER (PARTITION BY site_id), 0) AS asset_capacity_mw,
        asset_type IN ('wind_turbine', 'inverter', 'battery_unit') AS is_generation_asset
-FROM (SELECT a.asset_id, a.site_id, a.asset_type, s.capacity_mw,
-             count(*) OVER (PARTITION BY a.site_id) AS n_at_site
-      FROM assets AS a INNER JOIN sites AS s USING (site_id))"""
-
-_TEL_SQL = """
-SELECT asset_id, d AS date, avg(temperature) AS avg_temperature, max(temperature) AS max_temperature,
-       avg(vibration) AS avg_vibration, max(vibration) AS max_vibration,
-       avg(efficiency_pct) AS avg_efficiency_pct, 24 * avg(power_output_mw) AS total_power_mwh,
-       count_if(alarm_flag)::BIGINT AS alarm_count, stddev_samp(voltage) AS voltage_stddev,
-       true AS has_telemetry
-FROM (SELECT *, CAST(timestamp AS DATE) AS d FROM telemetry)
-GROUP BY ALL"""
-
-_ANOM_SQL = """
-SELECT asset_id, d AS date, count(*) AS anomaly_count, max(severity_score) AS max_severity_score
-FROM (SELECT asset_id, severity_score, CAST(timestamp AS DATE) AS d FROM sensor_anomalies)
-GROUP BY ALL"""
-
-_OUT_SQL = """
-SELECT asset_id, d AS date, count(DISTINCT outage_id) AS outage_count,
-       count(DISTINCT outage_id) FILTER (WHERE forced_outage_flag) AS forced_outage_count,
-       sum(secs) / 3600.0 AS total_downtime_hours, sum(lost_generation_mwh) AS total_lost_mwh
-FROM (SELECT asset_id, outage_id, forced_outage_flag, lost_generation_mwh,
-             CAST(outage_start_ts AS DATE) AS d,
-             floor(epoch(outage_end_ts)) - floor(epoch(outage_start_ts)) AS secs FROM outages)
-GROUP BY ALL"""
-
-_WO_SQL = """
-SELECT asset_id, d AS date, count(*) AS work_order_count,
-       count_if(work_order_type = 'emergency')::BIGINT AS emergency_wo_count,
-       count_if(work_order_type = 'reactive')::BIGINT AS reactive_wo_count,
-       count_if(work_order_type = 'preventive')::BIGINT AS preventive_wo_count,
-       count_if(work_order_type = 'inspection')::BIGINT AS inspection_wo_count,
-       sum(labor_hours) AS total_labor_hours, sum(parts_cost_usd) AS total_parts_cost
-FROM (SELECT *, CAST(created_ts AS DATE) AS d FROM work_orders)
-GROUP BY ALL"""
-
-_MAINT_SQL = """
-SELECT asset_id, planned_date AS date, count_if(overdue_flag)::BIGINT AS overdue_maintenance_count,
-       count(*) AS scheduled_count
-FROM maintenance_schedule GROUP BY ALL"""
-
+FROM assets JOIN (SELECT site_id, capacity_mw FROM sites) USING (site_id)"""
 _SAFETY_SQL = """
-SELECT s.region_id, CAST(i.incident_ts AS DATE) AS date, count(*) AS safety_incident_count,
-       count_if(i.lost_time_flag)::BIGINT AS lost_time_incident_count
-FROM safety_incidents AS i INNER JOIN sites AS s USING (site_id)
-GROUP BY ALL"""
-
-_ADS_SQL = """
-SELECT asset_id, date, c.asset_capacity_mw, c.is_generation_asset,
-  IF(t.has_telemetry AND c.is_generation_asset, 24 * c.asset_capacity_mw, NULL)
-    AS theoretical_max_daily_mwh,
-  f.revenue_usd, f.opex_usd, f.maintenance_cost_usd AS finance_maintenance_cost_usd, f.curtailed_mwh,
-  f.revenue_usd - f.opex_usd - f.maintenance_cost_usd AS net_profit_usd,
-  IF(f.revenue_usd > 0,
-     100.0 * (f.revenue_usd - f.opex_usd - f.maintenance_cost_usd) / f.revenue_usd, -100.0)::DOUBLE
-    AS profit_margin_pct,
-  t.avg_temperature, t.max_temperature, t.avg_vibration, t.max_vibration, t.avg_efficiency_pct,
-  t.total_power_mwh, t.alarm_count, t.voltage_stddev,
-  IFNULL(t.has_telemetry, false) AS has_telemetry,
-  IFNULL(an.anomaly_count, 0) AS anomaly_count, an.max_severity_score,
-  IFNULL(o.outage_count, 0) AS outage_count, IFNULL(o.forced_outage_count, 0) AS forced_outage_count,
-  IFNULL(o.total_downtime_hours, 0) AS total_downtime_hours,
-  IFNULL(o.total_lost_mwh, 0) AS total_lost_mwh,
-  IFNULL(w.work_order_count, 0) AS work_order_count,
-  IFNULL(w.emergency_wo_count, 0) AS emergency_wo_count,
-  IFNULL(w.reactive_wo_count, 0) AS reactive_wo_count,
-  IFNULL(w.preventive_wo_count, 0) AS preventive_wo_count,
-  IFNULL(w.inspection_wo_count, 0) AS inspection_wo_count,
-  IFNULL(w.total_labor_hours, 0) AS total_labor_hours,
-  IFNULL(w.total_parts_cost, 0) AS wo_total_parts_cost,
-  IFNULL(m.overdue_maintenance_count, 0) AS overdue_maintenance_count,
-  IFNULL(m.scheduled_count, 0) AS scheduled_count
-FROM asset_financials AS f
-INNER JOIN (SELECT asset_id, asset_capacity_mw, is_generation_asset FROM _asset_cap) AS c USING (asset_id)
-LEFT JOIN _telemetry_daily AS t USING (asset_id, date)
-LEFT JOIN _anomalies_daily AS an USING (asset_id, date)
-LEFT JOIN _outages_daily AS o USING (asset_id, date)
-LEFT JOIN _work_orders_daily AS w USING (asset_id, date)
-LEFT JOIN _maintenance_daily AS m USING (asset_id, date)"""
-
-STAGE_CTES = [
-    ("_asset_cap", _CAP_SQL), ("_telemetry_daily", _TEL_SQL),
-    ("_anomalies_daily", _ANOM_SQL), ("_outages_daily", _OUT_SQL),
-    ("_work_orders_daily", _WO_SQL), ("_maintenance_daily", _MAINT_SQL),
-    ("_safety_daily_region", _SAFETY_SQL),
+SELECT region_id, CAST(incident_ts AS DATE) AS date, count(*) AS safety_incident_count,
+       count_if(lost_time_flag)::BIGINT AS lost_time_incident_count
+FROM safety_incidents JOIN sites USING (site_id) GROUP BY region_id, CAST(incident_ts AS DATE)"""
+
+# The asset-day row: what the finance table gives, then each stage's columns.
+_NET = "revenue_usd - opex_usd - maintenance_cost_usd"
+_DAY_COLUMNS = [
+    ("asset_capacity_mw", "asset_capacity_mw"), ("is_generation_asset", "is_generation_asset"),
+    ("theoretical_max_daily_mwh", "CASE WHEN has_telemetry AND is_generation_asset THEN 24 * asset_capacity_mw END"),
+    ("revenue_usd", "revenue_usd"), ("opex_usd", "opex_usd"),
+    ("finance_maintenance_cost_usd", "maintenance_cost_usd"), ("curtailed_mwh", "curtailed_mwh"),
+    ("net_profit_usd", _NET),
+    ("profit_margin_pct", f"CAST(CASE WHEN revenue_usd > 0 THEN CAST(100 AS DOUBLE) * ({_NET}) / revenue_usd "
+                          "ELSE -100 END AS DOUBLE)"),
+    *[(RENAMED.get(n, n), n if missing is None else f"coalesce({n}, {missing})")
+      for _, _, _, columns in STAGES for n, _, _, missing in columns],
 ]
+_ADS_SQL = ("SELECT asset_id, date, " + ", ".join(f"{e} AS {n}" for n, e in _DAY_COLUMNS)
+            + " FROM asset_financials JOIN (SELECT asset_id, asset_capacity_mw, is_generation_asset "
+              "FROM _asset_cap) USING (asset_id) "
+            + " ".join(f"LEFT JOIN {n} USING (asset_id, date)" for n, _, _, _ in STAGES))
+
+STAGE_CTES = [("_asset_cap", _CAP_SQL), *[(n, _stage_sql(*rest)) for n, *rest in STAGES],
+              ("_safety_daily_region", _SAFETY_SQL)]
 ADS_CTES = STAGE_CTES + [("asset_daily_summary", _ADS_SQL)]
 
-_RDS_SQL = """
-SELECT g.*, IFNULL(sd.safety_incident_count, 0) AS safety_incident_count,
-       IFNULL(sd.lost_time_incident_count, 0) AS lost_time_incident_count
-FROM (
-  SELECT s.region_id, r.region_name, s.generation_type, d.date,
-    sum(d.revenue_usd) AS total_revenue_usd, sum(d.opex_usd) AS total_opex_usd,
-    sum(d.finance_maintenance_cost_usd) AS total_maintenance_cost_usd,
-    sum(d.curtailed_mwh) AS total_curtailed_mwh, sum(d.net_profit_usd) AS net_profit_usd,
-    avg(d.profit_margin_pct) AS avg_profit_margin_pct, sum(d.total_power_mwh) AS total_power_mwh,
-    sum(d.theoretical_max_daily_mwh) AS total_theoretical_max_mwh,
-    avg(d.avg_efficiency_pct) AS avg_efficiency_pct,
-    sum(d.anomaly_count)::BIGINT AS total_anomaly_count,
-    sum(d.outage_count)::BIGINT AS total_outage_count,
-    sum(d.forced_outage_count)::BIGINT AS total_forced_outage_count,
-    sum(d.total_downtime_hours) AS total_downtime_hours, sum(d.total_lost_mwh) AS total_lost_mwh,
-    sum(d.work_order_count)::BIGINT AS total_work_order_count,
-    sum(d.emergency_wo_count)::BIGINT AS total_emergency_wo_count,
-    sum(d.reactive_wo_count)::BIGINT AS total_reactive_wo_count,
-    sum(d.preventive_wo_count)::BIGINT AS total_preventive_wo_count,
-    sum(d.inspection_wo_count)::BIGINT AS total_inspection_wo_count,
-    sum(d.total_labor_hours) AS total_labor_hours, sum(d.wo_total_parts_cost) AS total_parts_cost,
-    sum(d.overdue_maintenance_count)::BIGINT AS total_overdue_maintenance_count,
-    sum(d.alarm_count)::BIGINT AS total_alarm_count
-  FROM asset_daily_summary AS d
-  INNER JOIN assets AS a USING (asset_id)
-  INNER JOIN sites AS s ON s.site_id = a.site_id
-  INNER JOIN regions AS r ON r.region_id = s.region_id
-  GROUP BY ALL) AS g
-LEFT JOIN _safety_daily_region AS sd ON sd.region_id = g.region_id AND sd.date = g.date"""
+
+def _region_aggregate(column, fn, name):
+    whole = "::BIGINT" if column.endswith("_count") else ""
+    return f"{fn.__name__}({column}){whole} AS {name}"
+
+
+# From the same list of (column, aggregate, name) as the rollup itself.
+_RDS_SQL = f"""
+SELECT * REPLACE (coalesce(safety_incident_count, 0) AS safety_incident_count,
+                  coalesce(lost_time_incident_count, 0) AS lost_time_incident_count)
+FROM (SELECT region_id, region_name, generation_type, date,
+             {", ".join(_region_aggregate(*a) for a in R.REGION_AGGREGATES)}
+      FROM asset_daily_summary JOIN (SELECT asset_id, region_id, region_name, generation_type FROM assets
+        JOIN sites USING (site_id) JOIN regions USING (region_id)) USING (asset_id)
+      GROUP BY region_id, region_name, generation_type, date)
+LEFT JOIN _safety_daily_region USING (region_id, date)"""
 
 RDS_CTES = ADS_CTES + [("region_daily_summary", _RDS_SQL)]
 

@@ -81,3 +81,23 @@ def test_clustered_table_has_few_files(spark, tmp_path):
     df = spark.range(0, 4000, 1, 16).select((F.col("id") % 4).alias("day"), "id")
     sinks.create_table_as(spark, df, str(tmp_path / "t"), ["day"])
     assert sum(1 for _ in (tmp_path / "t").glob("day=*/part-*")) <= 8
+
+
+def test_repeated_join_keys_are_refused(spark):
+    from fixtures import ASSETS, REGION, SITES, tables
+
+    from gridkit.plans.views import all_views
+    view = all_views()["maintenance_workforce_metrics"]
+    good = tables(spark, regions=REGION, sites=SITES, assets=ASSETS)
+    assert view.query(good, ["asset_type"], ["work_order_count"], check_keys=True).count() == 0
+    twice = tables(spark, regions=REGION, sites=SITES, assets=[*ASSETS, ASSETS[0]])
+    with pytest.raises(ValueError, match="asset 10"):
+        view.query(twice, ["asset_type"], ["work_order_count"], check_keys=True)
+
+
+def test_every_dimension_is_queried():
+    from gridkit.plans import q_metrics as M
+    named = {(v.name, d.name) for v in M.views().values() for d in v.dimensions}
+    assert len(named) == 48 and M.QUERIED <= named
+    # p08's flag is one of them; what is left is asked in a filter only
+    assert named - M.QUERIED == set()
