@@ -111,7 +111,7 @@ def assets_per_site(tables) -> DataFrame:
     """d02: assets per site (at least 1) and the capacity slice per asset."""
     n = tables["assets"].groupBy("site_id").agg(F.count(F.lit(1)).alias("n"))
     s = tables["sites"].select("site_id", "capacity_mw")
-    j = s.join(F.broadcast(n), "site_id", "left")  # one row per site
+    j = s.join(n, "site_id", "left")
     n_assets = F.greatest(F.lit(1).cast("long"), F.coalesce(F.col("n"), F.lit(0).cast("long")))
     return j.select("site_id", n_assets.alias("n_assets"),
                     (F.col("capacity_mw") / n_assets).alias("asset_capacity_mw"))
@@ -125,7 +125,7 @@ def outage_duration_loss(tables) -> DataFrame:
     dur = hours_between("outage_start_ts", "outage_end_ts")
     factor = F.when(F.col("forced_outage_flag"), dbl(FORCED_LOSS_FACTOR)) \
               .otherwise(dbl(PLANNED_LOSS_FACTOR))
-    return (o.join(F.broadcast(cap), "site_id")
+    return (o.join(cap, "site_id")
              .select("outage_id", dur.alias("duration_hours"),
                      (dur * F.col("asset_capacity_mw") * factor).alias("derived_lost_mwh")))
 
@@ -195,7 +195,7 @@ def asset_pnl(tables, start_date, end_date, curtail_share: float = CURTAILED_SHA
     cap = assets_per_site(tables).select("site_id", "asset_capacity_mw")
     eff = (tables["telemetry"].groupBy("asset_id")
            .agg((F.avg("efficiency_pct") / 100).alias("eff")))
-    spine = (a.join(F.broadcast(sites), "site_id").join(F.broadcast(cap), "site_id")
+    spine = (a.join(sites, "site_id").join(cap, "site_id")
               .select("asset_id", "region_id", "asset_capacity_mw",
                       F.explode(F.sequence(F.lit(start_date).cast("date"),
                                            F.lit(end_date).cast("date"))).alias("date")))

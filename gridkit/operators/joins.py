@@ -21,8 +21,8 @@ from ..functions.scalars import trunc_ts
 def asset_dims(tables, cols: Sequence[str]) -> DataFrame:
     """``asset_id`` + the requested columns of asset -> site -> region.
 
-    Sites and regions are fixed-size dimensions and are broadcast; the
-    assets table itself is not hinted (it grows with the data).
+    No side is hinted: small dimensions are broadcast by their known or
+    measured size, and a deployment with many sites joins by shuffle.
     """
     a_cols = {"asset_id", "site_id", "asset_tag", "asset_type", "manufacturer",
               "install_date", "expected_life_years", "criticality_score"}
@@ -36,10 +36,10 @@ def asset_dims(tables, cols: Sequence[str]) -> DataFrame:
     if need_s:
         s = tables["sites"].select("site_id", *(set(want) & s_cols - {"region_id"}),
                                    "region_id")
-        out = out.join(F.broadcast(s), "site_id")
+        out = out.join(s, "site_id")
     if need_r:
         r = tables["regions"].select("region_id", "region_name")
-        out = out.join(F.broadcast(r), "region_id")
+        out = out.join(r, "region_id")
     return out.select("asset_id", *[c for c in want if c != "asset_id"])
 
 

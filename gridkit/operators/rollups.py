@@ -9,7 +9,7 @@ the key (it is a group-by output), so the joins cannot fan out and a hot
 asset cannot make one join partition larger than its own rows.
 
 The per-site capacity slice (r01) is a partial aggregate per site joined
-back to the assets (sites are a fixed-size dimension -> broadcast), which
+back to the assets (no hint: broadcast by measured size), which
 is equivalent to ``COUNT(*) OVER (PARTITION BY site_id)`` without sending a
 hot site's assets to one task.
 """
@@ -45,10 +45,9 @@ def asset_capacity(tables) -> DataFrame:
     """r01: ``capacity_mw / count(assets at site)`` and generation flag."""
     assets = _t(tables, "assets").select("asset_id", "site_id", "asset_type")
     sites = _t(tables, "sites").select("site_id", "capacity_mw")
-    # one row per site: bounded by the site dimension, safe to broadcast
     per_site = (assets.groupBy("site_id").agg(F.count(F.lit(1)).alias("n_assets"))
-                      .join(F.broadcast(sites), "site_id"))
-    return (assets.join(F.broadcast(per_site), "site_id")
+                      .join(sites, "site_id"))
+    return (assets.join(per_site, "site_id")
                   .select("asset_id", "site_id",
                           safe_div(F.col("capacity_mw"), F.col("n_assets"))
                           .alias("asset_capacity_mw"),
@@ -123,7 +122,7 @@ def safety_daily_region(tables) -> DataFrame:
     """r07: safety incidents per region-day."""
     si = _t(tables, "safety_incidents")
     s = _t(tables, "sites").select("site_id", "region_id")
-    return (si.join(F.broadcast(s), "site_id")
+    return (si.join(s, "site_id")
               .groupBy("region_id", F.to_date("incident_ts").alias("date"))
               .agg(F.count(F.lit(1)).alias("safety_incident_count"),
                    sum_if(F.col("lost_time_flag")).alias("lost_time_incident_count")))
@@ -240,7 +239,7 @@ def region_daily_summary(tables, asset_daily: DataFrame | None = None,
     a = _t(tables, "assets").select("asset_id", "site_id")
     s = _t(tables, "sites").select("site_id", "region_id", "generation_type")
     r = _t(tables, "regions").select("region_id", "region_name")
-    dims = a.join(F.broadcast(s), "site_id").join(F.broadcast(r), "region_id") \
+    dims = a.join(s, "site_id").join(r, "region_id") \
             .select("asset_id", "region_id", "region_name", "generation_type")
     base = ads.join(dims, "asset_id")
     g = base.groupBy("region_id", "region_name", "generation_type", "date").agg(

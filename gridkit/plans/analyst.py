@@ -49,7 +49,7 @@ def asset_mix(tables) -> DataFrame:
 
 def site_mix(tables) -> DataFrame:
     """q02: sites per region x generation type with total MW."""
-    s = tables["sites"].join(F.broadcast(tables["regions"]), "region_id")
+    s = tables["sites"].join(tables["regions"], "region_id")
     return (s.groupBy("region_name", "generation_type")
              .agg(F.count(F.lit(1)).alias("n_sites"),
                   rnd(exact_sum("capacity_mw"), 0).alias("total_mw"))
@@ -59,7 +59,7 @@ def site_mix(tables) -> DataFrame:
 def price_by_month(tables, regions: Sequence[str] = PRICE_REPORT_REGIONS) -> DataFrame:
     """q03: monthly average real-time price for some regions."""
     r = tables["regions"].filter(F.col("region_name").isin(*regions))
-    mp = tables["market_prices"].join(F.broadcast(r), "region_id")
+    mp = tables["market_prices"].join(r, "region_id")
     return (mp.groupBy("region_name", F.month("timestamp").alias("month"))
               .agg(rnd(exact_avg("real_time_price_mwh"), 2).alias("avg_price"))
             .orderBy("region_name", "month"))
@@ -68,7 +68,7 @@ def price_by_month(tables, regions: Sequence[str] = PRICE_REPORT_REGIONS) -> Dat
 def price_by_hour(tables, region: str = HOURLY_PRICE_REGION) -> DataFrame:
     """q04: hour-of-day average price for one region."""
     r = tables["regions"].filter(F.col("region_name") == region)
-    mp = tables["market_prices"].join(F.broadcast(r), "region_id")
+    mp = tables["market_prices"].join(r, "region_id")
     return (mp.groupBy(F.hour("timestamp").alias("hour"))
               .agg(rnd(exact_avg("real_time_price_mwh"), 2).alias("avg_price"))
             .orderBy("hour"))
@@ -299,7 +299,7 @@ def worst_outages(tables, k: int = 30) -> DataFrame:
 def region_sites(tables, region: str = FOCUS_REGION) -> DataFrame:
     """n06: a region's sites by commission date."""
     r = tables["regions"].filter(F.col("region_name") == region)
-    return (tables["sites"].join(F.broadcast(r), "region_id")
+    return (tables["sites"].join(r, "region_id")
             .select("site_id", "site_name", "generation_type", "capacity_mw",
                     "commission_date").orderBy("commission_date", "site_id"))
 
@@ -349,7 +349,7 @@ def loss_root_causes(tables) -> DataFrame:
 
 def price_volatility(tables) -> DataFrame:
     """g10: region x hour-of-day average and standard deviation of price."""
-    mp = tables["market_prices"].join(F.broadcast(tables["regions"]), "region_id")
+    mp = tables["market_prices"].join(tables["regions"], "region_id")
     return (mp.groupBy("region_name", F.hour("timestamp").alias("hour_of_day"))
               .agg(rnd(exact_avg("real_time_price_mwh"), 2).alias("avg_price"),
                    rnd(F.stddev("real_time_price_mwh"), 2).alias("price_volatility")))
@@ -391,8 +391,8 @@ def maintenance_backlog(tables) -> DataFrame:
 def safety_by_region(tables) -> DataFrame:
     """g17: incidents by region x severity."""
     s = tables["sites"].select("site_id", "region_id").join(
-        F.broadcast(tables["regions"]), "region_id")
-    j = tables["safety_incidents"].join(F.broadcast(s), "site_id")
+        tables["regions"], "region_id")
+    j = tables["safety_incidents"].join(s, "site_id")
     return (j.groupBy("region_name", "severity")
              .agg(F.count(F.lit(1)).alias("incident_count"),
                   sum_if(F.col("lost_time_flag")).alias("lost_time_incidents")))

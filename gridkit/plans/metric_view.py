@@ -16,9 +16,8 @@ Compilation
   dimension, measure or filter expressions are attached; nested
   dimensions are joined to their parent *before* the parent meets the
   source, so the big side sees exactly one join per top-level alias.
-* Joins flagged ``bounded`` (fixed-size dimensions) are broadcast; all
-  others are left to AQE, which broadcasts them only when their measured
-  size is under the threshold.
+* Joins carry no hint: a joined table is broadcast only when its known or
+  measured size is under the threshold.
 * Dimensions are projected first, the filter runs on them, then the
   group-by aggregates the measure expressions (partial + final).
 """
@@ -42,7 +41,6 @@ class Join:
     parent_key: str
     key: str
     joins: tuple["Join", ...] = ()
-    bounded: bool = False
 
 
 @dataclass(frozen=True)
@@ -118,7 +116,6 @@ class MetricView:
                 continue
             child = self._build_join(tables, c, cpath, need)
             child = child.withColumnRenamed("_k", f"_k_{c.name}")
-            child = F.broadcast(child) if c.bounded else child
             df = df.join(child, df[c.parent_key] == child[f"_k_{c.name}"], "left")
             cols.append(F.col(c.name))
         return df.select(F.col(j.key).alias("_k"), F.struct(*cols).alias(j.name))
@@ -134,7 +131,6 @@ class MetricView:
             if j.name not in need:
                 continue
             dim = self._build_join(tables, j, j.name, need)
-            dim = F.broadcast(dim) if j.bounded else dim
             base = base.join(dim, base[f"_p_{j.parent_key}"] == dim["_k"], "left").drop("_k")
         return base
 

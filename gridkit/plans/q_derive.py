@@ -287,8 +287,8 @@ def f14(spark, d):
 
     from ..functions.scalars import asset_tag, site_label
     t = load(spark, d)
-    s = t.sites.join(F.broadcast(t.regions), "region_id")
-    return (t.assets.join(F.broadcast(s), "site_id")
+    s = t.sites.join(t.regions, "region_id")
+    return (t.assets.join(s, "site_id")
             .select("asset_id", asset_tag("asset_type", "asset_id").alias("derived_tag"),
                     site_label("region_name", "generation_type", "site_id").alias("site_label")))
 

@@ -52,13 +52,11 @@ def build_session(master: str | None = None, app: str = "gridkit",
 
 
 def apply_core_conf(spark: SparkSession) -> None:
-    """Apply the SQL settings to a session someone else built."""
+    """Apply the SQL settings to a session someone else built.  All of them can
+    be changed at run time; one that cannot raises."""
     for k, v in CORE_CONF.items():
         if k.startswith("spark.sql."):
-            try:
-                spark.conf.set(k, v)
-            except Exception:  # static conf on a shared session
-                pass
+            spark.conf.set(k, v)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

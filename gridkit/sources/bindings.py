@@ -7,11 +7,9 @@ safety incidents) are projected from it with the fixed mapping below, written
 as DataFrame transformations so that every derived table stays a lazy plan
 over the parquet scans (column pruning and filter pushdown reach the files).
 
-Join strategy: ``nation`` (25 rows) and ``region`` (5 rows) are fixed-size
-dimension tables, so they are broadcast explicitly.  ``customer`` and
-``supplier`` grow with the data, so no hint is given: AQE picks a broadcast
-at runtime only when the measured shuffle size is under the threshold,
-otherwise a sort-merge join (with skew splitting).
+Join strategy: no hints.  A side is broadcast when its file size, or at run
+time its measured shuffle size, is under the threshold; otherwise it is a
+sort-merge join (with skew splitting).
 
 A real deployment binds :class:`Tables` to its own 13 tables instead
 (``Tables.from_frames``).
@@ -91,7 +89,7 @@ class Tables:
         return self.raw("events")
 
     def _nation(self) -> DataFrame:
-        return F.broadcast(self.raw("nation"))
+        return self.raw("nation")
 
     @cached_property
     def regions(self) -> DataFrame:
