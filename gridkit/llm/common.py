@@ -79,8 +79,15 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-#: so many ids are broadcast at most (a few MB); more meet in a shuffled join
-ID_BOUND = 1 << 18
+#: so many ids are broadcast at most (8 MB); more meet in a shuffled join
+ID_BOUND = 1 << 20
+
+
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, ...) whose id is in ``ids`` (doc_id), which is
+    counted first: only a bounded list is broadcast."""
+    ids = stored(ids.distinct(), "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= ID_BOUND else ids, "doc_id", "left_semi")
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .arrays import flat
-from .common import stored, table, union_all
+from .common import ID_BOUND, only, stored, table, union_all
 from .tokens import Encoder, vocabulary
 
 GROUP = ["source", "lang", "tokenizer"]
@@ -145,7 +145,10 @@ def maintain(docs: DataFrame, labels: DataFrame, ledger: Ledger) -> DataFrame:
     ledger.commit("remove-low", gone)
     ledger.commit("remove-low", gone)
     again = ids.where("toxic = 1 and quality <> 0").select("doc_id").distinct()
-    toxic = count_words(docs.join(again, "doc_id", "left_semi"))
+    # a bounded list picks the texts before they are counted; a longer one the
+    # counts afterwards, so that texts are never shuffled
+    few = again.count() <= ID_BOUND
+    toxic = count_words(only(docs, again)) if few else only(stored(count_words(docs), "words"), again)
     ledger.commit("recount-toxic", requests(toxic))
     return ledger.totals()
 
