@@ -24,6 +24,9 @@ CORE_CONF = {
     "spark.sql.optimizer.nestedSchemaPruning.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # rows handed to Python at once; there is no bound on their bytes, and a
+    # row can be a long text
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.ui.enabled": "false",
 }
 
