@@ -365,11 +365,27 @@ def deferred_before_failure(tables) -> DataFrame:
         "outage_id", "asset_id", F.col("ts").alias("outage_start_ts"), "deferred_items")
 
 
+def _label_sums(batches):
+    """Vector sum and count per label of a partition."""
+    import numpy as np
+    import pandas as pd
+    sums = {}
+    for pdf in batches:
+        for label, g in pdf.groupby("label"):
+            m = np.stack(g["embedding"].to_numpy()).astype(np.float64)
+            s, n = sums.get(label, (0.0, 0))
+            sums[label] = (s + m.sum(axis=0), n + len(m))
+    rows = [(label, i, float(x), n) for label, (s, n) in sums.items() for i, x in enumerate(s)]
+    yield pd.DataFrame(rows, columns=["label", "pos", "s", "n"])
+
+
 def label_centroids(emb: DataFrame) -> DataFrame:
-    """Mean vector per label (element-wise), as (label, pos, value)."""
-    x = emb.select("label", F.posexplode(F.col("embedding").cast("array<double>"))
-                   .alias("pos", "x"))
-    return x.groupBy("label", "pos").agg(F.avg("x").alias("value"))
+    """Mean vector per label (element-wise), as (label, pos, value): vectors are
+    summed inside each partition, so the shuffle sees labels x width rows."""
+    kind = emb.schema["label"].dataType.simpleString()
+    part = emb.filter("label IS NOT NULL AND embedding IS NOT NULL").select("label", "embedding").mapInPandas(
+        _label_sums, f"label {kind}, pos int, s double, n long")
+    return part.groupBy("label", "pos").agg((F.sum("s") / F.sum("n")).alias("value"))
 
 
 # query vectors per block (one broadcast matrix, one pass over the vectors each)

@@ -15,8 +15,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import trunc_ts
-
 
 def asset_dims(tables, cols: Sequence[str]) -> DataFrame:
     """``asset_id`` + the requested columns of asset -> site -> region.
@@ -43,24 +41,6 @@ def asset_dims(tables, cols: Sequence[str]) -> DataFrame:
     return out.select("asset_id", *[c for c in want if c != "asset_id"])
 
 
-def hourly_interval_join(intervals: DataFrame, points: DataFrame, key: str,
-                         start: str, end: str, point_ts: str) -> DataFrame:
-    """Rows of ``intervals`` x ``points`` with equal ``key`` and
-    ``trunc_hour(start) <= point_ts < end``.
-
-    Each interval is exploded into the hours it touches (bounded by its
-    length), joined on ``(key, hour)``; the residual keeps it exact for
-    points that are not hour-aligned.
-    """
-    iv = intervals.withColumn(
-        "_h", F.explode(F.sequence(trunc_ts("HOUR", start), trunc_ts("HOUR", end),
-                                   F.expr("INTERVAL 1 HOUR"))))
-    pt = points.withColumn("_h", trunc_ts("HOUR", point_ts))
-    j = iv.join(pt, [key, "_h"])
-    return j.filter((F.col(point_ts) >= trunc_ts("HOUR", start))
-                    & (F.col(point_ts) < F.col(end))).drop("_h")
-
-
 def time_window_join(points: DataFrame, events: DataFrame, key: str, point_ts: str,
                      event_ts: str, after_s: int, bucket_s: int = 86400,
                      include_start: bool = True) -> DataFrame:

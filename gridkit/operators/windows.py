@@ -189,26 +189,31 @@ def workload_streaks(tables, weekly_limit: float = WEEKLY_HOURS_LIMIT) -> DataFr
     return longest.join(weeks, "technician_id")
 
 
-def cumulative_sum(df: DataFrame, key: str, epoch_col: str, order: list, value: str,
-                   out: str, chunk_s: int = DAY) -> DataFrame:
-    """Running sum of ``value`` per ``key`` in the total order ``order``
-    (which starts with ``epoch_col``), inclusive of the row itself.
+def cumulative_sums(df: DataFrame, key: str, epoch_col: str, order: list, sums: dict[str, str],
+                    chunk_s: int = DAY) -> DataFrame:
+    """Running sums (output name -> column) per ``key`` in the total order
+    ``order`` (which starts with ``epoch_col``), inclusive of the row itself.
 
     Chunked prefix sum: running sum inside each (key, time chunk) plus the
     sum of all earlier chunks from per-chunk summaries (windowed per key,
     at most one row per key and chunk) -- no task sees a key's whole
     history.
     """
-    c = F.floor(F.col(epoch_col) / chunk_s)
-    x = df.withColumn("_c", c)
+    x = df.withColumn("_c", F.floor(F.col(epoch_col) / chunk_s))
     w_in = (Window.partitionBy(key, "_c").orderBy(*order)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    x = x.withColumn("_run", F.sum(value).over(w_in))
-    summ = x.groupBy(key, "_c").agg(F.sum(value).alias("_s"))
     w_prev = Window.partitionBy(key).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    prev = summ.select(key, "_c", F.coalesce(F.sum("_s").over(w_prev), F.lit(0)).alias("_prev"))
-    return (x.join(prev, [key, "_c"]).withColumn(out, F.col("_prev") + F.col("_run"))
-             .drop("_c", "_run", "_prev"))
+    whole = x.groupBy(key, "_c").agg(*[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()])
+    prev = whole.select(key, "_c", *[F.coalesce(F.sum(f"_s_{n}").over(w_prev), F.lit(0)).alias(f"_p_{n}")
+                                     for n in sums])
+    x = x.withColumns({f"_r_{n}": F.sum(c).over(w_in) for n, c in sums.items()})
+    return x.join(prev, [key, "_c"]).select(
+        *df.columns, *[(F.col(f"_p_{n}") + F.col(f"_r_{n}")).alias(n) for n in sums])
+
+
+def cumulative_sum(df: DataFrame, key: str, epoch_col: str, order: list, value: str,
+                   out: str, chunk_s: int = DAY) -> DataFrame:
+    return cumulative_sums(df, key, epoch_col, order, {out: value}, chunk_s)
 
 
 def merged_outages(tables) -> DataFrame:

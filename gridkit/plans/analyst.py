@@ -18,11 +18,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import (case_ladder, count_if, dbl, epoch_seconds, exact_avg, exact_sum,
+from ..functions.scalars import (EXACT, case_ladder, count_if, dbl, epoch_seconds, exact_avg, exact_sum,
                                  hours_between, rnd, safe_div, sum_if, trunc_ts)
-from ..operators.joins import asset_dims, hourly_interval_join, window_after_join
+from ..operators.joins import asset_dims, window_after_join
 from ..operators.rollups import financial_spine
-from ..operators.windows import micros, trailing_on
+from ..operators.windows import cumulative_sums, micros, trailing_on
 
 # Region filters of the original reports, and report constants.
 PRICE_REPORT_REGIONS = ("CAISO", "ERCOT", "NYISO")
@@ -118,13 +118,27 @@ def outage_price_impact(tables) -> DataFrame:
     """q08: average market price while each outage lasted -> price bucket."""
     o = tables["outages"].select("outage_id", "asset_id", "outage_start_ts",
                                  "outage_end_ts", "lost_generation_mwh")
-    dims = asset_dims(tables, ["region_id"])
-    oh = o.join(dims, "asset_id")
-    mp = tables["market_prices"].select("region_id", F.col("timestamp").alias("mp_ts"),
-                                        "real_time_price_mwh")
-    j = hourly_interval_join(oh, mp, "region_id", "outage_start_ts", "outage_end_ts", "mp_ts")
-    pao = (j.groupBy("outage_id", "lost_generation_mwh")
-             .agg(exact_avg("real_time_price_mwh").alias("avg_price_during")))
+    oh = o.join(asset_dims(tables, ["region_id"]), "asset_id")
+    # the prices from one time to another are the difference of two running sums
+    # of the region; a bound comes before the prices of its own time
+    ends = F.explode(F.array(
+        F.struct(trunc_ts("HOUR", "outage_start_ts").alias("ts"), F.lit(-1).alias("sign")),
+        F.struct(F.col("outage_end_ts").alias("ts"), F.lit(1).alias("sign"))))
+    bounds = oh.select("region_id", "outage_id", "lost_generation_mwh", ends.alias("b")).select(
+        "region_id", "outage_id", "lost_generation_mwh", micros("b.ts").alias("_e"), "b.sign")
+    prices = tables["market_prices"].select(
+        "region_id", micros("timestamp").alias("_e"), F.lit(0).alias("sign"),
+        F.col("real_time_price_mwh").cast(EXACT).alias("_price"),
+        F.col("real_time_price_mwh").isNotNull().cast("long").alias("_n"))
+    both = bounds.unionByName(prices, allowMissingColumns=True).withColumns({
+        "_price": F.coalesce("_price", F.lit(0).cast(EXACT)), "_n": F.coalesce("_n", F.lit(0))})
+    run = cumulative_sums(both, "region_id", "_e", ["_e", F.abs("sign").desc(), "outage_id", "sign"],
+                          {"_sum": "_price", "_count": "_n"}, chunk_s=86400 * 1_000_000)
+    n = F.sum(F.col("sign") * F.col("_count"))
+    pao = (run.filter("sign <> 0").groupBy("outage_id", "lost_generation_mwh")
+              .agg((F.sum(F.col("sign") * F.col("_sum")).cast("double")
+                    / F.when(n > 0, n)).alias("avg_price_during"))
+              .filter(F.col("avg_price_during").isNotNull()))
     p = F.col("avg_price_during")
     bucket = case_ladder([(p < 35, "low (<$35)"), (p < 50, "mid ($35-50)"),
                           (p < 65, "high ($50-65)")], "peak ($65+)")
