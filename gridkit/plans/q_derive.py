@@ -283,8 +283,6 @@ SELECT a.asset_id, printf('%s-%05d', upper(substr(a.asset_type, 1, 3)), a.asset_
 FROM assets a JOIN sites s ON a.site_id = s.site_id JOIN regions r ON s.region_id = r.region_id"""))
 def f14(spark, d):
     """Zero-padded asset tags and site labels derived from the dimensions."""
-    from pyspark.sql import functions as F
-
     from ..functions.scalars import asset_tag, site_label
     t = load(spark, d)
     s = t.sites.join(t.regions, "region_id")

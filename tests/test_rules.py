@@ -4,7 +4,6 @@ import datetime as dt
 
 import pytest
 from fixtures import ASSETS, REGION, SITES, tables
-from pyspark.sql import functions as F
 
 from gridkit.functions.scalars import exact_avg, exact_sum, rnd
 from gridkit.operators import corpus as C
