@@ -12,7 +12,7 @@ U = np.uint64
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 1 << 64)
 #: bytes handled at once; a longer text is a piece of its own
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -14,7 +14,7 @@ member near it (by the triangle inequality of the Jaccard distance).  All texts
 of unsettled regions then go through an exact prefix-filter join: with shingles
 ordered by rarity among them, two texts of n_x >= n_y shingles and similarity t
 share one of the first n_x - ceil(t n_x) + 1 of x and the first
-n_y - ceil(2t / (1 + t) n_y) + 1 of y.  Texts of one component are never paired:
+n_y - ceil(2t / (1 + t) n_y) + 1 of y, and from it on either has enough left.  Texts of one component are never paired:
 at each shingle, its largest component meets the others only.
 
 So no pair that shares a region at the first depth is lost, whatever the size of
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import U, Powers, Words, flat, mix, pieces, shingles
-from .common import discard, join_counted, same, stored, table, union_all
+from .common import HEAVY, discard, join_counted, only, same, stored, table, union_all
 from .components import components
 
 WORDS, THRESHOLD = 5, 75
@@ -123,40 +123,40 @@ def classes_of(docs: DataFrame) -> DataFrame:
     return stored(texts.mapInArrow(_sign, _SIGNS), "signatures")
 
 
-def members_of(signs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(doc, depth, region, keys...) of each representative in each tree."""
-    reps = (signs.join(classes.where("rep is not null").select("set_a", "set_b", "n_shingles",
-                                                               F.col("rep").alias("doc_id")),
-                       ["doc_id", "set_a", "set_b", "n_shingles"], "left_semi"))
-    return reps.select(F.col("doc_id").alias("doc"), "keys", F.posexplode("keys").alias("tree", "region"))
+def keys_of(signs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc, keys) of each representative: its keys by tree."""
+    reps = classes.where("rep is not null").select("set_a", "set_b", "n_shingles", F.col("rep").alias("doc_id"))
+    return (signs.join(reps, ["doc_id", "set_a", "set_b", "n_shingles"], "left_semi")
+            .select(F.col("doc_id").alias("doc"), "keys"))
 
 
-def _regions(members: DataFrame, more_than: int) -> DataFrame:
+def _regions(members: DataFrame) -> DataFrame:
     return (members.groupBy("region").agg(F.count("*").alias("n"), F.min("doc").alias("first"))
-            .where(F.col("n") > more_than))
-
-
-def first_candidates(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(region, doc, first) at the first depth, stored; and pairs at all depths."""
-    at = members.join(_regions(members, 1), "region")
-    base = stored(at.select("region", "doc", "first", "n", "tree",
-                            F.when(F.col("n") > SMALL, F.col("keys")).alias("keys")), "regions")
-    pairs = [base.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b"))]
-    deep = base.where(F.col("n") > SMALL).select("region", "doc", "tree", "keys")
+            .where("n > 1"))
+
+
+def first_candidates(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(region, doc, first) at the first depth, stored; and pairs at all depths.
+    Only the members of large regions fetch their keys again to go deeper."""
+    keys = stored(keys, "keys")
+    members = keys.select("doc", F.posexplode("keys").alias("tree", "region"))
+    base = stored(members.join(_regions(members), "region"), "regions")
+    levels = [base]
+    deep = base.where(F.col("n") > SMALL).select("region", "doc", "tree")
+    deep = deep.join(keys, "doc")
     for depth in range(1, MAX_DEPTH):
         nxt = F.element_at("keys", F.pmod(F.col("tree") + F.lit(depth), F.lit(TREES)) + 1)
         deep = deep.withColumn("region", F.xxhash64("region", nxt))
-        deep = deep.join(_regions(deep, 1), "region")
-        pairs.append(deep.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")))
+        deep = deep.join(_regions(deep), "region")
+        levels.append(deep)
         deep = deep.where(F.col("n") > SMALL).select("region", "doc", "tree", "keys")
+    pairs = [x.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")) for x in levels]
     return base.select("region", "doc", "first"), union_all(pairs)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, members): the full shingle sets of the wanted documents, stored."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stored(texts.join(wanted.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-                  .select("doc_id", "text").mapInArrow(_sets, "doc_id long, members binary"), "sets")
+    return stored(only(docs, wanted).mapInArrow(_sets, "doc_id long, members binary"), "sets")
 
 
 def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -190,42 +190,72 @@ def unsettled(regions: DataFrame, done: DataFrame, comp: DataFrame) -> DataFrame
     return placed.join(opened, "region", "left_semi").select("doc", "component").distinct()
 
 
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _all_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i in range(batch.num_rows):
-            s = np.frombuffer(batch.column(2)[i].as_buffer(), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(s), batch.column(0)[i].as_py()), pa.int64()),
-                 pa.array(np.full(len(s), batch.column(1)[i].as_py()), pa.int64()),
-                 pa.array(np.full(len(s), len(s)), pa.int64()), pa.array(s, pa.int64())],
-                names=["doc", "component", "size", "shingle"])
+        for members in batch.column(0):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(members.as_buffer(), np.int64))],
+                                             names=["shingle"])
+
+
+def _prefix_parts(heavy: np.ndarray, light: bool):
+    """Members of a text that are not heavy; or the heavy ones that its prefix
+    needs, with their rank: heavy ones come last, in the order of their hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, component, members in zip(*(batch.column(i) for i in range(3))):
+                s = np.frombuffer(members.as_buffer(), np.int64)
+                common = np.isin(s, heavy)
+                n, few = len(s), int((~common).sum())
+                need = n - -(-n * THRESHOLD // 100) + 1 - few
+                part = s[~common] if light else np.sort(s[common])[:max(0, need)]
+                columns = [np.full(len(part), doc.as_py()), np.full(len(part), component.as_py()),
+                           np.full(len(part), n), part]
+                if not light:
+                    columns.append(few + 1 + np.arange(len(part)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns],
+                                                 names=["doc", "component", "size", "shingle", "rank"][:len(columns)])
+    return run
 
 
 def prefix_candidates(docs: DataFrame, opened: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts in different components that can reach the threshold."""
+    """Pairs (a, b) of texts in different components that can reach the threshold.
+
+    Shingles are ordered by rarity among these texts.  The heavy ones (at most
+    ``HEAVY``) need no count: they rank behind all others by their hash, so a
+    text adds those that its prefix needs by itself, and no hot key is joined.
+    """
     sets = sets_of(docs, opened.select(F.col("doc").alias("doc_id")))
-    rows = stored(sets.join(opened.withColumnRenamed("doc", "doc_id"), "doc_id")
-                  .select("doc_id", "component", "members")
-                  .mapInArrow(_explode, "doc long, component long, size long, shingle long"), "members")
-    df = stored(rows.groupBy("shingle").agg(F.count("*").alias("df")), "df")
+    named = sets.join(opened.withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "component", "members")
+    df = stored(sets.select("members").mapInArrow(_all_members, "shingle long")
+                .groupBy("shingle").agg(F.count("*").alias("df")), "df")
     total = df.agg(F.sum("df")).first()[0] or 0
+    least = max(2, total // HEAVY)
+    heavy = np.array([r["shingle"] for r in df.where(F.col("df") >= least).collect()], np.int64)
+    kinds = "doc long, component long, size long, shingle long"
     rank = F.row_number().over(Window.partitionBy("doc").orderBy("df", "shingle"))
+    light = (named.mapInArrow(_prefix_parts(heavy, True), kinds)
+             .join(df.where(F.col("df") < least), "shingle").withColumn("rank", rank.cast("long"))
+             .where("df > 1").drop("df"))
+    common = named.mapInArrow(_prefix_parts(heavy, False), kinds + ", rank long")
     t = THRESHOLD
-    ordered = join_counted(rows, df, ["shingle"], "df", total).withColumn("rank", rank)
     probe = F.col("size") - F.ceil(F.col("size") * t / 100) + 1
-    least = F.col("size") - F.ceil(F.col("size") * (2 * t) / (100 + t)) + 1
-    parts = stored(ordered.where((F.col("df") > 1) & (F.col("rank") <= probe))
-                   .withColumn("indexed", F.col("rank") <= least).drop("rank", "df"), "prefixes")
+    index = F.col("size") - F.ceil(F.col("size") * (2 * t) / (100 + t)) + 1
+    parts = stored(light.unionByName(common).where(F.col("rank") <= probe)
+                   .withColumn("indexed", F.col("rank") <= index), "prefixes")
     held = parts.groupBy("shingle", "component").agg(F.count("*").alias("n"))
     tops = (held.groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("top"),
                                         F.count("*").alias("kinds")).where("kinds > 1").drop("kinds"))
     parts = stored(parts.join(tops, "shingle"), "prefixes")
     minor = F.col("component") != F.col("top")
     x = lambda df: df.select("shingle", F.col("doc").alias("x"), F.col("component").alias("cx"),
-                             F.col("size").alias("nx"))
+                             F.col("size").alias("nx"), F.col("rank").alias("ix"))
     y = lambda df: df.where("indexed").select("shingle", F.col("doc").alias("y"),
-                                              F.col("component").alias("cy"), F.col("size").alias("ny"))
-    fits = "cx <> cy and nx >= ny and ny * 100 >= nx * " + str(t)
+                                              F.col("component").alias("cy"), F.col("size").alias("ny"),
+                                              F.col("rank").alias("iy"))
+    # at the first shingle that two texts share, no more can follow than either has left
+    fits = (f"cx <> cy and nx >= ny and ny * 100 >= nx * {t} and "
+            f"(least(nx - ix, ny - iy) + 1) * {100 + t} >= {t} * (nx + ny)")
     found = (x(parts).join(y(parts.where(minor)), "shingle").where(fits)
              .unionByName(x(parts.where(minor)).join(y(parts.where(~minor)), "shingle").where(fits)))
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -233,7 +263,10 @@ def prefix_candidates(docs: DataFrame, opened: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, signs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, component) of all representatives that have a link."""
-    regions, pairs = first_candidates(members_of(signs, classes))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not signs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        docs = docs.dropDuplicates(["doc_id"])  # rows of one id are one node
+    regions, pairs = first_candidates(keys_of(signs, classes))
     ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     todo = stored(pairs.select(*ordered).distinct(), "pairs")
     done = confirm(docs, todo)
