@@ -11,6 +11,7 @@ one stays; an empty input gives empty stages.
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from gridkit.llm import (exact_dedup, lsh_forest, pairwise_quality, qgram_decontam,
                          retrieval_packing)
 from gridkit.llm.common import discard, same, table, without
-from gridkit.session import scratch_path
+from gridkit.session import apply_core_conf, scratch_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +62,18 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                          "doc_tokens", "sequence_id", "offset", "ids")
 
 
-STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near),
-          ("decontaminate", decontaminate), ("pack", pack)]
+def _configured(stage):
+    """The stage under the library's session settings."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        apply_core_conf(spark)
+        return stage(spark, docs, sf_dir)
+    return run
+
+
+STAGES = [("quality", _configured(quality)), ("exact_dedup", _configured(exact)),
+          ("near_dedup", _configured(near)), ("decontaminate", _configured(decontaminate)),
+          ("pack", _configured(pack))]
 
 #: scores, signatures and packing cannot be said in SQL; tests compare with brute force
 ORACLE_SQL = None
