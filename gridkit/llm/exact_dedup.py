@@ -19,7 +19,6 @@ keep_id is null and kept is true); an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import (WHITE, ascii_lower, discard, join_counted, n_shuffle, same, stored, table,
+from .common import (WHITE, ascii_lower, discard, join_counted, n_shuffle, stored, table,
                      union_all)
 
 #: stands for a null doc_id while batches are formed
