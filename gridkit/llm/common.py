@@ -31,12 +31,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete stored tables that no later result reads."""
     for df in frames:
-        spark, path = df.sparkSession, df._llm_path
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        delete(df.sparkSession, df._llm_path)
 
 
 def n_shuffle(spark: SparkSession) -> int:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import (WHITE, ascii_lower, discard, join_counted, n_shuffle, stored, table,
+from .common import (WHITE, ascii_lower, delete, discard, join_counted, n_shuffle, stored, table,
                      union_all)
 
 #: stands for a null doc_id while batches are formed
@@ -75,11 +75,20 @@ class Runs:
         while len(self.levels[level]) >= self.fan_out:
             full, self.levels[level] = self.levels[level], []
             merged = self.write(union_all([self.spark.table(t) for t in full]))
-            for t in full:
-                self.spark.sql(f"DROP TABLE {t}")
+            self._drop(full)
             level += 1
             self.levels.setdefault(level, []).append(merged)
 
+    def _drop(self, names: list[str]) -> None:
+        for t in names:
+            self.spark.sql(f"DROP TABLE {t}")
+            delete(self.spark, self.paths.pop(t))
+
+    def close(self) -> None:
+        """Drop all runs; a store that takes further batches keeps them."""
+        self._drop(list(self.paths))
+        self.levels = {}
+
     def tables(self) -> list[DataFrame]:
         return [self.spark.table(t) for level in self.levels.values() for t in level]
 
@@ -117,14 +126,18 @@ def dropped_keys(lines: DataFrame, batches: int, fan_out: int = 2) -> DataFrame:
         runs.add(fresh.select("hash", "owner", "n", (F.col("last") > F.col("owner")).alias("shared")))
         discard(keys)
     found = [r.where("shared").select("hash", "owner", "n") for r in runs.tables()] + hits
-    return union_all(found).groupBy("hash").agg(F.min("owner").alias("owner"), F.sum("n").alias("n"))
+    drops = stored(union_all(found).groupBy("hash").agg(F.min("owner").alias("owner"),
+                                                        F.sum("n").alias("n")), "line-drops")
+    runs.close()
+    discard(*hits)
+    return drops
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4,
                 fan_out: int = 2) -> DataFrame:
     """All rows of ``docs`` (doc_id, text) with ``kept`` text, n_lines, n_dropped."""
     lines = stored(explode_lines(docs, min_chars), "lines")
-    drops = stored(dropped_keys(lines, batches, fan_out), "line-drops")
+    drops = dropped_keys(lines, batches, fan_out)
     total = drops.agg(F.sum("n")).first()[0] or 0
     held = lines.where("hash is not null")
     marked = (join_counted(held, drops, ["hash"], "n", total)
