@@ -19,7 +19,7 @@ def _items(spark, d):
 # The items of each response, stated on the conversation turns.
 _ITEMS = """items AS (
   SELECT conv_id || '-' || (turn // 50) AS response_id, turn, turn % 8 AS n, role,
-         row_number() OVER (PARTITION BY conv_id, turn // 50 ORDER BY turn) - 1 AS pos,
+         CAST(row_number() OVER (PARTITION BY conv_id, turn // 50 ORDER BY turn) - 1 AS INTEGER) AS pos,
          CASE WHEN role = 'user' THEN 'function_call' ELSE 'message' END AS type,
          CASE WHEN role = 'user' THEN CASE WHEN turn % 8 < 2 THEN 'genie-sales' WHEN turn % 8 < 4 THEN 'Vector-Search'
               WHEN turn % 8 < 6 THEN 'calculator' END END AS name,
@@ -63,7 +63,7 @@ def k03(spark, d):
 
 
 @register("k05_sources", f"""WITH {_ITEMS}
-SELECT *, row_number() OVER (PARTITION BY response_id ORDER BY first_pos) AS rank
+SELECT *, CAST(row_number() OVER (PARTITION BY response_id ORDER BY first_pos) AS INTEGER) AS rank
 FROM (SELECT response_id, kind, coalesce(source_id, 'Tool') AS source_id, min(pos) AS first_pos
       FROM calls GROUP BY ALL)""")
 def k05(spark, d):
