@@ -41,10 +41,6 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 
-#: a text without any of these has no span of any kind (RE2)
-TRIGGER = (r"(?i:password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
-           r"|(?i:pass|pwd|secret|token|key|auth|cred|bearer|private|salt)[^\n=:>]{0,40}(?:=|:|>)")
-
 #: weight of a word in the name that a literal is assigned to
 NAME_WEIGHTS = {
     "password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "pass": 0.8, "secret": 1.0,
@@ -58,6 +54,22 @@ NAME_DAMPERS = {"file", "path", "url", "uri", "name", "length", "len", "size", "
 PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|none|null|true|false|todo|changeme|change_me|example|placeholder|"
                          r"your[-_ ].*|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s|test|dummy|redacted)$", re.IGNORECASE)
 THRESHOLD = 0.9
+#: the most that a literal adds to its name
+BEST_LITERAL = 0.5
+
+
+def _trigger() -> str:
+    """A text without any of these has no span of any kind (RE2): the base
+    patterns, and every name that can reach the threshold, up to the sign after
+    it.  Such a name has one word that is heavy enough, or two lighter ones."""
+    heavy = [w for w, x in NAME_WEIGHTS.items() if x + BEST_LITERAL >= THRESHOLD]
+    light = "|".join(w for w in NAME_WEIGHTS if w not in heavy)
+    rest = r"""[^\s=:>"'\[\]]*"""
+    return (r"(?i:password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
+            rf"|(?i:{'|'.join(heavy)}|(?:{light}){rest}(?:{light})){rest}[\"']?(?:\][\"']?)?[ \t]*[=:>]")
+
+
+TRIGGER = _trigger()
 
 _NAME = r"[A-Za-z_][\w.\-]{0,80}"
 _LITERAL = r"\"(?:[^\"\\\n]|\\.){0,4000}\"|'(?:[^'\\\n]|\\.){0,4000}'"
@@ -84,7 +96,7 @@ def literal_score(value: str) -> float:
         return -1.0
     bits = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
     kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(0.5, bits / 10 + 0.1 * (kinds - 1)) if bits >= 1.5 else -1.0
+    return min(BEST_LITERAL, bits / 10 + 0.1 * (kinds - 1)) if bits >= 1.5 else -1.0
 
 
 def assignments(text: str) -> Iterator[tuple[int, str, list[tuple[str, object]]]]:

@@ -328,6 +328,23 @@ def test_lexer(text, want):
     assert [text[a:b] for a, b in secret_lexer.lex(text)] == want
 
 
+def test_lexed_literals_are_never_sorted_out(spark):
+    value = "x7Kp9$Qm2vL8"
+    names = ["api", "api_access", "sessionSigning", "clientConnection", "access.session", "ENCRYPTION", "salt",
+             "secret_of_the_internal_billing_gateway_service_account"]
+    forms = ['{} = "{}"', '"{}": "{}"', "{}={}", "<{0}>{1}</{0}>", 'cfg["{}"] = "{}"', '{}\t  :=  "{}"', "{} => '{}'"]
+    texts = [f.format(n, value) for n in names for f in forms] + [f'client = "{value}"', f'session: "{value}"']
+    got = {r["doc_id"]: [(s["start"], s["stop"], s["kind"]) for s in r["spans"]] for r in
+           secret_lexer.scan(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    for i, t in enumerate(texts):
+        lexed = [(a, b, "literal") for a, b in secret_lexer.lex(t)]
+        assert sorted(got[i]) == sorted(secret_lexer.base_spans(t) + lexed)
+        assert bool(lexed) == (i < len(names) * len(forms))
+    alone = [w for w, x in secret_lexer.NAME_WEIGHTS.items() if x >= 0.4]
+    df = spark.createDataFrame([(i, f'{w} = "{value}"') for i, w in enumerate(alone)], SCHEMA)
+    assert all(r["spans"] for r in secret_lexer.scan(df).collect())
+
+
 def test_base_patterns_are_never_sorted_out():
     import pyarrow as pa
     import pyarrow.compute as pc
