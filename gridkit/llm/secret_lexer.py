@@ -9,7 +9,10 @@ much the literal looks like a secret.  A literal counts once, where it stands.
 
 Syntax read: ``name = "x"``, ``name := 'x'``, ``name: "x"``, ``"name": "x"``,
 ``name => "x"``, ``NAME=x`` (a line of its own, with or without ``export``),
-``<name>x</name>``, ``name = other``, ``name = "a" + other + 'b'``.
+``<name>x</name>``, ``name = other``, ``name = "a" + other + 'b'``; a type may
+stand between the name and ``=`` (``name: str = "x"``, ``name: Option<&str> = "x"``;
+its brackets nest three deep at most).  Values are of any length; of a name of
+more than 81 characters the end is read.
 
 Most texts hold no trigger; RE2 in Arrow sorts them out, and only the others
 become Python strings.  Spans are code points, end exclusive.
@@ -66,18 +69,27 @@ def _trigger() -> str:
     light = "|".join(w for w in NAME_WEIGHTS if w not in heavy)
     rest = r"""[^\s=:>"'\[\]]*"""
     return (r"(?i:password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
-            rf"|(?i:{'|'.join(heavy)}|(?:{light}){rest}(?:{light})){rest}[\"']?(?:\][\"']?)?[ \t]*[=:>]")
+            rf"|(?i:{'|'.join(heavy)}|(?:{light}){rest}(?:{light})){rest}[\"']?(?:\][\"']?)?[!?]?[ \t]*[=:>]")
 
 
 TRIGGER = _trigger()
 
-_NAME = r"[A-Za-z_][\w.\-]{0,80}"
-_LITERAL = r"\"(?:[^\"\\\n]|\\.){0,4000}\"|'(?:[^'\\\n]|\\.){0,4000}'"
+_NAME = r"[A-Za-z_][\w.\-]{0,80}+"
+# possessive: a literal is read once to its closing quote, however long
+_LITERAL = r"\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
+# a type between a name and its sign: brackets hold no sign and nest three deep,
+# so that a text is read by three open brackets at most
+_SQUARE = r"\[[^\[\]\n=]*+(?:\[[^\[\]\n=]*+(?:\[[^\[\]\n=]*+\][^\[\]\n=]*+)*+\][^\[\]\n=]*+)*+\]"
+_ANGLE = r"<[^<>\n=]*+(?:<[^<>\n=]*+(?:<[^<>\n=]*+>[^<>\n=]*+)*+>[^<>\n=]*+)*+>"
+_TAIL = rf"(?:[ \t]*(?:{_SQUARE}|{_ANGLE}))*+[!?]?"
+_ATOM = r"(?:&[ \t]*)?(?:'\w++[ \t]+)?(?:mut[ \t]+)?\*?"
+_TYPE = rf"""{_ATOM}(?P<type>{_NAME}){_TAIL}(?:[ \t]*[|&][ \t]*{_ATOM}{_NAME}{_TAIL})*+"""
 PAIR = re.compile(
-    rf"""(?P<q>["']?)(?P<name>{_NAME})(?:\[["'](?P<part>{_NAME})["']\])?(?P=q)[ \t]*(?::=|=>|=(?!=)|:(?![:=]))[ \t]*"""
+    rf"""(?P<q>["']?)(?P<name>{_NAME})(?:\[["'](?P<part>{_NAME})["']\])?(?P=q)"""
+    rf"""(?:[!?]?[ \t]*:[ \t]*{_TYPE}[ \t]*(?::=|=(?![=>]))|[ \t]*(?::=|=>|=(?!=)|:(?![:=])))[ \t]*"""
     rf"""(?P<value>(?:{_LITERAL}|{_NAME})(?:[ \t]*[+.][ \t]*(?:{_LITERAL}|{_NAME}))*)""")
 ENV = re.compile(rf"^[ \t]*(?:export[ \t]+)?(?P<name>{_NAME})=(?P<value>[^\s\"'#;]+)[ \t]*$", re.MULTILINE)
-TAG = re.compile(rf"<(?P<name>{_NAME})>(?P<value>[^<>\n]{{1,4000}})</(?P=name)>")
+TAG = re.compile(rf"<(?P<name>{_NAME})>(?P<value>[^<>\n]++)</(?P=name)>")
 _PART = re.compile(rf"(?P<literal>{_LITERAL})|(?P<other>{_NAME})")
 _WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
 
@@ -109,6 +121,8 @@ def assignments(text: str) -> Iterator[tuple[int, str, list[tuple[str, object]]]
                 parts.append(("literal", (base + p.start() + 1, base + p.end() - 1)))
             else:
                 parts.append(("other", p["other"]))
+        if m["type"] and name_score(m["type"]) > 0:  # a label before a name: `note: password = "x"`
+            yield m.start("type"), m["type"], parts
         yield m.start(), m["part"] or m["name"], parts
     for pattern in (ENV, TAG):
         for m in pattern.finditer(text):

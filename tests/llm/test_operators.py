@@ -345,6 +345,21 @@ def test_lexed_literals_are_never_sorted_out(spark):
     assert all(r["spans"] for r in secret_lexer.scan(df).collect())
 
 
+def test_long_and_typed_literals(spark):
+    value, blob = "Zx9qLm2pT7", "Ab3+Cd5/" * 550
+    cases = [(f'db_pwd = "{blob}"', [blob]), (f"<db_pwd>{blob}</db_pwd>", [blob]), (f"db_pwd: '{blob * 30}'", [blob * 30]),
+             (f'db_pwd = "{blob}\\"{blob}"', [f'{blob}\\"{blob}']), (f'db_pwd = "{blob}\n"', [])]
+    cases += [(f.format(value), [value]) for f in (
+        'db_password: str = "{}"', 'const clientSecret: string = "{}"', 'private pwd?: string | null = "{}";',
+        "db_password: Optional[str] = '{}'", "let db_pwd: &'static str = \"{}\";", 'val clientSecret: String? = "{}"',
+        'let db_pwd: Option<&str> = "{}"', 'Db_Password : String := "{}"', 'note: db_pwd = "{}"',
+        'def f(user: str, db_pwd: str = "{}"):', 'a: str = "{}"\ndb_pwd: str = a')]
+    cases += [(f'title: str = "{value}"\ndb_pwd: str', []), ('db_pwd: Dict[str, List[str]] = "changeme"', [])]
+    got = {r["doc_id"]: [s["text"] for s in r["spans"] if s["kind"] == "literal"] for r in
+           secret_lexer.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], SCHEMA)).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
 def test_base_patterns_are_never_sorted_out():
     import pyarrow as pa
     import pyarrow.compute as pc
