@@ -10,11 +10,14 @@
    ``SHARD_TOKENS`` tokens of alike documents, and a text that a third of all
    rows share spreads over as many shards as it fills.
 4. In a shard, an inverted index is built.  A seed document opens a window; the
-   index returns its unused neighbours by BM25 and these fill the window
-   greedily; the piece that crosses the end is cut there, and its rest is the
+   index returns its unused neighbours by BM25 over all terms of the seed and
+   these fill the window greedily; the piece that crosses the end is cut there, and its rest is the
    next window's seed.  With no neighbour left, the next unused document
    follows.  So only the last window of a shard is padded.
 
+The search is local: a seed sees its own shard only, and a long document is
+indexed and queried by its rest, with frequencies and mean length of whole texts.
+
 So a row of a shard is always less than a window, and shards hold alike many
 tokens, however long single texts are.
 
@@ -38,10 +41,12 @@ from .tokens import Encoder, vocabulary
 
 WINDOW, CLOSING = 2048, 1
 SHARD_TOKENS = 4_000_000
-#: terms of a seed that query the index, by weight
-QUERY_TERMS = 12
 K1, B = 1.2, 0.75
+#: the best are asked for so many at a time, and again when these are used
 NEIGHBOURS = 32
+#: a term is common when one of so many documents of the shard holds it; and so
+#: many products of two documents are kept at once
+COMMON, PRODUCTS = 8, 32_000_000
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -89,38 +94,81 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Index:
-    """BM25 postings of one shard, with statistics of all documents."""
+    """BM25 of one shard by all terms of the seed, with statistics of all documents.
+
+    Terms that a ``COMMON``-th of the shard holds are scored by a matrix product in
+    single precision, all others by their postings.  Documents that can be among
+    the best within the rounding are scored again exactly, equal ones once.
+    """
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         self.n = len(docs)
-        terms, weights, sizes = [], [], []
+        terms, weights, sizes, kinds = [], [], [], {}
         for ids in docs:
             term, tf = np.unique(ids, return_counts=True)
             norm = K1 * (1 - B + B * len(ids) / mean)
             terms.append(term)
             weights.append(idf[term] * tf * (K1 + 1) / (tf + norm))
             sizes.append(len(term))
+        self.kind = np.array([kinds.setdefault(ids.tobytes(), i) for i, ids in enumerate(docs)])
         self.first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         self.term = np.concatenate(terms).astype(np.int64)
         self.weight = np.concatenate(weights)
-        order = np.argsort(self.term, kind="stable")
-        self.doc = np.repeat(np.arange(self.n), sizes)[order]
-        self.posting = self.weight[order]
-        self.start = np.searchsorted(self.term[order], np.arange((1 << 16) + 1))
+        self.owner = np.repeat(np.arange(self.n), sizes)
+        common = np.flatnonzero(np.bincount(self.term, minlength=1 << 16) * COMMON >= self.n)
+        column = np.full(1 << 16, -1)
+        column[common] = np.arange(len(common))
+        column = column[self.term]
+        self.rare = column < 0
+        self.dense = np.zeros((self.n, len(common)), np.float32)
+        self.dense[self.owner[~self.rare], column[~self.rare]] = self.weight[~self.rare]
+        self.held = (self.dense > 0).astype(np.float32)
+        self.products = None
+        if self.n * self.n <= PRODUCTS:
+            self.products, self.dense, self.held = self.held @ self.dense.T, None, None
+        # a product is off by one rounding of its weights and one of each sum at most
+        self.margin = 4 * (len(common) + 2) * 2.0 ** -24
+        self.sought = np.zeros(1 << 16, bool)
+        self._post(np.zeros(self.n, bool))
+
+    def _post(self, used: np.ndarray) -> None:
+        """Postings of the rare terms of unused documents."""
+        self.left = self.n - int(used.sum())
+        keep = self.rare & ~used[self.owner]
+        term = self.term[keep]
+        order = np.argsort(term.astype(np.uint16), kind="stable")
+        self.doc = self.owner[keep][order]
+        self.posting = self.weight[keep][order]
+        self.start = np.searchsorted(term[order], np.arange((1 << 16) + 1))
+
+    def scores(self, seed: int, docs: np.ndarray) -> np.ndarray:
+        """Exact BM25 of ``docs`` for all terms of the seed."""
+        kinds, back = np.unique(self.kind[docs], return_inverse=True)
+        terms = self.term[self.first[seed]: self.first[seed + 1]]
+        sizes = self.first[kinds + 1] - self.first[kinds]
+        at = np.cumsum(sizes) - sizes
+        place = np.repeat(self.first[kinds] - at, sizes) + np.arange(sizes.sum())
+        self.sought[terms] = True
+        found = np.add.reduceat(self.weight[place] * self.sought[self.term[place]], at)
+        self.sought[terms] = False
+        return found[back]
 
     def neighbours(self, seed: int, used: np.ndarray) -> list[int]:
-        """Unused documents by falling score, without those that share no query term."""
-        a, b = self.first[seed], self.first[seed + 1]
-        w = self.weight[a:b]
-        top = np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS] if len(w) > QUERY_TERMS else np.arange(len(w))
-        score = np.zeros(self.n)
-        for t in self.term[a:b][top]:
-            s, e = self.start[t], self.start[t + 1]
-            score[self.doc[s:e]] += self.posting[s:e]
+        """Unused documents by falling score, without those that share no term."""
+        if 2 * (self.n - int(used.sum())) < self.left:
+            self._post(used)
+        terms = self.term[self.first[seed]: self.first[seed + 1]]
+        score = (self.dense @ self.held[seed] if self.products is None else self.products[seed]).astype(float)
+        lists = [slice(s, e) for s, e in zip(self.start[terms].tolist(), self.start[terms + 1].tolist()) if s < e]
+        if lists:
+            score += np.bincount(np.concatenate([self.doc[x] for x in lists]),
+                                 np.concatenate([self.posting[x] for x in lists]), self.n)
         score[used] = 0
-        best = np.argpartition(-score, NEIGHBOURS)[:NEIGHBOURS] if self.n > NEIGHBOURS else np.arange(self.n)
-        best = best[score[best] > 0]
-        return best[np.lexsort((best, -score[best]))].tolist()
+        least = np.partition(score, self.n - NEIGHBOURS)[self.n - NEIGHBOURS] if self.n > NEIGHBOURS else 0.0
+        best = np.flatnonzero((score > 0) & (score >= least * (1 - self.margin)))
+        if not len(best):
+            return []
+        return best[np.lexsort((best, -self.scores(seed, best)))][:NEIGHBOURS].tolist()
 
 
 def fill(sizes: list[int], neighbours, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:

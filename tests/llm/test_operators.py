@@ -303,6 +303,27 @@ def test_packing_puts_like_with_like():
     assert sum(len(v) == 1 for v in windows.values()) >= 0.7 * len(windows)
 
 
+@pytest.mark.parametrize("products", [0, 1 << 20])
+def test_neighbours_are_those_of_all_terms(monkeypatch, products):
+    monkeypatch.setattr(retrieval_packing, "PRODUCTS", products)
+    rng = np.random.default_rng(2)
+    docs = [np.minimum(rng.zipf(1.3, rng.integers(1, 400)), 5000).astype(np.uint16) for _ in range(150)]
+    docs += [docs[3], docs[3], np.arange(6000, 6100, dtype=np.uint16), np.array([6050, 6099], np.uint16)]
+    n, held = len(docs), [Counter(d.tolist()) for d in docs]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=1 << 16)
+    idf, mean = np.log1p((n - df + .5) / (df + .5)), float(np.mean([len(d) for d in docs]))
+    index, used = retrieval_packing.Index(docs, idf, mean), np.zeros(n, bool)
+    weight = lambda d, t: idf[t] * held[d][t] * 2.2 / (held[d][t] + 1.2 * (0.25 + 0.75 * len(docs[d]) / mean))
+    for seed in [*range(40), n - 2]:
+        used[seed] = True
+        want = {d: sum(weight(d, t) for t in held[seed] if t in held[d]) for d in np.flatnonzero(~used)}
+        best = sorted((round(-v, 9) for v in want.values() if v > 0))[:retrieval_packing.NEIGHBOURS]
+        got = index.neighbours(seed, used)
+        assert [round(-want[d], 9) for d in got] == best
+        used[got[:2]] = True
+    assert got == [n - 1]
+
+
 def test_secret_lexer(docs, none):
     got = {r["doc_id"]: r["spans"] for r in secret_lexer.scan(docs.where("doc_id = 17")).collect()}
     text = dict(ROWS)[17]
