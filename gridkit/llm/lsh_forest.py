@@ -9,17 +9,19 @@ are a member and the first member of each region that it lies in, at every
 depth, so their number is linear in the members, whatever the size of a group.
 
 Candidates are confirmed on full sets.  A region is settled when its members
-outside the first one's component are alone or too far from it for a link to any
-member near it (by the triangle inequality of the Jaccard distance).  All texts
-of unsettled regions then go through an exact prefix-filter join: with shingles
-ordered by rarity among them, two texts of n_x >= n_y shingles and similarity t
-share one of the first n_x - ceil(t n_x) + 1 of x and the first
-n_y - ceil(2t / (1 + t) n_y) + 1 of y, and from it on either has enough left.  Texts of one component are never paired:
-at each shingle, its largest component meets the others only.
-
-So no pair that shares a region at the first depth is lost, whatever the size of
-the region: the trees find a pair of similarity s with probability
-1 - (1 - s**STEP)**TREES, 0.9999 at s = 0.75.
+outside the first one's component are of one component and too far from the first
+for a link to any member of its component in the region, also to one that only a
+chain of links holds there (by the triangle inequality of the Jaccard distance and
+the measured distances of all members to the first).  All texts of unsettled regions
+then go through an exact prefix-filter join: with shingles ordered by rarity among
+them, two texts of n_x >= n_y shingles and similarity t share one of the first
+n_x - ceil(t n_x) + 1 of x and the first n_y - ceil(2t / (1 + t) n_y) + 1 of y, and
+from it on either has enough left.  Texts of one component are never paired: at each
+shingle, its largest component meets the others only.
+
+So the two texts of every linked pair that shares a region at the first depth end
+in one component, whatever the size of the region: the trees find a pair of
+similarity s with probability 1 - (1 - s**STEP)**TREES, 0.9999 at s = 0.75.
 
 Edge cases: texts without words have an empty set, no links and themselves as
 component; a text of fewer than five words is one shingle; rows that repeat a
@@ -181,12 +183,14 @@ def unsettled(regions: DataFrame, done: DataFrame, comp: DataFrame) -> DataFrame
               .withColumn("component", F.coalesce("component", "doc"))
               .withColumn("lead", F.coalesce("lead", "first")))
     away = F.col("component") != F.col("lead")
-    reach = 2 * (1 - THRESHOLD / 100) + 1e-9
+    # a link to a near member is no longer than 1 - THRESHOLD, so the first is no
+    # farther from its other end than that and the near member's own distance
+    reach = 1 - THRESHOLD / 100 + 1e-9
     state = placed.groupBy("region").agg(
         F.min(F.when(away, F.col("component"))).alias("low"), F.max(F.when(away, F.col("component"))).alias("high"),
-        F.count_if(away & (F.col("far") <= reach)).alias("mid"),
-        F.count_if(~away & (F.col("doc") != F.col("first"))).alias("near"))
-    opened = state.where("low < high or (mid > 0 and near > 0)").select("region")
+        F.min(F.when(away, F.col("far"))).alias("mid"),
+        F.max(F.when(~away & (F.col("doc") != F.col("first")), F.col("far"))).alias("near"))
+    opened = state.where((F.col("low") < F.col("high")) | (F.col("mid") <= F.col("near") + reach)).select("region")
     return placed.join(opened, "region", "left_semi").select("doc", "component").distinct()
 
 

@@ -201,6 +201,18 @@ def test_near_duplicates_of_families(spark):
     check_near(lsh_forest.near_duplicates(spark.createDataFrame(data, SCHEMA)), data)
 
 
+@pytest.mark.parametrize("chain,away,is_open", [(40, 55, True), (40, 65, True), (40, 66, False), (10, 35, True),
+                                                (10, 36, False), (10, 45, False)])
+def test_regions_with_chained_members_are_opened(spark, chain, away, is_open):
+    """1 is the first, 2 is of its component by way of 4 (elsewhere), 3 is away."""
+    regions = spark.createDataFrame([(7, d, 1) for d in (1, 2, 3)], "region long, doc long, first long")
+    done = spark.createDataFrame([(1, 2, 100 - chain, 100), (1, 3, 100 - away, 100)],
+                                 "a long, b long, shared long, joint long")
+    comp = spark.createDataFrame([(1, 1), (2, 1), (4, 1)], "node long, component long")
+    got = sorted(rows(lsh_forest.unsettled(regions, done, comp)))
+    assert got == ([(1, 1), (2, 1), (3, 3)] if is_open else [])
+
+
 def test_quality_without_labels(spark, docs, none):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     out = rows(pairwise_quality.score(docs, labels))
