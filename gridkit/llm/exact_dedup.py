@@ -100,17 +100,18 @@ class Snapshot:
         return Snapshot(n, exact, filters)
 
     def known(self, classes: DataFrame, docs: DataFrame) -> DataFrame:
-        """The classes of a batch whose text the snapshot holds, byte for byte."""
+        """The classes of a batch whose text the snapshot holds, byte for byte;
+        ``root`` is the SHA-256 of the snapshot's class."""
         placed = classes.withColumn("bucket", F.pmod("digest", F.lit(self.buckets)).cast("long"))
         cols = ["sha", "size", "digest", "first", "n", "bucket"]
         passed = (placed.select(*cols).groupBy("bucket").cogroup(self.filters.groupBy("bucket"))
                   .applyInPandas(_screen, placed.select(*cols).schema))
         positive = fetch_texts(docs, stored(passed, "positives"))
         old = self.exact.select("bucket", "digest", F.col("text").alias("old_text"),
-                                F.col("first").alias("old_first"))
+                                F.col("sha").alias("root"))
         return (positive.join(old, ["bucket", "digest"])
                 .where(F.col("text").cast("binary") == F.col("old_text").cast("binary"))
-                .select("sha", "size", "digest", "first", "n"))
+                .select("sha", "size", "digest", "first", "n", "root"))
 
 
 def dedup(docs: DataFrame, batches: int = 2, commit_last: bool = False
@@ -119,29 +120,36 @@ def dedup(docs: DataFrame, batches: int = 2, commit_last: bool = False
     snapshots written.
 
     Rows go in batches (by hash of the id); each batch is screened against the
-    snapshots of the batches before it and leaves what is new as a snapshot.
+    snapshots of the batches before it and leaves what is new as a snapshot.  A
+    class of a batch belongs to the snapshot that holds its text, or else to its own
+    batch; nothing else links it to other batches.
     """
     order = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(batches)).cast("int")
     rows = stored(digests(docs, order), "digests")
+    kinds = ["sha", "size", "first", "n"]
     snapshots: list[Snapshot] = []
     parts: list[DataFrame] = []
     for b in range(batches):
         fresh = stored(group_batch(rows.where(F.col("batch") == b)), "batch-classes")
         of_batch = docs.where(order == b)
-        for s in snapshots:
+        for origin, s in enumerate(snapshots):
             known = stored(s.known(fresh, of_batch), "known")
-            parts.append(known)
+            parts.append(known.select(F.lit(b).alias("batch"), F.lit(origin).alias("origin"), "root", *kinds))
             fresh = fresh.join(known.select("sha", "size"), ["sha", "size"], "left_anti")
         if snapshots:
             fresh = stored(fresh, "fresh")
-        parts.append(fresh)
+        parts.append(fresh.select(F.lit(b).alias("batch"), F.lit(b).alias("origin"), F.col("sha").alias("root"),
+                                  *kinds))
         if b + 1 < batches or commit_last:
             snapshots.append(Snapshot.commit(fresh, of_batch))
-    groups = stored(union_all([p.select("sha", "size", "first", "n") for p in parts])
-                    .groupBy("sha", "size").agg(F.min("first").alias("keep_id"),
-                                                F.sum("n").alias("group_size")), "groups")
-    total = rows.count()
-    out = join_counted(rows.select("doc_id", "sha", "size"), groups, ["sha", "size"], "group_size", total)
+    classes = stored(union_all(parts), "classes")
+    groups = classes.groupBy("origin", "root", "size").agg(F.min("first").alias("keep_id"),
+                                                           F.sum("n").alias("group_size"))
+    groups = stored(classes.join(groups, ["origin", "root", "size"])
+                    .select("batch", "sha", "size", "n", "keep_id", "group_size"), "groups")
+    out = join_counted(rows.select("doc_id", "batch", "sha", "size"), groups, ["batch", "sha", "size"], "n",
+                       rows.count())
+    out = out.select("doc_id", "sha", "size", "keep_id", "group_size")
     return out.withColumn("kept", same(F.col("doc_id"), F.col("keep_id"))), snapshots
 
 

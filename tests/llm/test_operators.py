@@ -90,6 +90,15 @@ def test_exact_dedup_checks_bytes(spark, docs):
     assert len(rows(snapshot.known(a, old))) == 1
 
 
+def test_only_the_screened_join_links_batches(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"text {i % 10}") for i in range(60)], SCHEMA)
+    sizes = lambda: sorted(r["group_size"] for r in exact_dedup.dedup(df, batches=3)[0].collect())
+    assert sizes() == [6] * 60
+    monkeypatch.setattr(exact_dedup, "_screen", lambda key, part, filters: part.iloc[:0])
+    apart = sizes()
+    assert len(apart) == 60 and apart[0] < 6 and sum(apart) < 360
+
+
 def test_shard_tree(docs, none):
     got = shard_tree.shard_documents(docs)
     out = got.collect()
