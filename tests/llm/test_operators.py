@@ -518,6 +518,26 @@ def test_decontamination(spark, docs, none):
     assert rows(qgram_decontam.contaminated(df, bench.where("false"))) == []
 
 
+def test_short_items_keep_their_edit_budget(spark):
+    rng = np.random.default_rng(4)
+    text = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n))
+    items = [(m, text(m)) for m in (13, 14, 15, 16, 17, 18, 19, 20, 21, 27, 28, 29)]
+    data = []
+    for m, t in items:
+        for place in (0, 1, m // 2 - 1, m // 2, m - 2, m - 1):
+            for new in ("", "z", t[place] + "z"):
+                data.append((len(data), text(40) + t[:place] + new + t[place + 1:] + text(30)))
+        two = t[:3] + "z" + t[4:m - 4] + "z" + t[m - 3:]
+        data += [(len(data), two + text(20)), (len(data) + 1, text(20) + t + " " + t), (len(data) + 2, t[1:])]
+    out = rows(qgram_decontam.contaminated(spark.createDataFrame(data, SCHEMA),
+                                           spark.createDataFrame(items, "item_id long, text string")))
+    want = {(d, m) for d, t in data for m, b in items if edits(b, t) <= int(m * qgram_decontam.RATE)}
+    assert {r[:2] for r in out} == want and len(want) > 200
+    texts, named = dict(data), dict(items)
+    assert all(edits(named[m], texts[d][start:stop]) == e for d, m, start, stop, e in out)
+    assert all(sum(r[:2] == (d, m) for r in out) == 2 for d, t in data for m, b in items if t.count(b) == 2)
+
+
 def test_words_and_shingles_of_flat_arrays():
     import pyarrow as pa
 
