@@ -2,9 +2,10 @@
 
 Every text becomes a vector of shape features (case, punctuation, repetition,
 word lengths).  A labelled good text is preferred to a labelled bad one; pairs
-are formed by hashing both sides into as many buckets as the smaller side has
-rows, under ``ROUNDS`` salts, so their number is about ROUNDS times the larger
-side, never the product.  The utility w.x is fitted by Newton steps on the
+are formed by numbering both sides in an order by hash, under ``ROUNDS`` salts: a
+row of the larger side meets the row of its number modulo the smaller side, so each
+row has a pair under each salt and their number is ROUNDS times the larger side,
+never the product.  The utility w.x is fitted by Newton steps on the
 logistic loss of the feature differences; each step is one Spark job that sums
 gradient and curvature per partition.  The cut is the quantile of the training
 utilities with the highest training accuracy (of equals, the lowest: it keeps
@@ -22,13 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import U, Powers, Words, flat, mix, pieces
 from .common import discard, stored, table
 
 ROUNDS, STEPS, RIDGE = 4, 12, 1e-3
+#: training rows that are numbered in one part
+PART_ROWS = 10_000
 #: quantiles tried as a cut
 GRID = 400
 
@@ -106,15 +109,29 @@ def preference_pairs(train: DataFrame) -> DataFrame | None:
     sides = {r["quality"]: r["n"] for r in train.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if not sides.get(0) or not sides.get(1):
         return None
-    buckets = min(sides[0], sides[1])
     salts = F.explode(F.array(*[F.lit(i) for i in range(ROUNDS)])).alias("salt")
-    place = F.pmod(F.xxhash64("doc_id", "quality", "salt"), F.lit(buckets)).alias("bucket")
-    rows = train.select("doc_id", "quality", "x", salts)
-    good = rows.where("quality = 1").select("salt", place, F.col("x").alias("good"))
-    bad = rows.where("quality = 0").select("salt", place, F.col("x").alias("bad"))
+    rows = _numbered(train.select("doc_id", "quality", "x", salts), max(sides.values()))
+    bucket = F.pmod("number", F.lit(min(sides[0], sides[1]))).alias("bucket")
+    good = rows.where("quality = 1").select("salt", bucket, F.col("x").alias("good"))
+    bad = rows.where("quality = 0").select("salt", bucket, F.col("x").alias("bad"))
     return good.join(bad, ["salt", "bucket"]).select("good", "bad")
 
 
+def _numbered(rows: DataFrame, most: int) -> DataFrame:
+    """``number``: 0, 1, ... within salt and label, in an order by hash; counted
+    within parts of the hash and moved on by the rows of the parts before."""
+    parts = max(1, -(-most // PART_ROWS))
+    side = ["salt", "quality"]
+    rows = rows.withColumn("place", F.xxhash64("doc_id", "quality", "salt"))
+    rows = rows.withColumn("part", F.pmod("place", F.lit(parts)))
+    before = Window.partitionBy(*side).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (rows.groupBy(*side, "part").agg(F.count("*").alias("n"))
+               .select(*side, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
+    inside = F.row_number().over(Window.partitionBy(*side, "part").orderBy("place", "doc_id", "x"))
+    return (rows.withColumn("inside", inside).join(offsets, [*side, "part"])
+            .withColumn("number", F.col("offset") + F.col("inside") - 1))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False)
     return values.reshape(len(column), -1)

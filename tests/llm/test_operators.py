@@ -222,6 +222,17 @@ def test_regions_with_chained_members_are_opened(spark, chain, away, is_open):
     assert got == ([(1, 1), (2, 1), (3, 3)] if is_open else [])
 
 
+@pytest.mark.parametrize("n_good,n_bad", [(40, 40), (7, 100)])
+def test_every_labelled_row_has_a_pair_under_each_salt(spark, monkeypatch, n_good, n_bad):
+    monkeypatch.setattr(pairwise_quality, "PART_ROWS", 9)
+    data = [(i, int(i < n_good), [float(i)]) for i in range(n_good + n_bad)]
+    train = spark.createDataFrame(data, "doc_id long, quality int, x array<double>")
+    got = rows(pairwise_quality.preference_pairs(train))
+    good, bad = (Counter(r[k][0] for r in got) for k in (0, 1))
+    assert len(got) == 4 * max(n_good, n_bad) and len(good) == n_good and len(bad) == n_bad
+    assert min([*good.values(), *bad.values()]) >= 4
+
+
 def test_quality_without_labels(spark, docs, none):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     out = rows(pairwise_quality.score(docs, labels))
