@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (exact_dedup, line_runs, lsh_forest, pairwise_quality, qgram_decontam,
-               retrieval_packing, revisits, secret_lexer, shard_tree, token_rollups)
+from . import (centroid_matrix, exact_dedup, line_runs, lsh_forest, pairwise_quality, qgram_decontam,
+               retrieval_packing, revisits, secret_lexer, shard_tree, token_rollups, trie_pairs)
 
 QUERIES = {
     "op1_fuse_snapshots": exact_dedup.query,
@@ -16,10 +16,13 @@ QUERIES = {
     "op8_revisits": revisits.query,
     "op9_qgram_bands": qgram_decontam.query,
     "op10_lsh_forest": lsh_forest.query,
+    "op11_trie_pairs": trie_pairs.query,
+    "op12_centroid_matrix": centroid_matrix.query,
 }
 
 ORACLE = {
     "op1_fuse_snapshots": exact_dedup.ORACLE,
     "op6_line_runs": line_runs.ORACLE,
     "op8_revisits": revisits.ORACLE,
+    "op12_centroid_matrix": centroid_matrix.ORACLE,
 }
