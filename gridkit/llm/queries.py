@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import (centroid_matrix, exact_dedup, line_runs, lsh_forest, pairwise_quality, qgram_decontam,
+from . import (bin_completion, centroid_matrix, exact_dedup, line_runs, lsh_forest, pairwise_quality, qgram_decontam,
                retrieval_packing, revisits, secret_lexer, shard_tree, token_rollups, trie_pairs)
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_lsh_forest": lsh_forest.query,
     "op11_trie_pairs": trie_pairs.query,
     "op12_centroid_matrix": centroid_matrix.query,
+    "op13_bin_completion": bin_completion.query,
 }
 
 ORACLE = {
