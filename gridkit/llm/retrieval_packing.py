@@ -47,32 +47,31 @@ NEIGHBOURS = 32
 #: a term is common when one of so many documents of the shard holds it; and so
 #: many products of two documents are kept at once
 COMMON, PRODUCTS = 8, 32_000_000
+NONE = (1 << 16) - 1
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 def _encode(files: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(files)
-        # a fixed random order of the ids, by rank
-        rank = np.argsort(np.argsort(mix(np.arange(1 << 16, dtype=U) + U(0x632BE59BD9B4E019)))).astype(np.uint16)
+        # a fixed random order of the ids, by rank; no id has the rank NONE
+        rank = np.argsort(np.argsort(mix(np.arange(NONE, dtype=U) + U(0x632BE59BD9B4E019)))).astype(np.uint16)
         for batch in batches:
             offsets, data = flat(batch.column(1))
             for low in range(0, batch.num_rows, 1000):
                 high = min(batch.num_rows, low + 1000)
-                keys, sizes, out = [], [], []
-                for i in range(low, high):
-                    ids = encoder.ids(data[offsets[i]: offsets[i + 1]].tobytes())
-                    row = np.append(ids, CLOSING).astype(np.uint16)
-                    left, key = rank[row], 0
-                    for _ in range(3):  # the three least ranks name the neighbourhood
-                        least = int(left.min()) if len(left) else 0
-                        key, left = key << 16 | least, left[left > least]
-                    keys.append(key << 15)
-                    sizes.append(len(row))
-                    out.append(row.tobytes())
+                rows = [np.append(encoder.ids(data[offsets[i]: offsets[i + 1]].tobytes()), CLOSING).astype(np.uint16)
+                        for i in range(low, high)]
+                sizes = np.array([len(row) for row in rows])
+                starts = np.cumsum(sizes) - sizes
+                left, keys = rank[np.concatenate(rows)], np.zeros(len(rows), np.int64)
+                for _ in range(3):  # the three least ranks name the neighbourhood
+                    least = np.minimum.reduceat(left, starts)
+                    keys = keys << 16 | np.where(least == NONE, 0, least)
+                    left[left == np.repeat(least, sizes)] = NONE
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, high - low).cast(pa.int64()), pa.array(keys, pa.int64()),
-                     pa.array(sizes, pa.int64()), pa.array(out, pa.binary())],
+                    [batch.column(0).slice(low, high - low).cast(pa.int64()), pa.array(keys << 15),
+                     pa.array(sizes, pa.int64()), pa.array([row.tobytes() for row in rows], pa.binary())],
                     names=["doc_id", "key", "n", "ids"])
     return run
 

@@ -13,13 +13,14 @@ from __future__ import annotations
 import base64
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 
 #: least lead byte of characters from U+0280 on
 _BEYOND = 0xCA
-#: words kept in the table, and the length of those that are
-WORDS, WORD = 1 << 18, 48
+#: words of one generation of the table, and the length of words that enter it
+WORDS, WORD = 1 << 19, 32
 
 
 def vocabulary(name: str = "byte_bpe_50k") -> dict:
@@ -44,16 +45,20 @@ def _spelled(pattern: str) -> re.Pattern:
 
 
 class _Table(dict):
-    """Ids (as bytes) by word, filled on demand; emptied when it is full."""
+    """Ids (as bytes) by word, filled on demand.  A full table becomes the elder one;
+    words that are met again move over from it, the others go with it."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.elder = encode, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encode(word), np.uint32).tobytes()
+        ids = self.elder.get(word)
+        if ids is None:
+            ids = array("I", self.encode(word)).tobytes()
         if len(word) <= WORD:
             if len(self) >= WORDS:
+                self.elder = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -68,7 +73,7 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         fast = tiktoken.Encoding("ranks", pat_str=files["pattern"], mergeable_ranks=ranks, special_tokens={})
         self.cut = _spelled(files["pattern"]).findall
-        self.word = _Table(fast.encode_ordinary).__getitem__
+        self.word = _Table(fast._encode_single_piece).__getitem__
 
     def ids(self, text: bytes) -> np.ndarray:
         if not text:
