@@ -41,6 +41,91 @@ FLOAT_COLUMNS = {'c09_invoice_check': ['line_sum', 'stated_total', 'difference']
  'g14_technician_load': ['labor_hrs', 'parts_cost'],
  'g16_backlog': ['overdue_pct'],
  'g18_repair_duration': ['avg_repair_hrs', 'avg_labor_hrs'],
+ 'm04_executive_coarse_cube': ['total_revenue_usd',
+                               'net_profit_usd',
+                               'profit_margin_pct',
+                               'maintenance_cost_usd',
+                               'total_generation_mwh',
+                               'avg_efficiency_pct',
+                               'capacity_factor_pct',
+                               'total_downtime_hours',
+                               'total_lost_mwh',
+                               'preventive_to_reactive_ratio',
+                               'grid_instability_risk_score'],
+ 'm04_executive_fine_cube': ['total_revenue_usd',
+                             'net_profit_usd',
+                             'profit_margin_pct',
+                             'maintenance_cost_usd',
+                             'total_generation_mwh',
+                             'avg_efficiency_pct',
+                             'capacity_factor_pct',
+                             'total_downtime_hours',
+                             'total_lost_mwh',
+                             'preventive_to_reactive_ratio',
+                             'grid_instability_risk_score'],
+ 'm04_finance_coarse_cube': ['total_revenue_usd',
+                             'total_opex_usd',
+                             'total_maintenance_cost_usd',
+                             'net_profit_usd',
+                             'profit_margin_pct',
+                             'revenue_loss_from_outages_usd',
+                             'curtailment_loss_mwh',
+                             'revenue_per_mwh',
+                             'total_lost_mwh'],
+ 'm04_finance_fine_cube': ['total_revenue_usd',
+                           'total_opex_usd',
+                           'total_maintenance_cost_usd',
+                           'net_profit_usd',
+                           'profit_margin_pct',
+                           'revenue_loss_from_outages_usd',
+                           'curtailment_loss_mwh',
+                           'revenue_per_mwh',
+                           'total_lost_mwh'],
+ 'm04_grid_coarse_cube': ['avg_temperature',
+                          'max_temperature',
+                          'avg_vibration',
+                          'avg_efficiency_pct',
+                          'total_power_generated_mwh',
+                          'total_downtime_hours',
+                          'mttr_hours',
+                          'mtbf_hours',
+                          'capacity_factor_pct',
+                          'grid_instability_risk_score'],
+ 'm04_grid_fine_cube': ['avg_temperature',
+                        'max_temperature',
+                        'avg_vibration',
+                        'avg_efficiency_pct',
+                        'total_power_generated_mwh',
+                        'total_downtime_hours',
+                        'mttr_hours',
+                        'mtbf_hours',
+                        'capacity_factor_pct',
+                        'grid_instability_risk_score'],
+ 'm04_maintenance_coarse_cube': ['preventive_to_reactive_ratio',
+                                 'avg_repair_duration_hours',
+                                 'avg_labor_hours',
+                                 'total_labor_hours',
+                                 'total_parts_cost_usd'],
+ 'm04_maintenance_fine_cube': ['preventive_to_reactive_ratio',
+                               'avg_repair_duration_hours',
+                               'avg_labor_hours',
+                               'total_labor_hours',
+                               'total_parts_cost_usd'],
+ 'm04_routed_filter': ['mtbf_hours',
+                       'avg_vibration',
+                       'grid_instability_risk_score',
+                       'capacity_factor_pct'],
+ 'm04_routed_quarter': ['profit_margin_pct', 'revenue_loss_from_outages_usd'],
+ 'm04_routed_total': ['avg_temperature',
+                      'max_temperature',
+                      'avg_vibration',
+                      'avg_efficiency_pct',
+                      'total_power_generated_mwh',
+                      'total_downtime_hours',
+                      'mttr_hours',
+                      'mtbf_hours',
+                      'capacity_factor_pct',
+                      'grid_instability_risk_score'],
  'n01_problem_assets': ['total_lost_mwh', 'est_revenue_loss_usd'],
  'n02_region_outages': ['lost_mwh'],
  'n03_monthly_outages': ['total_lost_mwh'],

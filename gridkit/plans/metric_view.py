@@ -176,76 +176,40 @@ class MetricView:
         """
         if check_keys:
             self.check_keys(tables)
-        dim_fields = [self.dimension(d) for d in dims]
         meas = [(m, m) if isinstance(m, str) else tuple(m) for m in measures]
         meas_fields = [(self.measure(m), alias) for m, alias in meas]
-        where_dims = []
-        if where:
-            for d in self.dimensions:
-                if d.name not in dims and re.search(rf"(?<![\w.]){re.escape(d.name)}(?![\w])",
-                                                    where):
-                    where_dims.append(d)
-        texts = ([d.expr for d in dim_fields] + [d.expr for d in where_dims]
-                 + [m.expr for m, _ in meas_fields])
-        base = self.frame(tables, texts)
-        proj = base.select("*", *[F.expr(d.expr).alias(d.name) for d in dim_fields + where_dims])
-        if where:
-            proj = proj.filter(F.expr(where))
+        proj = self.projected(tables, dims, [m.expr for m, _ in meas_fields], where)
         aggs = [F.expr(m.expr).alias(alias, metadata=_meta(m)) for m, alias in meas_fields]
         if dims:
             out = proj.groupBy(*[F.col(d) for d in dims]).agg(*aggs)
         else:
             out = proj.agg(*aggs)
-        out = out.select(*dims, *[a for _, a in meas])
-        if order_by or limit is not None:
-            keys = [_order_col(o) for o in (order_by or [])]
-            if limit is not None:
-                keys += [F.col(d).asc_nulls_first() for d in dims]
-            if keys:
-                out = out.orderBy(*keys)
-            if limit is not None:
-                out = out.limit(limit)
-        return out
-
-    # ------------------------------------------------------ materialisation
-    _ADDITIVE = re.compile(r"^\s*(SUM|COUNT|MIN|MAX)\((?!\s*DISTINCT)[^()]*(\([^()]*\))?[^()]*\)\s*$",
-                           re.IGNORECASE)
-    _REAGG = {"SUM": F.sum, "COUNT": F.sum, "MIN": F.min, "MAX": F.max}
-
-    def additive(self, measure: str) -> str | None:
-        """The outer aggregate of an additive measure (SUM/COUNT/MIN/MAX of a
-        row expression), else None (ratios, DISTINCT, averages)."""
-        m = self._ADDITIVE.match(self.measure(measure).expr)
-        return m.group(1).upper() if m else None
-
-    def materialize(self, tables, dims: Sequence[str], measures: Sequence[str],
-                    path: str, partition_by: Sequence[str] | None = None) -> DataFrame:
-        """Write the view aggregated to ``dims`` and return a scan of it.
-
-        Only additive measures are accepted: a coarser query can then be
-        answered from this table by re-aggregating (SUM of SUM / COUNT, MIN
-        of MIN, MAX of MAX).  Non-additive measures raise.
-        """
-        bad = [m for m in measures if self.additive(m) is None]
-        if bad:
-            raise ValueError(f"{self.name}: not additive, cannot materialise: {bad}")
-        df = self.query(tables, dims, measures)
-        w = df.write.mode("overwrite")
-        if partition_by:
-            w = w.partitionBy(*partition_by)
-        w.parquet(path)
-        return df.sparkSession.read.parquet(path)
-
-    def query_materialized(self, table: DataFrame, dims: Sequence[str],
-                           measures: Sequence[str]) -> DataFrame:
-        """Answer ``dims`` x ``measures`` from a table written by
-        ``materialize`` (``dims`` must be a subset of its dimensions)."""
-        missing = [d for d in dims if d not in table.columns]
-        if missing:
-            raise KeyError(f"{self.name}: dimensions not materialised: {missing}")
-        aggs = [self._REAGG[self.additive(m)](m).alias(m, metadata=_meta(self.measure(m)))
-                for m in measures]
-        return table.groupBy(*dims).agg(*aggs) if dims else table.agg(*aggs)
+        return self.ordered(out.select(*dims, *[a for _, a in meas]), dims, order_by, limit)
+
+    def named_dimensions(self, where: str | None) -> list[str]:
+        """The dimensions that a filter names."""
+        return [d.name for d in self.dimensions
+                if where and re.search(rf"(?<![\w.]){re.escape(d.name)}(?![\w])", where)]
+
+    def projected(self, tables, dims: Sequence[str], texts: Sequence[str],
+                  where: str | None = None) -> DataFrame:
+        """Filtered source rows with ``dims`` as columns and the joins that they, the
+        filter and ``texts`` need."""
+        fields = [self.dimension(d) for d in dims]
+        fields += [self.dimension(d) for d in self.named_dimensions(where) if d not in dims]
+        base = self.frame(tables, [d.expr for d in fields] + list(texts))
+        proj = base.select("*", *[F.expr(d.expr).alias(d.name) for d in fields])
+        return proj.filter(F.expr(where)) if where else proj
+
+    @staticmethod
+    def ordered(out: DataFrame, dims: Sequence[str], order_by: Sequence[str] | None,
+                limit: int | None) -> DataFrame:
+        keys = [_order_col(o) for o in (order_by or [])]
+        if limit is not None:
+            keys += [F.col(d).asc_nulls_first() for d in dims]
+        if keys:
+            out = out.orderBy(*keys)
+        return out.limit(limit) if limit is not None else out
 
     def resolve(self, term: str) -> str:
         """m08: field name for an analyst term (name, display name or synonym,

@@ -29,7 +29,7 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from . import (q_rollups, q_analyst, q_metrics, q_derive,  # noqa: F401
-                   q_quality, q_corpus, q_trace, q_streams)
+                   q_quality, q_corpus, q_trace, q_streams, q_cubes)
 
 
 # Reported precision of DOUBLE outputs.  Spark and the SQL oracle add the

@@ -65,29 +65,6 @@ def test_synonyms_and_formats(spark):
     assert "format" not in md["profit_margin_pct"]
 
 
-def test_materialize_additive_measures(spark):
-    import os
-    import tempfile
-
-    import pytest as _pt
-    t = load(spark, SF001)
-    g = all_views()["grid_operations_metrics"]
-    assert g.additive("outage_count") == "SUM" and g.additive("max_temperature") == "MAX"
-    assert g.additive("mtbf_hours") is None and g.additive("avg_vibration") is None
-    with _pt.raises(ValueError):
-        g.materialize(t, ["region_name"], ["mttr_hours"], tempfile.mkdtemp())
-    path = os.path.join(tempfile.mkdtemp(prefix="gridkit-mat-"), "grid_by_region_type")
-    m = ["outage_count", "total_downtime_hours", "max_temperature"]
-    table = g.materialize(t, ["region_name", "asset_type"], m, path)
-    coarse = {r.region_name: r for r in g.query_materialized(table, ["region_name"], m).collect()}
-    direct = {r.region_name: r for r in g.query(t, ["region_name"], m).collect()}
-    assert coarse.keys() == direct.keys()
-    for k, r in direct.items():
-        assert coarse[k].outage_count == r.outage_count
-        assert abs(coarse[k].total_downtime_hours - r.total_downtime_hours) < 1e-6
-        assert coarse[k].max_temperature == r.max_temperature
-
-
 def test_readme_usage_example(spark):
     from gridkit.operators import rollups
     from gridkit.sources.bindings import Tables
