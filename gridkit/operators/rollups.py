@@ -263,43 +263,46 @@ def region_daily_summary(tables, asset_daily: DataFrame | None = None,
 
 
 # ------------------------------------------------------------ materialisation
-_MATERIALISED: dict[tuple, tuple] = {}
+_STORES: dict[tuple, tuple] = {}
 
 
-def materialised(tables, name: str, build) -> DataFrame:
-    """The rollup ``name`` as a written table, built once per state of the source
-    files (``bindings.load`` binds anew when they change).
+def _stored(tables):
+    """The written rollups of a data directory, brought up to its files: only the
+    months that new files touch are computed again (``rollup_store``).
 
-    Metric views read the rollup tables (as a warehouse would after its
-    nightly CTAS) instead of recomputing them from the raw facts in every
-    query.  The table lives under the shared ``spark.checkpoint.dir``; the
-    write also cuts the lineage, so a lost executor re-reads files instead
-    of re-running the rollup.  Literal-row bindings (no data directory) are
-    computed directly.
+    Metric views read them (as a warehouse would after its nightly load) instead of
+    recomputing them from the raw facts in every query.  They live under the shared
+    ``spark.checkpoint.dir``; the write also cuts the lineage, so a lost executor
+    re-reads files instead of re-running the rollup.
     """
     import uuid
+    from functools import partial
 
     from ..session import scratch_path
+    from ..sources.bindings import load_files, source_files
+    from .rollup_store import RollupStore
 
-    spark = tables.spark
-    sf_dir = getattr(tables, "sf_dir", None)
-    if sf_dir is None:
-        return build(tables)
-    key = (id(getattr(spark, "_jsparkSession", spark)), sf_dir, name, tables.state)
-    hit = _MATERIALISED.get(key)
+    spark, sf_dir = tables.spark, tables.sf_dir
+    key = (id(getattr(spark, "_jsparkSession", spark)), sf_dir)
+    hit = _STORES.get(key)
     if hit is None or hit[0] is not spark:
-        path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:10]}")
-        build(tables).write.mode("overwrite").parquet(path)
-        hit = _MATERIALISED[key] = (spark, path)
-    return spark.read.parquet(hit[1])
+        hit = (spark, RollupStore(spark, scratch_path(spark, f"rollups-{uuid.uuid4().hex[:10]}"), "month"), None)
+    if hit[2] != tables.state:
+        hit[1].refresh(tables, source_files(spark, sf_dir), partial(load_files, spark, sf_dir))
+        hit = _STORES[key] = (spark, hit[1], tables.state)
+    return hit[1]
 
 
 def asset_daily_table(tables) -> DataFrame:
-    """r08 as a materialised table (source of the asset-grain metric views)."""
-    return materialised(tables, "asset_daily_summary", asset_daily_summary)
+    """r08 as a written table (source of the asset-grain metric views); literal-row
+    bindings (no data directory) are computed directly."""
+    if getattr(tables, "sf_dir", None) is None:
+        return asset_daily_summary(tables)
+    return _stored(tables).asset_day()
 
 
 def region_daily_table(tables) -> DataFrame:
-    """r09 as a materialised table, built from the materialised r08."""
-    return materialised(tables, "region_daily_summary",
-                        lambda t: region_daily_summary(t, asset_daily_table(t)))
+    """r09 as a written table, built from the written r08."""
+    if getattr(tables, "sf_dir", None) is None:
+        return region_daily_summary(tables, asset_daily_table(tables))
+    return _stored(tables).region_day()

@@ -178,6 +178,39 @@ FLOAT_COLUMNS = {'c09_invoice_check': ['line_sum', 'stated_total', 'difference']
                              'total_lost_mwh',
                              'total_labor_hours',
                              'wo_total_parts_cost'],
+ 'r08_incremental_asset_days': ['asset_capacity_mw',
+                                'theoretical_max_daily_mwh',
+                                'revenue_usd',
+                                'opex_usd',
+                                'finance_maintenance_cost_usd',
+                                'curtailed_mwh',
+                                'net_profit_usd',
+                                'profit_margin_pct',
+                                'avg_temperature',
+                                'max_temperature',
+                                'avg_vibration',
+                                'max_vibration',
+                                'avg_efficiency_pct',
+                                'total_power_mwh',
+                                'voltage_stddev',
+                                'max_severity_score',
+                                'total_downtime_hours',
+                                'total_lost_mwh',
+                                'total_labor_hours',
+                                'wo_total_parts_cost'],
+ 'r09_incremental_region_days': ['total_revenue_usd',
+                                 'total_opex_usd',
+                                 'total_maintenance_cost_usd',
+                                 'total_curtailed_mwh',
+                                 'net_profit_usd',
+                                 'avg_profit_margin_pct',
+                                 'total_power_mwh',
+                                 'total_theoretical_max_mwh',
+                                 'avg_efficiency_pct',
+                                 'total_downtime_hours',
+                                 'total_lost_mwh',
+                                 'total_labor_hours',
+                                 'total_parts_cost'],
  'r09_region_daily_summary': ['total_revenue_usd',
                               'total_opex_usd',
                               'total_maintenance_cost_usd',

@@ -124,18 +124,21 @@ def s02(spark, d):
     t, path = load(spark, d), _scratch(spark, "s02")
     sinks.write_table(t.sites, path)
     sinks.write_table(t.outages.select("outage_id", "asset_id", "lost_generation_mwh"), path)
-    return spark.read.parquet(path)
+    return sinks.read_table(spark, path)
 
 
 @register("s03_append_table", with_bindings("""
 SELECT asset_id, outage_start_ts AS ts, 'outage' AS kind FROM outages
 UNION ALL SELECT asset_id, created_ts, 'work order' FROM work_orders"""))
 def s03(spark, d):
-    """Append two sources to one table and scan it back."""
+    """Append two sources to one table, one of them sent twice, and scan it back."""
     t, path = load(spark, d), _scratch(spark, "s03")
-    for df, ts, kind in ((t.outages, "outage_start_ts", "outage"), (t.work_orders, "created_ts", "work order")):
-        sinks.write_table(df.select("asset_id", F.col(ts).alias("ts"), F.lit(kind).alias("kind")), path, "append")
-    return spark.read.parquet(path)
+    for df, ts, kind in ((t.outages, "outage_start_ts", "outage"), (t.work_orders, "created_ts", "work order"),
+                         (t.outages, "outage_start_ts", "outage")):
+        sinks.write_table(df.select("asset_id", F.col(ts).alias("ts"), F.lit(kind).alias("kind")), path, "append",
+                          batch=kind)
+    return sinks.read_table(spark, path)
+
 
 
 # Comments of the s06 round trip; the quote tests the escaping.

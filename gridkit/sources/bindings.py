@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import add_hours, case_value, dbl, trunc_ts
-from .raw import read_raw
+from .files import Files
+from .raw import read_files, read_raw
 
 LOGICAL_TABLES = (
     "regions sites assets technicians market_prices telemetry sensor_anomalies "
@@ -276,6 +277,8 @@ class Tables:
 _LOADED: dict[tuple[int, str], Tables] = {}
 #: tables of the data directory that the logical tables are bound to
 SOURCES = ("region", "nation", "customer", "supplier", "events")
+#: of these, the one that holds the rows of all facts
+FACT_SOURCE = "events"
 
 
 def source_state(spark: SparkSession, sf_dir: str) -> tuple:
@@ -304,3 +307,17 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
         t = _LOADED[key] = Tables(spark, sf_dir)
         t.state = state
     return t
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> dict[str, dict]:
+    """``{file: (length, time)}`` of the fact and of the dimension files."""
+    files, root = Files(spark), sf_dir.rstrip("/")
+    dims = {f: s for n in SOURCES if n != FACT_SOURCE for f, s in files.states(f"{root}/{n}.parquet").items()}
+    return {"facts": files.states(f"{root}/{FACT_SOURCE}.parquet"), "dimensions": dims}
+
+
+def load_files(spark: SparkSession, sf_dir: str, fact_files: list[str]) -> Tables:
+    """The logical tables over some of the fact files."""
+    t = Tables(spark, sf_dir)
+    t._raw[FACT_SOURCE] = read_files(spark, fact_files)
+    return t

@@ -23,5 +23,10 @@ def read_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def read_files(spark: SparkSession, files: list[str]) -> DataFrame:
+    """Some of a table's files."""
+    return spark.read.parquet(*files)
+
+
 def read_all(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {t: read_raw(spark, sf_dir, t) for t in RAW_TABLES}

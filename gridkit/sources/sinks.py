@@ -12,20 +12,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .versioned import VersionedTable
+
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite",
-                partition_by: Sequence[str] | None = None, fmt: str = "parquet") -> None:
-    """s02 / s03: overwrite (schema replaced) or append a table at ``path``."""
-    w = df.write.mode(mode).format(fmt)
-    if mode == "overwrite":
-        w = w.option("overwriteSchema", "true")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.save(path)
+                partition_by: Sequence[str] = (), batch: str | None = None) -> int:
+    """s02 / s03: overwrite (schema replaced), append, or swap partitions of the
+    versioned table at ``path``; returns its version.  Readers of ``read_table`` see the
+    version before until the new one is whole, and a ``batch`` sent again is skipped."""
+    return VersionedTable(df.sparkSession, path).commit(df, mode, partition_by, batch)
+
+
+def read_table(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The last (or the named) version of a table written by ``write_table``."""
+    return VersionedTable(spark, path).read(version)
 
 
 def create_table_as(spark: SparkSession, df: DataFrame, path: str,
-                    partition_by: Sequence[str] | None = None) -> DataFrame:
+                    partition_by: Sequence[str] = ()) -> DataFrame:
     """s04: create-or-replace a materialised table and return a scan of it.
 
     Writing cuts the lineage: downstream plans start at the parquet scan
@@ -34,10 +38,8 @@ def create_table_as(spark: SparkSession, df: DataFrame, path: str,
     clustered by ``partition_by`` first, so a day is a few files and not one
     from every task; the rebalance splits days that are larger than a task.
     """
-    if partition_by:
-        df = df.hint("rebalance", *partition_by)
     write_table(df, path, "overwrite", partition_by)
-    return spark.read.parquet(path)
+    return read_table(spark, path)
 
 
 def register_views(tables, names: Sequence[str]) -> None:

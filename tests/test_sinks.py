@@ -18,9 +18,12 @@ def test_write_append_ctas_and_comments(spark):
     p = os.path.join(d, "t")
     sinks.write_table(a, p)
     sinks.write_table(b, p, mode="append")
-    assert sorted(r.id for r in spark.read.parquet(p).collect()) == [1, 2]
+    sinks.write_table(b, p, mode="append", batch="b2")
+    sinks.write_table(b, p, mode="append", batch="b2")
+    assert sorted(r.id for r in sinks.read_table(spark, p).collect()) == [1, 2, 2]
+    assert sinks.read_table(spark, p, 1).count() == 1
     sinks.write_table(b.withColumn("extra", F.lit(1)), p)             # overwrite replaces schema
-    assert spark.read.parquet(p).columns == ["id", "v", "extra"]
+    assert sinks.read_table(spark, p).columns == ["id", "v", "extra"]
     c = sinks.create_table_as(spark, a.unionByName(b), os.path.join(d, "c"), partition_by=["v"])
     assert c.count() == 2
     cm = sinks.with_comments(a, {"v": "it's a value"})
