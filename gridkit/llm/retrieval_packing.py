@@ -9,9 +9,9 @@
    ids, then a hash of doc_id): a shard is a stretch of about
    ``SHARD_TOKENS`` tokens of alike documents, and a text that a third of all
    rows share spreads over as many shards as it fills.
-4. In a shard, an inverted index is built.  A seed document opens a window; the
-   index returns its unused neighbours by BM25 over all terms of the seed and
-   these fill the window greedily; the piece that crosses the end is cut there, and its rest is the
+4. In a shard, sorted by key and doc_id, an inverted index of its distinct texts is
+   built.  A seed document opens a window; the index returns its unused neighbours by
+   BM25 over all terms of the seed and these fill the window greedily; the piece that crosses the end is cut there, and its rest is the
    next window's seed.  With no neighbour left, the next unused document
    follows.  So only the last window of a shard is padded.
 
@@ -95,21 +95,29 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Index:
     """BM25 of one shard by all terms of the seed, with statistics of all documents.
 
-    Terms that a ``COMMON``-th of the shard holds are scored by a matrix product in
-    single precision, all others by their postings.  Documents that can be among
-    the best within the rounding are scored again exactly, equal ones once.
+    Equal documents are one entry.  Terms that a ``COMMON``-th of the entries hold are
+    scored by a matrix product in single precision, all others by their postings;
+    entries whose documents are used up leave both from time to time.  Entries that can
+    be among the best within the rounding are scored again exactly.
     """
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.n = len(docs)
-        terms, weights, sizes, kinds = [], [], [], {}
-        for ids in docs:
+        kinds: dict[bytes, int] = {}
+        self.kind = np.array([kinds.setdefault(ids.tobytes(), len(kinds)) for ids in docs])
+        self.n = len(kinds)
+        self.member = np.argsort(self.kind, kind="stable")  # documents, entry by entry
+        self.count = np.bincount(self.kind, minlength=self.n)  # unused ones
+        self.end = np.cumsum(self.count)
+        self.next = self.end - self.count
+        self.seen = np.zeros(len(docs), bool)
+        terms, weights, sizes = [], [], []
+        for text in kinds:
+            ids = np.frombuffer(text, np.uint16)
             term, tf = np.unique(ids, return_counts=True)
             norm = K1 * (1 - B + B * len(ids) / mean)
             terms.append(term)
             weights.append(idf[term] * tf * (K1 + 1) / (tf + norm))
             sizes.append(len(term))
-        self.kind = np.array([kinds.setdefault(ids.tobytes(), i) for i, ids in enumerate(docs)])
         self.first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         self.term = np.concatenate(terms).astype(np.int64)
         self.weight = np.concatenate(weights)
@@ -128,46 +136,69 @@ class Index:
         # a product is off by one rounding of its weights and one of each sum at most
         self.margin = 4 * (len(common) + 2) * 2.0 ** -24
         self.sought = np.zeros(1 << 16, bool)
-        self._post(np.zeros(self.n, bool))
-
-    def _post(self, used: np.ndarray) -> None:
-        """Postings of the rare terms of unused documents."""
-        self.left = self.n - int(used.sum())
-        keep = self.rare & ~used[self.owner]
+        self._shrink()
+
+    def _shrink(self) -> None:
+        """Keep the entries with unused documents and their postings of rare terms."""
+        self.rows = np.flatnonzero(self.count)
+        place = np.full(self.n, -1)
+        place[self.rows] = np.arange(len(self.rows))
+        if self.products is None:
+            self.left = self.dense[self.rows] if len(self.rows) < self.n else self.dense
+        keep = self.rare & (place[self.owner] >= 0)
         term = self.term[keep]
         order = np.argsort(term.astype(np.uint16), kind="stable")
-        self.doc = self.owner[keep][order]
+        self.doc = place[self.owner[keep][order]]
         self.posting = self.weight[keep][order]
         self.start = np.searchsorted(term[order], np.arange((1 << 16) + 1))
 
-    def scores(self, seed: int, docs: np.ndarray) -> np.ndarray:
-        """Exact BM25 of ``docs`` for all terms of the seed."""
-        kinds, back = np.unique(self.kind[docs], return_inverse=True)
+    def scores(self, seed: int, entries: np.ndarray) -> np.ndarray:
+        """Exact BM25 of ``entries`` for all terms of the entry ``seed``."""
         terms = self.term[self.first[seed]: self.first[seed + 1]]
-        sizes = self.first[kinds + 1] - self.first[kinds]
+        sizes = self.first[entries + 1] - self.first[entries]
         at = np.cumsum(sizes) - sizes
-        place = np.repeat(self.first[kinds] - at, sizes) + np.arange(sizes.sum())
+        place = np.repeat(self.first[entries] - at, sizes) + np.arange(sizes.sum())
         self.sought[terms] = True
         found = np.add.reduceat(self.weight[place] * self.sought[self.term[place]], at)
         self.sought[terms] = False
-        return found[back]
+        return found
 
     def neighbours(self, seed: int, used: np.ndarray) -> list[int]:
         """Unused documents by falling score, without those that share no term."""
-        if 2 * (self.n - int(used.sum())) < self.left:
-            self._post(used)
+        fresh = np.flatnonzero(used & ~self.seen)
+        self.seen[fresh] = True
+        np.subtract.at(self.count, self.kind[fresh], 1)
+        if 2 * np.count_nonzero(self.count) < len(self.rows):
+            self._shrink()
+        seed = self.kind[seed]
         terms = self.term[self.first[seed]: self.first[seed + 1]]
-        score = (self.dense @ self.held[seed] if self.products is None else self.products[seed]).astype(float)
+        if self.products is None:
+            score = (self.left @ self.held[seed]).astype(float)
+        else:
+            score = self.products[seed][self.rows].astype(float)
         lists = [slice(s, e) for s, e in zip(self.start[terms].tolist(), self.start[terms + 1].tolist()) if s < e]
         if lists:
             score += np.bincount(np.concatenate([self.doc[x] for x in lists]),
-                                 np.concatenate([self.posting[x] for x in lists]), self.n)
-        score[used] = 0
-        least = np.partition(score, self.n - NEIGHBOURS)[self.n - NEIGHBOURS] if self.n > NEIGHBOURS else 0.0
-        best = np.flatnonzero((score > 0) & (score >= least * (1 - self.margin)))
+                                 np.concatenate([self.posting[x] for x in lists]), len(score))
+        score[self.count[self.rows] == 0] = 0
+        n = len(score)
+        least = np.partition(score, n - NEIGHBOURS)[n - NEIGHBOURS] if n > NEIGHBOURS else 0.0
+        best = self.rows[(score > 0) & (score >= least * (1 - self.margin))]
         if not len(best):
             return []
-        return best[np.lexsort((best, -self.scores(seed, best)))][:NEIGHBOURS].tolist()
+        out: list[int] = []
+        for entry in best[np.lexsort((best, -self.scores(seed, best)))].tolist():
+            at, end = int(self.next[entry]), int(self.end[entry])
+            while at < end and used[self.member[at]]:
+                at += 1
+            self.next[entry] = at
+            while at < end and len(out) < NEIGHBOURS:
+                if not used[self.member[at]]:
+                    out.append(int(self.member[at]))
+                at += 1
+            if len(out) == NEIGHBOURS:
+                break
+        return out
 
 
 def fill(sizes: list[int], neighbours, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
@@ -208,15 +239,18 @@ def fill(sizes: list[int], neighbours, window: int = WINDOW) -> Iterator[tuple[i
 
 def _pack(idf: np.ndarray, mean: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, docs, before, shard = [], [], [], 0
+        rows, shard = [], 0
         for batch in batches:
-            names += batch.column("doc_id").to_pylist()
-            docs += [np.frombuffer(x.as_buffer(), np.uint16) for x in batch.column("ids")]
-            before += batch.column("start").to_pylist()
+            rows += zip(batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(),
+                        batch.column("start").to_pylist(), [bytes(x.as_buffer()) for x in batch.column("ids")])
             if batch.num_rows:
                 shard = batch.column("shard")[0].as_py()
-        if not docs:
+        if not rows:
             return
+        # the order does not hang on how the shuffle's blocks came in
+        rows.sort(key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2], r[3]))
+        _, names, before, docs = zip(*rows)
+        docs = [np.frombuffer(x, np.uint16) for x in docs]
         index, out = Index(docs, idf, mean), []
         for d, start, length, number, offset in fill([len(x) for x in docs], index.neighbours):
             ids = docs[d][start: start + length].astype("<u4").tobytes()
@@ -277,7 +311,7 @@ def pack(docs: DataFrame, files: dict | None = None, shard_tokens: int = SHARD_T
     tail = F.expr(f"substring(ids, cast(n - n % {WINDOW} as int) * 2 + 1, {2 * WINDOW})")
     dealt = (rests.select("doc_id", start.alias("start"), tail.alias("ids"), (F.col("key") + low).alias("key"))
              .repartitionByRange(shards, "key").withColumn("shard", F.spark_partition_id().cast("long")))
-    return dealt.select("doc_id", "start", "ids", "shard").mapInArrow(_pack(idf, mean), PIECES).unionByName(alone)
+    return dealt.select("doc_id", "start", "ids", "key", "shard").mapInArrow(_pack(idf, mean), PIECES).unionByName(alone)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
