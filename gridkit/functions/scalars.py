@@ -98,6 +98,19 @@ def rnd(x, scale: int = 0) -> Column:
     return F.round(col(x).cast(REPORT), scale).cast("double")
 
 
+#: beyond this a scaled double is no longer a whole number that a long and a double share
+_ROUND_BOUND = 1e9
+
+
+def round_double(x, scale: int) -> Column:
+    """``ROUND(x, scale)`` of a DOUBLE in plain arithmetic, half away from zero: the
+    scaled value goes to the nearest whole number.  Values too large for it (and NaN and
+    infinities) take the decimal way."""
+    c, unit = col(x), float(10 ** scale)
+    near = F.signum(c) * F.floor(F.abs(c) * dbl(unit) + dbl(0.5)) / dbl(unit) + dbl(0)
+    return F.when(F.abs(c) < _ROUND_BOUND, near).otherwise(F.round(c, scale))
+
+
 def asset_tag(asset_type, asset_id) -> Column:
     """f14: ``TYP-00042`` -- first three letters of the type, upper case, and
     the zero-padded id."""

@@ -1,9 +1,8 @@
 """Deterministic derivations (d01-d15) a utility runs on its own tables.
 
-Interval allocations (d04, d05) explode each outage into its days / hours
-with ``sequence`` + ``explode``: the fan-out per row is bounded by the
-outage length, the allocation is exact, and the (asset, day) / (site, hour)
-sums are partial aggregates, so a hot asset never lands in one task whole.
+Interval allocations (d04, d05) are difference arrays (``intervals.spread``): a rate
+is added at an outage's first day or hour and taken back after its last, so what is
+shuffled follows the number of outages and not their length.
 """
 
 from __future__ import annotations
@@ -11,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import (add_hours, case_ladder, dbl, exact_avg, hours_between, rnd,
-                                 sigmoid, trunc_ts)
+from ..functions.scalars import (add_hours, case_ladder, dbl, epoch_seconds, exact_avg, hours_between, rnd,
+                                 round_double, sigmoid, trunc_ts)
+from .intervals import spread
 
 def _memo(fn):
     """Cache a derivation per bound Tables object."""
@@ -134,12 +134,11 @@ def outage_duration_loss(tables) -> DataFrame:
 def loss_per_day(tables) -> DataFrame:
     """d04: each outage's loss spread evenly over its start..end days
     (inclusive), summed per asset-day."""
-    o = tables["outages"]
-    days = F.sequence(F.to_date("outage_start_ts"), F.to_date("outage_end_ts"))
-    x = o.select("asset_id", "lost_generation_mwh", days.alias("_days"))
-    x = x.select("asset_id", F.explode("_days").alias("date"),
-                 (F.col("lost_generation_mwh") / F.size("_days")).alias("_part"))
-    return x.groupBy("asset_id", "date").agg(F.sum("_part").alias("lost_mwh"))
+    day = lambda ts: F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date"))
+    lost = spread(tables["outages"], ["asset_id"], day("outage_start_ts"), day("outage_end_ts") + 1,
+                  "lost_generation_mwh")
+    return lost.select("asset_id", F.date_from_unix_date(F.col("step").cast("int")).alias("date"),
+                       F.col("total").alias("lost_mwh"))
 
 
 def loss_per_hour(tables, year_start, hours_in_year: int) -> DataFrame:
@@ -148,16 +147,12 @@ def loss_per_hour(tables, year_start, hours_in_year: int) -> DataFrame:
     o = tables["outages"]
     y0 = F.lit(year_start).cast("timestamp_ntz")
     ylast = add_hours(y0, hours_in_year - 1)
+    hours = lambda ts: F.floor(epoch_seconds(ts) / 3600)
     h0 = F.greatest(trunc_ts("HOUR", "outage_start_ts"), y0)
     h1 = F.least(trunc_ts("HOUR", "outage_end_ts"), ylast)
-    x = o.select("site_id", "lost_generation_mwh", h0.alias("_h0"), h1.alias("_h1")) \
-         .filter(F.col("_h1") > F.col("_h0"))
-    n = hours_between("_h0", "_h1")
-    x = x.select("site_id",
-                 F.explode(F.sequence("_h0", add_hours("_h1", -1),
-                                      F.expr("INTERVAL 1 HOUR"))).alias("hour"),
-                 (F.col("lost_generation_mwh") / n).alias("_part"))
-    return x.groupBy("site_id", "hour").agg(F.sum("_part").alias("lost_mwh"))
+    lost = spread(o, ["site_id"], hours(h0), hours(h1), "lost_generation_mwh", chunk=168)
+    return lost.select("site_id", F.timestamp_seconds(F.col("step") * 3600).cast("timestamp_ntz").alias("hour"),
+                       F.col("total").alias("lost_mwh"))
 
 
 @_memo
@@ -203,19 +198,22 @@ def asset_pnl(tables, start_date, end_date, curtail_share: float = CURTAILED_SHA
               .join(loss_per_day(tables), ["asset_id", "date"], "left")
               .join(region_day_price(tables), ["region_id", "date"], "left")
               .join(cost_per_day(tables), ["asset_id", "date"], "left"))
+    # one projection per step, so that no branch computes a rounded value again
     capc = F.col("asset_capacity_mw")
     gen = capc * 24 * dbl(BASE_CAPACITY_FACTOR) * F.coalesce("eff", dbl(default_efficiency))
-    net = F.greatest(dbl(0), gen - F.coalesce("lost_mwh", dbl(0)))
-    rev = rnd(net * F.col("avg_price"), 2)
-    opex = capc * OPEX_PER_MW_DAY
-    maint = rnd(F.coalesce("parts_cost_usd", dbl(0)), 2)
-    margin = F.when(rev > 0, rnd((rev - opex - maint) / rev * 100, 2)).otherwise(dbl(-100))
+    j = j.select("asset_id", "date", "avg_price", "lost_mwh", gen.alias("gen_mwh"),
+                 (capc * OPEX_PER_MW_DAY).alias("opex_usd"),
+                 round_double(F.coalesce("parts_cost_usd", dbl(0)), 2).alias("maintenance_cost_usd"))
+    net = F.greatest(dbl(0), F.col("gen_mwh") - F.coalesce("lost_mwh", dbl(0)))
     curtailed = F.when(F.col("avg_price") < CURTAILMENT_PRICE_CEILING,
-                       gen * dbl(curtail_share)).otherwise(dbl(0))
-    return j.select("asset_id", "date", gen.alias("gen_mwh"), net.alias("net_gen_mwh"),
-                    rev.alias("revenue_usd"), opex.alias("opex_usd"),
-                    maint.alias("maintenance_cost_usd"), margin.alias("profit_margin_pct"),
-                    curtailed.alias("curtailed_mwh"))
+                       F.col("gen_mwh") * dbl(curtail_share)).otherwise(dbl(0))
+    j = j.withColumns({"net_gen_mwh": net, "curtailed_mwh": curtailed})
+    j = j.withColumn("revenue_usd", round_double(F.col("net_gen_mwh") * F.col("avg_price"), 2))
+    rev = F.col("revenue_usd")
+    share = (rev - F.col("opex_usd") - F.col("maintenance_cost_usd")) / rev * 100
+    margin = F.when(rev > 0, round_double(share, 2)).otherwise(dbl(-100))
+    return j.select("asset_id", "date", "gen_mwh", "net_gen_mwh", "revenue_usd", "opex_usd",
+                    "maintenance_cost_usd", margin.alias("profit_margin_pct"), "curtailed_mwh")
 
 
 def capacity_factor_by_hour(gen_type: F.Column, ts: F.Column, y0: F.Column) -> F.Column:

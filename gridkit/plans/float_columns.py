@@ -7,6 +7,8 @@ FLOAT_COLUMNS = {'c09_invoice_check': ['line_sum', 'stated_total', 'difference']
  'c13_rate_card_cost': ['labor_cost_usd', 'parts_billed_usd', 'billed_usd'],
  'c14_approval_tier': ['billed_usd'],
  'c15_doc_vs_table': ['stated', 'from_tables', 'difference'],
+ 'c17_indexed_neighbours': ['score'],
+ 'c17_indexed_topk': ['score'],
  'c17_topk_retrieval': ['score'],
  'd02_assets_per_site': ['asset_capacity_mw'],
  'd03_outage_duration_loss': ['duration_hours', 'derived_lost_mwh'],

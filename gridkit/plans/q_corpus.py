@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.scalars import asset_tag, exact_sum, rnd
 from ..operators import corpus as C
 from ..operators import windows as W
+from ..operators.dictionary import occurrences
+from ..operators.vector_index import VectorIndex
+from ..session import scratch_path
 from ..sources.bindings import load
 from .oracle_sql import with_bindings
 from .registry import register
@@ -172,6 +175,44 @@ def c17(spark, d):
                             query_type=emb.schema["label"].dataType.simpleString())
 
 
+def _vector_index(spark, d):
+    import uuid
+    emb = spark.read.parquet(f"{d}/embeddings.parquet")
+    return emb, VectorIndex.build(emb, scratch_path(spark, f"vectors-{uuid.uuid4().hex[:10]}"))
+
+
+@register("c17_indexed_topk", f"""
+WITH e AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x,
+                  generate_subscripts(embedding, 1) AS i FROM embeddings),
+c AS (SELECT label AS q, i, AVG(x) AS cx FROM e GROUP BY label, i),
+pair AS (SELECT e.vec_id, c.q, SUM(e.x * c.cx) / (sqrt(SUM(e.x * e.x)) * sqrt(SUM(c.cx * c.cx))) AS score
+         FROM e JOIN c USING (i) GROUP BY e.vec_id, c.q)
+SELECT q AS query, rank, vec_id, ROUND(score, 6) AS score FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY q ORDER BY ROUND(score, 9) DESC, vec_id) AS rank FROM pair)
+WHERE rank <= {TOPK}""")
+def c17_indexed(spark, d):
+    """The vectors nearest to each label's centroid, through the inverted lists."""
+    emb, index = _vector_index(spark, d)
+    found = index.search(C.centroid_queries(emb), TOPK, emb.schema["label"].dataType.simpleString())
+    return found.rows.withColumn("score", rnd("score", 6))
+
+
+@register("c17_indexed_neighbours", """
+WITH n AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+pair AS (SELECT q.vec_id AS query, n.vec_id,
+                list_inner_product(q.v, n.v) / sqrt(list_inner_product(q.v, q.v) * list_inner_product(n.v, n.v)) AS score
+         FROM n AS q JOIN n ON q.vec_id % 50 = 0)
+SELECT query, rank, vec_id, ROUND(score, 6) AS score FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY query ORDER BY ROUND(score, 9) DESC, vec_id) AS rank FROM pair)
+WHERE rank <= 10""")
+def c17_neighbours(spark, d):
+    """The ten vectors nearest to every fiftieth one (the stated query set), among all."""
+    emb, index = _vector_index(spark, d)
+    asked = emb.where("vec_id % 50 = 0").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    queries = [(r["vec_id"], r["v"]) for r in asked.toLocalIterator()]
+    return index.search(queries, 10).rows.withColumn("score", rnd("score", 6))
+
+
 # ---------------------------------------------- documents made of table rows
 # Each document is written from the columns of one row, parsed back by the
 # corpus job, and the oracle states the result on the columns.
@@ -237,6 +278,60 @@ def c06(spark, d):
     return C.entity_mentions(docs, tagged).select("doc_id", "tag", "asset_id")
 
 
+@register("c06_dictionary_mentions", with_bindings(f"""
+SELECT o.outage_id AS doc_id, {_TAG_SQL} AS tag, a.asset_id, CAST(2 AS BIGINT) AS occurrences
+FROM outages o JOIN assets a ON a.asset_id = o.asset_id"""))
+def c06_dictionary(spark, d):
+    """Asset tags mentioned, looked up in the whole asset table by its automaton."""
+    t = load(spark, d)
+    tagged = t.assets.select("asset_id", _tag().alias("tag"))
+    docs = t.outages.select("outage_id", "asset_id").join(tagged, "asset_id").select(
+        F.col("outage_id").alias("doc_id"),
+        _text("See ", F.col("tag"), "9 and CAR-2024-118: ", F.col("tag"), " (", F.col("tag"), ") tripped.").alias("text"))
+    found = occurrences(docs, tagged, "tag", whole=True).withColumnRenamed("entry", "tag")
+    # the first mention carries one digit more and may be another asset's tag
+    own = t.outages.select(F.col("outage_id").alias("doc_id"), "asset_id").join(tagged, "asset_id")
+    return found.join(own, ["doc_id", "tag"]).select("doc_id", "tag", "asset_id", "occurrences")
+
+
+@register("c07_dictionary_phrases", """
+WITH phrases AS (
+  SELECT DISTINCT lower(string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2]) AS phrase
+  FROM benchmark WHERE len(string_split(text, ' ')) > 1)
+SELECT doc_id, phrase, occurrences FROM (
+  SELECT d.doc_id, p.phrase,
+         CAST((octet_length(encode(lower(d.text))) - octet_length(encode(replace(lower(d.text), p.phrase, ''))))
+              / octet_length(encode(p.phrase)) AS BIGINT) AS occurrences
+  FROM documents d, phrases p) WHERE occurrences > 0""")
+def c07_dictionary(spark, d):
+    """Occurrences of the phrases that open a benchmark item, from the table, in every document."""
+    words = F.split("text", " ")
+    opening = F.lower(F.concat(words[0], F.lit(" "), words[1]))
+    phrases = (spark.read.parquet(f"{d}/benchmark.parquet").where(F.size(words) > 1).select(opening.alias("phrase")))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    return occurrences(docs, phrases, "phrase", fold_case=True).withColumnRenamed("entry", "phrase")
+
+
+@register("c08_dictionary_names", with_bindings(f"""
+SELECT o.outage_id AS doc_id, m.name, CAST(m.n AS BIGINT) AS occurrences
+FROM outages o JOIN sites s ON s.site_id = o.site_id JOIN regions r ON r.region_id = s.region_id,
+LATERAL (VALUES ({_SITE_SQL}, 2), (replace(r.region_name, ' ', '-'), 1), ('Alpha Grid Partners', 1)) AS m(name, n)
+WHERE m.name <> 'Alpha Grid Partners' OR o.outage_id % 2 = 1"""))
+def c08_dictionary(spark, d):
+    """Glossary names in a text: the longest name counts, a region inside a site's name does not."""
+    t = load(spark, d)
+    named = t.sites.join(t.regions, "region_id").select(
+        "site_id", _site_name().alias("site"), F.replace("region_name", F.lit(" "), F.lit("-")).alias("region"))
+    docs = t.outages.select("outage_id", "site_id").join(named, "site_id").select(
+        F.col("outage_id").alias("doc_id"),
+        _text("Crew of ", F.when(F.col("outage_id") % 2 == 0, "Nordlicht Wind SE").otherwise("Alpha Grid Partners"),
+              " in ", F.col("region"), " at ", F.col("site"), ", again ", F.col("site"), ".").alias("text"))
+    glossary = (named.select(F.col("site").alias("name")).unionByName(named.select(F.col("region").alias("name")))
+                .unionByName(spark.createDataFrame([("Alpha Grid Partners",), ("Alpha Grid",)], "name string")))
+    return (occurrences(docs, glossary, "name", mode="longest", whole=True)
+            .withColumnRenamed("entry", "name"))
+
+
 @register("c08_glossary_check", with_bindings(f"""
 SELECT o.outage_id AS doc_id, m.kind, m.name
 FROM outages o JOIN sites s ON s.site_id = o.site_id JOIN regions r ON r.region_id = s.region_id,
