@@ -98,17 +98,20 @@ def rnd(x, scale: int = 0) -> Column:
     return F.round(col(x).cast(REPORT), scale).cast("double")
 
 
-#: beyond this a scaled double is no longer a whole number that a long and a double share
-_ROUND_BOUND = 1e9
+#: beyond this a scaled double is no longer a whole number that a long and a double
+#: share; and so near to a tie the digits of the decimal value decide
+_ROUND_BOUND, _TIE = 1e9, 1e-3
 
 
-def round_double(x, scale: int) -> Column:
-    """``ROUND(x, scale)`` of a DOUBLE in plain arithmetic, half away from zero: the
-    scaled value goes to the nearest whole number.  Values too large for it (and NaN and
-    infinities) take the decimal way."""
+def round_double(x, scale: int, exactly=rnd) -> Column:
+    """``exactly(x, scale)`` of a DOUBLE, in plain arithmetic where that is the same: the
+    scaled value goes to the nearest whole number.  Near ties, large values, NaN and
+    infinities take the decimal way."""
     c, unit = col(x), float(10 ** scale)
-    near = F.signum(c) * F.floor(F.abs(c) * dbl(unit) + dbl(0.5)) / dbl(unit) + dbl(0)
-    return F.when(F.abs(c) < _ROUND_BOUND, near).otherwise(F.round(c, scale))
+    scaled = F.abs(c) * dbl(unit)
+    near = F.signum(c) * F.floor(scaled + dbl(0.5)) / dbl(unit) + dbl(0)
+    plain = (F.abs(c) < _ROUND_BOUND) & (F.abs(scaled - F.floor(scaled) - dbl(0.5)) > _TIE)
+    return F.when(plain, near).otherwise(exactly(c, scale))
 
 
 def asset_tag(asset_type, asset_id) -> Column:

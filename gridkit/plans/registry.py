@@ -42,12 +42,14 @@ REPORT_DECIMALS = 6
 
 def finalize(name: str, df: DataFrame) -> DataFrame:
     """Round the DOUBLE output columns of a registered query for reporting."""
+    from pyspark.sql import functions as F
+
     from ..functions.scalars import round_double
     from .float_columns import FLOAT_COLUMNS
     cols = set(FLOAT_COLUMNS.get(name, ())) & set(df.columns)
     if not cols:
         return df
-    return df.select(*[round_double(c, REPORT_DECIMALS).alias(c, metadata=df.schema[c].metadata)
+    return df.select(*[round_double(c, REPORT_DECIMALS, F.round).alias(c, metadata=df.schema[c].metadata)
                        if c in cols else c for c in df.columns])
 
 

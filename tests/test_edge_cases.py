@@ -132,3 +132,21 @@ def test_anomaly_outage_window_edges(spark):
     got = sorted(r.outage_id for r in
                  window_after_join(an, ou, "asset_id", "anom_ts", "outage_start_ts", 48).collect())
     assert got == [1, 2]
+
+
+def test_round_double_is_decimal_rounding(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from gridkit.functions.scalars import rnd, round_double
+    r = random.Random(5)
+    xs = [0.0, -0.0, 1.005, -1.005, 406.755, 406.75499999999994, 2.5, -2.5, 0.125, 1e12, -1e300, float("inf"),
+          float("nan"), None, 1e-12, -1e-12, 999999999.995, 1e9]
+    xs += [r.uniform(-1e4, 1e4) for _ in range(3000)] + [round(r.uniform(-1e3, 1e3), 3) for _ in range(3000)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    fine = (F.abs("x") < 1e20) & ~F.isnan("x")
+    for row in df.where(fine).select("x", round_double("x", 2).alias("a"), rnd("x", 2).alias("b")).collect():
+        assert row.a == row.b and str(row.a) != "-0.0", row
+    for row in df.select("x", round_double("x", 6, F.round).alias("a"), F.round("x", 6).alias("b")).collect():
+        assert row.a == row.b or (row.a != row.a and row.b != row.b), row
