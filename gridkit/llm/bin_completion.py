@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .arrays import flat
 from .common import stored, table
-from .tokens import Encoder, vocabulary
+from .tokens import encoder as encoder_of, vocabulary
 
 WINDOW, CLOSING = 1024, 2
 #: nodes of the search, fillings kept at a node, and nodes between best-fit completions
@@ -49,7 +49,7 @@ PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 
 def _cut(files: dict, window: int, closing: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(files), TaskContext.get().partitionId()
+        encoder, part = encoder_of(files), TaskContext.get().partitionId()
         seen = [0] * (window + 1)
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
         names = [x.split()[0] for x in CUT.split(", ")] + ["ids"]

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .arrays import U, flat, mix
 from .common import stored, table
-from .tokens import Encoder, vocabulary
+from .tokens import encoder as encoder_of, vocabulary
 
 WINDOW, CLOSING = 2048, 1
 SHARD_TOKENS = 4_000_000
@@ -53,7 +53,7 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 
 def _encode(files: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(files)
+        encoder = encoder_of(files)
         # a fixed random order of the ids, by rank; no id has the rank NONE
         rank = np.argsort(np.argsort(mix(np.arange(NONE, dtype=U) + U(0x632BE59BD9B4E019)))).astype(np.uint16)
         for batch in batches:

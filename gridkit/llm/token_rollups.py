@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from .arrays import flat
 from .common import ID_BOUND, only, stored, table, union_all
-from .tokens import Encoder, vocabulary
+from .tokens import encoder as encoder_of, vocabulary
 
 GROUP = ["source", "lang", "tokenizer"]
 STATE = ["doc_id", *GROUP, "tokens"]
@@ -39,7 +39,7 @@ STATE = ["doc_id", *GROUP, "tokens"]
 
 def _count(files: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(files)
+        encoder = encoder_of(files)
         for batch in batches:
             offsets, data = flat(batch.column(1))
             n = [len(encoder.ids(data[a:b].tobytes())) for a, b in zip(offsets[:-1], offsets[1:])]

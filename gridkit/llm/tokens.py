@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
+import types
 import unicodedata
 from array import array
 
@@ -86,3 +88,17 @@ class Encoder:
             self.slow = Tokenizer.from_file(self.files["json"])
             self.slow.encode_special_tokens = True
         return np.array(self.slow.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+
+
+#: where a Python worker keeps its encoders: functions of this package come to it by
+#: value, so a module of its own outlives the task
+_HELD = "_word_encoders"
+
+
+def encoder(files: dict) -> Encoder:
+    """This process's encoder of a vocabulary; the next tasks find its words again."""
+    held = sys.modules.setdefault(_HELD, types.ModuleType(_HELD)).__dict__
+    key = (files["json"], files["ranks"])
+    if key not in held:
+        held[key] = Encoder(files)
+    return held[key]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF001
 from gridkit.llm import (arrays, exact_dedup, line_runs, lsh_forest, pairwise_quality, qgram_decontam,
-                         queries, retrieval_packing, revisits, secret_lexer, shard_tree, token_rollups)
+                         queries, retrieval_packing, revisits, secret_lexer, shard_tree, token_rollups, tokens)
 from gridkit.llm import fuse
 
 W = "[\x20\x09-\x0d]+"
@@ -286,7 +286,7 @@ def test_token_counts_are_those_of_the_file(spark, docs):
     files = token_rollups.vocabulary()
     slow = Tokenizer.from_file(files["json"])
     slow.encode_special_tokens = True
-    encoder = token_rollups.Encoder(files)
+    encoder = tokens.Encoder(files)
     rng = np.random.default_rng(2)
     chars = [chr(c) for c in range(1, 0x280)]
     texts = [t or "" for _, t in ROWS] + ["".join(rng.choice(chars, 400)) for _ in range(200)]
