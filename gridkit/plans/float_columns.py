@@ -250,6 +250,7 @@ FLOAT_COLUMNS = {'c09_invoice_check': ['line_sum', 'stated_total', 'difference']
  's05_temp_view_sql': ['total_lost_mwh'],
  'st01_alarm_stream': ['temperature', 'vibration'],
  'st02_daily_rollup_stream': ['avg_temperature', 'max_vibration'],
+ 'st02_replay_daily': ['avg_temperature', 'max_vibration'],
  't05_topn_criticality': ['criticality_score'],
  'v03_measure_status': ['value'],
  'w02_first_time_fix_90d': ['first_time_fix_pct'],

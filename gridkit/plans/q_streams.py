@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+from ..streaming import replay as P
 from ..streaming import streams as S
-from .registry import register
+from .registry import ORACLE, register
 
 
 @register("st01_alarm_stream", """
@@ -55,3 +59,37 @@ stored(user_id, event_type, ts) AS (
 SELECT * FROM stored""")
 def st04(spark, d):
     return S.run_available_now(spark, S.ttl_dedupe_stream(S.event_stream(spark, d)), "dedupe")
+
+
+# ---------------------------------------------- one file at a time, in no order
+def _scattered(spark, d, files: int = 5) -> str:
+    """The events dealt by hash over the files of a folder, so that every file mixes
+    all times."""
+    lake = scratch_path(spark, f"scattered-{uuid.uuid4().hex[:10]}")
+    spark.read.parquet(f"{d}/events.parquet").repartition(files, "event_id").write.parquet(f"{lake}/events.parquet")
+    return lake
+
+
+@register("st02_replay_daily", ORACLE["st02_daily_rollup_stream"])
+def st02_replay(spark, d):
+    """st02 with one file per step: the watermark waits for what is not yet read."""
+    upd = P.replay(spark, _scattered(spark, d), lambda read, delay: S.daily_rollup_stream(read(), delay),
+                   "daily", "update", least_delay=86400)
+    latest = S.latest_versions(upd, ["window", "asset_id"])
+    return latest.select("asset_id", F.to_date(F.col("window.start")).alias("date"),
+                         "readings", "avg_temperature", "max_vibration", "alarm_count")
+
+
+@register("st03_replay_join", ORACLE["st03_anomaly_outage_join_stream"])
+def st03_replay(spark, d):
+    """st03 with one file per step."""
+    cust = spark.read.parquet(f"{d}/customer.parquet")
+    return P.replay(spark, _scattered(spark, d), lambda read, delay: S.anomaly_outage_join_stream(
+        read(), read(), cust, watermark=delay), "join", least_delay=48 * 3600)
+
+
+@register("st04_replay_ttl", ORACLE["st04_ttl_dedupe_stream"])
+def st04_replay(spark, d):
+    """st04 with one file per step and state that expires."""
+    return P.replay(spark, _scattered(spark, d), lambda read, delay: S.ttl_expiring_stream(read(), watermark=delay),
+                    "ttl", close=True)

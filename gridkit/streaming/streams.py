@@ -138,6 +138,61 @@ def ttl_dedupe_stream(events: DataFrame, keys=("user_id", "event_type"),
     return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "ts")
 
 
+def _expiring(ttl_us: int):
+    """State per key: the last stored time, and times that the watermark has not passed."""
+
+    def run(key, frames, state):
+        import numpy as np
+        import pandas as pd
+        if all(k is None for k in key):
+            return
+        last, waiting = state.get if state.exists else (None, [])
+        times = [np.array(waiting, "int64")]
+        if not state.hasTimedOut:
+            times += [f["ts"].to_numpy(dtype="datetime64[us]").astype("int64") for f in frames]
+        times = np.unique(np.concatenate(times))
+        passed = state.getCurrentWatermarkMs() * 1000
+        ready, later = times[times <= passed], times[times > passed]
+        kept, at = [], 0
+        while True:  # from one stored event to the first one past its lifetime
+            if last is not None:
+                at = int(np.searchsorted(ready, last + ttl_us, side="right"))
+            if at >= len(ready):
+                break
+            last = int(ready[at])
+            kept.append(last)
+        # called again when the next time can be decided, or when the last one is forgotten
+        wake = int(later[0]) if len(later) else last + ttl_us
+        if len(later) or wake > passed:
+            state.update((last, later.tolist()))
+            state.setTimeoutTimestamp(max(-(-wake // 1000), passed // 1000) + 1)
+        elif state.exists:
+            state.remove()
+        if kept:
+            yield pd.DataFrame({**{f"k{i}": [k] * len(kept) for i, k in enumerate(key)},
+                                "ts": np.array(kept, "int64").astype("datetime64[us]")})
+    return run
+
+
+def ttl_expiring_stream(events: DataFrame, keys=("user_id", "event_type"),
+                        ttl_seconds: int = TTL_SECONDS, watermark: str = "0 seconds") -> DataFrame:
+    """st04 over any number of micro-batches: the rule of ``ttl_dedupe_stream`` in the
+    order of event time, whatever the order of arrival within the watermark.
+
+    A time is decided when the watermark has passed it.  A key's state is its last
+    stored time and the times still waiting; it is dropped once the watermark has passed
+    the end of the last one's lifetime, so state follows the keys of one lifetime and
+    not those of all time.  Rows without a key only move the watermark.
+    """
+    # a filter on the keys would go below the watermark and take the marker row with it
+    rows = events.where("ts IS NOT NULL").withWatermark("ts", watermark).select(*keys, "ts")
+    kinds = [rows.schema[k].dataType.simpleString() for k in keys]
+    schema = ", ".join([f"k{i} {t}" for i, t in enumerate(kinds)] + ["ts timestamp_ntz"])
+    out = rows.groupBy(*keys).applyInPandasWithState(
+        _expiring(ttl_seconds * 1_000_000), schema, "last long, waiting array<long>", "append", "EventTimeTimeout")
+    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "ts")
+
+
 def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
     tag = f"{name}-{uuid.uuid4().hex[:10]}"
     return scratch_path(spark, f"stream-{tag}/data"), scratch_path(spark, f"stream-{tag}/_checkpoint")
