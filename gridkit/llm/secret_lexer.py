@@ -8,17 +8,22 @@ scores every literal that reaches a name by how sensitive the name is and by how
 much the literal looks like a secret.  A literal counts once, where it stands.
 
 Syntax read: ``name = "x"``, ``name := 'x'``, ``name: "x"``, ``"name": "x"``,
-``name => "x"``, ``NAME=x`` (a line of its own, with or without ``export``),
-``<name>x</name>``, ``name = other``, ``name = "a" + other + 'b'``; a type may
-stand between the name and ``=`` (``name: str = "x"``, ``name: Option<&str> = "x"``;
-its brackets nest three deep at most).  Values are of any length; of a name of
-more than 81 characters the end is read.
+``name => "x"``, ``NAME=x`` and ``name: x`` (a line of its own, with or without
+``export``, ``-`` or a comment after it), ``<name>x</name>``, ``name = other``,
+``name = "a" + other + 'b'``, ``cfg["a" + "b"] = "x"``, ``name: { value: "x" }``;
+literals in single, double, triple quotes or backticks; a value may stand on the next
+line after the sign; a type may stand between the name and ``=`` (``name: str = "x"``,
+``name: Option<&str> = "x"``), with brackets of any depth.  Names and values are of any
+length.
 
 Most texts hold no trigger; RE2 in Arrow sorts them out, and only the others
 become Python strings.  Spans are code points, end exclusive.
 
-Edge cases: null and empty texts have no spans; rows that repeat a doc_id are
-scanned each; a null doc_id is kept; an empty table gives an empty result.
+Edge cases: null and empty texts have no spans; very long texts, names and values are
+read whole, in time linear in a line's length; spans that start together are ordered by
+kind as listed, then by end; rows that repeat a doc_id are scanned each; a null doc_id
+is kept; an empty table gives an empty result; only doc_id and text are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -69,27 +74,37 @@ def _trigger() -> str:
     light = "|".join(w for w in NAME_WEIGHTS if w not in heavy)
     rest = r"""[^\s=:>"'\[\]]*"""
     return (r"(?i:password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
-            rf"|(?i:{'|'.join(heavy)}|(?:{light}){rest}(?:{light})){rest}[\"']?(?:\][\"']?)?[!?]?[ \t]*[=:>]")
+            rf"|(?i:{'|'.join(heavy)}|(?:{light}){rest}(?:{light})){rest}[\"']?(?:\][\"']?)?[!?]?[ \t]*[=:>]"
+            r"|\[[\"'`][^\"'`\n]*[\"'`][ \t]*\+")  # a key joined of pieces
 
 
 TRIGGER = _trigger()
 
-_NAME = r"[A-Za-z_][\w.\-]{0,80}+"
-# possessive: a literal is read once to its closing quote, however long
-_LITERAL = r"\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
-# a type between a name and its sign: brackets hold no sign and nest three deep,
-# so that a text is read by three open brackets at most
-_SQUARE = r"\[[^\[\]\n=]*+(?:\[[^\[\]\n=]*+(?:\[[^\[\]\n=]*+\][^\[\]\n=]*+)*+\][^\[\]\n=]*+)*+\]"
-_ANGLE = r"<[^<>\n=]*+(?:<[^<>\n=]*+(?:<[^<>\n=]*+>[^<>\n=]*+)*+>[^<>\n=]*+)*+>"
-_TAIL = rf"(?:[ \t]*(?:{_SQUARE}|{_ANGLE}))*+[!?]?"
-_ATOM = r"(?:&[ \t]*)?(?:'\w++[ \t]+)?(?:mut[ \t]+)?\*?"
-_TYPE = rf"""{_ATOM}(?P<type>{_NAME}){_TAIL}(?:[ \t]*[|&][ \t]*{_ATOM}{_NAME}{_TAIL})*+"""
-PAIR = re.compile(
-    rf"""(?P<q>["']?)(?P<name>{_NAME})(?:\[["'](?P<part>{_NAME})["']\])?(?P=q)"""
-    rf"""(?:[!?]?[ \t]*:[ \t]*{_TYPE}[ \t]*(?::=|=(?![=>]))|[ \t]*(?::=|=>|=(?!=)|:(?![:=])))[ \t]*"""
-    rf"""(?P<value>(?:{_LITERAL}|{_NAME})(?:[ \t]*[+.][ \t]*(?:{_LITERAL}|{_NAME}))*)""")
-ENV = re.compile(rf"^[ \t]*(?:export[ \t]+)?(?P<name>{_NAME})=(?P<value>[^\s\"'#;]+)[ \t]*$", re.MULTILINE)
+# possessive throughout: a name, a literal or a space is read once
+_NAME = r"[A-Za-z_][\w.\-]*+"
+_TRIPLE = r"\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*+'''"
+_PLAIN = r"\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`\n]*+`"
+_LITERAL = rf"(?s:{_TRIPLE})|{_PLAIN}"
+_GAP = r"[ \t]*+(?:\\?\n[ \t]*+)?"  # a value may follow on the next line
+_ATOM = r"(?:&[ \t]*+)?(?:'\w++[ \t]++)?(?:mut[ \t]++)?\*?"
+_KEY = rf"(?:{_PLAIN})(?:[ \t]*+\+[ \t]*+(?:{_PLAIN}))*+"
+#: a name, once per run of its characters, and what may stand before a sign
+HEAD = re.compile(rf"""(?<![\w.\-])(?:(?![A-Za-z_])[\w.\-])*+(?P<q>["'`]?)(?P<name>{_NAME})"""
+                  rf"""(?:\[(?P<part>{_KEY})\])?(?P=q)(?P<mark>[!?]?)[ \t]*+""")
+SIGN = re.compile(r":=|=>|=(?!=)|:(?![:=])")
+TYPED = re.compile(r":(?![:=])[ \t]*+")
+ATOM = re.compile(rf"{_ATOM}(?P<type>{_NAME})")
+AFTER = re.compile(r"[!?]?[ \t]*+(?P<sign>:=|=(?![=>]))")
+MORE = re.compile(r"[!?]?[ \t]*+[|&][ \t]*+")
+VALUE = re.compile(rf"(?P<value>(?:{_LITERAL}|{_NAME})(?:[ \t]*+[+.]{_GAP}(?:{_LITERAL}|{_NAME}))*+)")
+OPEN = re.compile(rf"""\{{{_GAP}["'`]?(?:value|default|secret|data)["'`]?[ \t]*+[:=]{_GAP}""")
+GAP = re.compile(_GAP)
+ENV = re.compile(rf"^[ \t]*+(?:export[ \t]++)?(?P<name>{_NAME})=(?P<value>[^\s\"'#;`]++)[ \t]*+(?:#[^\n]*+)?$",
+                 re.MULTILINE)
+YAML = re.compile(rf"^[ \t]*+(?:-[ \t]++)?[\"']?(?P<name>{_NAME})[\"']?[ \t]*+:[ \t]++"
+                  rf"(?P<value>[^\s\"'#;`{{}}\[\],|>&*!][^\s\"'#;`{{}}\[\],]*+)[ \t]*+(?:#[^\n]*+)?$", re.MULTILINE)
 TAG = re.compile(rf"<(?P<name>{_NAME})>(?P<value>[^<>\n]++)</(?P=name)>")
+_BRACKET = re.compile(r"[\[\]<>\n=]")
 _PART = re.compile(rf"(?P<literal>{_LITERAL})|(?P<other>{_NAME})")
 _WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
 
@@ -111,22 +126,85 @@ def literal_score(value: str) -> float:
     return min(BEST_LITERAL, bits / 10 + 0.1 * (kinds - 1)) if bits >= 1.5 else -1.0
 
 
+def closings(text: str) -> dict[int, int]:
+    """Place of the bracket that closes each one of a type: on its line, before any ``=``."""
+    out: dict[int, int] = {}
+    open_: list[int] = []
+    for m in _BRACKET.finditer(text):
+        c = m[0]
+        if c in "[<":
+            open_.append(m.start())
+        elif c in "]>":
+            if open_ and text[open_[-1]] == ("[" if c == "]" else "<"):
+                out[open_.pop()] = m.start()
+            else:
+                open_.clear()
+        else:
+            open_.clear()
+    return out
+
+
+def _typed(text: str, at: int, closing: dict[int, int]) -> tuple[int, tuple[int, str]] | None:
+    """Past ``type =`` at ``at``: where the value starts, and the type's first name."""
+    first = None
+    while m := ATOM.match(text, at):
+        first = first or (m.start("type"), m["type"])
+        at = m.end()
+        while True:
+            while at < len(text) and text[at] in " \t":
+                at += 1
+            if at in closing:
+                at = closing[at] + 1
+            else:
+                break
+        if more := MORE.match(text, at):
+            at = more.end()
+            continue
+        sign = AFTER.match(text, at)
+        return (sign.end(), first) if sign else None
+    return None
+
+
+def _parts(text: str, span: tuple[int, int]) -> list[tuple[str, object]]:
+    parts: list[tuple[str, object]] = []
+    for p in _PART.finditer(text, *span):
+        if p["literal"]:
+            width = 3 if p["literal"][:3] in ('"""', "'''") and len(p["literal"]) >= 6 else 1
+            parts.append(("literal", (p.start() + width, p.end() - width)))
+        else:
+            parts.append(("other", p["other"]))
+    return parts
+
+
 def assignments(text: str) -> Iterator[tuple[int, str, list[tuple[str, object]]]]:
     """(place, target name, parts of the value); a part is ("literal", (start,
     end)) or ("other", name)."""
-    for m in PAIR.finditer(text):
-        base, parts = m.start("value"), []
-        for p in _PART.finditer(m["value"]):
-            if p["literal"]:
-                parts.append(("literal", (base + p.start() + 1, base + p.end() - 1)))
-            else:
-                parts.append(("other", p["other"]))
-        if m["type"] and name_score(m["type"]) > 0:  # a label before a name: `note: password = "x"`
-            yield m.start("type"), m["type"], parts
-        yield m.start(), m["part"] or m["name"], parts
-    for pattern in (ENV, TAG):
+    closing, at = closings(text), 0
+    while head := HEAD.search(text, at):
+        at = head.end("name")
+        name = head["name"]
+        if head["part"]:  # the key, which may be joined of literals
+            name = "".join(x[1:-1] for x in re.findall(_PLAIN, head["part"]))
+        typed = TYPED.match(text, head.end())
+        past = _typed(text, typed.end(), closing) if typed else None
+        if past is None:
+            sign = SIGN.match(text, head.end())
+            if not sign or (head["mark"] and sign[0] != ":"):
+                continue
+            past = (sign.end(), None)
+        start = GAP.match(text, past[0]).end()
+        if inner := OPEN.match(text, start):
+            start = inner.end()
+        if not (value := VALUE.match(text, start)):
+            continue
+        at = max(at, value.end())
+        parts = _parts(text, value.span("value"))
+        if past[1] and name_score(past[1][1]) > 0:  # a label before a name: `note: password = "x"`
+            yield past[1][0], past[1][1], parts
+        yield head.start("name"), name, parts
+    for pattern in (ENV, YAML, TAG):
         for m in pattern.finditer(text):
-            yield m.start(), m["name"], [("literal", m.span("value"))]
+            yield m.start("name"), m["name"], [("literal", m.span("value"))]
 
 
 def lex(text: str) -> list[tuple[int, int]]:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
-from gridkit.llm import bin_completion, centroid_matrix, queries, tokens, trie_pairs
+from gridkit.llm import bin_completion, centroid_matrix, queries, secret_lexer, tokens, trie_pairs
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -290,3 +290,53 @@ def test_word_table_gives_the_vocabulary_ids():
     texts += ["it's we'll I'd  they've 12 345 x²½", "a" * 5000, " " * 300 + "b", "\t\t\n c"]
     for t, want in zip(texts, slow.encode_batch(texts, add_special_tokens=False)):
         assert encoder.ids(t.encode()).tolist() == want.ids
+
+
+# -- op7 --------------------------------------------------------------------
+
+SECRET = "Zx9qLm2pT7wv"
+FORMS = [f"db_pwd: {SECRET}", f"- db_pwd: {SECRET}  # kept", f"export DB_PASS={SECRET} # c", f'PASSWORD="""{SECRET}"""',
+         f"password := `{SECRET}`", f'password =\n  "{SECRET}"', f'client_secret: {{ value: "{SECRET}" }}',
+         f"cfg['pass'+'word'] = '{SECRET}'", f'password_of_the_{"x" * 5000} = "{SECRET}"',
+         f'db_password: Map<String, List<Set<Map<A, List<B>>>>> = "{SECRET}"', f'--db-pwd="{SECRET}"',
+         f'a = "{SECRET}"\nb = a\npwd = b', f"<pwd>{SECRET}</pwd>", f'note: password = "{SECRET}"']
+
+
+@pytest.mark.parametrize("text", FORMS)
+def test_syntax_of_assignments(spark, text):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    assert [text[a:b] for a, b in secret_lexer.lex(text)] == [SECRET]
+    assert pc.match_substring_regex(pa.array([text]), secret_lexer.TRIGGER)[0].as_py()
+
+
+def test_placeholders_and_prose_are_no_secrets():
+    for text in ("password: see the manual page", "password = None", "pwd: ${DB_PWD}", 'password_file = "Zx9qLm2pT7wv"',
+                 "the token: a word", 'name = "Zx9qLm2pT7wv"', "if password == 'Zx9qLm2pT7wv':"):
+        assert secret_lexer.lex(text) == [], text
+
+
+def test_lexing_is_linear():
+    import time
+    for piece in ("password: a[", "a[[<<", "password_", 'a="', "x: ", "pwd = a + ", "cfg['a'+", '"\\', "pwd: {", "`", "'''a"):
+        start = time.time()
+        secret_lexer.lex(piece * 60000)
+        assert time.time() - start < 20, piece
+
+
+def test_base_spans_of_the_corpus(spark):
+    """Counts and digests against a plain scan of every document."""
+    kinds = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
+                                   r"""([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6),
+             ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24)]
+    data = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text").collect()
+    got = {r["doc_id"]: r for r in queries.QUERIES["op7_secret_lexer"](spark, SF001).collect()}
+    assert len(got) == len(data)
+    for d, t in data:
+        spans = [(m.start(), i, f"{kind}:{m.start()}:{m.end()}") for i, (kind, p, g, n) in enumerate(kinds)
+                 for m in p.finditer(t or "") if len(m[g]) >= n]
+        r = got[d]
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s[1] == i for s in spans) for i in range(3)]
+        base = ",".join(s[2] for s in sorted(spans))
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        assert {s[2] for s in spans} <= set(r["spans"].split(",")) or not spans
