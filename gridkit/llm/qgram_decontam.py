@@ -9,17 +9,27 @@ so inside one of the overlapping bands of 2 * (k + 1) diagonals that start at
 every multiple of k + 1.  Bands that reach the count are verified by a banded
 alignment; all others are proven to be over the budget.
 
-The benchmark is a query set: it is read in blocks of at most ``BLOCK`` bytes,
-and each block meets every whole text in one pass without a shuffle.
+Counting goes in two steps, so that a q-gram that thousands of items and a text's
+hundreds of lines share is never expanded whole.  First, for each distinct q-gram of a
+text, the items' places that hold it are counted by item, once however often the text
+repeats it: an item with fewer such places than its bound cannot reach it in any band.
+The others are counted by band, pair by pair.  Both work in slices of ``SLICE`` entries.
+
+The benchmark is a query set: it is read in blocks of at most ``BLOCK`` bytes; each
+block meets every whole text in one pass without a shuffle, and what it finds is
+written before the next block is read.
 
 Items for which the lemma gives no bound (14 to 17 bytes, one edit) are looked up
 by budget + 1 pieces, of which an alignment within the budget leaves one whole, and
-verified in the same way.
+verified in the same way; these pieces and items without a budget are found by one
+probe per place and length, however many they are.
 
 Edge cases: null or empty texts and items match nothing; items without a budget
-(shorter than 14 bytes) must occur exactly;
-rows that repeat a doc_id are searched each; a null doc_id is reported as null;
-an empty table gives an empty result.
+(shorter than 14 bytes) must occur exactly; very long texts and items are read whole;
+of alignments with equally few edits the first is reported, and equal items (also of one
+item_id) are reported each; rows that repeat a doc_id are searched each; a null doc_id
+is reported as null; an empty table gives an empty result; only doc_id, item_id and text
+are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -33,12 +43,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import _LOWER, _WHITE, U, flat, mix, pieces
-from .common import table, union_all, without
+from .common import stored, table, union_all, without
 
 Q, RATE = 9, 0.075
 #: bytes of benchmark text in one block
 BLOCK = 4 << 20
 _BITS = 20
+#: index entries expanded at once in a task
+SLICE = 1 << 20
 FOUND = "doc_id long, item_id long, start long, stop long, edits int"
 
 
@@ -83,8 +95,10 @@ class Items:
     item: np.ndarray
     place: np.ndarray
     seen: np.ndarray      # bitmap over the low bits of the hashes
-    exact: list           # numbers of the items without a budget
-    split: list           # numbers of the items with a budget and without a bound
+    own_slot: np.ndarray  # item by item: the q-grams (places in codes), sorted
+    own_place: np.ndarray
+    own_start: np.ndarray
+    short: dict           # length -> (sorted codes, start of each code's entries, item, place in item)
 
 
 def index(rows: list[tuple]) -> Items:
@@ -97,8 +111,6 @@ def index(rows: list[tuple]) -> Items:
     size = np.array([len(t) for t in texts], np.int64)
     budget = (size * RATE).astype(np.int64)
     need = size + 1 - Q * (budget + 1)
-    exact = [i for i in range(len(texts)) if not budget[i]]
-    split = [i for i in range(len(texts)) if budget[i] and need[i] < 1]
     codes, item, place = [], [], []
     for i, t in enumerate(texts):
         if budget[i] and need[i] >= 1:
@@ -113,7 +125,44 @@ def index(rows: list[tuple]) -> Items:
     distinct, first = np.unique(code[order], return_index=True)
     seen = np.zeros(1 << _BITS, bool)
     seen[(distinct & U((1 << _BITS) - 1)).astype(np.int64)] = True
-    return Items(ids, texts, budget, need, distinct, np.append(first, len(code)), item, place, seen, exact, split)
+    first = np.append(first, len(code))
+    slot = np.repeat(np.arange(len(distinct)), np.diff(first))
+    by_item = np.lexsort((slot, item))
+    own_start = np.searchsorted(item[by_item], np.arange(len(texts) + 1))
+    return Items(ids, texts, budget, need, distinct, first, item, place, seen, slot[by_item], place[by_item],
+                 own_start, _short(texts, budget, need))
+
+
+def windows(data: np.ndarray, length: int) -> np.ndarray:
+    """A code of the ``length`` bytes from each place on."""
+    n = len(data) - length + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    x, code, rest = data.astype(U), np.zeros(n, U), np.zeros(n, U)
+    for j in range(length):
+        if j < 8:
+            code |= x[j: j + n] << U(8 * j)
+        else:
+            rest = rest * U(0x9E3779B97F4A7C15) + x[j: j + n] + U(1)
+    return mix(code) + rest
+
+
+def _short(texts: list[bytes], budget: np.ndarray, need: np.ndarray) -> dict:
+    """Whole items without a budget, and the pieces of items without a bound, by length."""
+    entries: dict[int, list[tuple[int, int, int]]] = {}
+    for i, t in enumerate(texts):
+        k = int(budget[i])
+        if not k or need[i] < 1:
+            cuts = [len(t) * j // (k + 1) for j in range(k + 2)]
+            for low, high in zip(cuts, cuts[1:]):
+                code = windows(np.frombuffer(t[low:high], np.uint8), high - low)[0]
+                entries.setdefault(high - low, []).append((int(code), i, low))
+    out = {}
+    for length, rows in entries.items():
+        rows.sort()
+        codes, start = np.unique(np.array([r[0] for r in rows], U), return_index=True)
+        out[length] = (codes, np.append(start, len(rows)), [r[1] for r in rows], [r[2] for r in rows])
+    return out
 
 
 def align(item: bytes, text: bytes, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
@@ -150,6 +199,11 @@ def align(item: bytes, text: bytes, low: int, high: int, budget: int) -> tuple[i
     return max(0, start), min(len(text), stop), int(row[end])
 
 
+def _entries(column: np.ndarray, start: np.ndarray, slot: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``column`` at all index entries of the q-grams ``slot``, ``size`` of each."""
+    return column[np.repeat(start[slot] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
 def _search(items: Items):
     """Function of a task: texts in, found regions out."""
 
@@ -165,66 +219,102 @@ def _search(items: Items):
         text = np.searchsorted(bounds, hit, side="right") - 1
         inside = hit + Q <= bounds[text + 1]
         hit, slot, text = hit[inside], slot[inside], text[inside]
-        times = items.start[slot + 1] - items.start[slot]
-        spread = np.repeat(np.arange(len(hit)), times)
-        entry = items.start[slot][spread] + np.arange(len(spread)) - np.repeat(np.cumsum(times) - times, times)
-        item, text = items.item[entry], text[spread]
-        pair = text * len(items.ids) + item
-        diagonal = hit[spread] - bounds[text] - items.place[entry]
-        # pairs that share too few q-grams in all cannot reach the count in a band
-        names, inverse, count = np.unique(pair, return_inverse=True, return_counts=True)
-        keep = (count >= items.need[names % max(1, len(items.ids))])[inverse]
-        pair, diagonal = pair[keep], diagonal[keep]
-        step = items.budget[pair % max(1, len(items.ids))] + 1
-        band = diagonal // step
-        both = np.concatenate([pair, pair]), np.concatenate([band, band - 1])
-        order = np.lexsort((both[1], both[0]))
-        pair, band = both[0][order], both[1][order]
-        if not len(pair):
+        if not len(hit):
             return
-        edge = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (band[1:] != band[:-1])))
-        count = np.diff(np.append(edge, len(pair)))
-        last = None
-        for p, d, c in zip(pair[edge].tolist(), band[edge].tolist(), count.tolist()):
-            t, i = divmod(p, len(items.ids))
-            if c < items.need[i]:
-                continue
+        first = np.searchsorted(text, np.arange(len(bounds)))  # the hits of each text
+        for t, i in candidates(text, slot):
+            part = slice(first[t], first[t + 1])
             a, z = int(bounds[t]), int(bounds[t + 1])
-            k = int(items.budget[i])
-            if last and last[0] == (t, i) and last[2] >= d * (k + 1):
-                continue  # the region before reaches into this band
-            got = align(items.texts[i], folded[a:z].tobytes(), d * (k + 1), (d + 2) * (k + 1), k)
-            if got:
-                yield t, i, int(where[a + got[0]]), int(where[a + got[1] - 1]) + 1, got[2]
-                last = ((t, i), None, got[0] + k)
+            k, reach = int(items.budget[i]), None
+            for d in bands(hit[part] - a, slot[part], i, z - a):
+                if reach is not None and reach >= d * (k + 1):
+                    continue  # the region before reaches into this band
+                got = align(items.texts[i], folded[a:z].tobytes(), d * (k + 1), (d + 2) * (k + 1), k)
+                if got:
+                    yield t, i, int(where[a + got[0]]), int(where[a + got[1] - 1]) + 1, got[2]
+                    reach = got[0] + k
+
+    def candidates(text: np.ndarray, slot: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(text, item) where enough of the item's places hold q-grams of the text."""
+        n = len(items.ids)
+        # every q-gram of a text once, text by text
+        once = np.unique(text * len(items.codes) + slot)
+        text, slot = np.divmod(once, len(items.codes))
+        size = items.start[slot + 1] - items.start[slot]
+        total = np.cumsum(size)
+        low = 0
+        while low < len(once):
+            high = int(np.searchsorted(total, total[low] - size[low] + SLICE, side="right"))
+            if high < len(once):  # whole texts, or a part of one that fills a slice
+                whole = int(np.searchsorted(text, text[high]))
+                high = whole if whole > low else high
+            high = max(high, low + 1)
+            if text[low] == text[high - 1]:  # one text: counts by item, slice by slice
+                t, end = int(text[low]), int(np.searchsorted(text, text[low], side="right"))
+                counts = np.zeros(n, np.int64)
+                while low < end:
+                    high = min(end, max(low + 1, int(np.searchsorted(total, total[low] - size[low] + SLICE, "right"))))
+                    counts += np.bincount(_entries(items.item, items.start, slot[low:high], size[low:high]), minlength=n)
+                    low = high
+                for i in np.flatnonzero((counts >= items.need) & (counts > 0)).tolist():
+                    yield t, i
+                continue
+            item = _entries(items.item, items.start, slot[low:high], size[low:high])
+            pair, count = np.unique(np.repeat(text[low:high], size[low:high]) * n + item, return_counts=True)
+            for p in pair[count >= items.need[pair % n]].tolist():
+                yield divmod(p, n)
+            low = high
+
+    def bands(hit: np.ndarray, slot: np.ndarray, i: int, size: int) -> list[int]:
+        """The bands of item ``i`` in a text of ``size`` bytes that reach its bound."""
+        own = slice(items.own_start[i], items.own_start[i + 1])
+        slots, places = items.own_slot[own], items.own_place[own]
+        low = np.searchsorted(slots, slot)
+        times = np.searchsorted(slots, slot, side="right") - low
+        keep = times > 0
+        hit, low, times = hit[keep], low[keep], times[keep]
+        step, total = int(items.budget[i]) + 1, np.cumsum(times)
+        least = -len(items.texts[i]) // step - 2
+        counts = np.zeros(size // step + 3 - least, np.int64)
+        a = 0
+        while a < len(hit):
+            b = max(a + 1, int(np.searchsorted(total, total[a] - times[a] + SLICE, side="right")))
+            n = times[a:b]
+            place = places[np.repeat(low[a:b], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            band = (np.repeat(hit[a:b], n) - place) // step - least
+            counts += np.bincount(band, minlength=len(counts)) + np.bincount(band - 1, minlength=len(counts))
+            a = b
+        return (np.flatnonzero(counts >= items.need[i]) + least).tolist()
 
     def whole(offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple]:
         for t in range(len(offsets) - 1):
-            part = data[offsets[t]: offsets[t + 1]]
-            folded, where = fold(part)
-            raw = folded.tobytes()
-            for i in items.exact:
-                at = raw.find(items.texts[i])
-                while at >= 0:
-                    stop = at + len(items.texts[i])
-                    yield t, i, int(offsets[t] + where[at]), int(offsets[t] + where[stop - 1]) + 1, 0
-                    at = raw.find(items.texts[i], stop)
-            for i in items.split:
-                item, k, last = items.texts[i], int(items.budget[i]), None
-                cuts = [len(item) * j // (k + 1) for j in range(k + 2)]
-                diagonals = set()
-                for low, high in zip(cuts, cuts[1:]):
-                    at = raw.find(item[low:high])
-                    while at >= 0:
-                        diagonals.add(at - low)
-                        at = raw.find(item[low:high], at + 1)
-                for d in sorted(diagonals):
-                    if last is not None and last + k >= d:
-                        continue  # the region before reaches here
-                    got = align(item, raw, d, d + 1, k)
-                    if got:
-                        yield t, i, int(offsets[t] + where[got[0]]), int(offsets[t] + where[got[1] - 1]) + 1, got[2]
-                        last = got[0]
+            folded, where = fold(data[offsets[t]: offsets[t + 1]])
+            raw, place = folded.tobytes(), lambda at: int(offsets[t] + where[at])  # noqa: B023
+            last: dict[int, int] = {}  # where each item's last region leaves off
+            starts: set[tuple[int, int]] = set()  # (diagonal, item) of pieces found
+            for length, (codes, start, item, low) in items.short.items():
+                code = windows(folded, length)
+                slot = np.searchsorted(codes, code)
+                slot[slot == len(codes)] = 0
+                for at in np.flatnonzero(codes[slot] == code).tolist():
+                    for e in range(start[slot[at]], start[slot[at] + 1]):
+                        i = item[e]
+                        if raw[at: at + length] != items.texts[i][low[e]: low[e] + length]:
+                            continue
+                        if items.budget[i]:
+                            starts.add((at - low[e], i))
+                        elif at >= last.get(i, 0):
+                            last[i] = at + length
+                            yield t, i, place(at), place(at + length - 1) + 1, 0
+            reach: dict[int, int] = {}
+            for d, i in sorted(starts):
+                k = int(items.budget[i])
+                if i in reach and reach[i] + k >= d:
+                    continue  # the region before reaches here
+                got = align(items.texts[i], raw, d, d + 1, k)
+                if got:
+                    yield t, i, place(got[0]), place(got[1] - 1) + 1, got[2]
+                    reach[i] = got[0]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,7 +323,7 @@ def _search(items: Items):
             for a, b in pieces(offsets):
                 off, part = offsets[a: b + 1] - offsets[a], data[offsets[a]: offsets[b]]
                 found = list(regions(off, part)) if len(part) else []
-                if (items.exact or items.split) and len(part):
+                if items.short and len(part):
                     found += whole(off, part)
                 for t, i, start, stop, edits in found:
                     lead = part[off[t]: stop]
@@ -259,7 +349,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for b in range(blocks):
         block = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         rows = sorted(((r["item_id"], r["text"]) for r in block.collect()), key=repr)
-        out.append(texts.mapInArrow(_search(index(rows)), FOUND))
+        out.append(stored(texts.mapInArrow(_search(index(rows)), FOUND), "regions"))
     return union_all(out)
 
 

@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
-from gridkit.llm import bin_completion, centroid_matrix, queries, secret_lexer, tokens, trie_pairs
+from gridkit.llm import (bin_completion, centroid_matrix, qgram_decontam, queries, secret_lexer, tokens,
+                         trie_pairs)
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -340,3 +341,70 @@ def test_base_spans_of_the_corpus(spark):
         base = ",".join(s[2] for s in sorted(spans))
         assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
         assert {s[2] for s in spans} <= set(r["spans"].split(",")) or not spans
+
+
+# -- op9 --------------------------------------------------------------------
+
+def find_regions(items, texts):
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())],
+                                       names=["doc_id", "text"])
+    found = qgram_decontam._search(qgram_decontam.index(items))(iter([batch]))
+    return sorted(tuple(r.values()) for b in found for r in b.to_pylist())
+
+
+def sentence(rng, n):
+    return " ".join("".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(n))
+
+
+def test_a_shared_opening_costs_little(tmp_path):
+    import resource
+    import time
+    rng = np.random.default_rng(3)
+    line = "question: what is the name of the thing"
+    items = [(i, f"{line} {sentence(rng, 12)}") for i in range(4000)]
+    hit = items[17][1]
+    text = "\n".join([line] * 250 + [hit[:50] + "zz" + hit[52:]] + [line] * 250)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    start = time.time()
+    found = find_regions(items, [text, line])
+    assert time.time() - start < 10  # with the index; the search itself is far below a second
+    assert [(f[0], f[1], f[4]) for f in found] == [(0, 17, 2)]
+    assert text[found[0][2]: found[0][3]].startswith(line) and found[0][3] - found[0][2] >= len(hit) - 2
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+
+
+def test_short_items_by_one_probe_a_place():
+    rng = np.random.default_rng(4)
+    items = [(i, "".join(rng.choice(list("abc"), rng.integers(2, 14)))) for i in range(3000)]
+    texts = ["".join(rng.choice(list("abc "), 400)) for _ in range(4)] + ["", "ab", None]
+    want = []
+    for d, t in enumerate(texts):
+        folded = " ".join((t or "").split(" ")) if t else ""
+        flat = re.sub(" +", " ", folded)
+        where = [i for i, c in enumerate(folded) if not (c == " " and i and folded[i - 1] == " ")]
+        for i, item in items:
+            at = flat.find(item)
+            while at >= 0:
+                want.append((d, i, where[at], where[at + len(item) - 1] + 1, 0))
+                at = flat.find(item, at + len(item))
+    assert find_regions(items, texts) == sorted(want)
+
+
+def test_slices_change_nothing(monkeypatch):
+    rng = np.random.default_rng(5)
+    items = [(i, sentence(rng, int(rng.integers(2, 12)))) for i in range(60)] + [(99, "ab" * 40), (98, "a" * 90)]
+    texts = []
+    for _ in range(12):
+        parts = [sentence(rng, 5) for _ in range(20)]
+        for j in rng.integers(0, 60, 6):
+            x = list(items[j][1])
+            x[len(x) // 2] = "#"
+            parts.append("".join(x))
+        texts.append("\n".join(rng.permutation(parts)))
+    texts += ["a" * 500 + "ab" * 200, "ab" * 300]
+    whole = find_regions(items, texts)
+    assert len(whole) > 60
+    for size in (1, 7, 300):
+        monkeypatch.setattr(qgram_decontam, "SLICE", size)
+        assert find_regions(items, texts) == whole
