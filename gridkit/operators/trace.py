@@ -45,9 +45,8 @@ def flatten_trace(responses: DataFrame, col: str = "output") -> DataFrame:
     items = responses.select("response_id", F.posexplode_outer(
         F.from_json(F.col(col), OUTPUT_SCHEMA)).alias("pos", "item")).filter(F.col("item").isNotNull())
     raw_args = F.coalesce(F.col("item.arguments"), F.lit("{}"))
-    # f20: arguments parsed as JSON, falling back to {"raw": <text>}
-    args = F.coalesce(F.from_json(raw_args, "map<string,string>"),
-                      F.create_map(F.lit("raw"), raw_args))
+    # f20: arguments parsed as JSON of any kind, falling back to {"raw": <text>}
+    args = F.coalesce(F.try_parse_json(raw_args), F.parse_json(F.to_json(F.create_map(F.lit("raw"), raw_args))))
     return items.select("response_id", "pos", F.col("item.type").alias("type"),
                         F.col("item.name").alias("name"), F.col("item.call_id").alias("call_id"),
                         F.col("item.arguments").alias("arguments"), args.alias("args"),

@@ -192,3 +192,22 @@ def v05(spark, d):
             parts.append(v.repeated_keys(t, path).agg(F.count(F.lit(1)).alias("repeated_keys"))
                          .select(F.lit(v.name).alias("view"), F.lit(path).alias("join"), "repeated_keys"))
     return reduce(DataFrame.unionByName, parts)
+
+
+@register("s09_corpus_read", """
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS md5
+FROM documents WHERE text IS NOT NULL""")
+def s09(spark, d):
+    """Every document as a file of its own, read back: files of more than 32 KB in parts."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("text IS NOT NULL").select("doc_id", "text")
+    path = _scratch(spark, "s09")
+    docs.hint("rebalance").write.partitionBy("doc_id").text(path)
+    parts = sinks.read_corpus(spark, path, "*.txt", large=32 << 10, name=r"doc_id=([^/]+)/")
+    # a part is at most 32 KB, so a document's parts are few; the writer ended each file with a line feed
+    inside = F.array_sort(F.collect_list(F.struct("part", "text")))
+    whole = parts.groupBy("doc_id").agg(F.array_join(F.transform(inside, lambda p: p["text"]), "\n").alias("text"),
+                                        F.count("*").alias("n"), F.max("part").alias("last"))
+    text = F.when(F.col("text").endswith("\n") & (F.col("n") == 1),
+                  F.substring("text", F.lit(1), F.length("text") - 1)).otherwise(F.col("text"))
+    return whole.select("doc_id", text.alias("text")).select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("md5"))

@@ -7,9 +7,10 @@ shared ``spark.checkpoint.dir``), never a machine-local folder.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .versioned import VersionedTable
@@ -89,8 +90,53 @@ def write_json_extract(df: DataFrame, path: str) -> None:
        .json(path))
 
 
-def read_corpus(spark: SparkSession, directory: str, pattern: str = "*.md") -> DataFrame:
-    """s09: one row per file, ``(doc_id, text)``; doc_id is the file stem."""
-    df = spark.read.option("pathGlobFilter", pattern).text(directory, wholetext=True)
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]+)?$", 1)
-    return df.select(name.alias("doc_id"), F.col("value").alias("text"))
+#: files of more bytes are read in parts
+LARGE_FILE = 64 << 20
+
+
+def _parts(limit: int):
+    """Consecutive lines of a stretch of a file joined to parts of about ``limit`` characters."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, size, number = None, [], 0, 0
+
+        def part():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([at[0]]), pa.array([at[1]]), pa.array([number]), pa.array(["\n".join(held)])],
+                names=["path", "block", "number", "text"])
+
+        for batch in batches:
+            for path, block, line in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != (path, block) or (held and size + len(line) > limit):
+                    if held:
+                        yield part()
+                    number = number + 1 if at == (path, block) else 0
+                    at, held, size = (path, block), [], 0
+                held.append(line)
+                size += len(line) + 1
+        if held:
+            yield part()
+    return run
+
+
+def read_corpus(spark: SparkSession, directory: str, pattern: str = "*.md", large: int = LARGE_FILE,
+                name: str = r"([^/]+?)(\.[^./]+)?$") -> DataFrame:
+    """s09: ``(doc_id, part, text)`` of the files in ``directory``; doc_id is what ``name``
+    finds in the path (by default the file's stem).
+
+    A file is one row, part 0.  One of more than ``large`` bytes does not become one row:
+    it is read by lines, in as many tasks as it has blocks, and given back in parts of
+    about ``large`` characters; joined by line feeds in the order of ``part`` they are
+    the file, without a last line feed.  A single longer line is one part.
+    A file of no bytes has no row.
+    """
+    files = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+    where = F.col("_metadata.file_path").alias("path")
+    few = files.text(directory, wholetext=True).where(F.col("_metadata.file_size") <= large)
+    whole = few.select(where, F.lit(0).alias("part"), F.col("value").alias("text"))
+    lines = files.text(directory, lineSep="\n").where(F.col("_metadata.file_size") > large).select(
+        where, F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    cut = lines.mapInArrow(_parts(large), "path string, block long, number long, text string")
+    order = F.row_number().over(Window.partitionBy("path").orderBy("block", "number")) - 1
+    parts = cut.select("path", order.alias("part"), "text")
+    doc = F.regexp_extract(F.url_decode("path"), name, 1)
+    return whole.unionByName(parts).select(doc.alias("doc_id"), "part", "text")

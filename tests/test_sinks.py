@@ -49,3 +49,27 @@ def test_json_extract_and_corpus_reader(spark):
             f.write(text)
     docs = {r.doc_id: r.text for r in sinks.read_corpus(spark, md).collect()}
     assert docs == {"OIR-2025-001": "# A\nbody", "CAR-2025-004": "x"}
+
+
+def test_large_files_come_in_parts(spark):
+    md = os.path.join(tempfile.mkdtemp(prefix="gridkit-large-"), "md")
+    os.makedirs(md)
+    rng = __import__("random").Random(2)
+    big = "\n".join("w" * rng.randint(0, 90) + str(i) for i in range(40000))
+    texts = {"big one": big, "small": "a\r\nb\n\n", "line": "x" * 300_000, "none": "", "edges": "\n\n" + "y\n" * 90_000}
+    for name, text in texts.items():
+        with open(os.path.join(md, f"{name}.md"), "w", newline="") as f:
+            f.write(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")  # several blocks a file
+    try:
+        parts = sinks.read_corpus(spark, md, large=100_000).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    found = {}
+    for r in sorted(parts, key=lambda r: r.part):
+        found.setdefault(r.doc_id, []).append(r.text)
+    assert len(found["big one"]) > 10 and all(len(t) <= 100_200 for t in found["big one"])
+    assert found["small"] == [texts["small"]] and "none" not in found
+    for name in ("big one", "line"):
+        assert "\n".join(found[name]) == texts[name]
+    assert "\n".join(found["edges"]) == texts["edges"][:-1]

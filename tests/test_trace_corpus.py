@@ -83,7 +83,7 @@ def test_content_forms_and_missing_call_ids(spark):
     items = K.flatten_trace(spark.createDataFrame([("r", json.dumps(out))], "response_id string, output string"))
     rows = {r.pos: r for r in K.match_results(items).collect()}
     assert [rows[i].text for i in range(5)] == ["", "plain [text]", "second", "p", ""]
-    assert rows[0].args == {"raw": "not json"}
+    assert rows[0].args.toPython() == {"raw": "not json"}
     assert [rows[i].is_tool_result for i in range(5)] == [False, True, False, False, False]
 
 
@@ -233,3 +233,14 @@ def test_cache_hits_match_sequential_rule(spark):
             else:
                 want[i], stored = False, t
     assert got == want
+
+
+def test_arguments_keep_their_parsed_value(spark):
+    import json
+
+    from gridkit.operators import trace as K
+    given = ['[1, "x"]', '"x"', "3", '{"a": {"b": [1]}}', "not json", None, "true", ""]
+    items = [{"type": "function_call", "name": "t", "call_id": str(i), "arguments": a} for i, a in enumerate(given)]
+    df = spark.createDataFrame([(1, json.dumps(items))], "response_id long, output string")
+    got = [r.args.toPython() for r in K.flatten_trace(df).orderBy("pos").collect()]
+    assert got == [[1, "x"], "x", 3, {"a": {"b": [1]}}, {"raw": "not json"}, {}, True, {"raw": ""}]
