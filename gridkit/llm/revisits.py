@@ -7,7 +7,7 @@ the response's body is its body, and its headers are the response's, replaced
 by those that a 304 answer may update.
 
 The as-of join keeps hot URLs apart: time is cut into stretches of about
-``ROWS_PER_STRETCH`` records; inside (url, stretch) a window carries the latest
+``ROWS_PER_STRETCH`` records, wherever in time they lie (ranges that Spark samples); inside (url, stretch) a window carries the latest
 response forward, the last response of each stretch is carried into the
 following ones by a window over stretch summaries, so no task holds all records
 of a URL.  Only validators and headers travel through it; bodies are joined
@@ -16,8 +16,10 @@ afterwards by record id, for resolved revisits alone.
 Edge cases: a response at the very time of a revisit is not earlier; of
 responses at one time the greatest record id counts; a null URL matches
 nothing; a null time is reported as ``missing``; a revisit without validators
-is ``unverified`` and gets no body; repeated rows are resolved each; an empty
-table gives an empty result.
+is ``unverified`` and gets no body; repeated rows are resolved each; records of one
+time are never cut apart; long bodies and header values are kept whole; of the table only
+the named columns are read, so others may have any name; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 ROWS_PER_STRETCH = 1_000_000
 # fixed values: header fields that a 304 answer may update
@@ -73,14 +75,16 @@ def merge_headers(old: Column, new: Column) -> Column:
 def as_of(records: DataFrame, rows_per_stretch: int = ROWS_PER_STRETCH) -> DataFrame:
     """Revisits with the validators and headers (struct ``old``) of the latest
     earlier response; null where there is none."""
-    span = records.agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("z")).first()
-    stretches = max(1, -(-span["n"] // rows_per_stretch))
-    width = max(1, -(-((span["z"] or 0) - (span["a"] or 0) + 1) // stretches))
+    stretches = max(1, -(-records.count() // rows_per_stretch))
     old = F.struct("ts", "record_id", "etag", "last_modified", "headers")
     full = F.col("kind") == "response"
-    rows = records.select("record_id", "url", "ts", "kind", "etag", "last_modified", "headers",
-                          F.floor((F.col("ts") - F.lit(span["a"] or 0)) / F.lit(width)).alias("stretch"))
+    rows = records.select("record_id", "url", "ts", "kind", "etag", "last_modified", "headers")
     rows = rows.where("url is not null and ts is not null")
+    if stretches > 1:  # ranges of times with about as many rows each; equal times stay together
+        dealt = rows.repartitionByRange(stretches, "ts").withColumn("stretch", F.spark_partition_id())
+        rows = stored(dealt, "stretches")
+    else:
+        rows = rows.withColumn("stretch", F.lit(0))
     # a revisit sorts before the responses of its time, so these are not earlier
     order = [F.col("ts"), full.cast("int"), F.col("record_id")]
     near = Window.partitionBy("url", "stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
