@@ -1,22 +1,26 @@
 """Token counts as delta-maintained rollups.
 
-A ledger of signed changes is kept by batch.  ``commit`` turns a batch of
-requests (upserts with a new count, deletes) into deltas against what the ledger
-holds: an insert adds (+1 document, +n tokens), a delete takes both back, a
-revised count does both, under the source, language and tokenizer version that
-each count belongs to.  The deltas of a batch are aggregated before they are
-written, and totals are the sum of all committed batches: additive, so a batch
-costs its own size and never a recount of the corpus.
-
-Commits are idempotent: a batch is a folder of its own, written whole and named
-in the manifest after it is complete.  A batch id that the manifest has is not
-applied again; one that was cut off half-way is overwritten.
-
-Edge cases: null texts count 0 tokens; null source and language are groups of
-their own; of several requests for a document in a batch the last by ``seq``
-counts, ties go to the larger count; deletes of unknown documents do nothing; a
-null doc_id is an id like any other; groups whose documents have all gone are
-left out; an empty table gives an empty result.
+A ledger of signed changes by document.  ``commit`` turns a batch of requests (upserts
+with a new count, deletes) into deltas against what the ledger holds: an insert adds
+(+1 document, +n tokens), a delete takes both back, a revised count does both, under the
+source, language and tokenizer version that each count belongs to.  The deltas of a
+batch are aggregated before they are written, and totals are sums of deltas.
+
+The ledger is a versioned table in buckets by hash of doc_id.  A commit reads the
+buckets that its documents fall into and appends to them; a bucket of more than ``FAN``
+appended folders is netted into one, so what is read follows the documents that stand
+in the touched buckets and not the number of commits.  Deltas are netted the same way.
+
+Commits are idempotent: both tables skip a batch id that they hold.  The deltas are
+published first and the changes last, so a commit cut off between the two is computed
+again from the same state when its batch is sent again, and counted once.
+
+Edge cases: null texts count 0 tokens; texts of any length are counted whole; null
+source and language are groups of their own; of several requests for a document in a
+batch the last by ``seq`` counts, ties go to the larger count; deletes of unknown
+documents do nothing; a null doc_id is an id like any other; groups whose documents have
+all gone are left out; an empty table gives an empty result; only doc_id, text, source
+and lang are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -25,16 +29,19 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from ..sources.versioned import VersionedTable
 from .arrays import flat
-from .common import ID_BOUND, only, stored, table, union_all
+from .common import ID_BOUND, discard, only, stored, table
 from .tokens import encoder as encoder_of, vocabulary
 
 GROUP = ["source", "lang", "tokenizer"]
 STATE = ["doc_id", *GROUP, "tokens"]
+#: buckets of a new ledger, and commits to a bucket before it is netted
+BUCKETS, FAN = 16, 8
 
 
 def _count(files: dict):
@@ -64,37 +71,40 @@ def count_words(docs: DataFrame, version: str = "words-1") -> DataFrame:
 
 
 class Ledger:
-    """Committed batches: per batch the signed changes by document and by group."""
+    """Signed changes by document in buckets, and their sums by group."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark = spark
-        self.path = path or scratch_path(spark, f"llm-ledger-{uuid.uuid4().hex}")
-        self.committed: list[str] = []
-        manifest = self._read("manifest", "batch string, place int")
-        if manifest is not None:
-            self.committed = [r["batch"] for r in manifest.orderBy("place").collect()]
-
-    def _there(self, name: str) -> bool:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
-
-    def _read(self, name: str, schema: str) -> DataFrame | None:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if self._there(name) else None
-
-    _CHANGES = "doc_id long, source string, lang string, tokenizer string, tokens long, sign int"
+    _CHANGES = "doc_id long, source string, lang string, tokenizer string, tokens long, sign int, bucket int"
     _DELTAS = "source string, lang string, tokenizer string, documents long, tokens long"
 
-    def state(self) -> DataFrame:
-        """The counts that stand: changes that were not taken back."""
-        parts = [self._read(f"changes/{b}", self._CHANGES) for b in self.committed]
-        if not parts:
-            return self.spark.createDataFrame([], self._CHANGES).select(*STATE)
-        return (union_all(parts).groupBy(*STATE).agg(F.sum("sign").alias("n")).where("n > 0").select(*STATE))
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
+        self.spark = spark
+        self.path = path or scratch_path(spark, f"llm-ledger-{uuid.uuid4().hex}")
+        self.changes = VersionedTable(spark, f"{self.path}/changes")
+        self.deltas = VersionedTable(spark, f"{self.path}/deltas")
+        if not self.changes.versions():  # the number of buckets is the table's for good
+            empty = spark.createDataFrame([], self._CHANGES)
+            self.changes.commit(empty, partition_by=["bucket"], note={"buckets": buckets})
+        self.buckets = self.changes.manifest().note["buckets"]
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int")
+
+    @staticmethod
+    def _net(changes: DataFrame) -> DataFrame:
+        """One row per count that stands; a row that repeats stands as often."""
+        net = changes.groupBy(*STATE, "bucket").agg(F.sum("sign").cast("int").alias("sign"))
+        return net.where("sign <> 0")
+
+    def state(self, buckets: list[int] | None = None) -> DataFrame:
+        """The counts that stand (in some of the buckets): changes that were not taken back."""
+        rows = self.changes.read()
+        rows = rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
+        return self._net(rows).where("sign > 0").select(*STATE)
 
     def commit(self, batch: str, requests: DataFrame) -> bool:
         """``requests``: doc_id, op ('put' or 'delete'), seq, tokens, source, lang,
         tokenizer.  False if the batch had been committed before."""
-        if batch in self.committed:
+        if self.changes.committed(batch):
             return False
         rank = F.struct(F.col("seq"), F.coalesce("tokens", F.lit(-1)).alias("tokens"), F.col("op"),
                         *[F.col(c) for c in GROUP])
@@ -102,30 +112,40 @@ class Ledger:
                 .select("doc_id", "r.op", "r.tokens", *[f"r.{c}" for c in GROUP]))
         last = stored(last, "requests")
         put = last.where("op = 'put'").select(*STATE, F.lit(1).alias("sign"))
-        if self.committed:
+        held = {int(p.split("=")[1]) for p in self.changes.manifest().parts}
+        touched = [r["bucket"] for r in last.select(self._bucket().alias("bucket")).distinct().collect()]
+        if held & set(touched):
             ids = last.select(F.col("doc_id").alias("id"))
-            old = self.state()
+            old = self.state(sorted(held & set(touched)))
             old = old.join(ids, old["doc_id"].eqNullSafe(ids["id"]), "left_semi")
             put = put.unionByName(old.select(*STATE, F.lit(-1).alias("sign")))
-        changes = f"{self.path}/changes/{batch}"
-        put.write.mode("overwrite").parquet(changes)
-        deltas = (self.spark.read.schema(self._CHANGES).parquet(changes).groupBy(*GROUP)
-                  .agg(F.sum("sign").cast("long").alias("documents"),
-                       F.sum(F.col("sign") * F.col("tokens")).alias("tokens")))
-        deltas.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/deltas/{batch}")
-        entry = self.spark.createDataFrame([(batch, len(self.committed))], "batch string, place int")
-        entry.coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
-        self.committed.append(batch)
+        put = stored(put.withColumn("bucket", self._bucket()), "changes")
+        deltas = put.groupBy(*GROUP).agg(F.sum("sign").cast("long").alias("documents"),
+                                         F.sum(F.col("sign") * F.col("tokens")).alias("tokens"))
+        self.deltas.commit(deltas.coalesce(1), "append", batch=batch)
+        self.changes.commit(put, "append", batch=batch)
+        discard(last, put)
+        self._compact()
         return True
 
+    def _compact(self) -> None:
+        """Net the buckets, and the deltas, that more than ``FAN`` commits wrote to."""
+        full = [p for p, folders in self.changes.manifest().parts.items() if len(folders) > FAN]
+        if full:
+            rows = self.changes.read().where(F.col("bucket").isin([int(p.split("=")[1]) for p in full]))
+            self.changes.commit(self._net(rows), "partitions", replace=full)
+        if len(self.deltas.manifest().parts.get("", [])) > FAN:
+            self.deltas.commit(self._sums().coalesce(1))
+
+    def _sums(self) -> DataFrame:
+        return self.deltas.read().groupBy(*GROUP).agg(F.sum("documents").alias("documents"),
+                                                      F.sum("tokens").alias("tokens"))
+
     def totals(self) -> DataFrame:
         """documents and tokens by source, language and tokenizer version."""
-        parts = [self._read(f"deltas/{b}", self._DELTAS) for b in self.committed]
-        if not parts:
+        if not self.deltas.versions():
             return self.spark.createDataFrame([], self._DELTAS)
-        return (union_all(parts).groupBy(*GROUP).agg(F.sum("documents").alias("documents"),
-                                                     F.sum("tokens").alias("tokens"))
-                .where("documents > 0"))
+        return self._sums().where("documents > 0")
 
 
 def requests(counts: DataFrame, op: str = "put", seq: int = 0) -> DataFrame:

@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
-from gridkit.llm import (bin_completion, centroid_matrix, qgram_decontam, queries, secret_lexer, tokens,
-                         trie_pairs)
+from gridkit.llm import (bin_completion, centroid_matrix, qgram_decontam, queries, secret_lexer,
+                         token_rollups, tokens, trie_pairs)
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -408,3 +408,60 @@ def test_slices_change_nothing(monkeypatch):
     for size in (1, 7, 300):
         monkeypatch.setattr(qgram_decontam, "SLICE", size)
         assert find_regions(items, texts) == whole
+
+
+# -- op4 --------------------------------------------------------------------
+
+def test_maintained_totals_equal_a_recount(spark):
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r for r in spark.read.parquet(f"{SF001}/labels.parquet").collect()}
+    encoder, want = tokens.Encoder(tokens.vocabulary()), Counter()
+    for d, r in docs.items():
+        label = labels.get(d)
+        if label and label["quality"] == 0:
+            continue
+        if label and label["toxic"] == 1:
+            n, version = len(re.findall("[^\x20\x09-\x0d]+", r["text"] or "")), "words-1"
+        else:
+            n, version = len(encoder.ids((r["text"] or "").encode())), "byte_bpe_50k"
+        want[r["source"], r["lang"], version, "documents"] += 1
+        want[r["source"], r["lang"], version, "tokens"] += n
+    got = {}
+    for r in queries.QUERIES["op4_token_rollups"](spark, SF001).collect():
+        for c in ("documents", "tokens"):
+            got[r["source"], r["lang"], r["tokenizer"], c] = r[c]
+    assert got == {k: v for k, v in want.items() if k[3] == "documents" or (*k[:3], "documents") in want}
+
+
+def put(spark, rows, op="put"):
+    counts = spark.createDataFrame([(d, n, "s", "en", "v") for d, n in rows],
+                                   "doc_id long, tokens long, source string, lang string, tokenizer string")
+    return token_rollups.requests(counts, op)
+
+
+def test_commits_read_what_stands_and_not_the_history(spark, monkeypatch):
+    monkeypatch.setattr(token_rollups, "FAN", 2)
+    ledger = token_rollups.Ledger(spark, buckets=2)
+    held = []
+    for i in range(9):
+        assert ledger.commit(f"batch {i}", put(spark, [(d, 10 * i + d) for d in range(6)]))
+        held.append(ledger.changes.read().count())
+        assert ledger.totals().collect()[0][3:] == (6, 60 * i + 15)
+    assert max(held) <= 6 + 2 * 12 and held[-1] <= held[3] + 12
+    assert not ledger.commit("batch 0", put(spark, [(1, 999)]))
+    again = token_rollups.Ledger(spark, ledger.path, buckets=7)
+    assert again.buckets == 2 and again.state().count() == 6
+
+
+def test_a_commit_cut_off_counts_once(spark):
+    ledger = token_rollups.Ledger(spark, buckets=2)
+    ledger.commit("a", put(spark, [(1, 5), (2, 6)]))
+    real, ledger.changes.commit = ledger.changes.commit, lambda *a, **k: (_ for _ in ()).throw(KeyboardInterrupt())
+    with pytest.raises(KeyboardInterrupt):
+        ledger.commit("b", put(spark, [(2, 10), (3, 1)]))
+    ledger.changes.commit = real
+    assert ledger.commit("b", put(spark, [(2, 10), (3, 1)]))
+    assert ledger.totals().collect()[0][3:] == (3, 16)
+    assert sorted((r["doc_id"], r["tokens"]) for r in ledger.state().collect()) == [(1, 5), (2, 10), (3, 1)]
+    ledger.commit("c", put(spark, [(d, 0) for d in (1, 2, 3, 4)], "delete"))
+    assert ledger.totals().collect() == [] and ledger.state().count() == 0
