@@ -1,12 +1,14 @@
 """Rolling-window rules (w02-w07) stated in the operating documents.
 
-Trailing-window aggregates (``trailing``) cut time into chunks of one lookback.
-The window ``[t - lookback, t]`` of a row is the part of its own chunk up to
-``t`` and the part of the chunk before from ``t - lookback`` on.  So each row
-is copied into the next chunk, at the time it leaves the window; in a chunk, a
-running aggregate forwards over the own rows and one backwards over the copies
-meet at every row.  One exchange by (entity, chunk), linear work per chunk, no
-pairs and no join back; a chunk sorts and spills like any other partition.
+Trailing-window aggregates (``trailing``) cut time into chunks, the lookback or a
+part of it.  The window ``[t - lookback, t]`` of a row is the part of its own chunk up
+to ``t``, the whole chunks before, and the part of one chunk from ``t - lookback`` on.
+So each row is copied into the chunk in which it leaves the window, at that time; in a
+chunk, a running aggregate forwards over the own rows and one backwards over the copies
+meet at every row.  What the whole chunks between hold comes from one summary row per
+(entity, chunk), which enters the chunk as a row at its start.  One exchange by (entity,
+chunk), linear work per chunk, no pairs and no join back.  The width sets how many rows
+of a hot entity meet in one task (``packed_width`` finds it from a bound on rows).
 Works for count / sum / min / max (and avg as sum / count).
 """
 
@@ -28,6 +30,14 @@ SUSTAINED_HOURS = 72
 SUSTAINED_THRESHOLD = 3.5          # mm/s RMS (other documents: 4.5 / 6.0 / 10.0)
 RUNNING_MEAN_HOURS = 24
 WEEKLY_HOURS_LIMIT = 60
+#: chunk of the rules that look back for months: a hot asset's days meet in one task
+CHUNK_DAYS = 5
+
+
+def _chunk(days: int) -> int:
+    """Days of a chunk: ``CHUNK_DAYS`` where it divides the lookback, else the whole."""
+    return CHUNK_DAYS if days % CHUNK_DAYS == 0 else days
+
 
 def _agg(kind: str, c: Column) -> Column:
     return {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}[kind](c)
@@ -51,34 +61,63 @@ def _merge(kind: str, cols: list[Column]) -> Column:
 
 
 def trailing_on(df: DataFrame, key: str, at: Column, lookback: int,
-                aggs: dict[str, tuple[str, Column | str]]) -> DataFrame:
+                aggs: dict[str, tuple[str, Column | str]], width: int | None = None) -> DataFrame:
     """Add ``aggs`` over the rows of ``key`` with ``at`` in ``[at - lookback, at]``.
 
     ``aggs`` maps output name -> (kind, value) with kind in count / sum /
     min / max; ``value`` is a column (name) evaluated per row (for count,
     rows with a NULL value are not counted).  ``at`` is a whole number.
+    ``width`` (a divisor of ``lookback``) is the length of a chunk.
     """
+    width = width or lookback
+    if lookback % width:
+        raise ValueError(f"a chunk of {width} does not divide the lookback of {lookback}")
+    parts = lookback // width
     vals = {n: (kind, F.col(v) if isinstance(v, str) else v) for n, (kind, v) in aggs.items()}
-    x = df.select("*", at.alias("_e"), *[c.alias(f"_v_{n}") for n, (_, c) in vals.items()])
-    x = x.withColumn("_copy", F.explode(F.array(F.lit(False), F.lit(True))))
+    own = df.select("*", at.alias("_e"), *[c.alias(f"_v_{n}") for n, (_, c) in vals.items()])
+    x = own.withColumn("_copy", F.explode(F.array(F.lit(False), F.lit(True))))
     copy = F.col("_copy")
-    x = (x.withColumn("_chunk", F.floor(F.col("_e") / lookback) + copy.cast("int"))
+    x = (x.withColumn("_chunk", F.floor(F.col("_e") / width) + copy.cast("int") * parts)
           .withColumn("_t", F.col("_e") + copy.cast("int") * F.lit(lookback)))
+    if parts > 1:
+        summary = own.groupBy(F.col(key).alias(key), F.floor(F.col("_e") / width).alias("_chunk")).agg(
+            *[_agg(kind, F.col(f"_v_{n}")).alias(f"_m_{n}") for n, (kind, _) in vals.items()])
+        between = Window.partitionBy(key).orderBy("_chunk").rangeBetween(-(parts - 1), -1)
+        whole = summary.select(key, "_chunk", (F.col("_chunk") * width).alias("_t"), *[
+            _agg("sum" if kind == "count" else kind, F.col(f"_m_{n}")).over(between).alias(f"_m_{n}")
+            for n, (kind, _) in vals.items()])
+        x = x.unionByName(whole, allowMissingColumns=True)
     part = Window.partitionBy(key, "_chunk")
     span = (Window.unboundedPreceding, Window.currentRow)
     up = part.orderBy("_t").rangeBetween(*span)
     down = part.orderBy(F.desc("_t")).rangeBetween(*span)
     out = x.select(*df.columns, "_copy", *[
         _merge(kind, [_agg(kind, F.when(~copy, F.col(f"_v_{n}"))).over(up),
-                      _agg(kind, F.when(copy, F.col(f"_v_{n}"))).over(down)]).alias(n)
+                      _agg(kind, F.when(copy, F.col(f"_v_{n}"))).over(down),
+                      *([F.max(f"_m_{n}").over(up)] if parts > 1 else [])]).alias(n)
         for n, (kind, _) in vals.items()])
     return out.filter(~copy).drop("_copy")
 
 
+#: rows of one entity that a task of a trailing window should hold at most
+ROWS_PER_CHUNK = 1_000_000
+
+
+def packed_width(df: DataFrame, key: str, at: Column, lookback: int, rows: int = ROWS_PER_CHUNK) -> int:
+    """The longest chunk (a divisor of ``lookback``) of which the fullest lookback of any
+    ``key`` makes parts of about ``rows`` rows, if they lie evenly."""
+    most = (df.groupBy(F.col(key), F.floor(at / lookback).alias("_c")).agg(F.count(F.lit(1)).alias("n"))
+            .agg(F.max("n")).first()[0] or 0)
+    parts = max(1, -(-most // rows))
+    while lookback % parts:
+        parts += 1
+    return lookback // parts
+
+
 def trailing(df: DataFrame, key: str, ts: str, lookback_s: int,
-             aggs: dict[str, tuple[str, Column | str]]) -> DataFrame:
+             aggs: dict[str, tuple[str, Column | str]], width: int | None = None) -> DataFrame:
     """``trailing_on`` in whole epoch seconds of the timestamp ``ts``."""
-    return trailing_on(df, key, F.unix_timestamp(F.col(ts)), lookback_s, aggs)
+    return trailing_on(df, key, F.unix_timestamp(F.col(ts)), lookback_s, aggs, width)
 
 
 def micros(ts) -> Column:
@@ -94,7 +133,8 @@ def first_time_fix(tables, days: int = FIRST_FIX_DAYS) -> DataFrame:
     fo = (tables["outages"].filter(F.col("forced_outage_flag"))
           .select("asset_id", micros("outage_start_ts").alias("_at"), F.lit(False).alias("_repair")))
     seen = trailing_on(em.unionByName(fo), "asset_id", -F.col("_at"), days * DAY * 1_000_000,
-                       {"_last": ("max", F.when(~F.col("_repair"), F.col("_at")))})
+                       {"_last": ("max", F.when(~F.col("_repair"), F.col("_at")))},
+                       _chunk(days) * DAY * 1_000_000)
     fixed = F.coalesce(F.col("_last") <= F.col("_at"), F.lit(True))
     return seen.filter("_repair").agg(
         F.count(F.lit(1)).alias("emergency_repairs"),
@@ -112,7 +152,7 @@ def third_outage_escalation(tables, n: int = ESCALATION_COUNT,
           .select("asset_id", "outage_id", "outage_start_ts"))
     c = trailing(fo, "asset_id", "outage_start_ts", lookback_days * DAY,
                  {"n_trailing": ("count", F.lit(1)),
-                  "_first_e": ("min", F.unix_timestamp("outage_start_ts"))})
+                  "_first_e": ("min", F.unix_timestamp("outage_start_ts"))}, _chunk(lookback_days) * DAY)
     c = c.withColumn("window_first_ts", F.timestamp_seconds("_first_e").cast("timestamp_ntz"))
     esc = c.filter(F.col("n_trailing") >= n)
     first = esc.groupBy("asset_id").agg(
@@ -132,7 +172,7 @@ def trailing_deployments(tables, lookback_days: int = ESCALATION_LOOKBACK_DAYS,
     em = (tables["work_orders"].filter(F.col("work_order_type") == "emergency")
           .select("work_order_id", "asset_id", "created_ts"))
     c = trailing(em, "asset_id", "created_ts", lookback_days * DAY,
-                 {"trailing_12m_count": ("count", F.lit(1))})
+                 {"trailing_12m_count": ("count", F.lit(1))}, _chunk(lookback_days) * DAY)
     return c.select("work_order_id", "asset_id", "created_ts", "trailing_12m_count",
                     (F.col("trailing_12m_count") >= n).alias("at_or_over_limit"))
 
