@@ -25,5 +25,6 @@ ORACLE = {
     "op1_fuse_snapshots": exact_dedup.ORACLE,
     "op6_line_runs": line_runs.ORACLE,
     "op8_revisits": revisits.ORACLE,
+    "op11_trie_pairs": trie_pairs.ORACLE,
     "op12_centroid_matrix": centroid_matrix.ORACLE,
 }

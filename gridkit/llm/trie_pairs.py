@@ -199,3 +199,55 @@ def variants(docs: DataFrame, ratio: int = RATIO) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(table(spark, sf_dir, "documents"))
+
+
+def oracle(steps: int = 10) -> str:
+    """The same in plain SQL: CRC-32 byte by byte, neighbours by words with a hole, and
+    chains of at most ``steps`` forms (``n`` grows tenfold at each)."""
+    step = "CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    # the remainders of the 256 byte values, eight steps each
+    tables = ["t0 AS (SELECT i, CAST(i AS BIGINT) AS x FROM range(256) AS r(i))"]
+    tables += [f"t{k + 1} AS (SELECT i, {step} AS x FROM t{k})" for k in range(8)]
+    ends = ", ".join(f"f{k}.form" for k in range(steps, 0, -1))
+    chain = "\n".join(f"LEFT JOIN forms f{k} ON f{k}.word = f{k - 1 if k > 1 else ''}.form"
+                      for k in range(1, steps + 1))
+    return f"""WITH {', '.join(tables)},
+crc AS (SELECT list(x ORDER BY i) AS t FROM t8),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{UPPER.lower()}'),
+                                                 '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+bytes AS (
+  SELECT run, n, flatten(list_transform(string_split(doc || ':' || run, ''), lambda c:
+           CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)]
+                ELSE [CAST(192 + (unicode(c) >> 6) AS BIGINT), CAST(128 + (unicode(c) & 63) AS BIGINT)] END)) AS b
+  FROM runs),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b),
+           lambda a, x: xor(a >> 8, crc.t[(xor(a, x) & 255) + 1])), 4294967295) AS h FROM bytes, crc),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN run[: h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, n
+    FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+holes AS (
+  SELECT word, n, i, word[: i] AS a, word[i + 2 :] AS b
+  FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS (
+  SELECT x.word, x.n, y.word AS near, y.n AS near_n
+  FROM holes x JOIN holes y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT x.word, x.n, w.word, w.n FROM holes x JOIN words w ON w.word = x.a || x.b
+  UNION SELECT w.word, w.n, x.word, x.n FROM holes x JOIN words w ON w.word = x.a || x.b),
+best AS (
+  SELECT word, count(*) AS n_near,
+         first(near ORDER BY near_n DESC, near) AS form, max(near_n) AS form_n, any_value(n) AS n
+  FROM near GROUP BY word),
+forms AS (SELECT word, form, form_n FROM best WHERE form_n >= 10 * n)
+SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, f.form, f.form_n,
+       coalesce({ends}, f.form, w.word) AS root
+FROM words w LEFT JOIN best b USING (word) LEFT JOIN forms f USING (word)
+{chain}"""
+
+
+ORACLE = oracle()
