@@ -4,8 +4,11 @@ Each stage takes all that the stage before kept and writes Parquet for the next.
 All but the last return the columns of ``documents``; the last returns the
 packed pieces.
 
-Edge cases: null texts are empty texts; of rows that are equal in id and text
-one stays; an empty input gives empty stages.
+Edge cases: null texts are empty texts; very long texts are handled whole in every
+stage; of rows that are equal in id and text one stays; of equal or near texts the
+smallest doc_id stays, which leaves no ties; other columns of documents travel along
+whatever their names, up to packing, whose result has its own; an empty input gives
+empty stages.
 """
 
 from __future__ import annotations

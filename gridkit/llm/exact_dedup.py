@@ -14,7 +14,10 @@ broadcast.
 
 Edge cases: a null text is an empty one; of rows that repeat a doc_id all are
 members and one id stays; a null doc_id stays only in a group without ids (then
-keep_id is null and kept is true); an empty table gives an empty result.
+keep_id is null and kept is true); of equal texts the smallest doc_id stays, which has
+no ties but for rows that repeat it; very long texts are hashed and compared whole; only
+doc_id and text are read, so other columns may have any name; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations

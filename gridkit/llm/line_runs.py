@@ -12,7 +12,10 @@ Keys are held by 128-bit hash; everything runs as DataFrame operations.
 
 Edge cases: null or empty text is one empty line; keys under ``min_chars`` code
 points never drop; rows that repeat a doc_id count as one document; a null
-doc_id sorts after all others (and owns a line only if nobody else has it).
+doc_id sorts after all others (and owns a line only if nobody else has it); of the
+documents that hold a line the smallest owns it, so there are no ties; very long texts
+and lines are hashed whole; only doc_id and text are read, so other columns may have any
+name; an empty table gives an empty result.
 """
 
 from __future__ import annotations

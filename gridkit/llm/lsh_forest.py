@@ -25,8 +25,10 @@ similarity s with probability 1 - (1 - s**STEP)**TREES, 0.9999 at s = 0.75.
 
 Edge cases: texts without words have an empty set, no links and themselves as
 component; a text of fewer than five words is one shingle; rows that repeat a
-doc_id are one node; a null doc_id joins its class but never names a component;
-an empty table gives an empty result.
+doc_id are one node; a null doc_id joins its class but never names a component; of a
+component the smallest doc_id names it; very long texts give all their shingles; only
+doc_id and text are read, so other columns may have any name; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -46,6 +48,7 @@ WORDS, THRESHOLD = 5, 75
 STEP, TREES = 4, 24
 #: regions above this size are cut again at the next depth
 SMALL = 8
+#: depths of a tree; a region that is still large is left open for the exact join
 MAX_DEPTH = 4
 
 _SIGNS = "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>"
@@ -226,8 +229,8 @@ def prefix_candidates(docs: DataFrame, opened: DataFrame) -> DataFrame:
     """Pairs (a, b) of texts in different components that can reach the threshold.
 
     Shingles are ordered by rarity among these texts.  The heavy ones (at most
-    ``HEAVY``) need no count: they rank behind all others by their hash, so a
-    text adds those that its prefix needs by itself, and no hot key is joined.
+    ``HEAVY``) need no count: they rank behind all others by their hash, and a text
+    adds those that its prefix still needs; these meet in the join like any other.
     """
     sets = sets_of(docs, opened.select(F.col("doc").alias("doc_id")))
     named = sets.join(opened.withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "component", "members")

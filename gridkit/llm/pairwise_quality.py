@@ -14,7 +14,9 @@ more); the score is the logistic of utility minus cut.
 All labelled training rows are used; no label, language, source or id enters a
 score.  Edge cases: null and empty texts are scored as texts without words; a
 null id is not held out; if labels of one kind are missing all scores are 0.5
-and every row is kept; an empty table gives an empty result.
+and every row is kept; equal hashes are ordered by id, and equal utilities get equal
+scores; very long texts are measured whole; only doc_id, text and the label columns are
+read, so other columns may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -11,9 +11,10 @@
    rows share spreads over as many shards as it fills.
 4. In a shard, sorted by key and doc_id, an inverted index of its distinct texts is
    built.  A seed document opens a window; the index returns its unused neighbours by
-   BM25 over all terms of the seed and these fill the window greedily; the piece that crosses the end is cut there, and its rest is the
-   next window's seed.  With no neighbour left, the next unused document
-   follows.  So only the last window of a shard is padded.
+   BM25 over all terms of the seed and these fill the window greedily; the piece that
+   crosses the end is cut there, and its rest is the next window's seed.  With no
+   neighbour left, the next unused document follows.  So only the last window of a
+   shard is padded.
 
 The search is local: a seed sees its own shard only, and a long document is
 indexed and queried by its rest, with frequencies and mean length of whole texts.
@@ -22,8 +23,10 @@ So a row of a shard is always less than a window, and shards hold alike many
 tokens, however long single texts are.
 
 Edge cases: null and empty texts are the closing id alone; rows that repeat a
-doc_id are packed each; a null doc_id is kept as null; an empty table gives an
-empty result.
+doc_id are packed each; a null doc_id is kept as null; texts of equal score go in the
+order of the shard, copies one after the other; very long texts are encoded and packed
+whole; only doc_id and text are read, so other columns may have any name; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ subtrees keep their rows in place.
 
 Edge cases: a null id is hashed as a value of its own (all such rows share a
 shard), a null text has size 1 and crc 0, rows that repeat an id share its
-shard and take slots of their own; an empty table gives an empty result.
+shard and take slots of their own; equal draws go to the child named first; very long
+texts count whole; only doc_id and text are read, so other columns may have any name;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations

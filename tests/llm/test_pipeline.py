@@ -3,6 +3,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from conftest import SF001
 from test_operators import ROWS, SCHEMA, brute_components, rows, shingle_set
@@ -61,3 +63,19 @@ def test_awkward_rows(spark, tmp_path):
 def test_one_row_stays_of_equal_rows(spark):
     docs = spark.createDataFrame([(5, "a b"), (5, "a b"), (5, "c"), (6, "c"), (None, "c")], SCHEMA)
     assert Counter(rows(P.exact(spark, docs, SF001))) == Counter([(5, "a b"), (5, "c")])
+
+
+def test_columns_with_clashing_names_travel_along(spark):
+    docs = spark.createDataFrame([r for r in ROWS if r[0] is not None], SCHEMA)
+    extra = docs
+    for c in ("score", "predicted", "kept", "component", "keep_id", "sha", "size", "__id_", "key", "n", "start", "ids",
+              "item_id", "edits", "batch", "shard", "length"):
+        extra = extra.withColumn(c, F.lit("clash"))
+    for name, f in P.STAGES:
+        plain, wide = f(spark, docs, SF001), f(spark, extra, SF001)
+        if name == "pack":
+            assert sorted(wide.columns) == sorted(plain.columns)
+        else:
+            assert wide.columns == extra.columns
+            assert Counter(rows(wide.select("doc_id", "text"))) == Counter(rows(plain.select("doc_id", "text"))), name
+            assert wide.where("score <> 'clash'").isEmpty()
