@@ -1,14 +1,22 @@
 """Near duplicates by a MinHash LSH forest.
 
 A text's set is its distinct five-word shingles.  Texts with equal sets are one
-class; one representative goes on.  A representative's signature is read in
-``TREES`` orders; in each order, texts that share the first ``STEP`` values are
-a region.  Depth adapts: a region of more than ``SMALL`` texts is cut again by
-the next ``STEP`` values of its order, as deep as it stays large.  Candidates
-are a member and the first member of each region that it lies in, at every
-depth, so their number is linear in the members, whatever the size of a group.
-
-Candidates are confirmed on full sets.  A region is settled when its members
+class; one representative goes on.  Its signature has ``STEP * TREES`` values and is
+read in ``TREES`` orders, tree t from value ``STEP * t`` on and round to its start: a
+tree is the prefix tree of these paths, and its leaves in order are the sorted paths.
+Texts whose paths share the first ``STEP`` values are a region.
+
+Candidates are neighbours in a sorted order: of all paths, those before and after
+share the longest prefixes with a path.  Depth so follows from the region: neighbours
+in a thin region part soon after ``STEP`` values, those in a crowded one only at the
+depth that tells them apart, up to the whole signature.  A path is the neighbour of
+two, so candidates are linear in the members, whatever the size of a group.  The
+orders are range-sorted; the ends of ranges meet on the driver.  The first ``EARLY``
+orders are confirmed at once, and of the others only neighbours that no chain of
+links holds together by then.
+
+Candidates are confirmed on full sets.  Regions that are not of one component by then
+are measured against their first member.  A region is settled when its members
 outside the first one's component are of one component and too far from the first
 for a link to any member of its component in the region, also to one that only a
 chain of links holds there (by the triangle inequality of the Jaccard distance and
@@ -19,9 +27,9 @@ n_x - ceil(t n_x) + 1 of x and the first n_y - ceil(2t / (1 + t) n_y) + 1 of y,
 from it on either has enough left.  Texts of one component are never paired: at each
 shingle, its largest component meets the others only.
 
-So the two texts of every linked pair that shares a region at the first depth end
-in one component, whatever the size of the region: the trees find a pair of
-similarity s with probability 1 - (1 - s**STEP)**TREES, 0.9999 at s = 0.75.
+So the two texts of every linked pair that shares a region end in one component,
+whatever the size of the region: the trees find a pair of similarity s with
+probability 1 - (1 - s**STEP)**TREES, 0.9999 at s = 0.75.
 
 Edge cases: texts without words have an empty set, no links and themselves as
 component; a text of fewer than five words is one shingle; rows that repeat a
@@ -37,6 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,12 +55,12 @@ from .components import components
 
 WORDS, THRESHOLD = 5, 75
 STEP, TREES = 4, 24
-#: regions above this size are cut again at the next depth
-SMALL = 8
-#: depths of a tree; a region that is still large is left open for the exact join
-MAX_DEPTH = 4
+#: bytes of a value in a path (the low half of a MinHash value)
+WIDTH = 2
+#: orders whose neighbours are confirmed first
+EARLY = 4
 
-_SIGNS = "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>"
+_SIGNS = "doc_id long, n_shingles long, set_a long, set_b long, path binary"
 
 
 def _signature(values: np.ndarray, mult: np.ndarray, add: np.ndarray) -> np.ndarray:
@@ -70,29 +79,21 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     mult = rng.integers(1, 1 << 32, n, dtype=np.uint32) | np.uint32(1)
     add = rng.integers(0, 1 << 32, n, dtype=np.uint32)
     powers = Powers()
-    salt = mix(np.arange(1, TREES + 1, dtype=U))
     for batch in batches:
         offsets, data = flat(batch.column(1))
         for a, b in pieces(offsets):
             words = Words(offsets[a: b + 1] - offsets[a], data[offsets[a]: offsets[b]], powers)
-            counts, one, two, keys = [], [], [], []
+            counts, one, two, paths = [], [], [], []
             for s in shingles(words, WORDS):
                 counts.append(len(s))
                 one.append(int(mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U).view(np.int64)))
                 two.append(int(mix(s + U(0x14057B7EF767814F)).sum(dtype=U).view(np.int64)))
-                if not len(s):
-                    keys.append([])
-                    continue
-                sig = _signature(s, mult, add).reshape(TREES, STEP).astype(U)
-                key = salt.copy()
-                for i in range(STEP):
-                    key = mix(key * U(0xD6E8FEB86659FD93) + sig[:, i])
-                keys.append(key.view(np.int64).tolist())
+                low = _signature(s, mult, add) if len(s) else np.zeros(0, np.uint32)
+                paths.append((low ^ (low >> np.uint32(16))).astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(counts, pa.int64()),
-                 pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "keys"])
+                 pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(paths, pa.binary())],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "path"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,40 +124,111 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def classes_of(docs: DataFrame) -> DataFrame:
-    """One row per document: size and hash of its set, and its keys by tree."""
+    """One row per document: size and hash of its set, and its signature."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return stored(texts.mapInArrow(_sign, _SIGNS), "signatures")
 
 
-def keys_of(signs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(doc, keys) of each representative: its keys by tree."""
+def paths_of(signs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc, path) of each representative: its signature, the path in the first tree."""
     reps = classes.where("rep is not null").select("set_a", "set_b", "n_shingles", F.col("rep").alias("doc_id"))
     return (signs.join(reps, ["doc_id", "set_a", "set_b", "n_shingles"], "left_semi")
-            .select(F.col("doc_id").alias("doc"), "keys"))
+            .select(F.col("doc_id").alias("doc"), "path"))
 
 
-def _regions(members: DataFrame) -> DataFrame:
-    return (members.groupBy("region").agg(F.count("*").alias("n"), F.min("doc").alias("first"))
-            .where("n > 1"))
+def regions_of(paths: DataFrame) -> DataFrame:
+    """(region, tree, doc, n, first): texts whose paths in a tree share the first ``STEP``
+    values, of regions of two and more; ``first`` is the least of a region."""
+    start = f"substring(path, tree * {STEP * WIDTH} + 1, {STEP * WIDTH})"
+    members = (paths.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
+               .select("doc", "tree", F.expr(f"xxhash64(tree, {start})").alias("region")))
+    shared = (members.groupBy("region").agg(F.count("*").alias("n"), F.min("doc").alias("first"))
+              .where("n > 1"))
+    return members.join(shared, "region").select("region", "tree", "doc", "n", "first")
 
 
-def first_candidates(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(region, doc, first) at the first depth, stored; and pairs at all depths.
-    Only the members of large regions fetch their keys again to go deeper."""
-    keys = stored(keys, "keys")
-    members = keys.select("doc", F.posexplode("keys").alias("tree", "region"))
-    base = stored(members.join(_regions(members), "region"), "regions")
-    levels = [base]
-    deep = base.where(F.col("n") > SMALL).select("region", "doc", "tree")
-    deep = deep.join(keys, "doc")
-    for depth in range(1, MAX_DEPTH):
-        nxt = F.element_at("keys", F.pmod(F.col("tree") + F.lit(depth), F.lit(TREES)) + 1)
-        deep = deep.withColumn("region", F.xxhash64("region", nxt))
-        deep = deep.join(_regions(deep), "region")
-        levels.append(deep)
-        deep = deep.where(F.col("n") > SMALL).select("region", "doc", "tree", "keys")
-    pairs = [x.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")) for x in levels]
-    return base.select("region", "doc", "first"), union_all(pairs)
+def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Values that each row of x and of y have in common from the start."""
+    differ = np.concatenate([x != y, np.ones((len(x), 1), bool)], axis=1)
+    return differ.argmax(axis=1)
+
+
+def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbours (a, b) of a sorted range; its first and its last row with their paths."""
+    part = TaskContext.get().partitionId()
+    last = None
+
+    def out(tree, a, b, depth, parts, path):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(tree, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
+             pa.array(depth, pa.int32()), pa.array(parts, pa.int32()), pa.array(path, pa.binary())],
+            names=["tree", "a", "b", "depth", "part", "path"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tree, doc = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        path = flat(batch.column(1))[1].reshape(len(doc), -1).view(np.uint16)
+        if last is None:
+            yield out(tree[:1], [None], doc[:1], [0], [part], [path[0].tobytes()])
+        else:
+            tree, doc, path = (np.concatenate([x, y]) for x, y in zip(last, (tree, doc, path)))
+        depth = _common(path[:-1], path[1:])
+        near = np.flatnonzero((depth >= STEP) & (tree[:-1] == tree[1:]) & (doc[:-1] != doc[1:]))
+        yield out(tree[near], doc[near], doc[near + 1], depth[near], [None] * len(near), [None] * len(near))
+        last = tree[-1:], doc[-1:], path[-1:]
+    if last is not None:
+        yield out(last[0], last[1], [None], [0], [part], [last[2][0].tobytes()])
+
+
+def _ends(edges: list) -> list[tuple]:
+    """Neighbours across ranges: the last row of each and the first of the next."""
+    spans = {}
+    for r in edges:
+        spans.setdefault(r["part"], {})["last" if r["b"] is None else "first"] = r
+    order = sorted(spans.values(), key=lambda x: (x["first"]["tree"], bytes(x["first"]["path"]), x["first"]["b"]))
+    met = []
+    for x, y in zip(order, order[1:]):
+        x, y = x["last"], y["first"]
+        one, two = (np.frombuffer(bytes(r["path"]), np.uint16)[None] for r in (x, y))
+        depth = int(_common(one, two)[0])
+        if x["tree"] == y["tree"] and depth >= STEP and x["a"] != y["b"]:
+            met.append((x["tree"], x["a"], y["b"], depth))
+    return met
+
+
+def neighbours(paths: DataFrame, regions: DataFrame) -> DataFrame:
+    """(tree, a, b, depth), a < b: neighbours in the sorted order of each tree that share
+    at least ``STEP`` values, and how many they share (two alone in a region are
+    neighbours without a sort; their depth is not read)."""
+    stride = STEP * WIDTH
+    turned = F.expr(f"concat(substring(path, tree * {stride} + 1), substring(path, 1, tree * {stride}))")
+    start = F.expr(f"xxhash64(tree, substring(path, tree * {stride} + 1, {stride}))")
+    leaves = (regions.where("n > 2").select("region", "tree", "doc").join(paths, "doc")
+              .where(F.col("region") == start).select("tree", turned.alias("path"), "doc"))
+    met = stored(leaves.repartitionByRange("tree", "path", "doc").sortWithinPartitions("tree", "path", "doc")
+                 .mapInArrow(_adjacent, "tree int, a long, b long, depth int, part int, path binary"), "sorted")
+    edges = met.where("part is not null").collect()  # two rows a range
+    kinds = "tree int, a long, b long, depth int"
+    across = paths.sparkSession.createDataFrame(_ends(edges), kinds)
+    alone = (regions.where("n = 2 and doc <> first")
+             .select("tree", F.col("first").alias("a"), F.col("doc").alias("b"), F.lit(STEP).alias("depth")))
+    every = met.where("part is null").select("tree", "a", "b", "depth").unionByName(across).unionByName(alone)
+    return every.select("tree", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "depth")
+
+
+def _component_of(df: DataFrame, comp: DataFrame, node: str, name: str) -> DataFrame:
+    """With column ``name``: the component of ``node``, itself where it has no link."""
+    own = comp.select(F.col("node").alias(node), F.col("component").alias(name))
+    return df.join(own, node, "left").withColumn(name, F.coalesce(name, node))
+
+
+def mixed(regions: DataFrame, comp: DataFrame) -> DataFrame:
+    """(region, doc, first) of regions that are not of one component."""
+    placed = _component_of(regions.select("region", "doc", "first"), comp, "doc", "component")
+    several = (placed.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+               .where("low < high").select("region"))
+    return placed.join(several, "region", "left_semi").select("region", "doc", "first")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -271,12 +343,23 @@ def prefix_candidates(docs: DataFrame, opened: DataFrame) -> DataFrame:
 def link(docs: DataFrame, signs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, component) of all representatives that have a link."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    paths = paths_of(signs, classes)
     if not signs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        docs = docs.dropDuplicates(["doc_id"])  # rows of one id are one node
-    regions, pairs = first_candidates(keys_of(signs, classes))
-    ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    todo = stored(pairs.select(*ordered).distinct(), "pairs")
-    done = confirm(docs, todo)
+        docs, paths = docs.dropDuplicates(["doc_id"]), paths.distinct()  # rows of one id are one node
+    paths = stored(paths, "paths")
+    regions = stored(regions_of(paths), "regions")
+    near = stored(neighbours(paths, regions), "neighbours")
+    early = near.where(F.col("tree") < EARLY).select("a", "b").distinct()
+    done = confirm(docs, stored(early, "pairs"))
+    comp = stored(components(_linked(done)), "near-comp")
+    late = near.where(F.col("tree") >= EARLY).select("a", "b").distinct()
+    late = _component_of(_component_of(late, comp, "a", "ca"), comp, "b", "cb").where("ca <> cb").select("a", "b")
+    regions = stored(mixed(regions, comp), "regions")
+    leads = regions.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b"))
+    more = stored(late.unionByName(leads).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+    if more.isEmpty():
+        return comp
+    done = done.unionByName(confirm(docs, more))
     links = _linked(done)
     comp = stored(components(links), "near-comp")
     opened = stored(unsettled(regions, done, comp), "unsettled")

@@ -210,6 +210,33 @@ def test_near_duplicates_of_families(spark):
     check_near(lsh_forest.near_duplicates(spark.createDataFrame(data, SCHEMA)), data)
 
 
+def test_neighbours_are_those_of_the_sorted_orders(spark):
+    """Ranges of a few rows: a region of a third of the texts, equal paths, regions of two."""
+    rng = np.random.default_rng(8)
+    n = lsh_forest.STEP * lsh_forest.TREES
+    base = rng.integers(0, 1 << 16, n).astype(np.uint16)
+    sigs = [rng.integers(0, 1 << 16, n).astype(np.uint16) for _ in range(80)]
+    for i in range(40):
+        s = base.copy()
+        s[rng.integers(0, n, i % 5)] = rng.integers(0, 1 << 16)
+        sigs.append(s)
+    sigs.append(np.concatenate([sigs[0][:lsh_forest.STEP], sigs[1][lsh_forest.STEP:]]))
+    paths = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sigs)], "doc long, path binary")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = rows(lsh_forest.neighbours(paths, lsh_forest.regions_of(paths)).select("tree", "a", "b"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    want = set()
+    for tree in range(lsh_forest.TREES):
+        turned = sorted((np.roll(s, -tree * lsh_forest.STEP).tobytes(), i) for i, s in enumerate(sigs))
+        for (x, i), (y, j) in zip(turned, turned[1:]):
+            if x[:2 * lsh_forest.STEP] == y[:2 * lsh_forest.STEP]:
+                want.add((tree, min(i, j), max(i, j)))
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 @pytest.mark.parametrize("chain,away,is_open", [(40, 55, True), (40, 65, True), (40, 66, False), (10, 35, True),
                                                 (10, 36, False), (10, 45, False)])
 def test_regions_with_chained_members_are_opened(spark, chain, away, is_open):
