@@ -236,16 +236,12 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return stored(only(docs, wanted).mapInArrow(_sets, "doc_id long, members binary"), "sets")
 
 
-def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def confirm(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Sizes of intersection and union on full sets, for distinct pairs (a < b)."""
-    sets = sets_of(docs, pairs.select(F.col("a").alias("doc_id"))
-                   .unionByName(pairs.select(F.col("b").alias("doc_id"))))
     one = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
-    found = stored(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-                   .mapInArrow(_compare, "a long, b long, shared long, joint long"), "compared")
-    discard(sets)
-    return found
+    return stored(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
+                  .mapInArrow(_compare, "a long, b long, shared long, joint long"), "compared")
 
 
 def unsettled(regions: DataFrame, done: DataFrame, comp: DataFrame) -> DataFrame:
@@ -297,16 +293,16 @@ def _prefix_parts(heavy: np.ndarray, light: bool):
     return run
 
 
-def prefix_candidates(docs: DataFrame, opened: DataFrame) -> DataFrame:
+def prefix_candidates(sets: DataFrame, opened: DataFrame) -> DataFrame:
     """Pairs (a, b) of texts in different components that can reach the threshold.
 
     Shingles are ordered by rarity among these texts.  The heavy ones (at most
     ``HEAVY``) need no count: they rank behind all others by their hash, and a text
     adds those that its prefix still needs; these meet in the join like any other.
     """
-    sets = sets_of(docs, opened.select(F.col("doc").alias("doc_id")))
-    named = sets.join(opened.withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "component", "members")
-    df = stored(sets.select("members").mapInArrow(_all_members, "shingle long")
+    named = stored(sets.join(opened.withColumnRenamed("doc", "doc_id"), "doc_id")
+                   .select("doc_id", "component", "members"), "open-sets")
+    df = stored(named.select("members").mapInArrow(_all_members, "shingle long")
                 .groupBy("shingle").agg(F.count("*").alias("df")), "df")
     total = df.agg(F.sum("df")).first()[0] or 0
     least = max(2, total // HEAVY)
@@ -348,9 +344,18 @@ def link(docs: DataFrame, signs: DataFrame, classes: DataFrame) -> DataFrame:
         docs, paths = docs.dropDuplicates(["doc_id"]), paths.distinct()  # rows of one id are one node
     paths = stored(paths, "paths")
     regions = stored(regions_of(paths), "regions")
+    sets = sets_of(docs, regions.select(F.col("doc").alias("doc_id")))
+    comp = _settle(sets, paths, regions)
+    discard(sets)
+    return comp
+
+
+def _settle(sets: DataFrame, paths: DataFrame, regions: DataFrame) -> DataFrame:
+    """(node, component): neighbours first, then the first members of mixed regions,
+    then the exact join of what is open."""
     near = stored(neighbours(paths, regions), "neighbours")
     early = near.where(F.col("tree") < EARLY).select("a", "b").distinct()
-    done = confirm(docs, stored(early, "pairs"))
+    done = confirm(sets, stored(early, "pairs"))
     comp = stored(components(_linked(done)), "near-comp")
     late = near.where(F.col("tree") >= EARLY).select("a", "b").distinct()
     late = _component_of(_component_of(late, comp, "a", "ca"), comp, "b", "cb").where("ca <> cb").select("a", "b")
@@ -359,16 +364,16 @@ def link(docs: DataFrame, signs: DataFrame, classes: DataFrame) -> DataFrame:
     more = stored(late.unionByName(leads).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
     if more.isEmpty():
         return comp
-    done = done.unionByName(confirm(docs, more))
+    done = done.unionByName(confirm(sets, more))
     links = _linked(done)
     comp = stored(components(links), "near-comp")
     opened = stored(unsettled(regions, done, comp), "unsettled")
     if opened.isEmpty():
         return comp
-    more = stored(prefix_candidates(docs, opened).join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    more = stored(prefix_candidates(sets, opened).join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     if more.isEmpty():
         return comp
-    return stored(components(links.unionByName(_linked(confirm(docs, more)))), "near-comp")
+    return stored(components(links.unionByName(_linked(confirm(sets, more)))), "near-comp")
 
 
 def _linked(compared: DataFrame) -> DataFrame:
