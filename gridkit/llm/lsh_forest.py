@@ -46,7 +46,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import U, Powers, Words, flat, mix, pieces, shingles
@@ -136,12 +136,16 @@ def paths_of(signs: DataFrame, classes: DataFrame) -> DataFrame:
             .select(F.col("doc_id").alias("doc"), "path"))
 
 
+def _region(path: str, tree: Column, start: Column) -> Column:
+    """Name of the region of a path, whose first values lie from byte ``start`` on."""
+    return F.xxhash64(tree, F.substr(F.col(path), start, F.lit(STEP * WIDTH)))
+
+
 def regions_of(paths: DataFrame) -> DataFrame:
     """(region, tree, doc, n, first): texts whose paths in a tree share the first ``STEP``
     values, of regions of two and more; ``first`` is the least of a region."""
-    start = f"substring(path, tree * {STEP * WIDTH} + 1, {STEP * WIDTH})"
-    members = (paths.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
-               .select("doc", "tree", F.expr(f"xxhash64(tree, {start})").alias("region")))
+    keys = F.array(*(_region("path", F.lit(t), F.lit(t * STEP * WIDTH + 1)) for t in range(TREES)))
+    members = paths.select("doc", keys.alias("keys")).select("doc", F.posexplode("keys").alias("tree", "region"))
     shared = (members.groupBy("region").agg(F.count("*").alias("n"), F.min("doc").alias("first"))
               .where("n > 1"))
     return members.join(shared, "region").select("region", "tree", "doc", "n", "first")
@@ -203,9 +207,9 @@ def neighbours(paths: DataFrame, regions: DataFrame) -> DataFrame:
     neighbours without a sort; their depth is not read)."""
     stride = STEP * WIDTH
     turned = F.expr(f"concat(substring(path, tree * {stride} + 1), substring(path, 1, tree * {stride}))")
-    start = F.expr(f"xxhash64(tree, substring(path, tree * {stride} + 1, {stride}))")
+    own = _region("path", F.col("tree"), F.col("tree") * stride + 1)
     leaves = (regions.where("n > 2").select("region", "tree", "doc").join(paths, "doc")
-              .where(F.col("region") == start).select("tree", turned.alias("path"), "doc"))
+              .where(F.col("region") == own).select("tree", turned.alias("path"), "doc"))
     met = stored(leaves.repartitionByRange("tree", "path", "doc").sortWithinPartitions("tree", "path", "doc")
                  .mapInArrow(_adjacent, "tree int, a long, b long, depth int, part int, path binary"), "sorted")
     edges = met.where("part is not null").collect()  # two rows a range
@@ -353,9 +357,9 @@ def link(docs: DataFrame, signs: DataFrame, classes: DataFrame) -> DataFrame:
 def _settle(sets: DataFrame, paths: DataFrame, regions: DataFrame) -> DataFrame:
     """(node, component): neighbours first, then the first members of mixed regions,
     then the exact join of what is open."""
-    near = stored(neighbours(paths, regions), "neighbours")
+    near = neighbours(paths, regions)
     early = near.where(F.col("tree") < EARLY).select("a", "b").distinct()
-    done = confirm(sets, stored(early, "pairs"))
+    done = confirm(sets, early)
     comp = stored(components(_linked(done)), "near-comp")
     late = near.where(F.col("tree") >= EARLY).select("a", "b").distinct()
     late = _component_of(_component_of(late, comp, "a", "ca"), comp, "b", "cb").where("ca <> cb").select("a", "b")
