@@ -46,7 +46,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import U, Powers, Words, flat, mix, pieces, shingles
@@ -136,15 +136,11 @@ def paths_of(signs: DataFrame, classes: DataFrame) -> DataFrame:
             .select(F.col("doc_id").alias("doc"), "path"))
 
 
-def _region(path: str, tree: Column, start: Column) -> Column:
-    """Name of the region of a path, whose first values lie from byte ``start`` on."""
-    return F.xxhash64(tree, F.substr(F.col(path), start, F.lit(STEP * WIDTH)))
-
-
 def regions_of(paths: DataFrame) -> DataFrame:
     """(region, tree, doc, n, first): texts whose paths in a tree share the first ``STEP``
     values, of regions of two and more; ``first`` is the least of a region."""
-    keys = F.array(*(_region("path", F.lit(t), F.lit(t * STEP * WIDTH + 1)) for t in range(TREES)))
+    start = lambda t: F.substr(F.col("path"), F.lit(t * STEP * WIDTH + 1), F.lit(STEP * WIDTH))
+    keys = F.array(*(F.xxhash64(F.lit(t), start(t)) for t in range(TREES)))
     members = paths.select("doc", keys.alias("keys")).select("doc", F.posexplode("keys").alias("tree", "region"))
     shared = (members.groupBy("region").agg(F.count("*").alias("n"), F.min("doc").alias("first"))
               .where("n > 1"))
@@ -201,15 +197,21 @@ def _ends(edges: list) -> list[tuple]:
     return met
 
 
-def neighbours(paths: DataFrame, regions: DataFrame) -> DataFrame:
+def members_of(regions: DataFrame) -> DataFrame:
+    """(doc, trees): one row per text of any region; bit t of ``trees`` is set where
+    its region in tree t has more than two texts."""
+    return regions.groupBy("doc").agg(F.expr("bit_or(if(n > 2, shiftleft(1L, tree), 0L))").alias("trees"))
+
+
+def neighbours(paths: DataFrame, regions: DataFrame, members: DataFrame) -> DataFrame:
     """(tree, a, b, depth), a < b: neighbours in the sorted order of each tree that share
     at least ``STEP`` values, and how many they share (two alone in a region are
     neighbours without a sort; their depth is not read)."""
     stride = STEP * WIDTH
     turned = F.expr(f"concat(substring(path, tree * {stride} + 1), substring(path, 1, tree * {stride}))")
-    own = _region("path", F.col("tree"), F.col("tree") * stride + 1)
-    leaves = (regions.where("n > 2").select("region", "tree", "doc").join(paths, "doc")
-              .where(F.col("region") == own).select("tree", turned.alias("path"), "doc"))
+    leaves = (members.where("trees <> 0").join(paths, "doc")
+              .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
+              .where("shiftright(trees, tree) & 1 = 1").select("tree", turned.alias("path"), "doc"))
     met = stored(leaves.repartitionByRange("tree", "path", "doc").sortWithinPartitions("tree", "path", "doc")
                  .mapInArrow(_adjacent, "tree int, a long, b long, depth int, part int, path binary"), "sorted")
     edges = met.where("part is not null").collect()  # two rows a range
@@ -348,16 +350,16 @@ def link(docs: DataFrame, signs: DataFrame, classes: DataFrame) -> DataFrame:
         docs, paths = docs.dropDuplicates(["doc_id"]), paths.distinct()  # rows of one id are one node
     paths = stored(paths, "paths")
     regions = stored(regions_of(paths), "regions")
-    sets = sets_of(docs, regions.select(F.col("doc").alias("doc_id")))
-    comp = _settle(sets, paths, regions)
+    members = stored(members_of(regions), "members")
+    sets = sets_of(docs, members.select(F.col("doc").alias("doc_id")))
+    comp = _settle(sets, neighbours(paths, regions, members), regions)
     discard(sets)
     return comp
 
 
-def _settle(sets: DataFrame, paths: DataFrame, regions: DataFrame) -> DataFrame:
+def _settle(sets: DataFrame, near: DataFrame, regions: DataFrame) -> DataFrame:
     """(node, component): neighbours first, then the first members of mixed regions,
     then the exact join of what is open."""
-    near = neighbours(paths, regions)
     early = near.where(F.col("tree") < EARLY).select("a", "b").distinct()
     done = confirm(sets, early)
     comp = stored(components(_linked(done)), "near-comp")

@@ -225,7 +225,8 @@ def test_neighbours_are_those_of_the_sorted_orders(spark):
     old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = rows(lsh_forest.neighbours(paths, lsh_forest.regions_of(paths)).select("tree", "a", "b"))
+        regions = lsh_forest.regions_of(paths)
+        got = rows(lsh_forest.neighbours(paths, regions, lsh_forest.members_of(regions)).select("tree", "a", "b"))
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
     want = set()
