@@ -194,6 +194,10 @@ def v05(spark, d):
     return reduce(DataFrame.unionByName, parts)
 
 
+#: a task writes about so many files: what they cost follows their number, not their bytes
+FILES_A_TASK = 200
+
+
 @register("s09_corpus_read", """
 SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS md5
 FROM documents WHERE text IS NOT NULL""")
@@ -201,7 +205,9 @@ def s09(spark, d):
     """Every document as a file of its own, read back: files of more than 32 KB in parts."""
     docs = spark.read.parquet(f"{d}/documents.parquet").where("text IS NOT NULL").select("doc_id", "text")
     path = _scratch(spark, "s09")
-    docs.hint("rebalance").write.partitionBy("doc_id").text(path)
+    # a folder per writing task: the commit moves these, however many files they hold
+    dealt = docs.repartition(max(1, -(-docs.count() // FILES_A_TASK))).withColumn("task", F.spark_partition_id())
+    dealt.write.partitionBy("task", "doc_id").text(path)
     parts = sinks.read_corpus(spark, path, "*.txt", large=32 << 10, name=r"doc_id=([^/]+)/")
     # a part is at most 32 KB, so a document's parts are few; the writer ended each file with a line feed
     inside = F.array_sort(F.collect_list(F.struct("part", "text")))
