@@ -96,6 +96,7 @@ def replay(spark: SparkSession, sf_dir: str, build: Callable[..., DataFrame], na
         out = S.run_available_now(spark, build(reader(step), _held_back(delay)), name, mode, paths)
     if close and ranges:
         end = max(f.high for f in ranges) + 2 * delay + 10 * 365 * 86400 * MICROS
+        end = end // 1000 * 1000 + 1  # the watermark, in whole milliseconds, never passes the marker itself
         mark = F.timestamp_micros(F.lit(end)).cast(schema["ts"].dataType)
         empty = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != "ts" else mark.alias("ts") for f in schema]
         spark.range(1).select(*empty).write.mode("append").parquet(marks)

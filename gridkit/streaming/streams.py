@@ -138,39 +138,62 @@ def ttl_dedupe_stream(events: DataFrame, keys=("user_id", "event_type"),
     return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "ts")
 
 
+#: states of ``ttl_expiring_stream``: each holds the keys of one hash
+BUCKETS = 4096
+
+
 def _expiring(ttl_us: int):
-    """State per key: the last stored time, and times that the watermark has not passed."""
+    """State per bucket of keys, as an Arrow table: the last stored time of its keys, and
+    times that the watermark has not passed."""
 
     def run(key, frames, state):
         import numpy as np
         import pandas as pd
-        if all(k is None for k in key):
-            return
-        last, waiting = state.get if state.exists else (None, [])
-        times = [np.array(waiting, "int64")]
+        import pyarrow as pa
+        names, times, stored = [], [], []
+        if state.exists:
+            held = pa.ipc.open_stream(state.get[0]).read_all()
+            names.append(held.column("name").to_pandas())
+            times.append(held.column("at").to_numpy())
+            stored.append(held.column("stored").to_numpy())
         if not state.hasTimedOut:
-            times += [f["ts"].to_numpy(dtype="datetime64[us]").astype("int64") for f in frames]
-        times = np.unique(np.concatenate(times))
+            for f in frames:
+                names.append(f["name"])
+                times.append(f["ts"].to_numpy(dtype="datetime64[us]").astype("int64"))
+                stored.append(np.zeros(len(f), bool))
+        if not names:
+            return
+        code, name = pd.factorize(pd.concat(names, ignore_index=True))
+        at, was = np.concatenate(times), np.concatenate(stored)
         passed = state.getCurrentWatermarkMs() * 1000
-        ready, later = times[times <= passed], times[times > passed]
-        kept, at = [], 0
-        while True:  # from one stored event to the first one past its lifetime
-            if last is not None:
-                at = int(np.searchsorted(ready, last + ttl_us, side="right"))
-            if at >= len(ready):
-                break
-            last = int(ready[at])
-            kept.append(last)
-        # called again when the next time can be decided, or when the last one is forgotten
-        wake = int(later[0]) if len(later) else last + ttl_us
-        if len(later) or wake > passed:
-            state.update((last, later.tolist()))
-            state.setTimeoutTimestamp(max(-(-wake // 1000), passed // 1000) + 1)
+        last = dict(zip(code[was].tolist(), at[was].tolist()))
+        ready = ~was & (at <= passed)
+        order = np.lexsort((at[ready], code[ready]))
+        kept_code, kept_at = [], []
+        for c, t in zip(code[ready][order].tolist(), at[ready][order].tolist()):
+            before = last.get(c)
+            if before is None or t > before + ttl_us:
+                last[c] = t
+                kept_code.append(c)
+                kept_at.append(t)
+        # called again when the next time can be decided, or when a last one is forgotten
+        later = ~was & (at > passed)
+        last = {c: t for c, t in last.items() if t + ttl_us > passed}
+        wakes = ([int(at[later].min())] if later.any() else []) + [t + ttl_us for t in last.values()]
+        if wakes:
+            table = pa.table({
+                "name": pa.array(name[np.concatenate([code[later], np.array(list(last), "int64")])], pa.string()),
+                "at": np.concatenate([at[later], np.array(list(last.values()), "int64")]),
+                "stored": np.arange(int(later.sum()) + len(last)) >= int(later.sum())})
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+                out.write_table(table)
+            state.update((sink.getvalue().to_pybytes(),))
+            state.setTimeoutTimestamp(max(-(-min(wakes) // 1000), passed // 1000) + 1)
         elif state.exists:
             state.remove()
-        if kept:
-            yield pd.DataFrame({**{f"k{i}": [k] * len(kept) for i, k in enumerate(key)},
-                                "ts": np.array(kept, "int64").astype("datetime64[us]")})
+        if kept_at:
+            yield pd.DataFrame({"name": name[kept_code], "ts": np.array(kept_at, "int64").astype("datetime64[us]")})
     return run
 
 
@@ -179,18 +202,22 @@ def ttl_expiring_stream(events: DataFrame, keys=("user_id", "event_type"),
     """st04 over any number of micro-batches: the rule of ``ttl_dedupe_stream`` in the
     order of event time, whatever the order of arrival within the watermark.
 
-    A time is decided when the watermark has passed it.  A key's state is its last
-    stored time and the times still waiting; it is dropped once the watermark has passed
+    A time is decided when the watermark has passed it.  Kept for a key are its last
+    stored time and the times still waiting; they are dropped once the watermark has passed
     the end of the last one's lifetime, so state follows the keys of one lifetime and
-    not those of all time.  Rows without a key only move the watermark.
+    not those of all time.  Keys share ``BUCKETS`` states by hash, so a micro-batch makes
+    that many calls at most, however many keys it has.  A key travels as the JSON text of
+    its values; nulls are a value.
     """
-    # a filter on the keys would go below the watermark and take the marker row with it
-    rows = events.where("ts IS NOT NULL").withWatermark("ts", watermark).select(*keys, "ts")
-    kinds = [rows.schema[k].dataType.simpleString() for k in keys]
-    schema = ", ".join([f"k{i} {t}" for i, t in enumerate(kinds)] + ["ts timestamp_ntz"])
-    out = rows.groupBy(*keys).applyInPandasWithState(
-        _expiring(ttl_seconds * 1_000_000), schema, "last long, waiting array<long>", "append", "EventTimeTimeout")
-    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "ts")
+    rows = events.where("ts IS NOT NULL").withWatermark("ts", watermark)
+    name = F.to_json(F.array(*[F.col(k).cast("string") for k in keys]))
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
+    out = rows.select(name.alias("name"), bucket.alias("bucket"), "ts").groupBy("bucket").applyInPandasWithState(
+        _expiring(ttl_seconds * 1_000_000), "name string, ts timestamp_ntz", "held binary", "append",
+        "EventTimeTimeout")
+    values = F.from_json("name", "array<string>")
+    return out.select(*[F.get(values, F.lit(i)).cast(rows.schema[k].dataType).alias(k) for i, k in enumerate(keys)],
+                      "ts")
 
 
 def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
