@@ -182,22 +182,33 @@ def asset_pnl(tables, start_date, end_date, curtail_share: float = CURTAILED_SHA
     d06 cost, margin = 100 (rev - opex - maint) / rev or -100 when revenue
     <= 0; curtailment = share x gen only on days priced under 30.
 
-    The asset x day spine is generated per asset (``explode(sequence)``),
-    not by a cross join.
+    An asset's losses and costs are gathered as maps by day, and a region's prices as
+    an array of the days: at most one entry per day of the calendar.  These meet the
+    assets, and only then is a row's day generated (``posexplode(sequence)``), so the
+    asset x day rows are neither shuffled nor sorted.
     """
+    first, last = (F.lit(d).cast("date") for d in (start_date, end_date))
+
+    def by_day(df, key, value, name):
+        return (df.where(F.col(key).isNotNull() & F.col("date").between(first, last)).groupBy(key)
+                  .agg(F.map_from_entries(F.collect_list(F.struct("date", value))).alias(name)))
+
     a = tables["assets"].select("asset_id", "site_id")
     sites = tables["sites"].select("site_id", "region_id")
     cap = assets_per_site(tables).select("site_id", "asset_capacity_mw")
     eff = (tables["telemetry"].groupBy("asset_id")
            .agg((F.avg("efficiency_pct") / 100).alias("eff")))
-    spine = (a.join(sites, "site_id").join(cap, "site_id")
-              .select("asset_id", "region_id", "asset_capacity_mw",
-                      F.explode(F.sequence(F.lit(start_date).cast("date"),
-                                           F.lit(end_date).cast("date"))).alias("date")))
-    j = (spine.join(eff, "asset_id", "left")
-              .join(loss_per_day(tables), ["asset_id", "date"], "left")
-              .join(region_day_price(tables), ["region_id", "date"], "left")
-              .join(cost_per_day(tables), ["asset_id", "date"], "left"))
+    prices = by_day(region_day_price(tables), "region_id", "avg_price", "prices").select(
+        "region_id", F.transform(F.sequence(first, last), lambda d: F.try_element_at("prices", d)).alias("prices"))
+    held = (a.join(sites, "site_id").join(cap, "site_id")
+             .join(eff, "asset_id", "left")
+             .join(by_day(loss_per_day(tables), "asset_id", "lost_mwh", "losses"), "asset_id", "left")
+             .join(by_day(cost_per_day(tables), "asset_id", "parts_cost_usd", "costs"), "asset_id", "left")
+             .join(prices, "region_id", "left"))
+    j = (held.select("*", F.posexplode(F.sequence(first, last)).alias("day", "date"))
+             .select("asset_id", "date", "asset_capacity_mw", "eff", F.get("prices", F.col("day")).alias("avg_price"),
+                     F.try_element_at("losses", F.col("date")).alias("lost_mwh"),
+                     F.try_element_at("costs", F.col("date")).alias("parts_cost_usd")))
     # one projection per step, so that no branch computes a rounded value again
     capc = F.col("asset_capacity_mw")
     gen = capc * 24 * dbl(BASE_CAPACITY_FACTOR) * F.coalesce("eff", dbl(default_efficiency))
