@@ -16,9 +16,14 @@ CORE_CONF = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # coalesce shuffle output to the advisory size (64 MB) instead of
-    # keeping one partition per core: fewer, fuller tasks
+    # coalesce shuffle output to the advisory size instead of keeping one
+    # partition per core: fewer, fuller tasks.  A task that joins several sorted
+    # sides or aggregates holds about 30 bytes per byte that it reads, so the
+    # size is what bounds its memory
     "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
+    # tasks that list folders: by default every folder may be one
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "100",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.optimizer.nestedSchemaPruning.enabled": "true",
