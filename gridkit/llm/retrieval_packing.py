@@ -3,8 +3,8 @@
 1. Every text is encoded once; its ids (and the closing id) are stored.  Windows
    that a long document fills alone are cut from it at once, without a shuffle;
    only its rest of less than a window goes on.
-2. Document frequencies of all ids are summed over all documents; the
-   vocabulary bounds their number.
+2. Document frequencies of all ids are counted by the encoding tasks, which store
+   them beside their rows, and summed; the vocabulary bounds their number.
 3. Documents are dealt by range of a lexical key (the least hashes of their
    ids, then a hash of doc_id): a shard is a stretch of about
    ``SHARD_TOKENS`` tokens of alike documents, and a text that a third of all
@@ -58,7 +58,9 @@ def _encode(files: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(files)
         # a fixed random order of the ids, by rank; no id has the rank NONE
-        rank = np.argsort(np.argsort(mix(np.arange(NONE, dtype=U) + U(0x632BE59BD9B4E019)))).astype(np.uint16)
+        by_rank = np.argsort(mix(np.arange(NONE, dtype=U) + U(0x632BE59BD9B4E019)))
+        rank = np.argsort(by_rank).astype(np.uint16)
+        held = np.zeros(NONE, np.int64)  # documents by rank
         for batch in batches:
             offsets, data = flat(batch.column(1))
             for low in range(0, batch.num_rows, 1000):
@@ -66,21 +68,28 @@ def _encode(files: dict):
                 rows = [np.append(encoder.ids(data[offsets[i]: offsets[i + 1]].tobytes()), CLOSING).astype(np.uint16)
                         for i in range(low, high)]
                 sizes = np.array([len(row) for row in rows])
-                starts = np.cumsum(sizes) - sizes
-                left, keys = rank[np.concatenate(rows)], np.zeros(len(rows), np.int64)
-                for _ in range(3):  # the three least ranks name the neighbourhood
-                    least = np.minimum.reduceat(left, starts)
-                    keys = keys << 16 | np.where(least == NONE, 0, least)
-                    left[left == np.repeat(least, sizes)] = NONE
+                keys = np.zeros((len(rows), 3), np.int64)  # the three least ranks name the neighbourhood
+                for i, row in enumerate(rows):
+                    ranks = np.unique(rank[row])
+                    held[ranks] += 1
+                    keys[i, : min(3, len(ranks))] = ranks[:3]
+                keys = keys[:, 0] << 32 | keys[:, 1] << 16 | keys[:, 2]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(low, high - low).cast(pa.int64()), pa.array(keys << 15),
                      pa.array(sizes, pa.int64()), pa.array([row.tobytes() for row in rows], pa.binary())],
                     names=["doc_id", "key", "n", "ids"])
+        terms = np.flatnonzero(held)
+        if len(terms):
+            df = np.stack([by_rank[terms], held[terms]]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, pa.int64())] * 3 + [pa.array([df.tobytes()], pa.binary())],
+                names=["doc_id", "key", "n", "ids"])
     return run
 
 
 def encode(docs: DataFrame, files: dict | None = None) -> DataFrame:
-    """(doc_id, key, n, ids) of every row; the vocabulary must fit 16 bits."""
+    """(doc_id, key, n, ids) of every row; the vocabulary must fit 16 bits.  A task adds a
+    row without ``n``: which ids its documents hold, and how many of them (64 bits each)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return stored(texts.mapInArrow(_encode(files or vocabulary()), "doc_id long, key long, n long, ids binary"),
                   "ids")
@@ -89,8 +98,9 @@ def encode(docs: DataFrame, files: dict | None = None) -> DataFrame:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        for ids in batch.column(0):
-            df[np.unique(np.frombuffer(ids.as_buffer(), np.uint16))] += 1
+        for held in batch.column(0):
+            term, count = np.frombuffer(held.as_buffer(), np.int64).reshape(2, -1)
+            df[term] += count
     term = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(term, pa.int32()), pa.array(df[term])], names=["term", "df"])
 
@@ -293,10 +303,11 @@ def _pieces(rows: list[tuple]) -> pa.RecordBatch:
 
 def pack(docs: DataFrame, files: dict | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Pieces of all documents with their ids (little-endian 32 bit)."""
-    encoded = encode(docs, files)
+    rows = encode(docs, files)
+    encoded = rows.where("n IS NOT NULL")
     whole = encoded.agg(F.count("*").alias("rows"), F.sum("n").alias("tokens")).first()
     df = np.zeros(1 << 16)
-    for r in (encoded.select("ids").mapInArrow(_frequencies, "term int, df long")
+    for r in (rows.where("n IS NULL").select("ids").mapInArrow(_frequencies, "term int, df long")
               .groupBy("term").agg(F.sum("df").alias("df")).collect()):  # one row per id of the vocabulary
         df[r["term"]] = r["df"]
     n = whole["rows"]

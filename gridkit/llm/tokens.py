@@ -1,28 +1,22 @@
 """Ids of a byte-level BPE vocabulary inside Spark tasks.
 
 The ids are those of the ``tokenizers`` file.  Texts whose characters all lie below
-U+0280 are cut into words by the vocabulary's own pattern, spelled out for these
-characters; a word's ids come from a bounded table of words seen before, or from
-the same vocabulary as tiktoken ranks.  In that range both libraries cut alike
-(tested); ``tokenizers`` encodes all other texts.  Special tokens in a text are
-ordinary text.
+U+0280 are encoded whole by the same vocabulary as tiktoken ranks; in that range both
+libraries cut alike (tested); ``tokenizers`` encodes all other texts.  No words are
+kept between texts, so a worker's memory does not grow with the words it has seen.
+Special tokens in a text are ordinary text.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 import sys
 import types
-import unicodedata
-from array import array
 
 import numpy as np
 
 #: least lead byte of characters from U+0280 on
 _BEYOND = 0xCA
-#: words of one generation of the table, and the length of words that enter it
-WORDS, WORD = 1 << 19, 32
 
 
 def vocabulary(name: str = "byte_bpe_50k") -> dict:
@@ -33,39 +27,6 @@ def vocabulary(name: str = "byte_bpe_50k") -> dict:
             "pattern": public_tokenizers.PATTERN}
 
 
-def _spelled(pattern: str) -> re.Pattern:
-    """``pattern`` for ``re``: its classes as lists of the characters below U+0280."""
-    chars = [chr(c) for c in range(0x280)]
-    names = {r"\p{L}": "".join(c for c in chars if unicodedata.category(c)[0] == "L"),
-             r"\p{N}": "".join(c for c in chars if unicodedata.category(c)[0] == "N"),
-             r"\s": "\t\n\x0b\x0c\r \x85\xa0"}
-    pattern = pattern.replace(r"(?!\S)", rf"(?![^{names[r'\s']}])")
-    inside = pattern.replace(r"[^\s\p{L}\p{N}]", "[^" + "".join(names[k] for k in (r"\s", r"\p{L}", r"\p{N}")) + "]")
-    for key, members in names.items():
-        inside = inside.replace(key, f"[{members}]")
-    return re.compile(inside)
-
-
-class _Table(dict):
-    """Ids (as bytes) by word, filled on demand.  A full table becomes the elder one;
-    words that are met again move over from it, the others go with it."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode, self.elder = encode, {}
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.elder.get(word)
-        if ids is None:
-            ids = array("I", self.encode(word)).tobytes()
-        if len(word) <= WORD:
-            if len(self) >= WORDS:
-                self.elder = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
-
-
 class Encoder:
     def __init__(self, files: dict):
         import tiktoken
@@ -73,15 +34,13 @@ class Encoder:
         self.files, self.slow = files, None
         with open(files["ranks"], "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        fast = tiktoken.Encoding("ranks", pat_str=files["pattern"], mergeable_ranks=ranks, special_tokens={})
-        self.cut = _spelled(files["pattern"]).findall
-        self.word = _Table(fast._encode_single_piece).__getitem__
+        self.fast = tiktoken.Encoding("ranks", pat_str=files["pattern"], mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: bytes) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
         if np.frombuffer(text, np.uint8).max() < _BEYOND:
-            return np.frombuffer(b"".join(map(self.word, self.cut(text.decode()))), np.uint32)
+            return self.fast.encode_to_numpy(text.decode(), disallowed_special=())
         if self.slow is None:
             from tokenizers import Tokenizer
 
@@ -96,7 +55,7 @@ _HELD = "_word_encoders"
 
 
 def encoder(files: dict) -> Encoder:
-    """This process's encoder of a vocabulary; the next tasks find its words again."""
+    """This process's encoder of a vocabulary; the next tasks need not read the vocabulary again."""
     held = sys.modules.setdefault(_HELD, types.ModuleType(_HELD)).__dict__
     key = (files["json"], files["ranks"])
     if key not in held:
