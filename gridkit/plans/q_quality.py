@@ -206,7 +206,8 @@ def s09(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").where("text IS NOT NULL").select("doc_id", "text")
     path = _scratch(spark, "s09")
     # a folder per writing task: the commit moves these, however many files they hold
-    dealt = docs.repartition(max(1, -(-docs.count() // FILES_A_TASK))).withColumn("task", F.spark_partition_id())
+    # rows of one id share a file
+    dealt = docs.repartition(max(1, -(-docs.count() // FILES_A_TASK)), "doc_id").withColumn("task", F.spark_partition_id())
     dealt.write.partitionBy("task", "doc_id").text(path)
     parts = sinks.read_corpus(spark, path, "*.txt", large=32 << 10, name=r"doc_id=([^/]+)/")
     # a part is at most 32 KB, so a document's parts are few; the writer ended each file with a line feed
