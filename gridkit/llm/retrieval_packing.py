@@ -70,7 +70,8 @@ def _encode(files: dict):
                 sizes = np.array([len(row) for row in rows])
                 keys = np.zeros((len(rows), 3), np.int64)  # the three least ranks name the neighbourhood
                 for i, row in enumerate(rows):
-                    ranks = np.unique(rank[row])
+                    ranks = np.sort(rank[row])
+                    ranks = ranks[np.append(True, ranks[1:] != ranks[:-1])]
                     held[ranks] += 1
                     keys[i, : min(3, len(ranks))] = ranks[:3]
                 keys = keys[:, 0] << 32 | keys[:, 1] << 16 | keys[:, 2]
@@ -189,10 +190,10 @@ class Index:
             score = (self.left @ self.held[seed]).astype(float)
         else:
             score = self.products[seed][self.rows].astype(float)
-        lists = [slice(s, e) for s, e in zip(self.start[terms].tolist(), self.start[terms + 1].tolist()) if s < e]
-        if lists:
-            score += np.bincount(np.concatenate([self.doc[x] for x in lists]),
-                                 np.concatenate([self.posting[x] for x in lists]), len(score))
+        first = self.start[terms]
+        sizes = self.start[terms + 1] - first
+        at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        score += np.bincount(self.doc[at], self.posting[at], len(score))
         score[self.count[self.rows] == 0] = 0
         n = len(score)
         least = np.partition(score, n - NEIGHBOURS)[n - NEIGHBOURS] if n > NEIGHBOURS else 0.0

@@ -15,6 +15,9 @@ import types
 
 import numpy as np
 
+#: patterns that tiktoken matches faster, with the same words
+FASTER = {r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+":
+          r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"}
 #: least lead byte of characters from U+0280 on
 _BEYOND = 0xCA
 
@@ -34,7 +37,8 @@ class Encoder:
         self.files, self.slow = files, None
         with open(files["ranks"], "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.fast = tiktoken.Encoding("ranks", pat_str=files["pattern"], mergeable_ranks=ranks, special_tokens={})
+        pattern = FASTER.get(files["pattern"], files["pattern"])
+        self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: bytes) -> np.ndarray:
         if not text:
