@@ -36,7 +36,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrays import flat
 from .common import stored, table
 from .tokens import encoder as encoder_of, vocabulary
 
@@ -59,12 +58,10 @@ def _cut(files: dict, window: int, closing: int, with_ids: bool):
         def rows(out):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-        for batch in batches:
-            offsets, data = flat(batch.column(1))
+        for doc_ids, bounds, tokens in encoder.batches(batches):
             out = []
-            for i, doc in enumerate(batch.column(0).to_pylist()):
-                ids = encoder.ids(data[offsets[i]: offsets[i + 1]].tobytes())
-                ids = np.append(ids, closing).astype("<u4").tobytes()
+            for i, doc in enumerate(doc_ids.to_pylist()):
+                ids = np.append(tokens[bounds[i]: bounds[i + 1]], closing).astype("<u4").tobytes()
                 n = len(ids) // 4
                 start, piece = 0, 0
                 while start < n:

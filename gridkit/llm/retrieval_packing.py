@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import U, flat, mix
+from .arrays import U, mix
 from .common import stored, table
 from .tokens import encoder as encoder_of, vocabulary
 
@@ -61,23 +61,27 @@ def _encode(files: dict):
         by_rank = np.argsort(mix(np.arange(NONE, dtype=U) + U(0x632BE59BD9B4E019)))
         rank = np.argsort(by_rank).astype(np.uint16)
         held = np.zeros(NONE, np.int64)  # documents by rank
-        for batch in batches:
-            offsets, data = flat(batch.column(1))
-            for low in range(0, batch.num_rows, 1000):
-                high = min(batch.num_rows, low + 1000)
-                rows = [np.append(encoder.ids(data[offsets[i]: offsets[i + 1]].tobytes()), CLOSING).astype(np.uint16)
-                        for i in range(low, high)]
-                sizes = np.array([len(row) for row in rows])
-                keys = np.zeros((len(rows), 3), np.int64)  # the three least ranks name the neighbourhood
-                for i, row in enumerate(rows):
-                    ranks = np.sort(rank[row])
-                    ranks = ranks[np.append(True, ranks[1:] != ranks[:-1])]
-                    held[ranks] += 1
-                    keys[i, : min(3, len(ranks))] = ranks[:3]
-                keys = keys[:, 0] << 32 | keys[:, 1] << 16 | keys[:, 2]
+        for names, bounds, ids in encoder.batches(batches):
+            for low in range(0, len(names), 1000):
+                high = min(len(names), low + 1000)
+                own = bounds[low: high + 1] - bounds[low]
+                rows = np.insert(ids[bounds[low]: bounds[high]], own[1:], CLOSING).astype(np.uint16)
+                sizes = np.diff(own) + 1
+                # distinct ranks of each row, rising
+                ranks = np.repeat(np.arange(high - low, dtype=np.uint32) << np.uint32(16), sizes) | rank[rows]
+                ranks = np.sort(ranks)
+                ranks = ranks[np.append(True, ranks[1:] != ranks[:-1])]
+                held += np.bincount(ranks & NONE, minlength=NONE)
+                first = np.searchsorted(ranks, np.arange(high - low + 1) << 16)
+                ranks = (ranks & NONE).astype(np.int64)
+                keys = np.zeros(high - low, np.int64)  # the three least ranks name the neighbourhood
+                for i in range(3):
+                    at = np.minimum(first[:-1] + i, len(ranks) - 1)
+                    keys = keys << 16 | np.where(first[:-1] + i < first[1:], ranks[at], 0)
+                ends = np.append(0, np.cumsum(2 * sizes)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, high - low).cast(pa.int64()), pa.array(keys << 15),
-                     pa.array(sizes, pa.int64()), pa.array([row.tobytes() for row in rows], pa.binary())],
+                    [names.slice(low, high - low).cast(pa.int64()), pa.array(keys << 15), pa.array(sizes, pa.int64()),
+                     pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer(ends), pa.py_buffer(rows)])],
                     names=["doc_id", "key", "n", "ids"])
         terms = np.flatnonzero(held)
         if len(terms):
@@ -124,47 +128,50 @@ class Index:
         self.end = np.cumsum(self.count)
         self.next = self.end - self.count
         self.seen = np.zeros(len(docs), bool)
-        terms, weights, sizes = [], [], []
-        for text in kinds:
-            ids = np.frombuffer(text, np.uint16)
-            term, tf = np.unique(ids, return_counts=True)
-            norm = K1 * (1 - B + B * len(ids) / mean)
-            terms.append(term)
-            weights.append(idf[term] * tf * (K1 + 1) / (tf + norm))
-            sizes.append(len(term))
-        self.first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        self.term = np.concatenate(terms).astype(np.int64)
-        self.weight = np.concatenate(weights)
-        self.owner = np.repeat(np.arange(self.n), sizes)
+        size = np.array([len(text) // 2 for text in kinds])
+        word = np.frombuffer(b"".join(kinds), np.uint16)
+        pair = np.repeat(np.arange(self.n, dtype=U) << U(16), size)
+        pair |= word
+        pair.sort()
+        first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))  # of a term in an entry
+        tf = np.diff(np.append(first, len(pair)))
+        self.term = (pair[first] & U(0xFFFF)).astype(np.int64)
+        self.owner = (pair[first] >> U(16)).astype(np.int64)
+        norm = K1 * (1 - B + B * size / mean)
+        self.weight = idf[self.term] * tf * (K1 + 1) / (tf + norm[self.owner])
+        self.first = np.searchsorted(self.owner, np.arange(self.n + 1))
         common = np.flatnonzero(np.bincount(self.term, minlength=1 << 16) * COMMON >= self.n)
         column = np.full(1 << 16, -1)
         column[common] = np.arange(len(common))
         column = column[self.term]
-        self.rare = column < 0
-        self.dense = np.zeros((self.n, len(common)), np.float32)
-        self.dense[self.owner[~self.rare], column[~self.rare]] = self.weight[~self.rare]
-        self.held = (self.dense > 0).astype(np.float32)
+        rare = column < 0
+        self.left = np.zeros((self.n, len(common)), np.float32)
+        self.left[self.owner[~rare], column[~rare]] = self.weight[~rare]
+        self.held = (self.left > 0).astype(np.float32)
         self.products = None
         if self.n * self.n <= PRODUCTS:
-            self.products, self.dense, self.held = self.held @ self.dense.T, None, None
+            self.products, self.left, self.held = self.held @ self.left.T, None, None
         # a product is off by one rounding of its weights and one of each sum at most
         self.margin = 4 * (len(common) + 2) * 2.0 ** -24
         self.sought = np.zeros(1 << 16, bool)
-        self._shrink()
+        # postings of rare terms; entries go by their place among ``rows``
+        self.rows = np.arange(self.n)
+        term = self.term[rare]
+        order = np.argsort(term.astype(np.uint16), kind="stable")
+        self.doc = self.owner[rare][order]
+        self.posting = self.weight[rare][order]
+        self.start = np.searchsorted(term[order], np.arange((1 << 16) + 1))
 
     def _shrink(self) -> None:
         """Keep the entries with unused documents and their postings of rare terms."""
-        self.rows = np.flatnonzero(self.count)
-        place = np.full(self.n, -1)
-        place[self.rows] = np.arange(len(self.rows))
+        open_ = self.count[self.rows] > 0
         if self.products is None:
-            self.left = self.dense[self.rows] if len(self.rows) < self.n else self.dense
-        keep = self.rare & (place[self.owner] >= 0)
-        term = self.term[keep]
-        order = np.argsort(term.astype(np.uint16), kind="stable")
-        self.doc = place[self.owner[keep][order]]
-        self.posting = self.weight[keep][order]
-        self.start = np.searchsorted(term[order], np.arange((1 << 16) + 1))
+            self.left = self.left[open_]
+        keep = open_[self.doc]
+        self.start = np.append(0, np.cumsum(keep))[self.start]
+        self.doc = (np.cumsum(open_) - 1)[self.doc[keep]]
+        self.posting = self.posting[keep]
+        self.rows = self.rows[open_]
 
     def scores(self, seed: int, entries: np.ndarray) -> np.ndarray:
         """Exact BM25 of ``entries`` for all terms of the entry ``seed``."""
@@ -182,7 +189,7 @@ class Index:
         fresh = np.flatnonzero(used & ~self.seen)
         self.seen[fresh] = True
         np.subtract.at(self.count, self.kind[fresh], 1)
-        if 2 * np.count_nonzero(self.count) < len(self.rows):
+        if 4 * np.count_nonzero(self.count) < 3 * len(self.rows):
             self._shrink()
         seed = self.kind[seed]
         terms = self.term[self.first[seed]: self.first[seed + 1]]
