@@ -194,8 +194,8 @@ def v05(spark, d):
     return reduce(DataFrame.unionByName, parts)
 
 
-#: a task writes about so many files: what they cost follows their number, not their bytes
-FILES_A_TASK = 200
+#: a task writes and reads about so many files: what they cost follows their number, not their bytes
+FILES_A_TASK = 2000
 
 
 @register("s09_corpus_read", """
@@ -203,18 +203,17 @@ SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(length(text) AS BIGINT) AS n_char
 FROM documents WHERE text IS NOT NULL""")
 def s09(spark, d):
     """Every document as a file of its own, read back: files of more than 32 KB in parts."""
-    docs = spark.read.parquet(f"{d}/documents.parquet").where("text IS NOT NULL").select("doc_id", "text")
-    path = _scratch(spark, "s09")
-    # a folder per writing task: the commit moves these, however many files they hold
-    # rows of one id share a file
-    dealt = docs.repartition(max(1, -(-docs.count() // FILES_A_TASK)), "doc_id").withColumn("task", F.spark_partition_id())
-    dealt.write.partitionBy("task", "doc_id").text(path)
-    parts = sinks.read_corpus(spark, path, "*.txt", large=32 << 10, name=r"doc_id=([^/]+)/")
-    # a part is at most 32 KB, so a document's parts are few; the writer ended each file with a line feed
+    table, path = spark.read.parquet(f"{d}/documents.parquet"), _scratch(spark, "s09")
+    # as many as all rows need: their number is known without the texts
+    tasks = max(1, -(-table.count() // FILES_A_TASK))
+    # a folder per writing task; rows of one id share a file
+    sinks.write_corpus(table.where("text IS NOT NULL").select("doc_id", "text"), path, tasks)
+    read = sinks.read_corpus(spark, path, sinks.CORPUS_FILES, large=32 << 10, name=sinks.CORPUS_NAME, tasks=tasks)
+    # the writer ended each file with a line feed, which parts are without
+    whole = read.where("NOT cut").select("doc_id", F.substring("text", F.lit(1), F.length("text") - 1).alias("text"))
+    # a part is at most 32 KB, so a document's parts are few
     inside = F.array_sort(F.collect_list(F.struct("part", "text")))
-    whole = parts.groupBy("doc_id").agg(F.array_join(F.transform(inside, lambda p: p["text"]), "\n").alias("text"),
-                                        F.count("*").alias("n"), F.max("part").alias("last"))
-    text = F.when(F.col("text").endswith("\n") & (F.col("n") == 1),
-                  F.substring("text", F.lit(1), F.length("text") - 1)).otherwise(F.col("text"))
-    return whole.select("doc_id", text.alias("text")).select(
+    joined = read.where("cut").groupBy("doc_id").agg(
+        F.array_join(F.transform(inside, lambda p: p["text"]), "\n").alias("text"))
+    return whole.unionByName(joined).select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("md5"))

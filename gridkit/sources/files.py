@@ -21,6 +21,16 @@ class Files:
         p, fs = self._at(path)
         return fs.exists(p)
 
+    def local(self, path: str) -> str | None:
+        """The folder that tasks open as ``path`` themselves; none in other stores."""
+        p, fs = self._at(path)
+        return p.toUri().getPath() if fs.getUri().getScheme() == "file" else None
+
+    def make(self, path: str) -> bool:
+        """A new folder; False when it is there already."""
+        p, fs = self._at(path)
+        return not fs.exists(p) and fs.mkdirs(p)
+
     def names(self, path: str) -> list[str]:
         """Names in a folder; none when it does not exist."""
         p, fs = self._at(path)

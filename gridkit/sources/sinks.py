@@ -7,12 +7,18 @@ shared ``spark.checkpoint.dir``), never a machine-local folder.
 
 from __future__ import annotations
 
+import os
+import re
+import shutil
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .files import Files
 from .versioned import VersionedTable
 
 
@@ -92,6 +98,62 @@ def write_json_extract(df: DataFrame, path: str) -> None:
 
 #: files of more bytes are read in parts
 LARGE_FILE = 64 << 20
+#: endings of files that Spark's text reader unpacks
+PACKED = {"gz", "bz2", "deflate", "lz4", "snappy", "zst", "zstd", "xz", "passthrough"}
+#: characters that a folder ``column=value`` of Spark holds as %XX, and its value for null
+_ESCAPED = re.compile(r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]""")
+_NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _files(directory: str):
+    """A task's rows as files of a folder, which gets its name when it is whole: of
+    attempts at one task the first counts, and readers see none of the others."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draft, rows = f"{directory}/.{uuid.uuid4().hex}", 0
+        for batch in batches:
+            if batch.num_rows:
+                os.makedirs(draft, exist_ok=True)
+            for name, text in zip(*(c.to_pylist() for c in batch.columns)):
+                name = _ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", name)
+                with open(f"{draft}/doc_id={name}.txt", "ab") as f:
+                    f.write(text + b"\n")
+            rows += batch.num_rows
+        if rows:
+            whole = f"{directory}/task={TaskContext.get().partitionId()}"
+            try:
+                os.rename(draft, whole)
+            except OSError:
+                if not os.path.isdir(whole):
+                    raise
+                shutil.rmtree(draft, ignore_errors=True)
+        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], names=["rows"])
+    return run
+
+
+def write_corpus(docs: DataFrame, directory: str, tasks: int) -> None:
+    """s09: the texts of ``(doc_id, text)`` as files in a new ``directory``, which
+    ``read_corpus`` reads with ``CORPUS_FILES`` and ``CORPUS_NAME``.
+
+    An id is one file in the folder of a task; of its rows each ends with a line feed.
+    Where the store is a file system of the machines, tasks write the files themselves:
+    Spark's writer makes a folder and starts two processes for each.
+    """
+    files = Files(docs.sparkSession)
+    dealt = docs.repartition(tasks, "doc_id")
+    folder = files.local(directory)
+    if folder is None:
+        dealt.select(F.spark_partition_id().alias("task"), "doc_id", "text").write.partitionBy("task", "doc_id").text(directory)
+        return
+    if not files.make(directory):
+        raise FileExistsError(directory)
+    name = F.coalesce(F.nullif(F.col("doc_id").cast("string"), F.lit("")), F.lit(_NO_VALUE))
+    written = dealt.select(name, F.col("text").cast("binary")).mapInArrow(_files(folder), "rows long")
+    written.agg(F.sum("rows")).collect()
+
+
+CORPUS_FILES = "*.txt"
+#: a document is a file, or the folder of one
+CORPUS_NAME = r"doc_id=([^/]+?)(?:\.txt|/[^/]+)$"
 
 
 def _parts(limit: int):
@@ -119,24 +181,32 @@ def _parts(limit: int):
 
 
 def read_corpus(spark: SparkSession, directory: str, pattern: str = "*.md", large: int = LARGE_FILE,
-                name: str = r"([^/]+?)(\.[^./]+)?$") -> DataFrame:
-    """s09: ``(doc_id, part, text)`` of the files in ``directory``; doc_id is what ``name``
-    finds in the path (by default the file's stem).
+                name: str = r"([^/]+?)(\.[^./]+)?$", tasks: int | None = None) -> DataFrame:
+    """s09: ``(doc_id, part, text, cut)`` of the files in ``directory``; doc_id is what
+    ``name`` finds in the path (by default the file's stem).
 
     A file is one row, part 0.  One of more than ``large`` bytes does not become one row:
     it is read by lines, in as many tasks as it has blocks, and given back in parts of
-    about ``large`` characters; joined by line feeds in the order of ``part`` they are
-    the file, without a last line feed.  A single longer line is one part.
-    A file of no bytes has no row.
+    about ``large`` characters (``cut``); joined by line feeds in the order of ``part``
+    they are the file, without a last line feed.  A single longer line is one part.
+    A file of no bytes has no row.  Many small files are read in ``tasks`` tasks; by
+    default Spark puts 32 in one.
     """
     files = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
-    where = F.col("_metadata.file_path").alias("path")
-    few = files.text(directory, wholetext=True).where(F.col("_metadata.file_size") <= large)
-    whole = few.select(where, F.lit(0).alias("part"), F.col("value").alias("text"))
-    lines = files.text(directory, lineSep="\n").where(F.col("_metadata.file_size") > large).select(
+    where, size = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size")
+    ending = re.search(r"\.(\w+)$", pattern)
+    if ending and ending[1] not in PACKED:
+        # the text reader copies the configuration for each file, tasks of one executor in turn
+        few, text = files.format("binaryFile").load(directory), F.col("content").cast("string")
+    else:
+        few, text = files.text(directory, wholetext=True), F.col("value")
+    whole = few.where(size <= large).select(where, F.lit(0).alias("part"), text.alias("text"), F.lit(False).alias("cut"))
+    if tasks:
+        whole = whole.coalesce(tasks)
+    lines = files.text(directory, lineSep="\n").where(size > large).select(
         where, F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
     cut = lines.mapInArrow(_parts(large), "path string, block long, number long, text string")
     order = F.row_number().over(Window.partitionBy("path").orderBy("block", "number")) - 1
-    parts = cut.select("path", order.alias("part"), "text")
+    parts = cut.select("path", order.alias("part"), "text", F.lit(True).alias("cut"))
     doc = F.regexp_extract(F.url_decode("path"), name, 1)
-    return whole.unionByName(parts).select(doc.alias("doc_id"), "part", "text")
+    return whole.unionByName(parts).select(doc.alias("doc_id"), "part", "text", "cut")
