@@ -189,8 +189,8 @@ def read_corpus(spark: SparkSession, directory: str, pattern: str = "*.md", larg
     it is read by lines, in as many tasks as it has blocks, and given back in parts of
     about ``large`` characters (``cut``); joined by line feeds in the order of ``part``
     they are the file, without a last line feed.  A single longer line is one part.
-    A file of no bytes has no row.  Many small files are read in ``tasks`` tasks; by
-    default Spark puts 32 in one.
+    A file of no bytes has no row.  By default Spark gives a task 128 MB, counting a file
+    as 4 MB at least; with ``tasks``, both kinds of files are read in so many at most.
     """
     files = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
     where, size = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size")
@@ -201,10 +201,10 @@ def read_corpus(spark: SparkSession, directory: str, pattern: str = "*.md", larg
     else:
         few, text = files.text(directory, wholetext=True), F.col("value")
     whole = few.where(size <= large).select(where, F.lit(0).alias("part"), text.alias("text"), F.lit(False).alias("cut"))
-    if tasks:
-        whole = whole.coalesce(tasks)
     lines = files.text(directory, lineSep="\n").where(size > large).select(
         where, F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    if tasks:
+        whole, lines = whole.coalesce(tasks), lines.coalesce(tasks)
     cut = lines.mapInArrow(_parts(large), "path string, block long, number long, text string")
     order = F.row_number().over(Window.partitionBy("path").orderBy("block", "number")) - 1
     parts = cut.select("path", order.alias("part"), "text", F.lit(True).alias("cut"))
