@@ -201,12 +201,17 @@ def read_corpus(spark: SparkSession, directory: str, pattern: str = "*.md", larg
     else:
         few, text = files.text(directory, wholetext=True), F.col("value")
     whole = few.where(size <= large).select(where, F.lit(0).alias("part"), text.alias("text"), F.lit(False).alias("cut"))
-    lines = files.text(directory, lineSep="\n").where(size > large).select(
+    # a second listing of all files would hold them on the driver twice
+    index = files.format("binaryFile").load(directory) if ending is None or ending[1] in PACKED else few
+    long = [re.sub(r"([*?\[\]{}\\])", r"\\\1", r.path) for r in index.where(size > large).select("path").collect()]
+    doc = F.regexp_extract(F.url_decode("path"), name, 1)
+    if not long:
+        return (whole.coalesce(tasks) if tasks else whole).select(doc.alias("doc_id"), "part", "text", "cut")
+    lines = files.text(long, lineSep="\n").where(size > large).select(
         where, F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
     if tasks:
         whole, lines = whole.coalesce(tasks), lines.coalesce(tasks)
     cut = lines.mapInArrow(_parts(large), "path string, block long, number long, text string")
     order = F.row_number().over(Window.partitionBy("path").orderBy("block", "number")) - 1
     parts = cut.select("path", order.alias("part"), "text", F.lit(True).alias("cut"))
-    doc = F.regexp_extract(F.url_decode("path"), name, 1)
     return whole.unionByName(parts).select(doc.alias("doc_id"), "part", "text", "cut")
